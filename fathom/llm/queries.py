@@ -122,7 +122,7 @@ with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text
 s as (select source, source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1) as weight from (select source, sum(size)::bigint as source_size from d group by source)),
 t as (select source, source_size, weight, row_number() over (order by source_size::double / weight, source) as r, sum(source_size) over () as total from s),
 levels as (select *, (total - coalesce(sum(3 * source_size) over (order by r rows between unbounded preceding and 1 preceding), 0))::double / sum(weight) over (order by r rows between current row and unbounded following) as level from t),
-one as (select min(level) filter (where 3 * source_size > weight * level) as level from levels),
+one as (select arg_min(level, r) filter (where 3 * source_size > weight * level) as level from levels),
 goals as (select source, source_size, case when 3 * source_size <= weight * level then (3 * source_size)::double else weight * level end as target from t, one),
 parts as (select *, floor(target / source_size)::bigint as whole, target - floor(target / source_size) * source_size as rest from goals where source_size > 0),
 spots as (select source, spot, sum(size) as words from d group by source, spot),
