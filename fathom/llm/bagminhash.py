@@ -11,7 +11,9 @@ slot is run again to twice that time, so the early stop never changes a signatur
 Candidates come from bands of the signature and every link is confirmed on the multisets
 themselves. A bucket is first compared with its smallest member only (a star). Buckets whose
 members then still belong to different components are compared across components on their
-signatures, in blocks; what looks alike is verified too. So a bucket of n copies costs n pairs.
+signatures, in blocks, each pair in the first band that it shares only; the texts of members that
+look alike are then compared in the block itself, and a block reports a forest of links. So a
+bucket of n copies costs about n pairs, and still no pair across components goes unseen.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
 #: Signature agreement from which a pair across components is verified: five standard deviations under 0.8.
 LOOKS_ALIKE = 0.6
-#: Members of one star, or of one block of a bucket, that share a task's group.
-BLOCK = 256
+#: Members of one part of a star, and of one block of a bucket.
+STAR, BLOCK = 256, 1024
 #: A digest shared by many rows is joined over so many partitions.
 SALT = 16
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -144,7 +146,7 @@ def _banded(batches):
             key = mix64(np.arange(BANDS, dtype=np.uint64) * _K[4])[None, :]
             for k in range(ROWS):
                 key = mix64(key ^ sig[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(key.reshape(-1).view(np.int64))], ["id", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids)))], ["id", "bucket", "band"])
 
 
 def _verified(threshold: float):
@@ -181,37 +183,96 @@ def _verified(threshold: float):
 def _verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) among pairs (id, hub, n): each part of a star meets one copy of its hub's text.
 
-    texts has one row for each id; stars of many members are dealt in parts of about BLOCK.
+    texts has one row for each id; stars of many members are dealt in parts of about STAR.
     """
-    stars = pairs.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    stars = pairs.withColumn("parts", F.ceil(F.col("n") / STAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     stars = cut(stars.select("id", "hub", "parts", "part"))
     need = stars.withColumn("role", F.lit(1)).unionByName(stars.select(F.col("hub").alias("id"), "hub", "parts", "part").distinct().withColumn("role", F.lit(0)))
     rows = texts.join(need, "id").repartition(partitions(texts.sparkSession), "hub", "parts", "part").sortWithinPartitions("hub", "parts", "part", "role")
     return rows.select("hub", "parts", "part", "role", "id", "text").mapInArrow(_verified(threshold), "a long, b long")
 
 
-def _across(batches):
-    """Pairs of one block pair of a bucket that look alike and lie in different components."""
-    group, ids, comp, sig = None, [], [], []
-
-    def pairs():
-        if len(ids) < 2:
-            return
-        s, i, c = np.frombuffer(b"".join(sig), np.uint32).reshape(len(ids), SLOTS), np.array(ids), np.array(comp)
-        for k in range(len(i) - 1):
-            other = np.flatnonzero(c[k + 1 :] != c[k]) + k + 1
-            alike = other[(s[other] == s[k]).mean(1) >= LOOKS_ALIKE]
-            if len(alike):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i[alike], i[k])), pa.array(np.minimum(i[alike], i[k]))], ["id", "hub"])
-
+def _blocks(batches, columns, text: bool):
+    """(key, columns as lists) of each block pair of a bucket, from rows sorted by it; texts become bags at once."""
+    group, held = None, None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "b1", "b2")), strict=True))
-        for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("id", "comp", "sig")), strict=True):
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "b1", "b2")), strict=True))
+        values = [batch.column(c).to_pylist() for c in columns]
+        if text:
+            values.append([])
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                _, rows, sh, weight = bags(data, offsets)
+                at = np.searchsorted(rows, np.arange(b - a + 1))
+                values[-1] += [(sh[x:y].copy(), weight[x:y].copy()) for x, y in zip(at[:-1], at[1:], strict=True)]
+        for key, *row in zip(keys, *values, strict=True):
             if key != group:
-                yield from pairs()
-                group, ids, comp, sig = key, [], [], []
-            ids.append(row[0]), comp.append(row[1]), sig.append(row[2])
-    yield from pairs()
+                if group is not None:
+                    yield group, held
+                group, held = key, [[] for _ in row]
+            for x, y in zip(held, row, strict=True):
+                x.append(y)
+    if group is not None:
+        yield group, held
+
+
+def _likely(s: np.ndarray, c: np.ndarray, k: int, band: int) -> np.ndarray:
+    """Members of other components that look like member k and share no earlier band with it."""
+    other = np.flatnonzero(c != c[k])
+    same = s[other] == s[k]
+    alike = same.mean(1) >= LOOKS_ALIKE
+    other, same = other[alike], same[alike]
+    return other[same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band]
+
+
+def _seekers(c: np.ndarray) -> np.ndarray:
+    """Members outside the commonest component."""
+    kinds, counts = np.unique(c, return_counts=True)
+    return np.flatnonzero(c != kinds[counts.argmax()])
+
+
+def _matrix(sig) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), SLOTS)
+
+
+def _hopeful(batches):
+    """Members of a block pair with a likely partner in another component."""
+    for (bucket, band, b1, b2), (ids, comp, sig) in _blocks(batches, ("id", "comp", "sig"), False):
+        s, c = _matrix(sig), np.array(comp)
+        hope = np.zeros(len(ids), bool)
+        for k in _seekers(c):
+            found = _likely(s, c, k, band)
+            hope[found] = True
+            hope[k] |= len(found) > 0
+        at = np.flatnonzero(hope)
+        if len(at):
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket] * n, pa.int64()), pa.array([band] * n, pa.int32()), pa.array([b1] * n, pa.int32()), pa.array([b2] * n, pa.int32()), pa.array(np.array(ids)[at]), pa.array(c[at]), pa.array([sig[i] for i in at], pa.binary())],
+                ["bucket", "band", "b1", "b2", "id", "comp", "sig"],
+            )
+
+
+def _across(threshold: float):
+    """Links across components inside a block pair, verified on the bags; once two components have met, no more between them."""
+
+    def run(batches):
+        for (_, band, _, _), (ids, comp, sig, bag) in _blocks(batches, ("id", "comp", "sig"), True):
+            s, c, left, right = _matrix(sig), np.array(comp), [], []
+            total = [int(w.sum()) for _, w in bag]
+            for k in _seekers(c):
+                sh, weight = bag[k]
+                for i in _likely(s, c, k, band):
+                    if c[i] == c[k]:
+                        continue
+                    at = np.minimum(np.searchsorted(sh, bag[i][0]), len(sh) - 1)
+                    same = sh[at] == bag[i][0]
+                    shared = int(np.minimum(weight[at[same]], bag[i][1][same]).sum())
+                    if shared >= threshold * (total[k] + total[i] - shared) - 1e-9:
+                        left.append(ids[k]), right.append(ids[i])
+                        c[c == c[i]] = c[k]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -227,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.where("id is not null")
     signed = cut(docs.mapInArrow(_signed, "id long, digest binary, sig binary"))
     groups = cut(signed.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r"), F.count(F.lit(1)).alias("n")).select("digest", "n", "r.*"))
-    banded = cut(groups.where("sig is not null").select("id", "sig").mapInArrow(_banded, "id long, bucket long").distinct())
+    banded = cut(groups.where("sig is not null").select("id", "sig").mapInArrow(_banded, "id long, bucket long, band int"))
 
     salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -246,22 +307,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_verify(texts, pairs, threshold))
 
     roots = cut(components(links))
-    named = banded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("comp"))
-    named = cut(named)
+    named = cut(banded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("comp")))
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket", "n")
-    rest = cut(named.join(mixed, "bucket").join(groups.select("id", "sig"), "id"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = named.join(mixed, "bucket").join(groups.select("id", "sig"), "id")
     rest = (
-        rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "comp", "sig")
+        .select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "comp", "sig")
     )
-    rest = rest.repartition(partitions(docs.sparkSession), "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    more = rest.mapInArrow(_across, "id long, hub long").distinct().join(pairs.select("id", "hub"), ["id", "hub"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        sizes = more.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-        links = cut(links.union(_verify(texts, more.join(sizes, "hub"), threshold)))
+    key = ["bucket", "band", "b1", "b2"]
+    together = lambda df: df.repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
+    hopeful = cut(together(rest).mapInArrow(_hopeful, "bucket long, band int, b1 int, b2 int, id long, comp long, sig binary"))
+    if not hopeful.isEmpty():
+        more = together(texts.join(hopeful, "id")).select(*key, "id", "comp", "sig", "text").mapInArrow(_across(threshold), "a long, b long")
+        links = cut(links.union(more))
         roots = cut(components(links))
 
     named = groups.select("digest", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", "n", "id", F.coalesce("component", "id").alias("class_id"))
