@@ -33,7 +33,9 @@ BANDS = SLOTS // ROWS
 #: Signature agreement from which a pair across components is verified: five standard deviations under 0.8.
 LOOKS_ALIKE = 0.6
 #: Members of one part of a star, and of one block of a bucket.
-STAR, BLOCK = 256, 1024
+STAR, BLOCK = 256, 4096
+#: Ids of texts that must move are broadcast up to this many; beyond, all texts are shuffled to meet them.
+BROADCAST_IDS = 500_000
 #: A digest shared by many rows is joined over so many partitions.
 SALT = 16
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -180,6 +182,12 @@ def _verified(threshold: float):
     return run
 
 
+def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids, filtered before any shuffle where the ids are few."""
+    ids = ids.select("id").distinct()
+    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) among pairs (id, hub, n): each part of a star meets one copy of its hub's text.
 
@@ -188,7 +196,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     stars = pairs.withColumn("parts", F.ceil(F.col("n") / STAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     stars = cut(stars.select("id", "hub", "parts", "part"))
     need = stars.withColumn("role", F.lit(1)).unionByName(stars.select(F.col("hub").alias("id"), "hub", "parts", "part").distinct().withColumn("role", F.lit(0)))
-    rows = texts.join(need, "id").repartition(partitions(texts.sparkSession), "hub", "parts", "part").sortWithinPartitions("hub", "parts", "part", "role")
+    rows = _needed(texts, need).join(need, "id").repartition(partitions(texts.sparkSession), "hub", "parts", "part").sortWithinPartitions("hub", "parts", "part", "role")
     return rows.select("hub", "parts", "part", "role", "id", "text").mapInArrow(_verified(threshold), "a long, b long")
 
 
@@ -307,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_verify(texts, pairs, threshold))
 
     roots = cut(components(links))
-    named = cut(banded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("comp")))
+    named = banded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("comp"))
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket", "n")
     rest = named.join(mixed, "bucket").join(groups.select("id", "sig"), "id")
     rest = (
@@ -319,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     together = lambda df: df.repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
     hopeful = cut(together(rest).mapInArrow(_hopeful, "bucket long, band int, b1 int, b2 int, id long, comp long, sig binary"))
     if not hopeful.isEmpty():
-        more = together(texts.join(hopeful, "id")).select(*key, "id", "comp", "sig", "text").mapInArrow(_across(threshold), "a long, b long")
+        more = together(_needed(texts, hopeful).join(hopeful, "id")).select(*key, "id", "comp", "sig", "text").mapInArrow(_across(threshold), "a long, b long")
         links = cut(links.union(more))
         roots = cut(components(links))
 
