@@ -1 +1 @@
-"""Document retrieval and ranking analytics on Spark."""
+"""Relational operators of the retrieval engine."""

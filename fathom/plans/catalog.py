@@ -1,11 +1,299 @@
-"""All queries over the driver's tables, by name, with their SQL."""
+"""Queries over the driver's tables, one for each group of operators, with their SQL.
+
+The corpus has no titles, dates or metadata: they derive from doc_id and lang on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathom.functions import scoring
+from fathom.functions.text import document_id, estimated_tokens, han_characters, search_tokens
+from fathom.operators import changes, index, search
+from fathom.plans import planner
+from fathom.sources import files
+
+NOW = "2026-09-30 00:00:00"
+WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
+BOOST, HALF_LIFE = 0.5, 30.0
+COMMON_QUERY, QUESTION = ("or", "that", "from", "par"), "Between this token, that one from here with those"
+OR_QUERY, AND_QUERY = ("or", "entre", "which", "haben", "token"), ("and", "the", "token")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark, sf_dir) -> DataFrame:
+    """documents with what retrieval needs: title, body, published_at (every seventh unknown) and metadata."""
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("body"),
+        F.when(F.col("doc_id") % 7 != 0, F.timestamp_add("DAY", (F.col("doc_id") % 365).cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp"))).alias("published_at"),
+        F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
+    )
+
+
+def chunked(spark, sf_dir) -> DataFrame:
+    return index.chunks(corpus(spark, sf_dir)).withColumn("chunk", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("start").cast("string"), 9, "0")))
+
+
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def tokenize_tf(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select("doc_id", F.explode(search_tokens(F.col("body"))).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def chunk_documents(spark, sf_dir):
+    return chunked(spark, sf_dir).select("doc_id", F.col("start").cast("long").alias("chunk_start"), F.col("end").cast("long").alias("chunk_end"), F.md5("text").alias("text_md5"))
+
+
+def doc_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", document_id(F.col("source"), F.col("doc_id").cast("string")).alias("document"))
+
+
+def corpus_stats(spark, sf_dir):
+    rows = chunked(spark, sf_dir).select(F.size(search_tokens(F.concat_ws(" ", "title", "text"))).alias("dl"))
+    return _round(rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("mean_length")), "mean_length")
+
+
+def token_df(spark, sf_dir):
+    return index.postings(chunked(spark, sf_dir), ["chunk"], F.concat_ws(" ", "title", "text")).groupBy("token").agg(F.count(F.lit(1)).alias("n_with"), F.sum("tf").alias("total"))
+
+
+def lexical_search(spark, sf_dir):
+    hits = search.lexical(chunked(spark, sf_dir), OR_QUERY)
+    return _round(search.top(hits, "relevance", "chunk", 50).select("chunk", "doc_id", "relevance"), "relevance")
+
+
+def lexical_search_and(spark, sf_dir):
+    return _round(search.lexical(chunked(spark, sf_dir), AND_QUERY).select("chunk", "doc_id", "relevance"), "relevance")
+
+
+def tsrank_search(spark, sf_dir):
+    return _round(search.ranked_text(chunked(spark, sf_dir), list(OR_QUERY[1:])).select("chunk", "relevance"), "relevance")
+
+
+def filtered_search(spark, sf_dir):
+    filters = search.Filters(source_ids=("src1", "src2", "src4"), since="2026-02-01", until="2026-10-01", metadata={"lang": "en"}, eligible=("src1", "src2"))
+    return _round(search.lexical(chunked(spark, sf_dir), COMMON_QUERY, filters).select("chunk", "doc_id", "relevance"), "relevance")
+
+
+def policy_search(spark, sf_dir):
+    hits = search.apply_policy(search.lexical(chunked(spark, sf_dir), OR_QUERY), WEIGHTS, BOOST, HALF_LIFE, NOW)
+    best = search.best_per_document(hits, "doc_id", "score", "chunk")
+    return _round(search.top(best, "score", "doc_id", 10).select("doc_id", "chunk", "relevance", "source_weight", "freshness", "score"), "relevance", "freshness", "score")
+
+
+def best_chunk_per_doc(spark, sf_dir):
+    return _round(search.best_per_document(search.lexical(chunked(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk").select("doc_id", "chunk", "relevance"), "relevance")
+
+
+def planned_search(spark, sf_dir):
+    plan = planner.plan_query(QUESTION)
+    rows = search.lexical(chunked(spark, sf_dir), plan.expression)
+    return _round(rows.where(plan.accepts_title(F.col("title")) & plan.accepts_passage(F.col("title"), F.col("text"))).select("chunk", "relevance"), "relevance")
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    """Cosine of every vector with the one of the smallest id: a row against a row."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    query = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    return vectors.crossJoin(F.broadcast(query)).select("vec_id", scoring.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+
+
+def dense_topk(spark, sf_dir):
+    return _round(search.top(_near(spark, sf_dir), "similarity", "vec_id", 20), "similarity")
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    lexical = search.top(search.best_per_document(search.lexical(chunked(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk"), "relevance", "doc_id", 100)
+    dense = search.top(_near(spark, sf_dir), "similarity", "vec_id", 100)
+    return lexical.select(F.lit("lexical").alias("list_id"), F.col("doc_id").alias("item"), F.col("relevance").alias("score")).unionByName(
+        dense.select(F.lit("dense").alias("list_id"), F.col("vec_id").alias("item"), F.col("similarity").alias("score"))
+    )
+
+
+def rrf_fusion(spark, sf_dir):
+    return _round(search.fuse(_lists(spark, sf_dir), "rrf"), "score", digits=9)
+
+
+def normalized_fusion(spark, sf_dir):
+    return _round(search.fuse(_lists(spark, sf_dir), "normalised"), "score")
+
+
+def rerank_pool(spark, sf_dir):
+    return _round(search.top(search.fuse(_lists(spark, sf_dir), "rrf"), "score", "item", 50), "score", digits=9)
+
+
+def sampled_chunks(spark, sf_dir):
+    return index.sampled(chunked(spark, sf_dir), "doc_id", "start").select("doc_id", "chunk", F.col("position").cast("long").alias("position"), "n")
+
+
+def source_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    sources = docs.select("source").distinct().unionByName(spark.range(1).select(F.lit("empty").alias("source")))
+    return sources.join(docs.select("source", "doc_id"), "source", "left").groupBy("source").agg(F.count("doc_id").alias("documents"))
+
+
+def index_coverage(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v"))
+    rows = chunked(spark, sf_dir).join(vectors, "doc_id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.count("v").alias("embedded"), F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("v").isNotNull(), F.col("doc_id"))).alias("embedded_documents"))
+
+
+def eval_metrics(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), (F.col("quality") + F.col("toxic")).cast("long").alias("grade"))
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), "n_chars")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("n_chars").desc(), "item"))
+    return _round(search.metrics(docs.withColumn("rank", rank).select("query", "item", "rank"), labels, 10), "recall", "mrr", "ndcg")
+
+
+def latency_summary(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("runs"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.avg((F.col("value") > 50).cast("double")).alias("slow_rate")
+    )
+    return _round(rows, "mean", "p50", "p95", "slow_rate")
+
+
+def _versions(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.md5("text").alias("content"), F.md5(F.concat_ws("|", "text", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("lang")))).alias("mark"))
+    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content"), F.md5(F.concat_ws("|", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "lang")).alias("mark"))
+    return old, new
+
+
+def upsert_actions(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return changes.actions(old, new, "doc_id", "mark", "content")
+
+
+def stale_snapshot_diff(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return changes.drift(old, new, "doc_id", "mark")
+
+
+def missing_keys(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return changes.delete(old, new, "doc_id").select("doc_id")
+
+
+def content_dedup(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+
+
+def token_estimate(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("role", F.length("text").alias("n"), F.octet_length("text").alias("b"), estimated_tokens(F.col("text")).alias("t"), han_characters(F.col("text")).alias("h"))
+    return rows.groupBy("role").agg(F.sum("n").alias("characters"), F.sum("b").alias("utf8_bytes"), F.sum("h").alias("han_characters"), F.sum("t").alias("estimated_tokens"))
+
+
+def rank_movement(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    top = lambda order, name: docs.orderBy(*order).limit(100).withColumn(name, F.row_number().over(Window.orderBy(*order))).select("doc_id", name)
+    before, after = top([F.col("n_chars").desc(), F.col("doc_id")], "before"), top([(F.col("n_chars") % 1000).desc(), F.col("doc_id")], "after")
+    return after.join(before, "doc_id", "left").select("doc_id", F.col("after").cast("long").alias("after"), (F.col("before") - F.col("after")).cast("long").alias("movement"))
+
+
+def policy_diff(spark, sf_dir):
+    table = lambda weights, name: spark.createDataFrame(sorted(weights.items()), f"source string, {name} double")
+    sources = _table(spark, sf_dir, "documents").select("source").distinct()
+    rows = sources.join(table(WEIGHTS, "b"), "source", "left").join(table({"src1": 2.0, "src4": 3.0}, "a"), "source", "left")
+    rows = rows.select("source", F.coalesce("b", F.lit(1.0)).alias("before"), F.coalesce("a", F.lit(1.0)).alias("after"))
+    return rows.where("before <> after")
+
+
+def html_to_text(spark, sf_dir):
+    return files.html_to_text(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+def sync_state(spark, sf_dir):
+    """Last state of each file when events are observations of files: of one content, failures in a row count."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), "ts", "event_id", (F.col("value") >= 10).alias("ok"))
+    w = Window.partitionBy("path").orderBy("ts", "event_id")
+    runs = events.withColumn("run", F.sum(F.col("ok").cast("long")).over(w))
+    last = runs.groupBy("path", "run").agg(F.sum((~F.col("ok")).cast("long")).alias("attempts"))
+    newest = last.groupBy("path").agg(F.max_by("attempts", "run").alias("attempts"))
+    return newest.select("path", "attempts", F.when(F.col("attempts") == 0, "ok").when(F.col("attempts") >= 3, "failed").otherwise("retrying").alias("state"))
+
 
 def queries() -> dict:
-    return {}
+    found = [
+        tokenize_tf, chunk_documents, doc_ids, corpus_stats, token_df, lexical_search, lexical_search_and, tsrank_search, filtered_search, policy_search, best_chunk_per_doc, planned_search, dense_topk,
+        rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
+        token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
+    ]
+    return {f.__name__: f for f in found}
+
+
+# ---------------------------------------------------------------- SQL
+
+_TOKENS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+')"
+_CORPUS = """
+corpus as (select doc_id, source, lang, 'Document ' || doc_id as title, coalesce(text, '') as body,
+  case when doc_id % 7 <> 0 then timestamp '2026-01-01' + to_days((doc_id % 365)::int) end as published_at from documents),
+starts as (select *, unnest(list_transform(range(0, 1 + greatest(0, ceil((length(body) - 1400) / 1240.0))::bigint), lambda i: i * 1240)) as s from corpus where length(body) > 0),
+chunks as (select doc_id, source, lang, title, published_at, s, least(s + 1400, length(body)) as e, body[s + 1 : least(s + 1400, length(body))] as t, lpad(doc_id::varchar, 12, '0') || ':' || lpad(s::varchar, 9, '0') as chunk from starts),
+kept as (select * from chunks where regexp_matches(t, '\\S')),
+toks as (select *, """ + _TOKENS.format("title || ' ' || t") + """ as w from kept)"""
+
+
+def _bm25(tokens: tuple[str, ...], every: bool) -> str:
+    """CTEs up to hits(chunk, doc_id, ..., relevance)."""
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as t{i}" for i, t in enumerate(tokens))
+    n = ", ".join(f"count(*) filter (where t{i} > 0) as n{i}" for i in range(len(tokens)))
+    idf = lambda i: f"case when ln((n_chunks - n{i} + 0.5) / (n{i} + 0.5)) > 0 then ln((n_chunks - n{i} + 0.5) / (n{i} + 0.5)) else 1e-6 end"
+    score = " + ".join(f"case when t{i} > 0 then {idf(i)} * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / mean_length)) else 0 end" for i in range(len(tokens)))
+    where = (" and " if every else " or ").join(f"t{i} > 0" for i in range(len(tokens)))
+    return f"with {_CORPUS}, m as (select *, len(w) as dl, {tf} from toks), st as (select count(*) as n_chunks, avg(dl) as mean_length, {n} from m), hits as (select m.*, {score} as relevance from m, st where {where})"
+
+
+_HITS = _bm25(OR_QUERY[1:], False)
+_BEST = "best as (select * from (select *, row_number() over (partition by doc_id order by relevance desc, chunk) as k from hits) where k = 1)"
+_NEAR = "near as (select vec_id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) as similarity from embeddings)"
+_LISTS = f"""{_HITS}, {_BEST}, {_NEAR}, lists as (
+  select 'lexical' as list_id, doc_id as item, relevance as score from (select * from best order by relevance desc, doc_id limit 100)
+  union all select 'dense', vec_id, similarity from (select * from near order by similarity desc, vec_id limit 100))"""
+_RRF = f"{_LISTS}, fused as (select item, sum(1.0 / (60 + r)) as score from (select *, row_number() over (partition by list_id order by score desc, item) as r from lists) group by item)"
+_VERSIONS = """with old as (select doc_id, md5(text) as content, md5(text || '|' || case when doc_id % 3 = 0 then 'x' else lang end) as mark from documents where doc_id % 5 <> 0),
+new as (select doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content, md5(case when doc_id % 4 = 0 then text || '!' else text end || '|' || lang) as mark from documents where doc_id % 11 <> 0)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    fresh = f"case when published_at is null then 0 else pow(0.5, greatest(0, epoch(timestamp '{NOW}') - epoch(published_at)) / 86400 / {HALF_LIFE}) end"
+    weight = "case source when 'src1' then 2.0 when 'src2' then 0.5 when 'src3' then 0.0 else 1.0 end"
+    harmonic = lambda i: f"coalesce(list_sum(list_transform(range(1, t{i} + 1), lambda j: 1.0 / (j * j))), 0)"
+    rank = " + ".join(f"{harmonic(i)} * 0.1 / 1.64493406685 / {len(OR_QUERY) - 1}" for i in range(len(OR_QUERY) - 1))
+    return {
+        "tokenize_tf": f"select doc_id, token, count(*) as tf from (select doc_id, unnest({_TOKENS.format('text')}) as token from documents) group by all",
+        "chunk_documents": f"with {_CORPUS} select doc_id, s as chunk_start, e as chunk_end, md5(t) as text_md5 from kept",
+        "doc_ids": "select doc_id, sha256('[\"' || source || '\",\"' || doc_id || '\"]')[:32] as document from documents",
+        "corpus_stats": f"with {_CORPUS} select count(*) as n_chunks, round(avg(len(w)), 6) as mean_length from toks",
+        "token_df": f"with {_CORPUS} select token, count(distinct chunk) as n_with, count(*) as total from (select chunk, unnest(w) as token from toks) group by token",
+        "lexical_search": f"{_HITS} select chunk, doc_id, round(relevance, 6) as relevance from hits order by hits.relevance desc, chunk limit 50",
+        "lexical_search_and": f"{_bm25(AND_QUERY[1:], True)} select chunk, doc_id, round(relevance, 6) as relevance from hits",
+        "tsrank_search": f"{_HITS} select chunk, round({rank}, 6) as relevance from hits",
+        "filtered_search": f"{_bm25(COMMON_QUERY[1:], False)} select chunk, doc_id, round(relevance, 6) as relevance from hits where source in ('src1', 'src2') and published_at >= timestamp '2026-02-01' and published_at < timestamp '2026-10-01' and lang = 'en'",
+        "policy_search": f"{_HITS}, p as (select *, {weight} as source_weight, {fresh} as freshness from hits), q as (select *, relevance * source_weight * (1 + {BOOST} * freshness) as score from p where source_weight > 0), b as (select * from (select *, row_number() over (partition by doc_id order by score desc, chunk) as k from q) where k = 1) select doc_id, chunk, round(relevance, 6) as relevance, source_weight::double as source_weight, round(freshness, 6) as freshness, round(score, 6) as score from b order by b.score desc, doc_id limit 10",
+        "best_chunk_per_doc": f"{_HITS}, {_BEST} select doc_id, chunk, round(relevance, 6) as relevance from best",
+        "planned_search": f"{_bm25(('this', 'token', 'that', 'one', 'from', 'here', 'with', 'those'), False)} select chunk, round(relevance, 6) as relevance from hits",
+        "dense_topk": f"with {_NEAR} select vec_id, round(similarity, 6) as similarity from near order by near.similarity desc, vec_id limit 20",
+        "rrf_fusion": f"{_RRF} select item, round(score, 9) as score from fused",
+        "normalized_fusion": f"{_LISTS} select item, round(sum(part), 6) as score from (select item, greatest(score, 0) / max(greatest(score, 0)) over (partition by list_id) as part from lists) group by item",
+        "rerank_pool": f"{_RRF} select item, round(score, 9) as score from fused order by fused.score desc, item limit 50",
+        "sampled_chunks": f"with {_CORPUS}, p as (select doc_id, chunk, row_number() over (partition by doc_id order by s) as position, count(*) over (partition by doc_id) as n from kept) select * from p where position in (1, (n + 1) // 2, n)",
+        "source_counts": "select s.source, count(d.doc_id) as documents from (select distinct source from documents union select 'empty') s left join documents d on d.source = s.source group by s.source",
+        "index_coverage": f"with {_CORPUS} select count(*) as chunks, count(vec_id) as embedded, count(distinct doc_id) as documents, count(distinct vec_id) as embedded_documents from kept left join embeddings on vec_id = doc_id",
+        "eval_metrics": "with q as (select doc_id % 20 as query, doc_id as item, quality + toxic as grade from labels), r as (select doc_id % 20 as query, doc_id as item, row_number() over (partition by doc_id % 20 order by n_chars desc, doc_id) as rank from documents), i as (select query, count(*) filter (where grade > 0) as positives, sum((pow(2, grade) - 1) / log2(k + 1)) filter (where k <= 10) as ideal from (select *, row_number() over (partition by query order by grade desc, item) as k from q) group by query), h as (select query, count(*) as hits, min(rank) as first, sum((pow(2, grade) - 1) / log2(rank + 1)) as dcg from r join q using (query, item) where rank <= 10 and grade > 0 group by query) select i.query, round(coalesce(hits, 0) / positives, 6) as recall, round(coalesce(1.0 / first, 0), 6) as mrr, round(coalesce(dcg, 0) / ideal, 6) as ndcg from i left join h using (query) where positives > 0",
+        "latency_summary": "select event_type, count(*) as runs, round(avg(value), 6) as mean, round(median(value), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(avg((value > 50)::int), 6) as slow_rate from events group by event_type",
+        "upsert_actions": f"{_VERSIONS} select doc_id, case when old.mark is null then 'created' when old.mark = new.mark then 'unchanged' else 'updated' end as action, old.content is null or old.content <> new.content as reindex from new left join old using (doc_id)",
+        "stale_snapshot_diff": f"{_VERSIONS} select doc_id, case when old.mark is null then 'missing_left' when new.mark is null then 'missing_right' else 'changed' end as state from old full join new using (doc_id) where old.mark is distinct from new.mark",
+        "missing_keys": f"{_VERSIONS} select doc_id from old where doc_id not in (select doc_id from new)",
+        "content_dedup": "select sha256(text) as content, min(doc_id) as doc_id, count(*) - 1 as duplicates from documents group by 1",
+        "token_estimate": "select role, sum(length(text))::bigint as characters, sum(octet_length(encode(text)))::bigint as utf8_bytes, sum(len(regexp_extract_all(text, '\\p{Han}')))::bigint as han_characters, sum(ceil((len(regexp_extract_all(text, '[\\x00-\\x7F]'))) / 4 + length(text) - len(regexp_extract_all(text, '[\\x00-\\x7F]'))))::bigint as estimated_tokens from conversations group by role",
+        "rank_movement": "with b as (select doc_id, row_number() over (order by n_chars desc, doc_id) as r from documents qualify r <= 100), a as (select doc_id, row_number() over (order by n_chars % 1000 desc, doc_id) as r from documents qualify r <= 100) select doc_id, a.r as after, b.r - a.r as movement from a left join b using (doc_id)",
+        "policy_diff": "select * from (select distinct source, case source when 'src1' then 2.0 when 'src2' then 0.5 when 'src3' then 0.0 else 1.0 end::double as before, case source when 'src1' then 2.0 when 'src4' then 3.0 else 1.0 end::double as after from documents) where before <> after",
+        "sync_state": "with r as (select user_id as path, value >= 10 as ok, sum((value >= 10)::int) over (partition by user_id order by ts, event_id) as run from events), l as (select path, run, count(*) filter (where not ok) as attempts from r group by all), n as (select path, arg_max(attempts, run) as attempts from l group by path) select path, attempts, case when attempts = 0 then 'ok' when attempts >= 3 then 'failed' else 'retrying' end as state from n",
+    }
