@@ -17,7 +17,7 @@ from fathom.sources import files
 NOW = "2026-09-30 00:00:00"
 WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
 BOOST, HALF_LIFE = 0.5, 30.0
-COMMON_QUERY, QUESTION = ("or", "that", "from", "par"), "Between this token, that one from here with those"
+COMMON_QUERY, QUESTION = ("or", "that", "from", "par"), "between this token, that one from here with those"
 OR_QUERY, AND_QUERY = ("or", "entre", "which", "haben", "token"), ("and", "the", "token")
 
 
@@ -278,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "filtered_search": f"{_bm25(COMMON_QUERY[1:], False)} select chunk, doc_id, round(relevance, 6) as relevance from hits where source in ('src1', 'src2') and published_at >= timestamp '2026-02-01' and published_at < timestamp '2026-10-01' and lang = 'en'",
         "policy_search": f"{_HITS}, p as (select *, {weight} as source_weight, {fresh} as freshness from hits), q as (select *, relevance * source_weight * (1 + {BOOST} * freshness) as score from p where source_weight > 0), b as (select * from (select *, row_number() over (partition by doc_id order by score desc, chunk) as k from q) where k = 1) select doc_id, chunk, round(relevance, 6) as relevance, source_weight::double as source_weight, round(freshness, 6) as freshness, round(score, 6) as score from b order by b.score desc, doc_id limit 10",
         "best_chunk_per_doc": f"{_HITS}, {_BEST} select doc_id, chunk, round(relevance, 6) as relevance from best",
-        "planned_search": f"{_bm25(('this', 'token', 'that', 'one', 'from', 'here', 'with', 'those'), False)} select chunk, round(relevance, 6) as relevance from hits",
+        "planned_search": f"{_bm25(("between", "this", "token", "that", "one", "from", "here", "with", "those"), False)} select chunk, round(relevance, 6) as relevance from hits",
         "dense_topk": f"with {_NEAR} select vec_id, round(similarity, 6) as similarity from near order by near.similarity desc, vec_id limit 20",
         "rrf_fusion": f"{_RRF} select item, round(score, 9) as score from fused",
         "normalized_fusion": f"{_LISTS} select item, round(sum(part), 6) as score from (select item, greatest(score, 0) / max(greatest(score, 0)) over (partition by list_id) as part from lists) group by item",
