@@ -301,10 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = stars.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
-    pairs = (
-        banded.withColumn("salt", salt).join(stars, ["bucket", "salt"]).where("id <> hub")
-        .groupBy("id", "hub").agg(F.max("n").alias("n"))
-    )
+    # only rows of buckets with company go further; most buckets hold one text
+    met = cut(banded.withColumn("salt", salt).join(stars, ["bucket", "salt"]).select("id", "bucket", "band", "hub", "n"))
+    pairs = met.where("id <> hub").groupBy("id", "hub").agg(F.max("n").alias("n"))
     # one text for each id: an id that repeats with other words has its smallest text here
     texts = docs.join(signed.groupBy("id").count().where("count > 1").select("id"), "id", "left_anti")
     repeated = docs.join(signed.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
@@ -315,8 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_verify(texts, pairs, threshold))
 
     roots = cut(components(links))
-    named = banded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket", "n")
+    named = met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", "band", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     rest = named.join(mixed, "bucket").join(groups.select("id", "sig"), "id")
     rest = (
         rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
