@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a task in the rounds of components, until all shuffle partitions are in use.
+EDGES = 4096
 #: Texts are scanned in pieces of at most this many bytes (a longer text is one piece of its own).
 CHUNK_BYTES = 2 << 20
 
@@ -161,17 +163,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = cut(edges)
-    seen = None
+    number = edges.count()
+    if not number:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # shuffle partitions are set for the texts; edges are few beside them and never become more
+    few = lambda df: df.coalesce(max(1, min(partitions(df.sparkSession), -(-number // EDGES))))
+    edges, seen = few(edges), None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = few(few(both.where("v > u").join(low, "u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("a", "b", "m")
-        edges = cut(
+        small = few(large.join(low, "a").select("a", "b", "m"))
+        edges = cut(few(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(small.select("a", F.col("m").alias("b"))).distinct()
-        )
+        ))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
