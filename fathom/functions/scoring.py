@@ -26,8 +26,10 @@ def ts_rank(tf: Column, n_query: int) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null if a vector is zero or has components that are null or not finite."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
+    norms = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when((norms > 0) & (norms < float("inf")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
 def freshness(published: Column, now: Column, half_life_days: float) -> Column:
@@ -54,3 +56,15 @@ def softplus(logit: Column) -> Column:
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
+
+
+def unit(vector: Column) -> Column:
+    """The vector over its length in doubles; null if it is empty, zero or has components that are null or not finite."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(wide, lambda x: x / norm))
+
+
+def parity(left: Column, right: Column) -> Column:
+    """Whether two lists of ids hold the same ids, and in the same order."""
+    return F.struct((F.array_sort(left) == F.array_sort(right)).alias("same_ids"), (left == right).alias("same_order"))

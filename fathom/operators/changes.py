@@ -32,3 +32,26 @@ def drift(left: DataFrame, right: DataFrame, key: str, mark: str) -> DataFrame:
     rows = left.select(key, F.col(mark).alias("l")).join(right.select(key, F.col(mark).alias("r")), key, "full_outer")
     state = F.when(F.col("l").isNull(), "missing_left").when(F.col("r").isNull(), "missing_right").otherwise("changed")
     return rows.where(~F.col("l").eqNullSafe(F.col("r"))).select(key, state.alias("state"))
+
+
+def unembedded(chunks: DataFrame, vectors: DataFrame, key: str, content: str = "content_hash") -> DataFrame:
+    """Chunks without a vector of their present text: the join is on key and content, so no old vector meets a new text."""
+    return chunks.join(vectors.select(key, content), [key, content], "left_anti")
+
+
+def owned_elsewhere(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Claims (root, path, document_id) on documents that another file of held (root, path, document_ids) has."""
+    have = held.select(F.col("root").alias("r"), F.col("path").alias("p"), F.explode("document_ids").alias("d"))
+    other = ~(F.col("root").eqNullSafe(F.col("r")) & F.col("path").eqNullSafe(F.col("p")))
+    return claims.join(have, (F.col("document_id") == F.col("d")) & other, "left_semi")
+
+
+def whole_files(records: DataFrame, path: str = "path", error: str = "error") -> DataFrame:
+    """Records of files without a bad record: a file is taken whole or not at all."""
+    bad = records.where(F.coalesce(F.col(error), F.lit("")) != "").select(path).distinct()
+    return records.join(bad, path, "left_anti")
+
+
+def counts(acts: DataFrame) -> DataFrame:
+    """How many rows each action has."""
+    return acts.groupBy("action").agg(F.count(F.lit(1)).alias("n"))

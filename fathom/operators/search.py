@@ -122,3 +122,28 @@ def metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     hits = hits.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(gains / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     rows = ideal.where("positives > 0").join(hits, "query", "left")
     return rows.select("query", (F.coalesce("hits", F.lit(0)) / F.col("positives")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
+
+
+def blend(lexical_hits: DataFrame, near: DataFrame, key: str, minimum: float) -> DataFrame:
+    """(key, relevance): 0.4 of the lexical relevance over its greatest, and 0.6 of a positive similarity.
+
+    Rows that only near (key, similarity) has need a similarity of at least `minimum`.
+    """
+    lex = lexical_hits.select(key, F.greatest(F.col("relevance"), F.lit(0.0)).alias("l"))
+    peak = lex.agg(F.max("l").alias("peak"))  # one row
+    rows = lex.join(near.select(key, F.col("similarity").alias("s")), key, "full_outer").crossJoin(F.broadcast(peak))
+    worded = 0.4 * F.coalesce("l", F.lit(0.0)) / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0)
+    meant = 0.6 * F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0))
+    return rows.where(F.col("l").isNotNull() | (F.col("s") >= minimum)).select(key, (worded + meant).alias("relevance"))
+
+
+def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def against_baseline(measures: DataFrame, key: str, baseline: str, names: list[str]) -> DataFrame:
+    """Difference and relative change of each measure against the row of the baseline; null where that is 0."""
+    base = measures.where(F.col(key) == baseline).select(*(F.col(n).alias(f"{n}_base") for n in names)).limit(1)
+    rows = measures.crossJoin(F.broadcast(base))
+    out = [(F.col(n) - F.col(f"{n}_base")).alias(f"{n}_change") for n in names]
+    return rows.select(key, *out, *(F.when(F.col(f"{n}_base") != 0, F.col(n) / F.col(f"{n}_base") - 1).alias(f"{n}_relative") for n in names))

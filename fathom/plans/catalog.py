@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
-from fathom.functions.text import document_id, estimated_tokens, han_characters, search_tokens
-from fathom.operators import changes, index, search
+from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
+from fathom.operators import changes, index, search, stages
 from fathom.plans import planner
 from fathom.sources import files
 
@@ -18,6 +18,7 @@ NOW = "2026-09-30 00:00:00"
 WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
 BOOST, HALF_LIFE = 0.5, 30.0
 COMMON_QUERY, QUESTION = ("or", "that", "from", "par"), "between this token, that one from here with those"
+STAGE_QUERY, STAGE_VARIANT, LEAST_SIMILARITY = "entre haben token par", "entre token", 0.2
 OR_QUERY, AND_QUERY = ("or", "entre", "which", "haben", "token"), ("and", "the", "token")
 
 
@@ -219,11 +220,70 @@ def sync_state(spark, sf_dir):
     return newest.select("path", "attempts", F.when(F.col("attempts") == 0, "ok").when(F.col("attempts") >= 3, "failed").otherwise("retrying").alias("state"))
 
 
+def _chunk_vectors(spark, sf_dir) -> DataFrame:
+    """Each vector as that of the first chunk of the document with its id."""
+    return _table(spark, sf_dir, "embeddings").select(F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.lit(":000000000")).alias("chunk"), "embedding")
+
+
+def _stage(name: str):
+    def run(spark, sf_dir):
+        known = _table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(2).collect()  # stands for a model that embeds two phrasings
+        rows = stages.staged(
+            chunked(spark, sf_dir), _chunk_vectors(spark, sf_dir), STAGE_QUERY, name, embed=lambda q: known[q != STAGE_QUERY].embedding, rewrite=lambda q: [STAGE_VARIANT], rerank=lambda q, texts: [len(t) for t in texts]
+        )
+        return _round(rows, "score", digits=9)
+
+    run.__name__ = f"stage_{name}"
+    return run
+
+
+def hybrid_blend(spark, sf_dir):
+    rows = chunked(spark, sf_dir)
+    query = _table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))  # one row
+    near = _chunk_vectors(spark, sf_dir).join(rows.select("chunk"), "chunk", "left_semi").crossJoin(F.broadcast(query)).select("chunk", scoring.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    return _round(search.blend(search.lexical(rows, OR_QUERY), near, "chunk", LEAST_SIMILARITY), "relevance")
+
+
+def unit_vectors(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", scoring.unit(F.col("embedding")).alias("u"))
+    return _round(rows.select("vec_id", F.element_at("u", 1).alias("first"), F.element_at("u", -1).alias("last")), "first", "last")
+
+
+def embedding_texts(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", F.md5(sampled_text(F.col("title"), F.col("body"))).alias("text_md5"))
+
+
+def missing_embeddings(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = docs.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    return changes.unembedded(docs.select("doc_id", F.md5("text").alias("content_hash")), vectors, "doc_id").select("doc_id")
+
+
+def ownership_conflicts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), "doc_id")
+    held = docs.where("doc_id % 2 = 0").select("root", "path", F.array("doc_id", F.col("doc_id") + 1).alias("document_ids"))
+    return changes.owned_elsewhere(docs.where("doc_id % 5 = 0").select("root", "path", (F.col("doc_id") + 1).alias("document_id")), held).select("path", "document_id")
+
+
+def action_counts(spark, sf_dir):
+    return changes.counts(upsert_actions(spark, sf_dir))
+
+
+def document_page(spark, sf_dir):
+    return search.page(_table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id"), ["source", "doc_id"], 50, 100)
+
+
+def latency_changes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"))
+    return _round(search.against_baseline(rows, "event_type", "click", ["mean", "p50"]), "mean_change", "p50_change", "mean_relative", "p50_relative")
+
+
 def queries() -> dict:
     found = [
         tokenize_tf, chunk_documents, doc_ids, corpus_stats, token_df, lexical_search, lexical_search_and, tsrank_search, filtered_search, policy_search, best_chunk_per_doc, planned_search, dense_topk,
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
+        *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
     ]
     return {f.__name__: f for f in found}
 
@@ -261,12 +321,43 @@ _VERSIONS = """with old as (select doc_id, md5(text) as content, md5(text || '|'
 new as (select doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content, md5(case when doc_id % 4 = 0 then text || '!' else text end || '|' || lang) as mark from documents where doc_id % 11 <> 0)"""
 
 
+def _stage_sql() -> dict[str, str]:
+    tokens = tuple(STAGE_QUERY.split())
+    harmonic = lambda i: f"coalesce(list_sum(list_transform(range(1, t{i} + 1), lambda j: 1.0 / (j * j))), 0)"
+    rank = lambda which: "round(" + " + ".join(f"{harmonic(i)} * 0.1 / 1.64493406685 / {len(which)}" for i in which) + ", 12)"
+    lexical = lambda name, which: f"{name} as (select chunk, {rank(which)} as score from m where {' or '.join(f't{i} > 0' for i in which)} order by score desc, chunk limit 100)"
+    dense = lambda name, k: f"{name} as (select chunk, round(least(1, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1 offset {k}))), 12) as score from (select lpad(vec_id::varchar, 12, '0') || ':000000000' as chunk, embedding from embeddings) where chunk in (select chunk from kept) order by score desc, chunk limit 100)"
+    variant = [tokens.index(t) for t in STAGE_VARIANT.split()]
+    base = f"{_bm25(tokens, False)}, {lexical('lex0', range(len(tokens)))}, {dense('den0', 0)}, {lexical('lex1', variant)}, {dense('den1', 1)}"
+    union = lambda names: " union all ".join(f"select '{n}' as list_id, chunk, score from {n}" for n in names)
+    rrf = lambda names: f"ranked as (select chunk, round(sum(1.0 / (60 + r)), 12) as score from (select *, row_number() over (partition by list_id order by score desc, chunk) as r from ({union(names)})) group by chunk)"
+    ranked = {
+        "lexical": "ranked as (select * from lex0)", "dense": "ranked as (select * from den0)", "rrf": rrf(["lex0", "den0"]), "rerank": rrf(["lex0", "den0"]), "rewrite": rrf(["lex0", "den0", "lex1", "den1"]),
+        "hybrid": f"ranked as (select chunk, round(sum(part), 12) as score from (select chunk, greatest(score, 0) / max(greatest(score, 0)) over (partition by list_id) as part from ({union(['lex0', 'den0'])})) group by chunk)",
+    }
+    best = "b as (select * from (select chunk, doc_id, t, score, row_number() over (partition by doc_id order by score desc, chunk) as k from ranked join kept using (chunk)) where k = 1)"
+    out = {}
+    for name, cte in ranked.items():
+        again = name in ("rerank", "rewrite")
+        last = "(select chunk, doc_id, length(t)::double as score from (select * from b order by score desc, chunk limit 50))" if again else "b"
+        out[f"stage_{name}"] = f"{base}, {cte}, {best} select chunk, doc_id, round(f.score, 9) as score, {str(again).lower()} as reranked from {last} f order by f.score desc, chunk limit 10"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     fresh = f"case when published_at is null then 0 else pow(0.5, greatest(0, epoch(timestamp '{NOW}') - epoch(published_at)) / 86400 / {HALF_LIFE}) end"
     weight = "case source when 'src1' then 2.0 when 'src2' then 0.5 when 'src3' then 0.0 else 1.0 end"
     harmonic = lambda i: f"coalesce(list_sum(list_transform(range(1, t{i} + 1), lambda j: 1.0 / (j * j))), 0)"
     rank = " + ".join(f"{harmonic(i)} * 0.1 / 1.64493406685 / {len(OR_QUERY) - 1}" for i in range(len(OR_QUERY) - 1))
-    return {
+    return _stage_sql() | {
+        "hybrid_blend": f"{_HITS}, n as (select lpad(vec_id::varchar, 12, '0') || ':000000000' as chunk, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) as s from embeddings), l as (select chunk, relevance / max(relevance) over () as l from hits) select chunk, round(0.4 * coalesce(l, 0) + 0.6 * greatest(coalesce(s, 0), 0), 6) as relevance from l full join (select * from n where chunk in (select chunk from kept)) using (chunk) where l is not null or s >= {LEAST_SIMILARITY}",
+        "unit_vectors": "with n as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings) select vec_id, round(e[1] / n, 6) as first, round(e[-1] / n, 6) as last from n",
+        "embedding_texts": "select doc_id, md5('Document ' || doc_id || chr(10) || coalesce(text, '')[:350]) as text_md5 from documents",
+        "missing_embeddings": "select doc_id from documents where doc_id % 3 = 0 or (doc_id % 4 = 0 and text is not null)",
+        "ownership_conflicts": "select a.doc_id::varchar as path, a.doc_id + 1 as document_id from documents a where a.doc_id % 5 = 0 and exists (select 1 from documents b where b.doc_id % 2 = 0 and b.doc_id <> a.doc_id and a.doc_id + 1 in (b.doc_id, b.doc_id + 1))",
+        "action_counts": f"{_VERSIONS} select action, count(*) as n from (select case when old.mark is null then 'created' when old.mark = new.mark then 'unchanged' else 'updated' end as action from new left join old using (doc_id)) group by action",
+        "document_page": "select source, doc_id from documents where source is not null order by source, doc_id limit 50 offset 100",
+        "latency_changes": "with r as (select event_type, avg(value) as mean, median(value) as p50 from events group by event_type), b as (select mean as bm, p50 as bp from r where event_type = 'click') select event_type, round(mean - bm, 6) as mean_change, round(p50 - bp, 6) as p50_change, round(mean / bm - 1, 6) as mean_relative, round(p50 / bp - 1, 6) as p50_relative from r, b",
         "tokenize_tf": f"select doc_id, token, count(*) as tf from (select doc_id, unnest({_TOKENS.format('text')}) as token from documents) group by all",
         "chunk_documents": f"with {_CORPUS} select doc_id, s as chunk_start, e as chunk_end, md5(t) as text_md5 from kept",
         "doc_ids": "select doc_id, sha256('[\"' || source || '\",\"' || doc_id || '\"]')[:32] as document from documents",

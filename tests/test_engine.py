@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fathom.functions import scoring, text
-from fathom.operators import changes, index, search
+from fathom.operators import changes, index, search, stages
 from fathom.plans import catalog, planner
-from fathom.sources import files
+from fathom.sources import files, policy
 from fathom.streaming import sync
 
 SF = "/root/testdata/sf0.001"
@@ -104,6 +104,69 @@ def test_sync(spark):
     assert one(spark, sync.backoff(F.lit(3), 60)) == 240 and one(spark, sync.backoff(F.lit(40), 60)) == 3600
 
 
+def _retrieval(spark):
+    chunks = spark.createDataFrame([("1:0", 1, "s", "alpha beta", "t"), ("1:1", 1, "s", "alpha", "t"), ("2:0", 2, "s", "beta beta", "t"), ("3:0", 3, "z", "gamma", "t")], "chunk string, doc_id int, source string, text string, title string")
+    vectors = spark.createDataFrame([("1:0", [1.0, 0.0]), ("3:0", [0.6, 0.8]), ("2:0", [0.0, 0.0]), ("9:0", [1.0, 0.0])], "chunk string, embedding array<double>")
+    return chunks, vectors
+
+
+def test_stages(spark):
+    chunks, vectors = _retrieval(spark)
+    ids = lambda stage, **more: [r.doc_id for r in stages.staged(chunks, vectors, "alpha beta", stage, embed=lambda q: [1.0, 0.0], **more).collect()]
+    assert ids("lexical") == [1, 2] and ids("dense") == [1, 3] and ids("rrf", limit=1) == [1]
+    assert set(ids("hybrid")) == {1, 2, 3} and ids("dense", filters=search.Filters(source_ids=("z",))) == [3]
+    assert ids("rerank", rerank=lambda q, t: [float("gamma" in x) for x in t])[0] == 3
+    for bad in (lambda q, t: [1.0], lambda q, t: [float("nan")] * len(t), lambda q, t: 1 / 0):
+        assert ids("rerank", rerank=bad) == ids("rrf")
+    assert ids("lexical", filters=search.Filters(eligible=())) == []
+    for more in ({"stage": "other"}, {"stage": "rrf", "limit": 0}, {"stage": "rrf", "candidates": 2000}, {"stage": "dense", "embed": None}):
+        with pytest.raises(ValueError):
+            stages.staged(chunks, vectors, "a", **more)
+    assert stages.phrasings("q", lambda q: ["v", "q", "w", "x"]) == ["q", "v", "w"] and stages.phrasings("q", lambda q: [" "]) == ["q"] == stages.phrasings("q", lambda q: 1 / 0)
+
+
+def test_blend(spark):
+    hits = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "chunk string, relevance double")
+    near = spark.createDataFrame([("b", -0.5), ("c", 0.9), ("d", 0.1)], "chunk string, similarity double")
+    assert {r.chunk: round(r.relevance, 6) for r in search.blend(hits, near, "chunk", 0.84).collect()} == {"a": 0.4, "b": 0.2, "c": 0.54}
+    assert {r.chunk for r in search.blend(hits.where("false"), near, "chunk", 0.84).collect()} == {"c"}
+
+
+def test_policy_is_compared_and_set(spark, tmp_path):
+    folder, sources = str(tmp_path / "policy"), spark.createDataFrame([("s",)], "source string")
+    assert policy.read(spark, folder) == policy.Policy()
+    first = policy.update(spark, folder, 0, policy.Policy(weights={"s": 2.0}), sources)
+    assert first.version == 1 and policy.read(spark, folder) == first
+    with pytest.raises(policy.PolicyConflict):
+        policy.update(spark, folder, 0, policy.Policy())
+    with pytest.raises(ValueError, match="unknown sources: x"):
+        policy.update(spark, folder, 1, policy.Policy(weights={"x": 1.0}), sources)
+    with pytest.raises(ValueError):
+        policy.Policy(weights={"s": -1.0})
+
+
+def test_files_are_owned_and_taken_whole(spark):
+    held = spark.createDataFrame([("r", "a", ["1", "2"])], "root string, path string, document_ids array<string>")
+    claims = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "b", "3")], "root string, path string, document_id string")
+    assert [(r.path, r.document_id) for r in changes.owned_elsewhere(claims, held).collect()] == [("b", "2")]
+    records = spark.createDataFrame([("a", ""), ("a", "bad"), ("b", None)], "path string, error string")
+    assert [r.path for r in changes.whole_files(records).collect()] == ["b"]
+
+
+def test_vectors_dates_and_citations(spark):
+    assert one(spark, scoring.unit(F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx([0.6, 0.8])
+    for bad in ([0.0], [float("nan")], [float("inf")], [None]):
+        assert one(spark, scoring.unit(F.array(*(F.lit(x).cast("double") for x in bad)))) is None
+    assert one(spark, scoring.unit(F.array().cast("array<double>"))) is None
+    same = one(spark, scoring.parity(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"))))
+    assert same.same_ids and not same.same_order
+    noon = datetime.datetime(2026, 8, 12, 12)
+    for stated in ("2026-08-12T12:00:00Z", "2026-08-12T14:00:00+02:00", "2026-08-12 12:00:00", "Wed, 12 Aug 2026 12:00:00 GMT", "12 Aug 2026 14:00 +0200 (CEST)"):
+        assert one(spark, F.date_format(text.utc_timestamp(F.lit(stated)), "yyyy-MM-dd HH:mm:ss")) == str(noon)
+    assert one(spark, text.utc_timestamp(F.lit("soon"))) is None
+    assert one(spark, text.cited(F.lit("abcdef"), F.lit(2), F.lit(4), F.lit("cd")))
+
+
 def test_queries_run_without_the_corpus_operators(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
