@@ -1,13 +1,16 @@
-"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
-
-Token counts and counts of class trigrams are gathered from all training texts. Classes are the
-CLASSES - 1 commonest tokens, and one for all others. The model predicts a class from the two
-before it: context vectors pass a matrix for each place, and their sum's products with the class
-vectors, plus biases, are scores. Tasks train on their shares of the trigram counts in numpy, with
-noise from the class frequencies, and their parameters are averaged by weight, round by round.
-Scoring normalises over all classes (a matrix product for the different contexts of a piece), and
-a token of the last class gets its share in it by smoothed count, so that a text's probabilities
-are normalised over all tokens.
+"""Language-model scores: a two-level log-bilinear model trained with noise-contrastive estimation.
+
+Every counted token is in the model. The commonest tokens are classes of their own; all others are
+dealt to groups, and inside a group to leaves: one leaf a token by rank, as many leaves as the
+counted vocabulary asks for, and from LEAVES on tokens beyond the ranked ones share leaves by hash.
+The model predicts a class from the two before it: context vectors pass a matrix for each place,
+and their sum's products with the class vectors, plus biases, are scores. A second softmax, from
+the same context and the vectors of a group's leaves, predicts the leaf. Tasks train the classes
+on their shares of the counts in numpy, with noise from the class frequencies, and their
+parameters are averaged by weight, round by round; then each group's leaves are trained by the one
+task that has all its counts. Scoring normalises over all classes and over all leaves of the
+group, and tokens that share a leaf divide it by smoothed count, so that a text's probabilities
+are normalised over all tokens, with one unseen token for each shared leaf.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import NONSPACE, cut, partitions, scan_words, text_slices
+from fathom.llm.shared import NONSPACE, cut, mix64, partitions, scan_words, text_slices
 
-CLASSES, WIDTH = 256, 24
+CLASSES, WIDTH = 512, 24
+#: Leaves of a group that its vocabulary doesn't go beyond; from there on, a quarter of them is shared by hash.
+LEAVES = 512
 #: Tokens whose counts are broadcast (16 bytes each); the others meet their counts in a join.
 COMMON = 1 << 18
-ROUNDS, BATCH, NOISE, STEP = 4, 1024, 128, 0.1
+ROUNDS, LEAF_ROUNDS, BATCH, NOISE, STEP = 4, 1, 1024, 128, 0.1
 #: Most tasks whose parameters meet in the driver.
 TASKS = 32
 SMOOTH = 0.1
@@ -55,17 +60,22 @@ class _Counter:
         self.keys.append(keys), self.counts.append(counts)
         self.size += len(keys)
 
-    def take(self, least: int = 0):
+    def drain(self, least: int = 0):
+        """(keys, counts) to pass on, or None."""
         if self.size <= least or not self.size:
-            return
+            return None
         keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
         counts = np.bincount(at, np.concatenate(self.counts)).astype(np.int64)
         self.keys, self.counts, self.size = [keys], [counts], len(keys)
         if len(keys) <= least // 2:
-            return  # merging was enough
+            return None  # merging was enough
+        self.keys, self.counts, self.size = [], [], 0
+        return keys, counts
+
+    def take(self, least: int = 0):
+        keys, counts = self.drain(least) or ((), ())
         for a in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], [self.name, "c"])
-        self.keys, self.counts, self.size = [], [], 0
 
 
 def _counted(batches):
@@ -77,21 +87,59 @@ def _counted(batches):
     yield from counter.take()
 
 
+class Tree:
+    """Classes and leaves of a vocabulary: single tokens 0, 1, ... by rank, then groups with their leaves."""
+
+    def __init__(self, types: int, classes: int):
+        self.classes, self.singles = classes, max(0, classes // 2 - 1)
+        self.groups = classes - self.singles
+        need = -(-max(0, types - self.singles) // self.groups)
+        self.own = need if need < LEAVES else LEAVES * 3 // 4
+        self.shared = 1 if need < LEAVES else LEAVES - self.own
+        self.leaves = self.own + self.shared
+        self.size = self.singles + self.groups * self.leaves
+
+    def place(self, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Leaf of each token; a token without a rank (-1) or beyond the own leaves has a shared one by hash."""
+        r, m = rank - self.singles, mix64(h)
+        group = np.where(r < self.groups * self.own, r % self.groups, 0)
+        found = np.where(r < 0, rank, self.singles + group * self.leaves + r // self.groups)
+        hashed = self.singles + (m % np.uint64(self.groups)).astype(np.int64) * self.leaves + self.own + (m // np.uint64(self.groups) % np.uint64(self.shared)).astype(np.int64)
+        return np.where((rank < 0) | (r >= self.groups * self.own), hashed, found)
+
+    def kind(self, leaf: np.ndarray) -> np.ndarray:
+        """Class of each leaf."""
+        return np.where(leaf < self.singles, leaf, self.singles + (leaf - self.singles) // self.leaves)
+
+    def is_shared(self, leaf: np.ndarray) -> np.ndarray:
+        return (leaf >= self.singles) & ((leaf - self.singles) % self.leaves >= self.own)
+
+
 class Common:
-    """Counts of the commonest tokens; the first of them are classes 1, 2, ..."""
+    """Counts of the commonest tokens, and the leaf of any token."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: int):
-        kind = np.where(np.arange(len(hashes)) < classes - 1, np.arange(len(hashes)) + 1, 0)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tree: Tree):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.kind = hashes[order], counts[order], kind[order]
+        self.hashes, self.counts, self.rank, self.tree = hashes[order], counts[order], order, tree
 
     def look_up(self, h: np.ndarray):
-        """(known here, count or 0, class) of each token."""
+        """(known here, count or 0, leaf) of each token."""
         if not len(self.hashes):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), self.tree.place(np.full(len(h), -1), h)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[at] == h
-        return known, np.where(known, self.counts[at], 0), np.where(known, self.kind[at], 0)
+        return known, np.where(known, self.counts[at], 0), self.tree.place(np.where(known, self.rank[at], -1), h)
+
+
+def _shared_leaves(common):
+    def run(batches):
+        for batch in batches:
+            h, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c")
+            leaf = common.value.look_up(h)[2]
+            keep = common.value.tree.is_shared(leaf)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), c.filter(pa.array(keep))], ["leaf", "c"])
+
+    return run
 
 
 def _contexts(row: np.ndarray, kind: np.ndarray, classes: int):
@@ -102,21 +150,49 @@ def _contexts(row: np.ndarray, kind: np.ndarray, classes: int):
     return one, two
 
 
-def _trigrams(common, classes):
+def _trigrams(common):
     def run(batches):
-        counter = _Counter("code")
+        counter, tree = _Counter("code"), common.value.tree
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 row, h = tokens(data, offsets)
-                kind = common.value.look_up(h)[2]
-                one, two = _contexts(row, kind, classes)
-                counter.add((two * (classes + 1) + one) * (classes + 1) + kind)
+                kind = tree.kind(common.value.look_up(h)[2])
+                one, two = _contexts(row, kind, tree.classes)
+                counter.add((two * (tree.classes + 1) + one) * (tree.classes + 1) + kind)
                 yield from counter.take(HELD)
         yield from counter.take()
 
     return run
 
 
+def _leaf_counts(common):
+    """Counts of leaves after two classes: for each group, arrays of contexts, leaves and counts as bytes."""
+
+    def packed(keys, counts, tree):
+        leaf, context = np.divmod(keys, (tree.classes + 1) ** 2)
+        group, spot = np.divmod(leaf, tree.leaves)
+        bounds = np.searchsorted(group, np.arange(tree.groups + 1))
+        g = np.flatnonzero(np.diff(bounds))
+        columns = [pa.array([x[bounds[k] : bounds[k + 1]].astype(t).tobytes() for k in g], pa.binary()) for x, t in ((context, np.int32), (spot, np.int16), (counts, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *columns], ["g", "context", "spot", "c"])
+
+    def run(batches):
+        counter, tree = _Counter("code"), common.value.tree
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                row, h = tokens(data, offsets)
+                leaf = common.value.look_up(h)[2]
+                one, two = _contexts(row, tree.kind(leaf), tree.classes)
+                inner = leaf >= tree.singles
+                counter.add((((leaf - tree.singles) * (tree.classes + 1) + two) * (tree.classes + 1) + one)[inner])
+                if found := counter.drain(HELD):
+                    yield packed(*found, tree)
+        if found := counter.drain():
+            yield packed(*found, tree)
+
+    return run
+
+
 class LogBilinear:
     """Parameters: class vectors (the last is the start), a matrix for each context place, biases."""
 
@@ -158,8 +234,7 @@ class LogBilinear:
             down = -w[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
             dq = up[:, None] * self.r[y] + down @ self.r[drawn]
             grad = [np.zeros(x.shape) for x in self.parameters()]
-            hot = lambda which: (np.arange(classes + 1)[:, None] == which[None, :]).astype(float)
-            grad[0] = hot(y) @ (up[:, None] * q) + hot(drawn) @ (down.T @ q) + hot(one[at]) @ (dq @ self.one.T) + hot(two[at]) @ (dq @ self.two.T)
+            _add_rows(grad[0], np.concatenate((y, drawn, one[at], two[at])), np.concatenate((up[:, None] * q, down.T @ q, dq @ self.one.T, dq @ self.two.T)))
             grad[1], grad[2] = x1.T @ dq, x2.T @ dq
             grad[3] = np.bincount(y, up, classes) + np.bincount(drawn, down.sum(0), classes)
             for x, g, s in zip(self.parameters(), grad, squares, strict=True):
@@ -167,21 +242,85 @@ class LogBilinear:
                 s += g * g
                 x += step * g / np.sqrt(s)
 
+    def context(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        r = self.r.astype(np.float32)
+        return r[one] @ self.one.astype(np.float32) + r[two] @ self.two.astype(np.float32)
+
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 P(class | context) of each token; a matrix product over the different contexts."""
         classes = len(self.bias)
-        code = two * (classes + 1) + one
-        seen = np.flatnonzero(np.bincount(code, minlength=(classes + 1) ** 2))
-        place = np.zeros((classes + 1) ** 2, np.int64)
-        place[seen] = np.arange(len(seen))
-        r, bias = self.r.astype(np.float32), self.bias.astype(np.float32)
-        table = np.empty((len(seen), classes), np.float32)
-        for a in range(0, len(seen), 8192):
-            part = seen[a : a + 8192]
-            logits = (r[part % (classes + 1)] @ self.one.astype(np.float32) + r[part // (classes + 1)] @ self.two.astype(np.float32)) @ r[:classes].T + bias
-            top = logits.max(1, keepdims=True)
-            table[a : a + 8192] = logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))
-        return table[place[code], target].astype(float) / math.log(10)
+        seen, place = np.unique(two * (classes + 1) + one, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(0, len(seen) + 8192, 8192))
+        r, bias = self.r[:classes].astype(np.float32), self.bias.astype(np.float32)
+        out = np.empty(len(target))
+        for k, a in enumerate(range(0, len(seen), 8192)):
+            part, at = seen[a : a + 8192], order[ends[k] : ends[k + 1]]
+            out[at] = _log_softmax(self.context(part // (classes + 1), part % (classes + 1)) @ r.T + bias, place[at] - a, target[at])
+        return out / math.log(10)
+
+
+def _add_rows(out: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    order = np.argsort(at)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out[at[first]] += np.add.reduceat(x[order], first)
+
+
+def _log_softmax(logits: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    top = logits.max(1)
+    norm = top + np.log(np.exp(logits - top[:, None]).sum(1))
+    return (logits[row, column] - norm[row]).astype(float)
+
+
+class Leaves:
+    """Vectors and biases of the leaves of each group, over the contexts of a trained class model."""
+
+    def __init__(self, model: LogBilinear, tree: Tree):
+        self.model, self.tree = model, tree
+        self.r = np.zeros((tree.groups, tree.leaves, model.r.shape[1]), np.float32)
+        self.bias = np.zeros((tree.groups, tree.leaves), np.float32)
+
+    def train(self, group: int, two, one, target, weight) -> None:
+        """NCE over the weighted counts of one group; starts from its unigram shares, which the noise has too."""
+        rng = np.random.default_rng(group)
+        counts = np.bincount(target, weight, self.tree.leaves) + SMOOTH
+        noise = counts / counts.sum()
+        log_noise, r, bias = np.log(noise), self.r[group].astype(float), np.log(noise)
+        squares_r, squares_b = np.full(r.shape, 1e-4), np.full(bias.shape, 1e-4)
+        scale = weight / weight.mean()
+        for k in range(LEAF_ROUNDS):
+            order = rng.permutation(len(target))
+            for a in range(0, len(order), BATCH):
+                at = order[a : a + BATCH]
+                q, y, w = self.model.context(two[at], one[at]), target[at], scale[at]
+                drawn = rng.choice(self.tree.leaves, NOISE, p=noise)
+                data = (q * r[y]).sum(1) + bias[y] - log_noise[y] - math.log(NOISE)
+                fake = q @ r[drawn].T + bias[drawn] - log_noise[drawn] - math.log(NOISE)
+                up = w / (1 + np.exp(np.clip(data, -30, 30)))
+                down = -w[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
+                grad_r = np.zeros(r.shape)
+                _add_rows(grad_r, np.concatenate((y, drawn)), np.concatenate((up[:, None] * q, down.T @ q)))
+                grad_b = np.bincount(y, up, len(bias)) + np.bincount(drawn, down.sum(0), len(bias))
+                for x, g, s in ((r, grad_r, squares_r), (bias, grad_b, squares_b)):
+                    g = g / len(at)
+                    s += g * g
+                    x += STEP / (1 + k) * g / np.sqrt(s)
+        self.r[group], self.bias[group] = r, bias
+
+    def log10(self, two: np.ndarray, one: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Normalised log10 P(leaf | class, context) of each token; 0 for a class of a single token."""
+        out = np.zeros(len(leaf))
+        inner = np.flatnonzero(leaf >= self.tree.singles)
+        group, spot = np.divmod(leaf[inner] - self.tree.singles, self.tree.leaves)
+        order = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(self.tree.groups + 1))
+        for g in np.unique(group):
+            for a in range(bounds[g], bounds[g + 1], 8192):
+                at = order[a : min(a + 8192, bounds[g + 1])]
+                logits = self.model.context(two[inner[at]], one[inner[at]]) @ self.r[g].T + self.bias[g]
+                out[inner[at]] = _log_softmax(logits, np.arange(len(at)), spot[at])
+        return out / math.log(10)
 
 
 def _shared(model, noise, step, round_, classes):
@@ -224,7 +363,42 @@ def fit(trigrams: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Lo
     return model
 
 
-def _scored(common, model, classes, rare_total):
+def _grown(model, tree):
+    def run(batches):
+        leaves = Leaves(LogBilinear(tree.classes).load(model.value), tree)
+        held, parts = None, []
+
+        def done():
+            context, spot, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            two, one = np.divmod(context, tree.classes + 1)
+            leaves.train(held, two, one, spot, weight.astype(float))
+            return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([leaves.r[held].tobytes()], pa.binary()), pa.array([leaves.bias[held].tobytes()], pa.binary())], ["g", "r", "bias"])
+
+        for batch in batches:
+            for g, context, spot, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if g != held and parts:
+                    yield done()
+                    parts = []
+                held = g
+                parts.append((np.frombuffer(context, np.int32), np.frombuffer(spot, np.int16), np.frombuffer(c, np.int32)))
+        if parts:
+            yield done()
+
+    return run
+
+
+def fit_leaves(counts: DataFrame, model: LogBilinear, tree: Tree) -> Leaves:
+    """Trains the leaves of each group on the packed counts of leaves after two classes, a group in one task."""
+    spark = counts.sparkSession
+    shared = spark.sparkContext.broadcast(model.packed())
+    counts = counts.repartition(min(tree.groups, partitions(spark)), "g").sortWithinPartitions("g")
+    leaves = Leaves(model, tree)
+    for r in counts.mapInArrow(_grown(shared, tree), "g long, r binary, bias binary").collect():  # the model once, 13 MB at most
+        leaves.r[r.g], leaves.bias[r.g] = np.frombuffer(r.r, np.float32).reshape(leaves.r[r.g].shape), np.frombuffer(r.bias, np.float32)
+    return leaves
+
+
+def _scored(common, leaves, leaf_total):
     names = ["row", "id", "n_tokens", "n_known", "base", "lm", "n_rest", "rest"]
 
     def run(batches):
@@ -232,12 +406,13 @@ def _scored(common, model, classes, rare_total):
             for a, b, data, offsets in text_slices(batch.column("text")):
                 row, h = tokens(data, offsets)
                 n = b - a
-                known, count, kind = common.value.look_up(h)
-                one, two = _contexts(row, kind, classes)
-                lm = model.value.log10(two, one, kind)
+                known, count, leaf = common.value.look_up(h)
+                tree = common.value.tree
+                kind = tree.kind(leaf)
+                one, two = _contexts(row, kind, tree.classes)
+                lm = leaves.value.model.log10(two, one, kind) + leaves.value.log10(two, one, leaf)
                 own = np.where(known, np.log10(count + SMOOTH), 0.0)
-                rare = kind == 0
-                lm = lm + np.where(rare, own - math.log10(rare_total), 0.0)
+                lm = lm + np.where(tree.is_shared(leaf), own - np.log10(leaf_total.value[leaf]), 0.0)
                 rest = ~known
                 r, g = row[rest], h[rest]
                 order = np.lexsort((g, r))
@@ -292,13 +467,17 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLAS
     n, v = int(sizes.n or 0), int(sizes.v)
     top = commonest(counts, common_size).toPandas().sort_values(["c", "h"], ascending=[False, True])  # at most common_size tokens
     hashes, freq = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    common = spark.sparkContext.broadcast(Common(hashes, freq, classes))
-    listed = freq[: classes - 1]
-    rare_total = n - int(listed.sum()) + SMOOTH * (v - len(listed) + 1)
-    trigrams = cut(training.mapInArrow(_trigrams(common, classes), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
-    model = spark.sparkContext.broadcast(fit(trigrams, classes))
+    tree = Tree(v, classes)
+    common = spark.sparkContext.broadcast(Common(hashes, freq, tree))
+    trigrams = cut(training.mapInArrow(_trigrams(common), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
+    packed = training.mapInArrow(_leaf_counts(common), "g long, context binary, spot binary, c binary")
+    leaves = spark.sparkContext.broadcast(fit_leaves(packed, fit(trigrams, classes), tree))
+    totals = np.full(tree.size, SMOOTH)
+    for r in counts.mapInArrow(_shared_leaves(common), "leaf long, c long").groupBy("leaf").agg(F.sum(F.col("c") + SMOOTH).alias("t")).collect():  # groups times shared leaves at most
+        totals[r.leaf] += r.t
+    totals = spark.sparkContext.broadcast(totals)
     schema = "row long, id long, n_tokens long, n_known long, base double, lm double, n_rest long, rest array<struct<h:long,times:long>>"
-    scored = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(common, model, classes, rare_total), schema))
+    scored = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(common, leaves, totals), schema))
     # the rest: tokens beyond the common ones, counted or never seen
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.times").join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))

@@ -182,6 +182,24 @@ def test_language_model(spark, docs, empty):
     assert (10 ** model.log10(np.full(5, 5), np.full(5, 2), np.arange(5))).sum() == pytest.approx(1)
 
 
+def test_language_model_knows_rare_words(spark):
+    rng = np.random.default_rng(2)
+    words = lambda side, other: " ".join(f"{side} {other}{rng.integers(400)}" for _ in range(40))
+    rows = [(i, words("left", "l") + " " + words("right", "r")) for i in range(1500)] + [(10_000, "left l7 right r7 " * 9), (10_001, "left r7 right l7 " * 9)]
+    found = {r.doc_id: r for r in lbl.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=64).collect()}
+    assert found[10_000].base_score == pytest.approx(found[10_001].base_score) and found[10_000].score > found[10_001].score + 1
+    for types in (0, 5, 300, 1_000_000):
+        tree = lbl.Tree(types, 64)
+        rank = np.arange(-1, min(types, 40_000))
+        leaf = tree.place(rank, np.arange(len(rank)).astype(np.uint64))
+        own = leaf[~tree.is_shared(leaf)]
+        assert len(set(own.tolist())) == len(own) and leaf.max() < tree.size and tree.is_shared(leaf[:1]).all() and (types > 40_000 or len(own) == types)
+    leaves = lbl.Leaves(lbl.LogBilinear(64), lbl.Tree(300, 64))
+    leaves.train(3, np.array([1, 2]), np.array([5, 6]), np.array([0, 1]), np.array([3.0, 1.0]))
+    inside = leaves.tree.singles + 3 * leaves.tree.leaves + np.arange(leaves.tree.leaves)
+    assert (10 ** leaves.log10(np.full(len(inside), 1), np.full(len(inside), 5), inside)).sum() == pytest.approx(1)
+
+
 def test_main_text(spark):
     page = lambda a, b: f"<html><body><div class=top><ul><li>Home<li>News</ul></div><div id=c><div class='story'><h1>T{a}</h1><p>First {a} &amp; <b>bold</b> 1<p>Second {b}<div class=ad>buy</div></div><div class=comments><p>me {b} too long comment text</p></div></div><footer>f</footer>"
     rows = [(i, f"http://h.example/{i}", page("long text " * (i + 3), f"more {i} ")) for i in range(8)]
