@@ -211,6 +211,17 @@ def test_main_text(spark):
     assert found[100] == found[102] == "" and found[101] == "H\n\na b c d"
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open'><div class='entry-header'><h1>T</h1></div><p>some text</article><div class=comments><article>c</article></div>",
+    "<nav>n</nav><main class='has-sidebar'><h1>T</h1><p>some text</main>",
+    "<div id=page class='with-header'><article><div class=header><h1>T</h1></div><p>some text</article></div><div class=cookie-banner>c</div>",
+    "<div class=header><div class=widget><article class=sidebar><h1>T</h1><p>some text</article></div></div>",
+    "<div class=widget><h1>T</h1><p>some text</div>",
+])
+def test_names_drop_no_article(page):
+    assert wrapper.extract(page, None) == "T\n\nsome text"
+
+
 def test_pipeline(spark, tmp_path):
     rng = np.random.default_rng(5)
     clean = [(i, " ".join(f"the and of word{rng.integers(500)}" for _ in range(30)), "en", f"s{i % 3}", 1) for i in range(60)]
