@@ -222,6 +222,15 @@ def test_names_drop_no_article(page):
     assert wrapper.extract(page, None) == "T\n\nsome text"
 
 
+def test_wrappers_of_copies_layouts_and_long_pages(spark):
+    page = lambda i, c, more="": f"<body><div class=top><p>Home</div><div class={c}><p>Share this story now<p>{f'text {i} ' * 40}{more}</div>"
+    rows = [(i, "http://a.example/", page(1, "one")) for i in range(200)] + [(1000 + i, "http://a.example/", page(i, "one")) for i in range(2, 8)]
+    rows += [(2000 + i, "http://b.example/", page(i, "one" if i < 8 else "two")) for i in range(16)]
+    rows += [(3000 + i, "http://c.example/", page(i, "one", "".join(f"<b>{i}x{k}</b> " for k in range(1200)))) for i in range(6)]
+    found = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows) and all(t.startswith("text ") for t in found.values())
+
+
 def test_pipeline(spark, tmp_path):
     rng = np.random.default_rng(5)
     clean = [(i, " ".join(f"the and of word{rng.integers(500)}" for _ in range(30)), "en", f"s{i % 3}", 1) for i in range(60)]
