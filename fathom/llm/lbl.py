@@ -5,12 +5,14 @@ dealt to groups, and inside a group to leaves: one leaf a token by rank, as many
 counted vocabulary asks for, and from LEAVES on tokens beyond the ranked ones share leaves by hash.
 The model predicts a class from the two before it: context vectors pass a matrix for each place,
 and their sum's products with the class vectors, plus biases, are scores. A second softmax, from
-the same context and the vectors of a group's leaves, predicts the leaf. Tasks train the classes
-on their shares of the counts in numpy, with noise from the class frequencies, and their
-parameters are averaged by weight, round by round; then each group's leaves are trained by the one
-task that has all its counts. Scoring normalises over all classes and over all leaves of the
-group, and tokens that share a leaf divide it by smoothed count, so that a text's probabilities
-are normalised over all tokens, with one unseen token for each shared leaf.
+the class just before and the vectors of a group's leaves, predicts the leaf. Counts are dealt by
+hash into shards, as many as the counts ask for; a shard trains the classes in numpy, with noise
+from the class frequencies, and the shards' parameters are averaged by weight, round by round; then
+each group's leaves are trained on the group's counts. The model is a function of the rows alone,
+whatever their partitions. Batched matrix products give the logarithm of the normaliser of every
+context over all classes, and of every context and group over all leaves; a token's score is a dot
+product less its normalisers. Tokens that share a leaf divide it by smoothed count, so that a
+text's probabilities are normalised over all tokens, with one unseen token for each shared leaf.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ CLASSES, WIDTH = 512, 24
 LEAVES = 512
 #: Tokens whose counts are broadcast (16 bytes each); the others meet their counts in a join.
 COMMON = 1 << 18
-ROUNDS, LEAF_ROUNDS, BATCH, NOISE, STEP = 4, 1, 1024, 128, 0.1
-#: Most tasks whose parameters meet in the driver.
-TASKS = 32
+ROUNDS, LEAF_ROUNDS, BATCH, NOISE, STEP = 2, 2, 1024, 32, 0.1
+#: Different trigrams of classes that ask for another shard, and the most shards: as many models meet in the driver.
+PER_SHARD, SHARDS = 1 << 18, 32
 SMOOTH = 0.1
 #: Distinct values that a task holds before it passes them on.
 HELD = 1 << 21
@@ -166,15 +168,14 @@ def _trigrams(common):
 
 
 def _leaf_counts(common):
-    """Counts of leaves after two classes: for each group, arrays of contexts, leaves and counts as bytes."""
+    """Counts of leaves after a class: for each group, arrays of leaf and context in one number, and counts, as bytes."""
 
     def packed(keys, counts, tree):
-        leaf, context = np.divmod(keys, (tree.classes + 1) ** 2)
-        group, spot = np.divmod(leaf, tree.leaves)
+        group, code = np.divmod(keys, tree.leaves * (tree.classes + 1))
         bounds = np.searchsorted(group, np.arange(tree.groups + 1))
         g = np.flatnonzero(np.diff(bounds))
-        columns = [pa.array([x[bounds[k] : bounds[k + 1]].astype(t).tobytes() for k in g], pa.binary()) for x, t in ((context, np.int32), (spot, np.int16), (counts, np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *columns], ["g", "context", "spot", "c"])
+        columns = [pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in g], pa.binary()) for x in (code.astype(np.int32), counts)]
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *columns], ["g", "code", "c"])
 
     def run(batches):
         counter, tree = _Counter("code"), common.value.tree
@@ -182,9 +183,9 @@ def _leaf_counts(common):
             for _, _, data, offsets in text_slices(batch.column("text")):
                 row, h = tokens(data, offsets)
                 leaf = common.value.look_up(h)[2]
-                one, two = _contexts(row, tree.kind(leaf), tree.classes)
+                one, _ = _contexts(row, tree.kind(leaf), tree.classes)
                 inner = leaf >= tree.singles
-                counter.add((((leaf - tree.singles) * (tree.classes + 1) + two) * (tree.classes + 1) + one)[inner])
+                counter.add(((leaf - tree.singles) * (tree.classes + 1) + one)[inner])
                 if found := counter.drain(HELD):
                     yield packed(*found, tree)
         if found := counter.drain():
@@ -193,20 +194,51 @@ def _leaf_counts(common):
     return run
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out[at[first]] += np.add.reduceat(x[order], first)
+
+
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row."""
+    top = logits.max(1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(logits - top).sum(1))
+
+
+def nce(q, r, bias, log_noise, y, w, drawn):
+    """(up, down) of a batch of noise-contrastive estimation: the gradient of the scores of the data and of the noise.
+
+    q are context vectors, y their targets with weights w, drawn the noise that the batch shares.
+    """
+    shift = log_noise + math.log(len(drawn))
+    data = np.einsum("ij,ij->i", q, r[y]) + (bias - shift)[y]
+    fake = q @ r[drawn].T + (bias - shift)[drawn]
+    return w / (1 + np.exp(np.clip(data, -30, 30))), -w[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
+
+
+def _adagrad(pairs, squares, n: int, step: float) -> None:
+    for (x, g), s in zip(pairs, squares, strict=True):
+        g = g / n
+        s += g * g
+        x += step * g / np.sqrt(s)
+
+
 class LogBilinear:
     """Parameters: class vectors (the last is the start), a matrix for each context place, biases."""
 
     def __init__(self, classes: int = CLASSES, width: int = WIDTH, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (classes + 1, width))
-        self.one, self.two = np.eye(width) * 0.5, np.eye(width) * 0.3
-        self.bias = np.zeros(classes)
+        self.r = rng.normal(0, 0.1, (classes + 1, width)).astype(np.float32)
+        self.one, self.two = np.eye(width, dtype=np.float32) * 0.5, np.eye(width, dtype=np.float32) * 0.3
+        self.bias = np.zeros(classes, np.float32)
 
     def parameters(self):
         return [self.r, self.one, self.two, self.bias]
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in self.parameters()])
+        return np.concatenate([x.reshape(-1) for x in self.parameters()]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> LogBilinear:
         at = 0
@@ -215,148 +247,140 @@ class LogBilinear:
             at += x.size
         return self
 
+    def gradients(self, two, one, y, w, drawn, log_noise):
+        """The NCE gradient of a batch for each parameter, summed."""
+        classes = len(self.bias)
+        x1, x2 = self.r[one], self.r[two]
+        q = x1 @ self.one + x2 @ self.two
+        up, down = nce(q, self.r, self.bias, log_noise, y, w, drawn)
+        dq = up[:, None] * self.r[y] + down @ self.r[drawn]
+        vectors = np.zeros(self.r.shape, np.float32)
+        _add_rows(vectors, np.concatenate((y, drawn, one, two)), np.concatenate((up[:, None] * q, down.T @ q, dq @ self.one.T, dq @ self.two.T)))
+        biases = np.bincount(y, up, classes) + np.bincount(drawn, down.sum(0), classes)
+        return [vectors, x1.T @ dq, x2.T @ dq, biases.astype(np.float32)]
+
     def train(self, two, one, target, weight, noise: np.ndarray, step: float, seed: int) -> None:
-        """One pass of NCE over weighted trigrams, with noise words shared by a batch and Adagrad steps."""
+        """One pass of NCE over weighted trigrams, with noise classes shared by a batch and Adagrad steps."""
         rng = np.random.default_rng(seed)
-        classes = len(self.bias)
-        squares = [np.full(x.shape, 1e-6) for x in self.parameters()]
-        log_noise = np.log(noise)
+        squares = [np.full(x.shape, 1e-6, np.float32) for x in self.parameters()]
+        log_noise = np.log(noise).astype(np.float32)
         order = rng.permutation(len(target))
-        scale = weight / weight.mean()
-        for a in range(0, len(order), BATCH):
+        drawn = rng.choice(len(self.bias), (-(-len(order) // BATCH), NOISE), p=noise)
+        scale = (weight / weight.mean()).astype(np.float32)
+        for k, a in enumerate(range(0, len(order), BATCH)):
             at = order[a : a + BATCH]
-            x1, x2, y, w = self.r[one[at]], self.r[two[at]], target[at], scale[at]
-            q = x1 @ self.one + x2 @ self.two
-            drawn = rng.choice(classes, NOISE, p=noise)
-            data = (q * self.r[y]).sum(1) + self.bias[y] - log_noise[y] - math.log(NOISE)
-            fake = q @ self.r[drawn].T + self.bias[drawn] - log_noise[drawn] - math.log(NOISE)
-            up = w / (1 + np.exp(np.clip(data, -30, 30)))
-            down = -w[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
-            dq = up[:, None] * self.r[y] + down @ self.r[drawn]
-            grad = [np.zeros(x.shape) for x in self.parameters()]
-            _add_rows(grad[0], np.concatenate((y, drawn, one[at], two[at])), np.concatenate((up[:, None] * q, down.T @ q, dq @ self.one.T, dq @ self.two.T)))
-            grad[1], grad[2] = x1.T @ dq, x2.T @ dq
-            grad[3] = np.bincount(y, up, classes) + np.bincount(drawn, down.sum(0), classes)
-            for x, g, s in zip(self.parameters(), grad, squares, strict=True):
-                g = g / len(at)
-                s += g * g
-                x += step * g / np.sqrt(s)
-
-    def context(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        r = self.r.astype(np.float32)
-        return r[one] @ self.one.astype(np.float32) + r[two] @ self.two.astype(np.float32)
-
-    def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log10 P(class | context) of each token; a matrix product over the different contexts."""
-        classes = len(self.bias)
-        seen, place = np.unique(two * (classes + 1) + one, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order], np.arange(0, len(seen) + 8192, 8192))
-        r, bias = self.r[:classes].astype(np.float32), self.bias.astype(np.float32)
-        out = np.empty(len(target))
-        for k, a in enumerate(range(0, len(seen), 8192)):
-            part, at = seen[a : a + 8192], order[ends[k] : ends[k + 1]]
-            out[at] = _log_softmax(self.context(part // (classes + 1), part % (classes + 1)) @ r.T + bias, place[at] - a, target[at])
-        return out / math.log(10)
+            grads = self.gradients(two[at], one[at], target[at], scale[at], drawn[k], log_noise)
+            _adagrad(zip(self.parameters(), grads, strict=True), squares, len(at), step)
 
-
-def _add_rows(out: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
-    order = np.argsort(at)
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out[at[first]] += np.add.reduceat(x[order], first)
-
-
-def _log_softmax(logits: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    norm = top + np.log(np.exp(logits - top[:, None]).sum(1))
-    return (logits[row, column] - norm[row]).astype(float)
+    def normalisers(self) -> np.ndarray:
+        """Log of the normaliser over all classes after each pair of classes [two, one]."""
+        first, second, r = self.r @ self.one, self.r @ self.two, self.r[:-1].T
+        return np.stack([_log_sums((first + x) @ r + self.bias) for x in second]).astype(np.float32)
 
 
 class Leaves:
     """Vectors and biases of the leaves of each group, over the contexts of a trained class model."""
 
     def __init__(self, model: LogBilinear, tree: Tree):
-        self.model, self.tree = model, tree
-        self.r = np.zeros((tree.groups, tree.leaves, model.r.shape[1]), np.float32)
-        self.bias = np.zeros((tree.groups, tree.leaves), np.float32)
+        self.tree, self.context = tree, model.r @ model.one
+        self.r = np.zeros((tree.groups, tree.leaves, self.context.shape[1]), np.float32)
+        self.bias = np.full((tree.groups, tree.leaves), -math.log(tree.leaves), np.float32)
 
-    def train(self, group: int, two, one, target, weight) -> None:
-        """NCE over the weighted counts of one group; starts from its unigram shares, which the noise has too."""
+    def train(self, group: int, counts: np.ndarray) -> None:
+        """NCE over the counts (leaves x contexts) of one group; starts from its unigram shares, which the noise has too."""
         rng = np.random.default_rng(group)
-        counts = np.bincount(target, weight, self.tree.leaves) + SMOOTH
-        noise = counts / counts.sum()
-        log_noise, r, bias = np.log(noise), self.r[group].astype(float), np.log(noise)
-        squares_r, squares_b = np.full(r.shape, 1e-4), np.full(bias.shape, 1e-4)
-        scale = weight / weight.mean()
+        target, one = np.nonzero(counts)
+        weight = counts[target, one].astype(np.float64)
+        noise = counts.sum(1) + SMOOTH
+        noise = noise / noise.sum()
+        log_noise = np.log(noise).astype(np.float32)
+        r, bias = self.r[group], log_noise.copy()
+        squares = [np.full(r.shape, 1e-4, np.float32), np.full(bias.shape, 1e-4, np.float32)]
+        scale = (weight / weight.mean()).astype(np.float32)
         for k in range(LEAF_ROUNDS):
             order = rng.permutation(len(target))
-            for a in range(0, len(order), BATCH):
+            drawn = rng.choice(len(bias), (-(-len(order) // BATCH), NOISE), p=noise)
+            for j, a in enumerate(range(0, len(order), BATCH)):
                 at = order[a : a + BATCH]
-                q, y, w = self.model.context(two[at], one[at]), target[at], scale[at]
-                drawn = rng.choice(self.tree.leaves, NOISE, p=noise)
-                data = (q * r[y]).sum(1) + bias[y] - log_noise[y] - math.log(NOISE)
-                fake = q @ r[drawn].T + bias[drawn] - log_noise[drawn] - math.log(NOISE)
-                up = w / (1 + np.exp(np.clip(data, -30, 30)))
-                down = -w[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
-                grad_r = np.zeros(r.shape)
-                _add_rows(grad_r, np.concatenate((y, drawn)), np.concatenate((up[:, None] * q, down.T @ q)))
-                grad_b = np.bincount(y, up, len(bias)) + np.bincount(drawn, down.sum(0), len(bias))
-                for x, g, s in ((r, grad_r, squares_r), (bias, grad_b, squares_b)):
-                    g = g / len(at)
-                    s += g * g
-                    x += STEP / (1 + k) * g / np.sqrt(s)
-        self.r[group], self.bias[group] = r, bias
-
-    def log10(self, two: np.ndarray, one: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Normalised log10 P(leaf | class, context) of each token; 0 for a class of a single token."""
+                q, y = self.context[one[at]], target[at]
+                up, down = nce(q, r, bias, log_noise, y, scale[at], drawn[j])
+                grad = np.zeros(r.shape, np.float32)
+                _add_rows(grad, np.concatenate((y, drawn[j])), np.concatenate((up[:, None] * q, down.T @ q)))
+                grad_b = np.bincount(y, up, len(bias)) + np.bincount(drawn[j], down.sum(0), len(bias))
+                _adagrad(((r, grad), (bias, grad_b.astype(np.float32))), squares, len(at), STEP / (1 + k))
+        self.bias[group] = bias
+
+    def normalisers(self) -> np.ndarray:
+        """Log of the normaliser over the leaves of each group after each class [group, one]."""
+        return np.stack([_log_sums(self.context @ r.T + b) for r, b in zip(self.r, self.bias, strict=True)]).astype(np.float32)
+
+
+class Scorer:
+    """Normalised log10 probabilities of tokens from the two levels and the tables of their normalisers."""
+
+    def __init__(self, model: LogBilinear, leaves: Leaves):
+        self.tree = leaves.tree
+        self.first, self.second, self.r, self.bias, self.whole = model.r @ model.one, model.r @ model.two, model.r, model.bias, model.normalisers()
+        self.leaf_r, self.leaf_bias = leaves.r.reshape(-1, leaves.r.shape[2]), leaves.bias.reshape(-1)
+        self.inside = leaves.normalisers()
+
+    def of_class(self, two: np.ndarray, one: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        score = np.einsum("ij,ij->i", self.first[one] + self.second[two], self.r[kind]) + self.bias[kind]
+        return (score - self.whole[two, one]).astype(float) / math.log(10)
+
+    def of_leaf(self, one: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """0 for a class of a single token."""
         out = np.zeros(len(leaf))
-        inner = np.flatnonzero(leaf >= self.tree.singles)
-        group, spot = np.divmod(leaf[inner] - self.tree.singles, self.tree.leaves)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.tree.groups + 1))
-        for g in np.unique(group):
-            for a in range(bounds[g], bounds[g + 1], 8192):
-                at = order[a : min(a + 8192, bounds[g + 1])]
-                logits = self.model.context(two[inner[at]], one[inner[at]]) @ self.r[g].T + self.bias[g]
-                out[inner[at]] = _log_softmax(logits, np.arange(len(at)), spot[at])
-        return out / math.log(10)
+        inner = leaf >= self.tree.singles
+        spot, before = leaf[inner] - self.tree.singles, one[inner]
+        score = np.einsum("ij,ij->i", self.first[before], self.leaf_r[spot]) + self.leaf_bias[spot]
+        out[inner] = (score - self.inside[spot // self.tree.leaves, before]).astype(float) / math.log(10)
+        return out
 
 
 def _shared(model, noise, step, round_, classes):
     def run(batches):
-        codes, weights = [], []
+        def done():
+            code, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own = LogBilinear(classes).load(model.value)
+            own.train(code // (classes + 1) ** 2, code // (classes + 1) % (classes + 1), code % (classes + 1), weight.astype(float), noise, step, round_)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([float(weight.sum())]), pa.array([own.packed().tobytes()], pa.binary())], ["shard", "weight", "model"])
+
+        held, parts = None, []
         for batch in batches:
-            codes.append(batch.column("code").to_numpy()), weights.append(batch.column("c").to_numpy())
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        if not len(code):
-            return
-        weight = np.concatenate(weights).astype(float)
-        order = np.argsort(code)
-        code, weight = code[order], weight[order]
-        own = LogBilinear(classes).load(model.value)
-        own.train(code // (classes + 1) ** 2, code // (classes + 1) % (classes + 1), code % (classes + 1), weight, noise, step, round_)
-        yield pa.RecordBatch.from_arrays([pa.array([weight.sum()]), pa.array([own.packed().tobytes()], pa.binary())], ["weight", "model"])
+            shard, code, c = (batch.column(x).to_numpy() for x in ("shard", "code", "c"))
+            for s in np.unique(shard):
+                if s != held and parts:
+                    yield done()
+                    parts = []
+                held = int(s)
+                parts.append((code[shard == s], c[shard == s]))
+        if parts:
+            yield done()
 
     return run
 
 
 def fit(trigrams: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> LogBilinear:
-    """Trains on counts (code, c) of class trigrams; a task holds one share of the counts, which are
-    at most (classes + 1)^3 all together however large the corpus."""
+    """Trains on counts (code, c) of class trigrams; a shard's counts are sorted by code, and all counts
+    are at most (classes + 1)^3 together however large the corpus."""
     spark = trigrams.sparkSession
     model = LogBilinear(classes)
-    unigrams = {r["k"]: r["n"] for r in trigrams.groupBy((F.col("code") % (classes + 1)).alias("k")).agg(F.sum("c").alias("n")).collect()}
-    if not unigrams:
+    rows = trigrams.groupBy((F.col("code") % (classes + 1)).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("different")).collect()  # a row for each class
+    if not rows:
         return model
-    noise = np.array([unigrams.get(k, 0) + 1.0 for k in range(classes)])
+    noise = np.ones(classes)
+    for r in rows:
+        noise[r.k] += r.n
     noise /= noise.sum()
     model.bias[:] = np.log(noise)
-    shares = cut(trigrams.repartition(min(TASKS, partitions(spark)), "code"))
+    shards = min(SHARDS, 1 + sum(r.different for r in rows) // PER_SHARD)
+    shares = trigrams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("long"))
+    shares = cut(shares.repartition(shards, "shard").sortWithinPartitions("shard", "code"))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.packed())
-        done = shares.mapInArrow(_shared(shared, noise, STEP / (1 + k), k, classes), "weight double, model binary").collect()
-        done.sort(key=lambda r: (r.weight, bytes(r.model)))
+        done = shares.mapInArrow(_shared(shared, noise, STEP / (1 + k), k, classes), "shard long, weight double, model binary").collect()  # a model for each shard
+        done.sort(key=lambda r: r.shard)
         total = sum(r.weight for r in done)
         model.load(sum(np.frombuffer(r.model) * (r.weight / total) for r in done))
         shared.unpersist()
@@ -365,30 +389,28 @@ def fit(trigrams: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Lo
 
 def _grown(model, tree):
     def run(batches):
-        leaves = Leaves(LogBilinear(tree.classes).load(model.value), tree)
-        held, parts = None, []
+        leaves, held, counts = Leaves(LogBilinear(tree.classes).load(model.value), tree), None, None
 
         def done():
-            context, spot, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-            two, one = np.divmod(context, tree.classes + 1)
-            leaves.train(held, two, one, spot, weight.astype(float))
-            return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([leaves.r[held].tobytes()], pa.binary()), pa.array([leaves.bias[held].tobytes()], pa.binary())], ["g", "r", "bias"])
+            leaves.train(held, counts)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([leaves.r[held].tobytes()], pa.binary()), pa.array([leaves.bias[held].tobytes()], pa.binary())], ["g", "r", "bias"])
 
         for batch in batches:
-            for g, context, spot, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if g != held and parts:
-                    yield done()
-                    parts = []
-                held = g
-                parts.append((np.frombuffer(context, np.int32), np.frombuffer(spot, np.int16), np.frombuffer(c, np.int32)))
-        if parts:
+            for g, code, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if g != held:
+                    if held is not None:
+                        yield done()
+                    held, counts = g, np.zeros((tree.leaves, tree.classes + 1), np.int64)
+                counts.reshape(-1)[np.frombuffer(code, np.int32)] += np.frombuffer(c, np.int64)  # a piece names each place once
+        if held is not None:
             yield done()
 
     return run
 
 
 def fit_leaves(counts: DataFrame, model: LogBilinear, tree: Tree) -> Leaves:
-    """Trains the leaves of each group on the packed counts of leaves after two classes, a group in one task."""
+    """Trains the leaves of each group on the packed counts of leaves after a class, a group in one task; counts add up to
+    one table of leaves and contexts however many pieces there are."""
     spark = counts.sparkSession
     shared = spark.sparkContext.broadcast(model.packed())
     counts = counts.repartition(min(tree.groups, partitions(spark)), "g").sortWithinPartitions("g")
@@ -398,7 +420,7 @@ def fit_leaves(counts: DataFrame, model: LogBilinear, tree: Tree) -> Leaves:
     return leaves
 
 
-def _scored(common, leaves, leaf_total):
+def _scored(common, scorer, leaf_total):
     names = ["row", "id", "n_tokens", "n_known", "base", "lm", "n_rest", "rest"]
 
     def run(batches):
@@ -410,7 +432,7 @@ def _scored(common, leaves, leaf_total):
                 tree = common.value.tree
                 kind = tree.kind(leaf)
                 one, two = _contexts(row, kind, tree.classes)
-                lm = leaves.value.model.log10(two, one, kind) + leaves.value.log10(two, one, leaf)
+                lm = scorer.value.of_class(two, one, kind) + scorer.value.of_leaf(one, leaf)
                 own = np.where(known, np.log10(count + SMOOTH), 0.0)
                 lm = lm + np.where(tree.is_shared(leaf), own - np.log10(leaf_total.value[leaf]), 0.0)
                 rest = ~known
@@ -457,7 +479,8 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLAS
 
     Documents whose crc32 of the id, modulo 10, is 0 are held out of all counts and training; those
     without an id are not. A null text is an empty one: its only token is the end. Token identity
-    is a 64-bit hash of the lower-cased bytes. Rows that repeat an id count and are returned singly.
+    is a 64-bit hash of the lower-cased bytes. Rows that repeat an id count and are returned singly;
+    other columns are ignored. Without training rows all counts are 0 and the model is untrained; no rows give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -470,14 +493,15 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLAS
     tree = Tree(v, classes)
     common = spark.sparkContext.broadcast(Common(hashes, freq, tree))
     trigrams = cut(training.mapInArrow(_trigrams(common), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
-    packed = training.mapInArrow(_leaf_counts(common), "g long, context binary, spot binary, c binary")
-    leaves = spark.sparkContext.broadcast(fit_leaves(packed, fit(trigrams, classes), tree))
+    packed = training.mapInArrow(_leaf_counts(common), "g long, code binary, c binary")
+    model = fit(trigrams, classes)
+    scorer = spark.sparkContext.broadcast(Scorer(model, fit_leaves(packed, model, tree)))
     totals = np.full(tree.size, SMOOTH)
     for r in counts.mapInArrow(_shared_leaves(common), "leaf long, c long").groupBy("leaf").agg(F.sum(F.col("c") + SMOOTH).alias("t")).collect():  # groups times shared leaves at most
         totals[r.leaf] += r.t
     totals = spark.sparkContext.broadcast(totals)
     schema = "row long, id long, n_tokens long, n_known long, base double, lm double, n_rest long, rest array<struct<h:long,times:long>>"
-    scored = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(common, leaves, totals), schema))
+    scored = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scored(common, scorer, totals), schema))
     # the rest: tokens beyond the common ones, counted or never seen
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.times").join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
