@@ -61,32 +61,38 @@ def queries() -> dict:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+# rows are told apart by number, as ids may repeat
 _REACH = """
 edges as (select a, b from links union all select b, a from links),
-reach as (select a as node, a as root from edges union select r.node, e.b from reach r join edges e on e.a = r.root),
-roots as (select node, min(root) as root from reach group by node)"""
+reach as (select a as node, a as root from edges union select r.node, e.b from reach r join edges e on e.a = r.root)"""
 
 _OP2 = rf"""
-with recursive words as (select doc_id, text, {_WORDS} as w from documents),
+with recursive d as materialized (select row_number() over () as k, doc_id, text from documents),
+words as (select k, text, {_WORDS} as w from d),
 pieces as (
-  select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0),
-bags as (select doc_id, array_to_string(w[i:i+4], ' ') as s, count(*) as n from pieces group by all),
-sizes as (select doc_id, sum(n) as total from bags group by all),
-shared as (select x.doc_id as a, y.doc_id as b, sum(least(x.n, y.n)) as n from bags x join bags y on x.s = y.s and x.doc_id > y.doc_id group by all),
+  select k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0),
+bags as (select k, array_to_string(w[i:i+4], ' ') as s, count(*) as n from pieces group by all),
+sizes as (select k, sum(n) as total from bags group by all),
+shared as (select x.k as a, y.k as b, sum(least(x.n, y.n)) as n from bags x join bags y on x.s = y.s and x.k > y.k group by all),
 links as (
-  select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where n >= 0.8 * (p.total + q.total - n) - 1e-9
-  union select x.doc_id, y.doc_id from words x join words y on x.text = y.text and x.doc_id > y.doc_id where len(x.w) = 0),{_REACH}
-select doc_id, coalesce(root, doc_id) as class_id, coalesce(root, doc_id) = doc_id as kept from documents left join roots on node = doc_id
+  select a, b from shared join sizes p on p.k = a join sizes q on q.k = b where n >= 0.8 * (p.total + q.total - n) - 1e-9
+  union select x.k, y.k from words x join words y on x.text = y.text and x.k > y.k where len(x.w) = 0
+  union select x.k, y.k from d x join d y on x.doc_id = y.doc_id and x.text is null and y.text is null and x.k > y.k),{_REACH},
+roots as (select node, min(doc_id) as root from reach join d on k = reach.root group by node)
+select doc_id, coalesce(least(root, doc_id), doc_id) as class_id, coalesce(least(root, doc_id), doc_id) = doc_id as kept from d left join roots on node = k
 """
 
 _OP3 = f"""
-with recursive v as (
-  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
-u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v where list_sum(list_transform(e, lambda x: x * x)) > 0),
-links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id where list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
-counted as (select a, count(*) as n from links group by a),{_REACH}
-select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept
-from embeddings left join counted on a = vec_id left join roots on node = vec_id
+with recursive d as materialized (select row_number() over () as k, vec_id, embedding from embeddings),
+v as (
+  select k, embedding, list_transform(embedding, lambda x: x::double) as e from d where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+u as (select k, embedding, e, len(e) as dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v where list_sum(list_transform(e, lambda x: x * x)) > 0),
+links as (select x.k as a, y.k as b from u x join u y on x.k <> y.k and x.dim = y.dim where x.embedding = y.embedding or list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+counted as (select a, count(*) as n from links group by a),{_REACH},
+roots as (select node, min(vec_id) as root from reach join d on k = reach.root group by node)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least(root, vec_id), vec_id) as component_id, coalesce(least(root, vec_id), vec_id) is not distinct from vec_id as kept
+from d left join counted on a = k left join roots on node = k
 """
 
 _OP4 = """

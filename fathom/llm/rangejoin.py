@@ -1,11 +1,14 @@
 """Embedding near-duplicates: an exact metric range join over pivot cells.
 
-Vectors of equal components are joined once. Each distinct unit vector belongs to the cell of its
-nearest pivot and visits a cell j if d(x, p_j) <= d(x, p_home) + 2 eps and d(x, p_j) <= r_j + eps, with
-the chord distance d, eps that of the least cosine and r_j the cell's radius: by the triangle
-inequality no other cell can hold a partner. Of two cells only one is visited by the other, chosen
-as in a round-robin so that cells share the work. Cells are joined independently; a large cell is
-cut into slices. A cell reports counts and a spanning forest of its links, never all pairs.
+Vectors of equal components are joined once. Pivots are chosen farthest-first from a sample by
+digest. Each distinct unit vector belongs to the cell of its nearest pivot; for each cell the
+smallest and greatest distance of its vectors to every pivot are known. With the chord distance d
+and eps, that of the least cosine, a vector x visits cell j only if d(x, p_j) <= d(x, p_home) + 2 eps
+and every d(x, p) lies within eps of cell j's bounds for that pivot: by the triangle inequality no
+other cell can hold a partner. Of two cells only one is visited by the other, chosen as in a
+round-robin so that cells share the work. Cells are joined independently; a large cell is cut into
+slices, and inside a slice only vectors whose distances to the cell's pivot differ by at most eps
+are compared. A cell reports counts and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,14 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.shared import components, cut, partitions
+from fathom.llm.shared import components, cut, mix64, partitions
 
-#: Distinct vectors for each pivot, most pivots (all of them are broadcast), vectors in one slice of a cell.
-PER_PIVOT, MOST_PIVOTS, SLICE = 2048, 1024, 4096
+#: Vectors in one slice of a cell, and sampled vectors for each pivot.
+SLICE, SAMPLED = 4096, 16
 SALT = 16
 _SLACK = 1e-6
 
 
+def pivots_for(n: int) -> int:
+    """Pivots for n distinct vectors: their cube root over 1.5, so cells grow slower than the table and so does replication."""
+    return max(1, math.ceil(n ** (1 / 3) / 1.5))
+
+
+def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """k of the vectors, each as far as can be from those before it."""
+    at = [0]
+    near = _chord(x, x[:1])[:, 0]
+    while len(at) < min(k, len(x)):
+        at.append(int(near.argmax()))
+        near = np.minimum(near, _chord(x, x[at[-1:]])[:, 0])
+    return x[at]
+
+
 def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype)
 
@@ -64,29 +82,59 @@ def _homes(pivots, dtype):
             for dim, batch in _by_dim(whole):
                 d = _chord(_unit(_matrix(batch.column("v"), dtype)), pivots.value[dim])
                 home = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "dim", "n", "v")), pa.array(home, pa.int32()), pa.array(d[np.arange(len(d)), home])], ["id", "dim", "n", "v", "home", "d"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "dim", "n", "v")), pa.array(home, pa.int32())], ["node", "dim", "n", "v", "home"])
+
+    return run
+
+
+def _bounds(pivots, dtype):
+    """Count of each cell, and its least and greatest distance to each pivot, among the vectors of one task."""
+
+    def run(batches):
+        seen: dict[int, list] = {}
+        for whole in batches:
+            for dim, batch in _by_dim(whole):
+                k = len(pivots.value[dim])
+                if dim not in seen:
+                    seen[dim] = [np.zeros(k, np.int64), np.full((k, k), np.inf), np.full((k, k), -np.inf)]
+                d, home = _chord(_unit(_matrix(batch.column("v"), dtype)), pivots.value[dim]), batch.column("home").to_numpy()
+                seen[dim][0] += np.bincount(home, minlength=k)
+                np.minimum.at(seen[dim][1], home, d), np.maximum.at(seen[dim][2], home, d)
+        for dim, (n, low, high) in seen.items():
+            at = np.flatnonzero(n)
+            cell, pivot = np.repeat(at, len(n)), np.tile(np.arange(len(n)), len(at))
+            columns = [pa.array(np.full(len(cell), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(pivot, pa.int32()), pa.array(n[cell]), pa.array(low[at].reshape(-1)), pa.array(high[at].reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "pivot", "n", "low", "high"])
 
     return run
 
 
+def visits(d: np.ndarray, home: np.ndarray, low: np.ndarray, high: np.ndarray, eps: float) -> np.ndarray:
+    """Whether a vector with distances d to all pivots may have a partner in each cell [vector, cell]."""
+    near = d <= d[np.arange(len(d)), home][:, None] + 2 * eps + _SLACK
+    for j in range(d.shape[1]):
+        near[:, j] &= ((d >= low[j] - eps - _SLACK) & (d <= high[j] + eps + _SLACK)).all(1)  # an empty cell's bounds hold nothing
+    return near
+
+
 def _dealt(pivots, cells, eps, dtype, slice_size):
-    names = ["dim", "cell", "slice", "role", "id", "n", "v"]
+    names = ["dim", "cell", "slice", "role", "node", "n", "d", "v"]
 
     def run(batches):
         for whole in batches:
             for dim, batch in _by_dim(whole):
                 p = pivots.value[dim]
-                size, radius = cells[dim]
+                size, low, high = cells.value[dim]
                 slices = -(-size // slice_size)
-                ids, home = batch.column("id").to_numpy(), batch.column("home").to_numpy()
+                nodes, home = batch.column("node").to_numpy(), batch.column("home").to_numpy()
                 d = _chord(_unit(_matrix(batch.column("v"), dtype)), p)
-                near = (d <= d[np.arange(len(d)), home][:, None] + 2 * eps + _SLACK) & (d <= radius + eps + _SLACK) & (size > 0)
+                near = visits(d, home, low, high, eps)
                 k = len(p)
                 ahead = (np.arange(k)[None, :] - home[:, None]) % k
                 near &= (ahead > 0) & ((2 * ahead < k) | ((2 * ahead == k) & (home[:, None] < np.arange(k)[None, :])))
-                own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[home]
+                own = (mix64(nodes.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % slices[home]
                 # role 0 is matched against, 1 are the cell's own seeking partners, 2 are visitors
-                row = np.arange(len(ids))
+                row = np.arange(len(nodes))
                 guest, to = np.nonzero(near)
                 parts = [(row, home, own, 0)]
                 for rows, cell, role in ((row, home, 1), (guest, to, 2)):
@@ -98,7 +146,7 @@ def _dealt(pivots, cells, eps, dtype, slice_size):
                         at = slice(a, a + 4096)
                         take = pa.array(rows[at])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(take), dim), pa.int32()), pa.array(cell[at], pa.int32()), pa.array(nth[at], pa.int32()), pa.array(np.full(len(take), role), pa.int32()), *(batch.column(c).take(take) for c in ("id", "n", "v"))], names
+                            [pa.array(np.full(len(take), dim), pa.int32()), pa.array(cell[at], pa.int32()), pa.array(nth[at], pa.int32()), pa.array(np.full(len(take), role), pa.int32()), *(batch.column(c).take(take) for c in ("node", "n")), pa.array(d[rows[at], cell[at]]), batch.column("v").take(take)], names
                         )
 
     return run
@@ -107,11 +155,13 @@ def _dealt(pivots, cells, eps, dtype, slice_size):
 class _Cell:
     """One slice of a cell: the vectors to match against, and what has been found on them."""
 
-    def __init__(self):
-        self.id, self.n, self.x = [], [], []
+    def __init__(self, eps: float):
+        self.id, self.n, self.d, self.x, self.eps = [], [], [], [], eps
 
     def close(self):
-        self.id, self.n, self.x = np.concatenate(self.id), np.concatenate(self.n), np.concatenate(self.x)
+        self.id, self.n, self.d, self.x = np.concatenate(self.id), np.concatenate(self.n), np.concatenate(self.d), np.concatenate(self.x)
+        order = np.argsort(self.d, kind="stable")
+        self.id, self.n, self.d, self.x = self.id[order], self.n[order], self.d[order], self.x[order]
         self.small = self.x.astype(np.float32)
         self.links = np.zeros(len(self.id), np.int64)
         self.parent = np.arange(len(self.id))
@@ -123,10 +173,12 @@ class _Cell:
                 return i
             i = up
 
-    def seek(self, ids, n, x, guests: np.ndarray, least: float):
-        """(seeker, links) and edges of some seekers."""
-        rough = x.astype(np.float32) @ self.small.T >= least - 1e-4
+    def seek(self, ids, n, d, x, guests: np.ndarray, least: float):
+        """(seeker, links) and edges of some seekers; d are their distances to the cell's pivot."""
+        low, high = np.searchsorted(self.d, (d.min() - self.eps - _SLACK, d.max() + self.eps + _SLACK))
+        rough = x.astype(np.float32) @ self.small[low:high].T >= least - 1e-4
         row, col = np.nonzero(rough)
+        col = col + low
         exact = np.concatenate([np.einsum("ij,ij->i", x[row[a : a + 65536]], self.x[col[a : a + 65536]]) for a in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
         ok = (exact >= least) & (ids[row] != self.id[col])
         row, col = row[ok], col[ok]
@@ -144,7 +196,7 @@ class _Cell:
         return self.id[other], self.id[root[other]]
 
 
-def _joined(least, dtype):
+def _joined(least, eps, dtype):
     names = ["a", "b", "links"]
 
     def told(a, b, links):
@@ -174,20 +226,20 @@ def _joined(least, dtype):
                 key, role = tuple(keys[a, :3]), keys[a, 3]
                 if key != group:
                     yield from end()
-                    group, cell, open_ = key, _Cell(), True
+                    group, cell, open_ = key, _Cell(eps), True
                 part = batch.slice(a, b - a)
-                ids, n, x = part.column("id").to_numpy(), part.column("n").to_numpy(), _unit(_matrix(part.column("v"), dtype))
+                ids, n, d, x = part.column("node").to_numpy(), part.column("n").to_numpy(), part.column("d").to_numpy(), _unit(_matrix(part.column("v"), dtype))
                 if role == 0:
-                    cell.id.append(ids), cell.n.append(n), cell.x.append(x)
+                    cell.id.append(ids), cell.n.append(n), cell.d.append(d), cell.x.append(x)
                     continue
                 if open_:
                     if not cell.id:
                         continue  # a slice without vectors
                     cell.close()
                     open_ = False
-                for c in range(0, len(ids), 512):
+                for c in range(0, len(ids), 512):  # rows come sorted by d, so neighbours seek in one ring
                     s = slice(c, c + 512)
-                    links, u, v = cell.seek(ids[s], n[s], x[s], np.full(len(ids[s]), role == 2), least)
+                    links, u, v = cell.seek(ids[s], n[s], d[s], x[s], np.full(len(ids[s]), role == 2), least)
                     yield counts(ids[s], links)
                     yield edges(u, v)
         yield from end()
@@ -195,13 +247,15 @@ def _joined(least, dtype):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding", least: float = 0.9, per_pivot: int = PER_PIVOT, slice_size: int = SLICE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding", least: float = 0.9, pivots: int | None = None, slice_size: int = SLICE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors link if their cosine in double precision is at least `least`. Vectors that are
     null, empty, zero or hold a null or non-finite component link with nothing, nor do vectors of
-    different lengths. Rows that repeat an id count as vectors of their own under that id. A row
-    without an id links with nothing and is returned with a null component and kept.
+    different lengths. Rows that repeat an id are vectors of their own: each has its own links, and
+    its component is the smallest id that its own vector reaches. A row without an id links with
+    nothing and is returned with a null component and kept. No rows give no rows; other columns
+    are ignored. pivots: how many each vector length has, by pivots_for if None.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vector_col].dataType
@@ -211,28 +265,45 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding", le
     fine = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0), F.lit(False))
     alone = rows.where(~fine).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     keyed = rows.where(fine).mapInArrow(_packed(dtype), "id long, dim int, digest binary, v binary")
-    groups = cut(keyed.groupBy("dim", "digest").agg(F.min(F.struct("id", "v")).alias("r"), F.count(F.lit(1)).alias("n")).select("dim", "digest", "n", "r.*"))
-    # pivots: distinct vectors in the order of their digests, at most MOST_PIVOTS for each length
-    chosen: dict[int, np.ndarray] = {}
-    for r in groups.groupBy("dim").count().collect():
-        k = max(1, min(MOST_PIVOTS, r["count"] // per_pivot))
-        own = groups.where(F.col("dim") == r["dim"]).orderBy("digest").limit(k).select("v").collect()
-        chosen[r["dim"]] = _unit(np.stack([np.frombuffer(x.v, dtype) for x in own]))
-    pivots = spark.sparkContext.broadcast(chosen)
-    homes = cut(groups.mapInArrow(_homes(pivots, dtype), "id long, dim int, n long, v binary, home int, d double"))
-    cells = {dim: (np.zeros(len(p), np.int64), np.zeros(len(p))) for dim, p in chosen.items()}
-    for r in homes.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect():  # a row for each pivot
-        cells[r["dim"]][0][r["home"]], cells[r["dim"]][1][r["home"]] = r["n"], r["r"]
+    groups = keyed.groupBy("dim", "digest").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()))  # a number for each distinct vector
+    chosen = _pivots(groups, dtype, pivots)
+    shared = spark.sparkContext.broadcast(chosen)
+    homes = cut(groups.mapInArrow(_homes(shared, dtype), "node long, dim int, n long, v binary, home int"))
+    cells = {dim: (np.zeros(len(p), np.int64), np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)) for dim, p in chosen.items()}
+    bounds = homes.mapInArrow(_bounds(shared, dtype), "dim int, cell int, pivot int, n long, low double, high double")
+    for r in bounds.groupBy("dim", "cell", "pivot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toLocalIterator():  # a row for two pivots
+        size, low, high = cells[r.dim]
+        size[r.cell], low[r.cell, r.pivot], high[r.cell, r.pivot] = r.n, r.low, r.high
     eps = math.sqrt(2 - 2 * least)
-    dealt = homes.mapInArrow(_dealt(pivots, cells, eps, dtype, slice_size), "dim int, cell int, slice int, role int, id long, n long, v binary")
-    dealt = dealt.repartition(partitions(spark), "dim", "cell", "slice").sortWithinPartitions("dim", "cell", "slice", "role")
-    found = cut(dealt.mapInArrow(_joined(least, dtype), "a long, b long, links long"))
+    dealt = homes.mapInArrow(_dealt(shared, spark.sparkContext.broadcast(cells), eps, dtype, slice_size), "dim int, cell int, slice int, role int, node long, n long, d double, v binary")
+    dealt = dealt.repartition(partitions(spark), "dim", "cell", "slice").sortWithinPartitions("dim", "cell", "slice", "role", "d")
+    found = cut(dealt.mapInArrow(_joined(least, eps, dtype), "a long, b long, links long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b"))
-    named = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").join(links.withColumnRenamed("a", "id"), "id", "left")
-    named = named.select("dim", "digest", "n", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    roots = cut(components(found.where("b is not null").select("a", "b")))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int").alias("salt")
+    salts = F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt")
+    # the smallest id of each component, which may hold a third of all vectors
+    linked = groups.select("node", "id", salt("node")).join(roots, "node")
+    linked = linked.join(linked.groupBy("component").agg(F.min("id").alias("component_id")).select("component", "component_id", salts), ["component", "salt"])
+    named = groups.join(linked.select("node", "component_id"), "node", "left").join(links.withColumnRenamed("a", "node"), "node", "left")
+    named = named.select("dim", "digest", "n", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     single = named.where("n = 1").select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    shared = named.where("n > 1").select("dim", "digest", "n_links", "component_id", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
-    copies = keyed.select("id", "dim", "digest", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt")).join(shared, ["dim", "digest", "salt"])
+    many = named.where("n > 1").select("dim", "digest", "n_links", "component_id", salts)
+    copies = keyed.select("id", "dim", "digest", salt("id")).join(many, ["dim", "digest", "salt"])
     everyone = single.union(copies.select(F.col("id").alias("vec_id"), "n_links", "component_id"))
     return everyone.withColumn("kept", F.col("vec_id") == F.col("component_id")).union(alone)
+
+
+def _pivots(groups: DataFrame, dtype, pivots: int | None) -> dict[int, np.ndarray]:
+    """Pivots of each vector length, farthest-first among about SAMPLED for each, sampled by digest in one job."""
+    wanted = {r["dim"]: (min(r["count"], pivots or pivots_for(r["count"])), r["count"]) for r in groups.groupBy("dim").count().collect()}  # a row for each length
+    if not wanted:
+        return {}
+    share = groups.sparkSession.createDataFrame([(dim, min(1.0, k * SAMPLED / n)) for dim, (k, n) in wanted.items()], "dim int, share double")
+    spot = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    sample: dict[int, list] = {}
+    for r in groups.join(F.broadcast(share), "dim").where(spot < F.col("share")).select("dim", "digest", "v").collect():  # some SAMPLED for each pivot
+        sample.setdefault(r["dim"], []).append((bytes(r["digest"]), bytes(r["v"])))
+    first = lambda dim: [np.eye(1, dim).astype(dtype).tobytes()]  # noqa: E731 - any point will do where the sample came out empty
+    return {dim: farthest_first(_unit(np.frombuffer(b"".join([v for _, v in sorted(sample.get(dim, []))] or first(dim)), dtype).reshape(-1, dim)), k) for dim, (k, _) in wanted.items()}
