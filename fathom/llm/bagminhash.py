@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import ALNUM, components, cut, mix64, partitions, scan_words, text_slices
+from fathom.llm.shared import ALNUM, MOST_BROADCAST, components, cut, mix64, partitions, scan_words, text_slices, without
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
@@ -39,7 +39,7 @@ LOOKS_ALIKE = 0.6
 #: Members of one part of a star, and of one part of a bucket.
 STAR, PART = 256, 512
 #: Keys of texts that must move are broadcast up to this many; beyond, all texts are shuffled to meet them.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = MOST_BROADCAST
 #: A digest shared by many rows is joined over so many partitions.
 SALT = 16
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -408,7 +408,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     keyed = docs.withColumn("__i", F.col(id_col).cast("long")).withColumn("__t", text_key(F.col(text_col).cast("string")))
     found = cut(classes(docs, id_col, text_col, threshold).select(F.col("id").alias("__a"), F.col("t").alias("__b"), "first"))
     same = F.col("__i").eqNullSafe(F.col("__a")) & (F.col("__t") == F.col("__b"))
-    kept = keyed.join(found.where("not first").select("__a", "__b").distinct(), same, "left_anti")
+    kept = without(keyed, cut(found.where("not first").select("__a", "__b").distinct()), same)
     again = found.where("first").groupBy("__a", "__b").count().where("count > 1").select("__a", "__b")
     if not again.isEmpty():
         row = F.struct(*names)

@@ -1,34 +1,31 @@
 """Language identification by Bayesian fusion of evidence.
 
 log P(l | all) ~ log P(l | host) + log P(declared | l) + log P(suffix | l) + text evidence, where
-text evidence is the mean log-likelihood of hashed character trigrams times a capped count (the
-trigrams of a text are far from independent). Trigram counts, the confusion of declared and found
+text evidence is the log-likelihood of hashed character trigrams over three, as each character has a
+part in three of them. Trigram counts, the confusion of declared and found
 languages, the languages of address suffixes and the host priors are all grouped aggregates over
 every row; a host's prior is smoothed towards its suffix's, and that towards the whole corpus's.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import byte_class, cut, text_slices
+from fathom.llm.shared import byte_class, cut, text_slices, without
 
 LANGUAGES = ("en", "de", "fr", "es")
 _LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _BITS = 16
 BUCKETS = 1 << _BITS
-#: The text counts as at most so many independent trigrams.
-EVIDENCE = 60
+#: Part of a trigram's log-likelihood that is evidence of its own.
+INDEPENDENT = 1 / 3
 #: Strength of a suffix's and the corpus's prior, in documents.
 HOST_STRENGTH, SUFFIX_STRENGTH = 5.0, 20.0
 #: Least posterior, and least mean log-likelihood gain of the best language over chance bytes, of an accepted text.
 CONFIDENCE, GAIN = 0.5, 0.5
-MARKUP_LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
 def host_of(url: Column) -> Column:
@@ -105,40 +102,42 @@ def _likelihoods(model):
             if parts:
                 means, n = np.concatenate(parts), np.concatenate(sizes)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * table.shape[1], pa.int32()), pa.array(means.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "declared", "host")), pa.array(n, pa.int64()), pa.array(np.concatenate(letters)), values], ["id", "declared", "host", "n_trigrams", "letters", "means"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row_key", "declared", "host")), pa.array(n, pa.int64()), pa.array(np.concatenate(letters)), values], ["id", "row_key", "declared", "host", "n_trigrams", "letters", "means"])
 
     return run
 
 
-def _log_table(rows, keys, languages, strength, prior):
-    """{key: log smoothed P(language | key)} of rows with one count for each language."""
-    out = {}
-    for r in rows:
-        n = np.array([r[x] for x in languages], float)
-        out[r[keys]] = (n + strength * prior) / (n.sum() + strength)
-    return out
+def row_key(text: Column, declared: Column, host: Column) -> Column:
+    """With the id, what tells rows apart whose evidence differs."""
+    return F.xxhash64(text.isNull(), text, declared, host)
+
+
+def address(url: Column | None, host: Column | None) -> Column:
+    """The host of an address, else the name that stands for one, else an empty string."""
+    found = host_of(url) if url is not None else host if host is not None else F.lit(None)
+    return F.coalesce(found.cast("string"), F.lit(""))
 
 
-def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared: Column | str = "lang", url: Column | str | None = None, host: Column | str | None = None, languages=LANGUAGES, model: np.ndarray | None = None) -> DataFrame:
-    """One row per document: doc_id, language, posterior, text_language, gain, n_trigrams, accepted.
+def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared: Column | str | None = "lang", url: Column | str | None = None, host: Column | str | None = None, languages=LANGUAGES, model: np.ndarray | None = None) -> DataFrame:
+    """One row per document: doc_id, language, posterior, text_language, gain, n_trigrams, accepted, row_key.
 
     declared is the language that markup or metadata states, url an address (its host and suffix
     count), host a name where there is no address. The text model is trained on the declared
     languages unless it is given. A null or undeclared language, address or host is no evidence; a
-    text too short for a trigram is judged by the rest. Accepted are texts with a letter, a
+    text too short for a trigram, or null, is judged by the rest. Accepted are texts with a letter, a
     posterior of at least CONFIDENCE and, if they have trigrams, a likelihood above chance by GAIN. Ties go to the
-    language named first.
+    language named first. Rows that repeat an id, or have none, are each returned and count singly; no rows give
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     as_column = lambda x: F.col(x) if isinstance(x, str) else x
-    where = host_of(as_column(url)) if url is not None else as_column(host) if host is not None else F.lit(None)
-    docs = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lower(as_column(declared).cast("string")).alias("declared"), F.coalesce(where.cast("string"), F.lit("")).alias("host")
-    )
+    said_ = F.lower(as_column(declared).cast("string")) if declared is not None else F.lit(None).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), said_.alias("declared"), address(as_column(url), as_column(host)).alias("host"))
+    docs = docs.withColumn("row_key", row_key(F.col("text"), F.col("declared"), F.col("host")))
     if model is None:
         model = text_model(docs, languages, "text", "declared")
     k = len(languages)
-    likely = docs.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), "id long, declared string, host string, n_trigrams long, letters boolean, means array<double>")
+    likely = docs.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), "id long, row_key long, declared string, host string, n_trigrams long, letters boolean, means array<double>")
     likely = cut(
         likely.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise("")).withColumn("suffix", suffix_of(F.col("host")))
         .withColumn("text_language", F.when(F.col("n_trigrams") > 0, F.element_at(F.array(*map(F.lit, languages)), F.array_position("means", F.array_max("means")).cast("int"))))
@@ -163,7 +162,7 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared: Column
     none = F.array(*(F.lit(float(np.log(p))) for p in prior))
     declared_table = F.create_map(*(x for d in languages for x in (F.lit(d), F.array(*map(lambda v: F.lit(float(v)), said[d])))))
     zero = F.array(*[F.lit(0.0)] * k)
-    weight = F.least(F.col("n_trigrams"), F.lit(EVIDENCE)).cast("double")
+    weight = F.col("n_trigrams") * F.lit(INDEPENDENT)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     total = add(add(F.coalesce("of_host", none), F.coalesce("of_suffix", zero)), add(F.coalesce(declared_table[F.col("declared")], zero), F.transform("means", lambda m: m * weight)))
     scored = likely.withColumn("total", total).withColumn("top", F.array_max("total"))
@@ -171,4 +170,13 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared: Column
     scored = scored.withColumn("posterior", 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
     scored = scored.withColumn("gain", F.array_max("means") + F.lit(float(np.log(BUCKETS))))
     ok = F.col("letters") & (F.col("posterior") >= CONFIDENCE) & ((F.col("n_trigrams") == 0) | (F.col("gain") >= GAIN))
-    return scored.select(F.col("id").alias("doc_id"), "language", "posterior", "text_language", "gain", "n_trigrams", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    return scored.select(F.col("id").alias("doc_id"), "language", "posterior", "text_language", "gain", "n_trigrams", F.coalesce(ok, F.lit(False)).alias("accepted"), "row_key")
+
+
+def accepted(docs: DataFrame, id_col="doc_id", text_col="text", declared="lang", host="source", **more) -> DataFrame:
+    """The rows of docs that identify accepts, with all columns as they are."""
+    found = identify(docs, id_col, text_col, declared=declared, host=host, **more)
+    gone = cut(found.where(~F.col("accepted")).select(F.col("doc_id").alias("__a"), F.col("row_key").alias("__b")).distinct())
+    key = row_key(F.col(text_col).cast("string"), F.lower(F.col(declared).cast("string")), address(None, F.col(host)))
+    rows = docs.withColumn("__i", F.col(id_col).cast("long")).withColumn("__k", key)
+    return without(rows, gone, F.col("__i").eqNullSafe(F.col("__a")) & (F.col("__k") == F.col("__b"))).select(*docs.columns)

@@ -10,8 +10,6 @@ each source's histogram has at most RADIX rows a level.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +19,8 @@ from fathom.llm.shared import cut, partitions
 DIGITS, LEVELS = 3, 4
 RADIX = 16**DIGITS
 SALT = 16
+#: Plan rows, one for each source and some 100 bytes each, that are broadcast at most.
+MOST_SOURCES = 100_000
 WEIGHTS = (1, 2, 3)
 MOST = 3
 
@@ -44,9 +44,9 @@ def _ranked(sources: DataFrame) -> DataFrame:
     before, total = {}, 0
     for part in sorted(counts):
         before[part], total = total, total + counts[part]
-    offset = reduce(lambda c, kv: c.when(F.col("part") == kv[0], kv[1]), before.items(), F.when(F.lit(False), 0)).cast("long")
+    offsets = sources.sparkSession.createDataFrame(list(before.items()), "part int, offset long")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return parts.withColumn("rank", offset + inside - 1).drop("part")
+    return parts.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("inside") - 1).drop("part", "offset", "inside")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,18 +70,12 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return cut(ranked.withColumn("target", F.when(full, (F.col("source_size") * most).cast("double")).otherwise(F.col("weight") * F.lit(level))))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken.
-
-    copies is how often the mix takes the document, taken = copies * size. Each source's documents
-    get floor(target / size) copies and those before its threshold one more, so no document has
-    more than `most`. The threshold lies after the document that brings the words taken nearest to
-    the target; documents with one hash (rows that repeat an id) lie on one side together. A null
-    text has size 0; null is a source of its own; a source without words gets no copies. The result
-    depends on nothing but the rows, so reruns agree.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
-    docs = cut(docs.withColumn("at", position(F.col("doc_id"))))
+def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row for each source: source, source_size, target, full (copies that each document has), threshold and closed:
+    documents before that position, or at it if closed is 1, have one copy more."""
+    size = words_in(F.col(text_col)) if text_col else F.col("size")
+    docs = docs.select(position(F.col(id_col).cast("long")).alias("at"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    docs = cut(docs) if text_col else docs  # words are counted once
     sources = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goals = sources.select("source", "source_size", "target").withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
@@ -104,10 +98,41 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         else:  # a single position: whichever side is nearer
             nearer = F.when(F.col("upto") - F.col("left") <= F.col("left") - F.col("before"), 1).otherwise(0)
             done = crossing.select(F.col("source").alias("s"), F.col("bucket").alias("threshold"), nearer.alias("closed"))
-    plan = cut(goals.drop("left").join(done, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s"))
-    plan = plan.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))  # a hot source's rows meet its plan in many places
-    dealt = docs.withColumn("salted", F.pmod(F.xxhash64("at"), F.lit(SALT)).cast("int"))
-    mixed = dealt.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("salted") == F.col("salt")))
-    more = F.when(F.col("at") < F.col("threshold"), 1).when((F.col("at") == F.col("threshold")) & (F.col("closed") == 1), 1).otherwise(0)
-    mixed = mixed.withColumn("copies", F.when(F.col("source_size") > 0, F.col("full") + F.coalesce(more, F.lit(0))).otherwise(0).cast("long"))
-    return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return cut(goals.drop("left").join(done, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, id_col="doc_id", source_col="source", most_sources: int = MOST_SOURCES) -> DataFrame:
+    """docs and, from the plan of their sources, __size, __target and __copies. The plan is broadcast if it has few
+    rows; else a hot source's rows meet its plan in SALT places."""
+    plan = plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("full").alias("__full"), F.col("threshold").alias("__threshold"), F.col("closed").alias("__closed"))
+    at = position(F.col(id_col).cast("long"))
+    same = F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    if plan.count() <= most_sources:
+        rows = docs.join(F.broadcast(plan), same)
+    else:
+        plan = plan.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+        rows = docs.withColumn("__salted", F.pmod(F.xxhash64(at), F.lit(SALT)).cast("int")).join(plan, same & (F.col("__salted") == F.col("__salt"))).drop("__salt", "__salted")
+    more = F.when(at < F.col("__threshold"), 1).when((at == F.col("__threshold")) & (F.col("__closed") == 1), 1).otherwise(0)
+    copies = F.when(F.col("__size") > 0, F.col("__full") + F.coalesce(more, F.lit(0))).otherwise(0).cast("long")
+    return rows.withColumn("__copies", copies).drop("__source", "__full", "__threshold", "__closed")
+
+
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most: int = MOST, most_sources: int = MOST_SOURCES) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies, taken.
+
+    copies is how often the mix takes the document, taken = copies * size. Each source's documents
+    get floor(target / size) copies and those before its threshold one more, so no document has
+    more than `most`. The threshold lies after the document that brings the words taken nearest to
+    the target; documents with one hash (rows that repeat an id) lie on one side together. A null
+    text has size 0; null is a source of its own; a source without words gets no copies. The result
+    depends on nothing but the rows, so reruns agree; other columns are ignored.
+    """
+    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")))
+    rows = with_copies(sized, plan(sized, "doc_id", None, "source", weights, most), "doc_id", "source", most_sources)
+    return rows.select("doc_id", "size", "source", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all columns, and copy: 0, 1, ... No text is shuffled where sources are few."""
+    rows = with_copies(docs, plan(docs, id_col, text_col, source_col, weights, most), id_col, source_col).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies").cast("int") - 1))).select(*docs.columns, F.col("__copy").alias("copy"))

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 EDGES = 4096
 #: Texts are scanned in pieces of at most this many bytes (a longer text is one piece of its own).
 CHUNK_BYTES = 2 << 20
+#: Rows of keys, some 20 bytes each, that are broadcast at most.
+MOST_BROADCAST = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a
+    temporary one, as its executors are this machine; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="fathom-")
         shared_dir.own = folder
     return folder.rstrip("/")
@@ -38,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate data, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(rows: DataFrame, gone: DataFrame, condition, most: int = MOST_BROADCAST) -> DataFrame:
+    """The rows that meet none of gone (keys of a few bytes): gone is broadcast if it has at most `most` rows, else both sides are shuffled."""
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, condition, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -146,11 +162,6 @@ def scan_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, hashes:
     return Words(data, offsets, owner, start, end, out)
 
 
-def take_schema(df: DataFrame, *columns) -> DataFrame:
-    """Only the named columns, under fixed internal names, so that other columns can't clash."""
-    return df.select(*columns)
-
-
 # ---------------------------------------------------------------- connected components
 
 def components(edges: DataFrame) -> DataFrame:
