@@ -1,9 +1,9 @@
 """A training corpus from raw documents in five stages.
 
-Each stage takes all that its predecessor kept. Languages: documents that are in no known language
-go. Near-duplicates: the document with the smallest id of each class stays. Decontamination:
-documents with a benchmark passage go. Secrets: documents that hold one go. Mixing: sources are
-brought to their target weights; a document taken n times is n rows, told apart by `copy`.
+Each stage takes all rows that its predecessor kept and returns them with all their columns. Ids may
+repeat or be null: rows are told apart by id and text, and none is lost but by a stage's own
+decision. A null or empty text has no language and goes in the first stage; the others keep it. No
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -11,46 +11,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fathom.llm import bagminhash, langid, mixing, secrets, wumanber
-from fathom.llm.shared import shared_dir
-
-_KEY = "__row_key"
+from fathom.llm.shared import remove, shared_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that language identification accepts; rows are met by a hash of id and text."""
-    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    found = langid.identify(keyed, id_col=_KEY, host="source")
-    refused = found.where(~F.col("accepted")).select(F.col("doc_id").alias(_KEY)).distinct()
-    return keyed.join(refused, _KEY, "left_anti").select(*docs.columns)
+    """Keeps documents that language identification accepts; lang is what they declare, source stands for the host."""
+    return langid.accepted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class; rows without an id stay, of rows that repeat an id one stays."""
-    found = bagminhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if ids.n == ids.d:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """Keeps one document of each class of near-duplicates: that of the smallest id."""
+    return bagminhash.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which no window of a benchmark text occurs."""
     return wumanber.without_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a secret, be it of a fixed pattern or a random string."""
     return secrets.without_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, and copy: 0 up to one less than the copies taken."""
-    plan = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    same = docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__source"])
-    return docs.join(plan, same).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies").cast("int") - 1))).select(*docs.columns, "copy")
+    """Brings sources to their target weights: a document taken n times is n rows, told apart by copy: 0 to n - 1."""
+    return mixing.repeated(docs)
 
 
 STAGES = [
@@ -66,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written as Parquet in the shared folder and reread, and removed once the next is there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            remove(spark, last)
+        last = out
     return docs
