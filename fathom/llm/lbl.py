@@ -32,8 +32,10 @@ LEAVES = 512
 #: Tokens whose counts are broadcast (16 bytes each); the others meet their counts in a join.
 COMMON = 1 << 18
 ROUNDS, LEAF_ROUNDS, BATCH, NOISE, STEP = 2, 2, 1024, 32, 0.1
-#: Different trigrams of classes that ask for another shard, and the most shards: as many models meet in the driver.
-PER_SHARD, SHARDS = 1 << 18, 32
+#: Training tokens that ask for another shard, and the most shards: as many models meet in the driver.
+PER_SHARD, SHARDS = 1 << 19, 32
+#: Counts that a merging task holds before it adds them up, and that one row carries at most.
+MERGED, PIECE = 1 << 22, 1 << 20
 SMOOTH = 0.1
 #: Distinct values that a task holds before it passes them on.
 HELD = 1 << 21
@@ -152,7 +154,42 @@ def _contexts(row: np.ndarray, kind: np.ndarray, classes: int):
     return one, two
 
 
-def _trigrams(common):
+def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys under 2^31 as their compressed differences, and compressed counts."""
+    return pa.compress(np.diff(keys, prepend=0).astype(np.int32).tobytes(), "zstd", asbytes=True), pa.compress(counts.astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(pa.decompress(keys, 4 * n, "zstd", asbytes=True), np.int32)
+    return np.cumsum(keys, dtype=np.int64), np.frombuffer(pa.decompress(counts, 8 * n, "zstd", asbytes=True), np.int64)
+
+
+def _rows(groups: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """A batch of rows (group columns ..., n, keys, counts) from (group ..., keys, counts)."""
+    packed = [(*g[:-2], len(g[-2]), *_pack(*g[-2:])) for g in groups]
+    kinds = [pa.int64()] * (len(names) + 1) + [pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], kind) for k, kind in enumerate(kinds)], [*names, "size", "codes", "c"])
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _trigrams(common, shards: int, parts: int):
+    """Counts of class trigrams, dealt by hash into shards and each shard into parts."""
+
+    def told(keys, counts):
+        place = (mix64(keys.astype(np.uint64)) % np.uint64(shards * parts)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(shards * parts + 1))
+        some = np.flatnonzero(np.diff(bounds)).tolist()
+        return _rows([(p % shards, p // shards, keys[order[bounds[p] : bounds[p + 1]]], counts[order[bounds[p] : bounds[p + 1]]]) for p in some], ["shard", "part"])
+
     def run(batches):
         counter, tree = _Counter("code"), common.value.tree
         for batch in batches:
@@ -161,21 +198,60 @@ def _trigrams(common):
                 kind = tree.kind(common.value.look_up(h)[2])
                 one, two = _contexts(row, kind, tree.classes)
                 counter.add((two * (tree.classes + 1) + one) * (tree.classes + 1) + kind)
-                yield from counter.take(HELD)
-        yield from counter.take()
+                if found := counter.drain(HELD):
+                    yield told(*found)
+        if found := counter.drain():
+            yield told(*found)
+
+    return run
+
+
+def _summed(batches):
+    """Adds up the counts of each part of a shard, from rows sorted by both."""
+    held, keys, counts = None, [], []
+
+    def done():
+        k, c = _added(keys, counts)
+        for a in range(0, len(k), PIECE):
+            yield _rows([(*held, k[a : a + PIECE], c[a : a + PIECE])], ["shard", "part"])
+
+    for batch in batches:
+        for shard, part, n, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if (shard, part) != held:
+                if held is not None:
+                    yield from done()
+                held, keys, counts = (shard, part), [], []
+            x, y = _unpack(n, k, c)
+            keys.append(x), counts.append(y)
+            if sum(map(len, keys)) > MERGED and len(keys) > 1:
+                x, y = _added(keys, counts)
+                keys, counts = [x], [y]
+    if held is not None:
+        yield from done()
+
+
+def _targets(classes: int):
+    """Counts by target class."""
+
+    def run(batches):
+        total = np.zeros(classes + 1)
+        for batch in batches:
+            for n, k, c in zip(*(batch.column(x).to_pylist() for x in ("size", "codes", "c")), strict=True):
+                keys, counts = _unpack(n, k, c)
+                total += np.bincount(keys % (classes + 1), counts, classes + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
 
     return run
 
 
 def _leaf_counts(common):
-    """Counts of leaves after a class: for each group, arrays of leaf and context in one number, and counts, as bytes."""
+    """Counts of leaves after a class: for each group, leaves and contexts in one number, with their counts."""
 
     def packed(keys, counts, tree):
         group, code = np.divmod(keys, tree.leaves * (tree.classes + 1))
         bounds = np.searchsorted(group, np.arange(tree.groups + 1))
-        g = np.flatnonzero(np.diff(bounds))
-        columns = [pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in g], pa.binary()) for x in (code.astype(np.int32), counts)]
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *columns], ["g", "code", "c"])
+        return _rows([(g, code[bounds[g] : bounds[g + 1]], counts[bounds[g] : bounds[g + 1]]) for g in np.flatnonzero(np.diff(bounds)).tolist()], ["g"])
 
     def run(batches):
         counter, tree = _Counter("code"), common.value.tree
@@ -341,32 +417,49 @@ class Scorer:
 def _shared(model, noise, step, round_, classes):
     def run(batches):
         def done():
-            code, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            code, count = _added(*zip(*parts, strict=True))
+            code = code.astype(np.int32)
             own = LogBilinear(classes).load(model.value)
-            own.train(code // (classes + 1) ** 2, code // (classes + 1) % (classes + 1), code % (classes + 1), weight.astype(float), noise, step, round_)
-            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([float(weight.sum())]), pa.array([own.packed().tobytes()], pa.binary())], ["shard", "weight", "model"])
+            own.train(code // (classes + 1) ** 2, code // (classes + 1) % (classes + 1), code % (classes + 1), count.astype(np.float32), noise, step, round_)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([float(count.sum())]), pa.array([own.packed().tobytes()], pa.binary())], ["shard", "weight", "model"])
 
         held, parts = None, []
         for batch in batches:
-            shard, code, c = (batch.column(x).to_numpy() for x in ("shard", "code", "c"))
-            for s in np.unique(shard):
-                if s != held and parts:
+            for shard, _, n, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if shard != held and parts:
                     yield done()
                     parts = []
-                held = int(s)
-                parts.append((code[shard == s], c[shard == s]))
+                held = shard
+                parts.append(_unpack(n, k, c))
         if parts:
             yield done()
 
     return run
 
 
+_PACKED = "size long, codes binary, c binary"
+
+
+def count_trigrams(training: DataFrame, common, n_tokens: int) -> DataFrame:
+    """Counts of class trigrams in shards (shard, part, size, codes, c); rows of a shard lie in one partition.
+
+    Shards are as many as the tokens ask for, so which model comes out depends on the rows alone. Each is added up in
+    several parts where there are more partitions than shards; all counts together are at most (classes + 1)^3.
+    """
+    shards = min(SHARDS, 1 + n_tokens // PER_SHARD)
+    parts = -(-partitions(training.sparkSession) // shards) if shards == SHARDS else 1
+    rows = training.mapInArrow(_trigrams(common, shards, parts), "shard long, part long, " + _PACKED)
+    rows = rows.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_summed, "shard long, part long, " + _PACKED)
+    if parts > 1:
+        rows = rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    return cut(rows)
+
+
 def fit(trigrams: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> LogBilinear:
-    """Trains on counts (code, c) of class trigrams; a shard's counts are sorted by code, and all counts
-    are at most (classes + 1)^3 together however large the corpus."""
+    """Trains on the shards of count_trigrams."""
     spark = trigrams.sparkSession
     model = LogBilinear(classes)
-    rows = trigrams.groupBy((F.col("code") % (classes + 1)).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("different")).collect()  # a row for each class
+    rows = trigrams.mapInArrow(_targets(classes), "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row for each class
     if not rows:
         return model
     noise = np.ones(classes)
@@ -374,12 +467,9 @@ def fit(trigrams: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Lo
         noise[r.k] += r.n
     noise /= noise.sum()
     model.bias[:] = np.log(noise)
-    shards = min(SHARDS, 1 + sum(r.different for r in rows) // PER_SHARD)
-    shares = trigrams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("long"))
-    shares = cut(shares.repartition(shards, "shard").sortWithinPartitions("shard", "code"))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.packed())
-        done = shares.mapInArrow(_shared(shared, noise, STEP / (1 + k), k, classes), "shard long, weight double, model binary").collect()  # a model for each shard
+        done = trigrams.mapInArrow(_shared(shared, noise, STEP / (1 + k), k, classes), "shard long, weight double, model binary").collect()  # a model for each shard
         done.sort(key=lambda r: r.shard)
         total = sum(r.weight for r in done)
         model.load(sum(np.frombuffer(r.model) * (r.weight / total) for r in done))
@@ -396,12 +486,13 @@ def _grown(model, tree):
             return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([leaves.r[held].tobytes()], pa.binary()), pa.array([leaves.bias[held].tobytes()], pa.binary())], ["g", "r", "bias"])
 
         for batch in batches:
-            for g, code, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for g, n, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if g != held:
                     if held is not None:
                         yield done()
                     held, counts = g, np.zeros((tree.leaves, tree.classes + 1), np.int64)
-                counts.reshape(-1)[np.frombuffer(code, np.int32)] += np.frombuffer(c, np.int64)  # a piece names each place once
+                code, c = _unpack(n, k, c)
+                counts.reshape(-1)[code] += c  # a piece names each place once
         if held is not None:
             yield done()
 
@@ -492,9 +583,8 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes: int = CLAS
     hashes, freq = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     tree = Tree(v, classes)
     common = spark.sparkContext.broadcast(Common(hashes, freq, tree))
-    trigrams = cut(training.mapInArrow(_trigrams(common), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
-    packed = training.mapInArrow(_leaf_counts(common), "g long, code binary, c binary")
-    model = fit(trigrams, classes)
+    packed = training.mapInArrow(_leaf_counts(common), "g long, " + _PACKED)
+    model = fit(count_trigrams(training, common, n), classes)
     scorer = spark.sparkContext.broadcast(Scorer(model, fit_leaves(packed, model, tree)))
     totals = np.full(tree.size, SMOOTH)
     for r in counts.mapInArrow(_shared_leaves(common), "leaf long, c long").groupBy("leaf").agg(F.sum(F.col("c") + SMOOTH).alias("t")).collect():  # groups times shared leaves at most
