@@ -34,6 +34,8 @@ COMMON = 1 << 18
 ROUNDS, LEAF_ROUNDS, BATCH, NOISE, STEP = 2, 2, 1024, 32, 0.1
 #: Training tokens that ask for another shard, and the most shards: as many models meet in the driver.
 PER_SHARD, SHARDS = 1 << 19, 32
+#: Least steps that a group's leaves are trained for: a group of few different counts is gone over more often.
+LEAF_STEPS = 64
 #: Counts that a merging task holds before it adds them up, and that one row carries at most.
 MERGED, PIECE = 1 << 22, 1 << 20
 SMOOTH = 0.1
@@ -373,7 +375,8 @@ class Leaves:
         r, bias = self.r[group], log_noise.copy()
         squares = [np.full(r.shape, 1e-4, np.float32), np.full(bias.shape, 1e-4, np.float32)]
         scale = (weight / weight.mean()).astype(np.float32)
-        for k in range(LEAF_ROUNDS):
+        rounds = max(LEAF_ROUNDS, -(-LEAF_STEPS // -(-len(target) // BATCH)))
+        for k in range(rounds):
             order = rng.permutation(len(target))
             drawn = rng.choice(len(bias), (-(-len(order) // BATCH), NOISE), p=noise)
             for j, a in enumerate(range(0, len(order), BATCH)):
@@ -383,7 +386,7 @@ class Leaves:
                 grad = np.zeros(r.shape, np.float32)
                 _add_rows(grad, np.concatenate((y, drawn[j])), np.concatenate((up[:, None] * q, down.T @ q)))
                 grad_b = np.bincount(y, up, len(bias)) + np.bincount(drawn[j], down.sum(0), len(bias))
-                _adagrad(((r, grad), (bias, grad_b.astype(np.float32))), squares, len(at), STEP / (1 + k))
+                _adagrad(((r, grad), (bias, grad_b.astype(np.float32))), squares, len(at), STEP / (1 + 2 * k / rounds))
         self.bias[group] = bias
 
     def normalisers(self) -> np.ndarray:

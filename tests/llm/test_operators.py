@@ -112,7 +112,8 @@ def test_secrets(spark, docs, empty):
     a = text.index("api_key")
     assert found[1].spans.startswith(f"assign:{a}:{a + 17}")
     assert {r.doc_id for r in secrets.without_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2, 3}
-    assert secrets.find_secrets(empty).count() == 0 and secrets.find_secrets(docs).count() == len(ROWS)
+    assert secrets.find_secrets(empty).count() == 0
+    assert {(r.n_assign, r.n_access, r.n_hex, r.n_random, r.spans) for r in secrets.find_secrets(docs).collect()} == {(0, 0, 0, 0, "")}
 
 
 def test_language_model(spark, docs, empty):
@@ -133,8 +134,49 @@ def test_language_model(spark, docs, empty):
             assert found[i].base_score == pytest.approx(want) and found[i].n_known == sum(counts[w] > 0 for w in t.split() + ["\n"]) and found[i].train_tokens == n
     assert sum(r.score for r in found.values()) > sum(r.base_score for r in found.values())  # the order of words is learned
     assert lbl.score(empty).count() == 0 and lbl.score(docs).count() == len(ROWS)
-    model = lbl.LogBilinear(5, 4)
-    assert (10 ** model.log10(np.full(5, 5), np.full(5, 2), np.arange(5))).sum() == pytest.approx(1)
+    assert all(r.n_tokens == 1 for r in lbl.score(docs).where("doc_id in (3, 4, 5)").collect())
+    model = lbl.LogBilinear(64)
+    scorer = lbl.Scorer(model, lbl.Leaves(model, lbl.Tree(300, 64)))
+    assert (10 ** scorer.of_class(np.full(64, 64), np.full(64, 2), np.arange(64))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_the_model_depends_on_rows_alone(spark):
+    rng = np.random.default_rng(9)
+    table = spark.createDataFrame([(i, " ".join(f"w{rng.integers(60)}" for _ in range(50))) for i in range(120)], "doc_id long, text string")
+    scores = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, parts in ((4, 3), (7, 10)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in lbl.score(table.repartition(parts), classes=32).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1]
+
+
+def test_noise_contrastive_gradient_is_that_of_its_objective():
+    rng = np.random.default_rng(0)
+    model = lbl.LogBilinear(6, 3, seed=1)
+    model.bias[:] = rng.normal(size=6)
+    two, one, y, drawn = (rng.integers(6, size=8) for _ in range(4))
+    w = rng.uniform(0.5, 2, size=8).astype(np.float32)
+    noise = rng.dirichlet(np.ones(6))
+    log_noise = np.log(noise).astype(np.float32)
+
+    def objective(flat):
+        m = lbl.LogBilinear(6, 3)
+        r, a, b, bias = (x.astype(float) for x in m.load(flat).parameters())
+        r, a, b, bias = r * 0 + flat[:21].reshape(7, 3), flat[21:30].reshape(3, 3), flat[30:39].reshape(3, 3), flat[39:45]
+        total = 0.0
+        for i in range(8):
+            q = r[one[i]] @ a + r[two[i]] @ b
+            odds = lambda k: q @ r[k] + bias[k] - np.log(noise[k]) - np.log(8)  # noqa: E731, B023
+            total += w[i] * (np.log(1 / (1 + np.exp(-odds(y[i])))) + sum(np.log(1 / (1 + np.exp(odds(k)))) for k in drawn))
+        return total
+
+    flat = model.packed()
+    found = np.concatenate([g.reshape(-1) for g in model.gradients(two, one, y, w, drawn, log_noise)])
+    step = np.eye(len(flat)) * 1e-5
+    exact = np.array([(objective(flat + d) - objective(flat - d)) / 2e-5 for d in step])
+    assert found == pytest.approx(exact, rel=1e-3, abs=1e-4)
 
 
 def test_language_model_knows_rare_words(spark):
@@ -149,10 +191,13 @@ def test_language_model_knows_rare_words(spark):
         leaf = tree.place(rank, np.arange(len(rank)).astype(np.uint64))
         own = leaf[~tree.is_shared(leaf)]
         assert len(set(own.tolist())) == len(own) and leaf.max() < tree.size and tree.is_shared(leaf[:1]).all() and (types > 40_000 or len(own) == types)
-    leaves = lbl.Leaves(lbl.LogBilinear(64), lbl.Tree(300, 64))
-    leaves.train(3, np.array([1, 2]), np.array([5, 6]), np.array([0, 1]), np.array([3.0, 1.0]))
+    model = lbl.LogBilinear(64)
+    leaves = lbl.Leaves(model, lbl.Tree(300, 64))
+    counts = np.zeros((leaves.tree.leaves, 65), np.int64)
+    counts[0, 5], counts[1, 6] = 3, 1
+    leaves.train(3, counts)
     inside = leaves.tree.singles + 3 * leaves.tree.leaves + np.arange(leaves.tree.leaves)
-    assert (10 ** leaves.log10(np.full(len(inside), 1), np.full(len(inside), 5), inside)).sum() == pytest.approx(1)
+    assert (10 ** lbl.Scorer(model, leaves).of_leaf(np.full(len(inside), 5), inside)).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_main_text(spark):
@@ -164,6 +209,9 @@ def test_main_text(spark):
         long = " ".join(("long text " * (i + 3)).split())
         assert found[i] == f"T{long}\n\nFirst {long} & bold 1\n\nSecond more {i}"
     assert found[100] == found[102] == "" and found[101] == "H\n\na b c d"
+    again = wrapper.main_text(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string"), broadcast=0)
+    assert sorted((r.page_id, r.text) for r in again.collect()) == sorted([*found.items(), (0, found[0])])
+    assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @pytest.mark.parametrize("page", [
@@ -189,16 +237,28 @@ def test_wrappers_of_copies_layouts_and_long_pages(spark):
 def test_pipeline(spark, tmp_path):
     rng = np.random.default_rng(5)
     clean = [(i, " ".join(f"the and of word{rng.integers(500)}" for _ in range(30)), "en", f"s{i % 3}", 1) for i in range(60)]
+    other = " ".join(f"the of and other{rng.integers(500)}" for _ in range(30))
     rows = clean + [(100, clean[0][1], "en", "s1", 1), (101, "1234 5678", "en", "s1", 1), (102, "the token = abcdefgh12 of and " + clean[1][1][:50], "en", "s1", 1), (103, "the test item one two three four five six seven eight nine of and", "en", "s2", 1)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    # ids that repeat with other texts, one of them a copy; rows without an id, one of them a copy; a whole row twice
+    rows += [(5, other, "en", "s1", 1), (6, clean[7][1], "en", "s1", 1), (None, "the and of a text that has no id but words of its own all the same", "en", "s1", 1), (None, clean[8][1], "en", "s1", 1), clean[9], (104, None, "en", "s1", None), (105, "", None, None, 0)]
+    spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "test item one two three four five six seven eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     gone = []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns + ["copy"] * (name == "mixing")
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         out.write.parquet(f"{tmp_path}/{k}")
         out = spark.read.parquet(f"{tmp_path}/{k}")
-        gone.append({r.doc_id for r in docs.collect()} - {r.doc_id for r in out.collect()})
+        told = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+        gone.append(told(docs) - told(out))
         docs = out
-    assert gone[:4] == [{101}, {100}, {103}, {102}] and all(i < 60 for i in gone[4])
+    text = {i: t for i, t, *_ in clean}
+    assert set(gone[0]) == {(101, "1234 5678"), (104, None), (105, "")} and gone[1] == {(100, text[0]): 1, (7, text[7]): 1, (None, text[8]): 1, (9, text[9]): 1}
+    assert [{d for d, _ in g} for g in gone[2:4]] == [{103}, {102}]
+    kept = [r for r in docs.collect() if r.doc_id == 5]
+    assert {r.text for r in kept} <= {text[5], other}
+    whole = [r for r in spark.read.parquet(f"{tmp_path}/3").collect()]
+    assert (5, text[5]) in {(r.doc_id, r.text) for r in whole} and (5, other) in {(r.doc_id, r.text) for r in whole} and (None, rows[66][1]) in {(r.doc_id, r.text) for r in whole}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
