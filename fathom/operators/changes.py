@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def last_of(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key of a batch: that which comes last."""
+    row = F.struct(*batch.columns)
+    return batch.groupBy(key).agg(F.max_by(row, order).alias("__row")).select("__row.*")
+
+
 def actions(current: DataFrame, incoming: DataFrame, key: str, mark: str, content: str) -> DataFrame:
     """(key, action, reindex) of an upsert: created, updated or unchanged by fingerprint; reindex if the content differs.
 
-    Rows of current that the batch doesn't name are left alone.
+    Rows of current that the batch doesn't name are left alone. Null marks are values like others. The
+    batch has a row for each key (last_of).
     """
     new = incoming.select(key, F.col(mark).alias("new_mark"), F.col(content).alias("new_content"))
-    old = current.select(key, F.col(mark).alias("old_mark"), F.col(content).alias("old_content"))
+    old = current.select(key, F.col(mark).alias("old_mark"), F.col(content).alias("old_content"), F.lit(True).alias("known"))
     rows = new.join(old, key, "left")
-    action = F.when(F.col("old_mark").isNull(), "created").when(F.col("old_mark") == F.col("new_mark"), "unchanged").otherwise("updated")
-    return rows.select(key, action.alias("action"), (F.col("old_content").isNull() | (F.col("old_content") != F.col("new_content"))).alias("reindex"))
+    fresh = F.col("known").isNull()
+    action = F.when(fresh, "created").when(F.col("old_mark").eqNullSafe(F.col("new_mark")), "unchanged").otherwise("updated")
+    return rows.select(key, action.alias("action"), (fresh | ~F.col("old_content").eqNullSafe(F.col("new_content"))).alias("reindex"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The next snapshot: rows of the batch replace those with their key."""
+    """The next snapshot: rows of the batch, one for each key (last_of), replace those with their key."""
     return current.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
@@ -28,10 +36,11 @@ def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def drift(left: DataFrame, right: DataFrame, key: str, mark: str) -> DataFrame:
-    """Keys whose marks differ between two tables, with the side that lacks them, if any."""
-    rows = left.select(key, F.col(mark).alias("l")).join(right.select(key, F.col(mark).alias("r")), key, "full_outer")
-    state = F.when(F.col("l").isNull(), "missing_left").when(F.col("r").isNull(), "missing_right").otherwise("changed")
-    return rows.where(~F.col("l").eqNullSafe(F.col("r"))).select(key, state.alias("state"))
+    """Keys whose marks differ between two tables, with the side that lacks them, if any; null marks are values like others."""
+    side = lambda df, m, has: df.select(key, F.col(mark).alias(m), F.lit(True).alias(has))
+    rows = side(left, "l", "in_l").join(side(right, "r", "in_r"), key, "full_outer")
+    state = F.when(F.col("in_l").isNull(), "missing_left").when(F.col("in_r").isNull(), "missing_right").when(~F.col("l").eqNullSafe(F.col("r")), "changed")
+    return rows.select(key, state.alias("state")).where("state is not null")
 
 
 def unembedded(chunks: DataFrame, vectors: DataFrame, key: str, content: str = "content_hash") -> DataFrame:
@@ -46,6 +55,14 @@ def owned_elsewhere(claims: DataFrame, held: DataFrame) -> DataFrame:
     return claims.join(have, (F.col("document_id") == F.col("d")) & other, "left_semi")
 
 
+def with_ids(held: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """(key, document_ids): those that a file had and those that it has now, sorted."""
+    have = lambda df, name: df.select(key, F.col("document_ids").alias(name))
+    rows = have(held, "a").join(have(more, "b"), key, "full_outer")
+    none = F.array().cast("array<string>")
+    return rows.select(key, F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))).alias("document_ids"))
+
+
 def whole_files(records: DataFrame, path: str = "path", error: str = "error") -> DataFrame:
     """Records of files without a bad record: a file is taken whole or not at all."""
     bad = records.where(F.coalesce(F.col(error), F.lit("")) != "").select(path).distinct()

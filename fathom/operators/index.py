@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import search_tokens
+from fathom.sources import versions
 
 SIZE, OVERLAP = 1400, 160
 
 
+def page_of(pages: Column, start: Column, end: Column) -> Column:
+    """The first page that holds a stretch of text whole, or null."""
+    holds = F.filter(pages, lambda p: (p["start"] <= start) & (start < end) & (end <= p["end"]))
+    return F.try_element_at(holds, F.lit(1))["page"]
+
+
 def chunks(docs: DataFrame, body: str = "body", pages: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Windows of SIZE characters that overlap by OVERLAP, never across a page boundary.
 
@@ -28,38 +38,110 @@ def chunks(docs: DataFrame, body: str = "body", pages: str | None = None, keep:
     starts = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((s["b"] - s["a"] - SIZE) / step)).cast("int")), lambda i: F.struct((s["a"] + i * step).alias("start"), F.least(s["a"] + i * step + SIZE, s["b"]).alias("end")))
     keep = keep or [c for c in docs.columns if c != body]
     out = docs.where(length > 0).select(*docs.columns, F.explode(F.flatten(F.transform(spans, starts))).alias("__c"))
-    page = F.filter(F.col(pages), lambda p: (p["start"] <= F.col("__c.start")) & (F.col("__c.start") < F.col("__c.end")) & (F.col("__c.end") <= p["end"])) if pages else None
-    out = out.select(*keep, "__c.start", "__c.end", *([F.try_element_at(page, F.lit(1))["page"].alias("page")] if pages else []), text.substr(F.col("__c.start") + 1, F.col("__c.end") - F.col("__c.start")).alias("text"))
+    out = out.select(*keep, "__c.start", "__c.end", *([page_of(F.col(pages), F.col("__c.start"), F.col("__c.end")).alias("page")] if pages else []), text.substr(F.col("__c.start") + 1, F.col("__c.end") - F.col("__c.start")).alias("text"))
     return out.where(F.col("text").rlike("(?U)\\S"))
 
 
 def postings(chunked: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """(key, token, tf, dl): each distinct token of a chunk, counted inside the row's own array, without a shuffle."""
-    rows = chunked.select(*key, search_tokens(text).alias("t"))
-    rows = rows.select(*key, F.size("t").alias("dl"), F.explode(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.size(F.filter("t", lambda y: y == x)).alias("tf")))).alias("p"))
-    return rows.select(*key, "p.token", "p.tf", "dl")
+    """(key, token, tf, dl): each distinct token of a chunk. A chunk's tokens are sorted in its own row, where equal ones
+    stand together: how far apart two changes lie is a count, so nothing is shuffled."""
+    rows = chunked.select(*key, F.array_sort(search_tokens(text)).alias("t")).withColumn("dl", F.size("t"))
+    first = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("at"), ((i == 0) | (F.get("t", i - 1) != x)).alias("new"))), lambda e: e["new"])
+    rows = rows.select(*key, "dl", first.alias("f"))
+    counted = F.transform("f", lambda e, i: F.struct(e["token"].alias("token"), (F.coalesce(F.get("f", i + 1)["at"], F.col("dl")) - e["at"]).alias("tf")))
+    return rows.select(*key, "dl", F.inline(counted)).select(*key, "token", "tf", "dl")
 
 
-def _equals(token: str):
-    return lambda y: y == token
+#: Documents that ask for another bucket of the persisted tables, and the most buckets.
+PER_BUCKET, MOST_BUCKETS = 20_000, 4096
+#: Places that the rows of one bucket are written from: a token may hold a third of all postings.
+WRITERS = 8
 
 
-def matches(chunked: DataFrame, tokens: list[str], text: Column) -> DataFrame:
-    """tf of a few query tokens as columns t0, t1, ..., and the chunk's length: a map over the scan.
+def bucket_of(token: str, buckets: int) -> int:
+    return zlib.crc32(token.encode()) % buckets
 
-    The counts come out of an inline of one struct, through which no filter on them is pushed: each
-    chunk is then cut into tokens once, not once for each mention of a count.
-    """
-    rows = chunked.withColumn("__t", search_tokens(text))
-    found = F.struct(F.size("__t").alias("dl"), *(F.coalesce(F.size(F.filter("__t", _equals(token))), F.lit(0)).alias(f"t{i}") for i, token in enumerate(tokens)))
-    return rows.select(*chunked.columns, F.inline(F.array(found)))
+
+@dataclass(frozen=True)
+class Index:
+    """Tables of a corpus: documents (doc_id, source, title, published_at, metadata, ...), chunks (chunk, doc_id, start,
+    end, text, ...), postings (token, chunk, doc_id, tf, dl, bucket), tokens (token, n_with, total, bucket) and a row of
+    corpus statistics (n_chunks, n_tokens). Buckets are by token, so a query reads those of its tokens only."""
+
+    documents: DataFrame
+    chunks: DataFrame
+    postings: DataFrame
+    tokens: DataFrame
+    corpus: DataFrame
+    buckets: int = 1
+
+    def of_tokens(self, table: DataFrame, tokens: list[str]) -> DataFrame:
+        return table.where(F.col("bucket").isin(*sorted({bucket_of(t, self.buckets) for t in tokens})) & F.col("token").isin(*tokens))
+
+    def found(self, tokens: list[str]) -> DataFrame:
+        """The postings of some tokens with n_with of each, and n_chunks and mean_length, which are over all chunks whatever is filtered."""
+        known = self.of_tokens(self.tokens, tokens).select("token", "n_with")  # a row for each token of a query
+        whole = self.corpus.select("n_chunks", (F.col("n_tokens") / F.col("n_chunks")).alias("mean_length"))  # one row
+        return self.of_tokens(self.postings, tokens).join(F.broadcast(known), "token").crossJoin(F.broadcast(whole))
+
+    def texts(self, keys: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the chunks of some keys (chunk, and more), which are few: partitions without any are not read."""
+        keys = keys.withColumn("part", (F.crc32(F.col("chunk").cast("binary")) % self.buckets).cast("int"))
+        return self.chunks.select("part", "chunk", *columns).join(F.broadcast(keys), ["part", "chunk"]).drop("part")
+
+
+def tables(documents: DataFrame, chunked: DataFrame, buckets: int = 1) -> dict[str, DataFrame]:
+    """The tables of an index but the aggregates: documents, chunks and postings."""
+    numbers = lambda c: (F.crc32(F.col(c).cast("binary")) % buckets).cast("int")
+    told = postings(chunked, ["chunk", "doc_id"], F.concat_ws(" ", "title", "text")).withColumn("bucket", numbers("token"))
+    return {"documents": documents, "chunks": chunked.drop(*({"title", "source", "published_at", "metadata"} & set(chunked.columns))).withColumn("part", numbers("chunk")), "postings": told}
+
+
+def aggregates(postings_: DataFrame) -> dict[str, DataFrame]:
+    """tokens, from postings: chunks with each, and how often it occurs."""
+    tokens = postings_.groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("n_with"), F.sum("tf").alias("total"))
+    return {"tokens": tokens}
+
+
+def corpus_row(chunks_: DataFrame, postings_: DataFrame) -> DataFrame:
+    """One row: chunks (those without a token too) and tokens."""
+    return chunks_.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(postings_.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")))
+
+
+PARTITIONED = {"chunks": ["part"], "postings": ["bucket"], "tokens": ["bucket"]}
+
+
+def spread(rows: DataFrame, column: str, key: str, buckets: int) -> DataFrame:
+    """Rows as they are written: by bucket from WRITERS places, sorted by key, so that a scan skips row groups."""
+    return rows.repartition(buckets * WRITERS, column, F.pmod(F.xxhash64("chunk" if "chunk" in rows.columns else key), F.lit(WRITERS))).sortWithinPartitions(column, key)
+
+
+def write(spark: SparkSession, folder: str, documents: DataFrame, chunked: DataFrame, buckets: int | None = None) -> Index:
+    """Builds and publishes an index; a reader sees the version before it, or the whole of it."""
+    buckets = buckets or min(MOST_BUCKETS, 1 + documents.count() // PER_BUCKET)
+    parts = tables(documents, chunked, buckets)
+    parts["chunks"], parts["postings"] = spread(parts["chunks"], "part", "chunk", buckets), spread(parts["postings"], "bucket", "token", buckets)
+    number = versions.publish(spark, f"{folder}/building", parts, PARTITIONED)
+    _, have, _ = versions.tables(spark, f"{folder}/building")
+    more = {"tokens": aggregates(have["postings"])["tokens"], "corpus": corpus_row(have["chunks"], have["postings"])}
+    paths = versions.latest(spark, f"{folder}/building")[1]["tables"]
+    data = f"{paths['postings'].rpartition('/')[0]}"
+    for name, rows in more.items():
+        (rows.coalesce(1) if name == "corpus" else rows.sortWithinPartitions("token")).write.partitionBy(*PARTITIONED.get(name, [])).parquet(f"{data}/{name}")
+        paths[name] = f"{data}/{name}"
+    versions.add(spark, folder, versions.latest(spark, folder)[0] + 1, {"tables": paths, "facts": {"buckets": buckets, "number": number}})
+    return read(spark, folder)
+
+
+def read(spark: SparkSession, folder: str) -> Index:
+    _, found, facts = versions.tables(spark, folder)
+    return Index(*(found[name] for name in ("documents", "chunks", "postings", "tokens", "corpus")), buckets=facts["buckets"])
 
 
-def statistics(matched: DataFrame, tokens: list[str]) -> DataFrame:
-    """One row: chunks, mean length, and chunks with each token; over all chunks, before any filter."""
-    return matched.agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("mean_length"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(tokens)))
-    )
+def of(documents: DataFrame, chunked: DataFrame) -> Index:
+    """An index that is not written anywhere, for small tables."""
+    parts = tables(documents, chunked)
+    return Index(parts["documents"], parts["chunks"], parts["postings"], aggregates(parts["postings"])["tokens"], corpus_row(parts["chunks"], parts["postings"]))
 
 
 def sampled(chunked: DataFrame, document: str, order: str) -> DataFrame:

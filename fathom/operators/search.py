@@ -21,6 +21,20 @@ class Filters:
     metadata: dict[str, str] = field(default_factory=dict)
     eligible: tuple[str, ...] | None = None
 
+    def __post_init__(self):
+        if unknown := [k for k in self.metadata if not isinstance(k, str)]:
+            raise ValueError(f"metadata keys must be names: {unknown}")
+        if self.since and self.until and self.since >= self.until:
+            raise ValueError("since must be before until")
+
+    @classmethod
+    def of(cls, given: dict) -> Filters:
+        """From a caller's dictionary; a key that is no filter is an error."""
+        known = {"source_ids", "since", "until", "metadata"}
+        if unknown := sorted(set(given) - known):
+            raise ValueError(f"unknown filters: {', '.join(unknown)}")
+        return cls(tuple(given.get("source_ids") or ()), given.get("since"), given.get("until"), dict(given.get("metadata") or {}))
+
     def condition(self) -> Column:
         """Half-open dates; an unknown date is outside any range; no eligible source matches nothing."""
         found = F.lit(True)
@@ -55,29 +69,67 @@ def tokens_in(expression) -> list[str]:
     return list(dict.fromkeys(t for child in expression[1:] for t in tokens_in(child)))
 
 
-def lexical(chunked: DataFrame, expression, filters: Filters = Filters(), text: Column | None = None) -> DataFrame:
-    """Chunks that match, with a BM25 relevance; statistics are over all chunks whatever the filters.
+def _described(hits: DataFrame, ix: index.Index, filters: Filters) -> DataFrame:
+    """hits with what their documents state, of documents that pass the filters."""
+    return hits.join(ix.documents.where(filters.condition()), "doc_id")
+
 
-    An empty expression matches nothing.
+def lexical(ix: index.Index, expression, filters: Filters | None = None) -> DataFrame:
+    """(chunk, doc_id, relevance) of chunks that match, by BM25, and what their documents state if there are filters.
+
+    Statistics are over all chunks whatever the filters. An empty expression matches nothing.
     """
     if not expression:
-        return chunked.withColumn("relevance", F.lit(0.0)).where(F.lit(False))
+        none = ix.chunks.where(F.lit(False)).select("chunk", "doc_id", F.lit(0.0).alias("relevance"))
+        return _described(none, ix, filters) if filters else none
     tokens = tokens_in(expression)
-    text = text if text is not None else F.concat_ws(" ", "title", "text")
-    matched = index.matches(chunked, tokens, text)
-    stats = index.statistics(matched, tokens)  # one row
-    rows = matched.where(filters.condition()).crossJoin(F.broadcast(stats))
-    has = {t: F.col(f"t{i}") > 0 for i, t in enumerate(tokens)}
-    part = {t: scoring.bm25(scoring.idf(F.col("n_chunks"), F.col(f"n{i}")), F.col(f"t{i}"), F.col("dl"), F.col("mean_length")) for i, t in enumerate(tokens)}
-    match, score = branch_score(expression, tokens, part, has)
-    return rows.where(match).withColumn("relevance", score).drop("dl", "n_chunks", "mean_length", *(f"{x}{i}" for i in range(len(tokens)) for x in "tn"))
+    part = scoring.bm25(scoring.idf(F.col("n_chunks"), F.col("n_with")), F.col("tf"), F.col("dl"), F.col("mean_length"))
+    rows = ix.found(tokens).withColumn("part", part).groupBy("chunk")
+    if isinstance(expression, str) or all(isinstance(x, str) for x in expression[1:]):
+        # one level: parts add up, and a token that stands there twice counts twice
+        given = [expression] if isinstance(expression, str) else list(expression[1:])
+        again = [t for t in tokens if given.count(t) > 1]
+        times = F.coalesce(F.create_map(*(F.lit(x) for t in again for x in (t, given.count(t))))[F.col("token")], F.lit(1)) if again else F.lit(1)
+        hits = rows.agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("part") * times).alias("relevance"), F.count(F.lit(1)).alias("n"))
+        hits = hits.where(F.col("n") == len(tokens)) if expression[0] == "and" and not isinstance(expression, str) else hits
+    else:
+        hits = rows.agg(F.max("doc_id").alias("doc_id"), F.map_from_entries(F.collect_list(F.struct("token", "part"))).alias("parts"))
+        match, score = branch_score(expression, tokens, {t: F.coalesce(F.col("parts")[t], F.lit(0.0)) for t in tokens}, {t: F.map_contains_key("parts", F.lit(t)) for t in tokens})
+        hits = hits.where(match).withColumn("relevance", score)
+    hits = hits.select("chunk", "doc_id", "relevance")
+    return _described(hits, ix, filters) if filters else hits
+
+
+def ranked_text(ix: index.Index, tokens: list[str], filters: Filters | None = None) -> DataFrame:
+    """(chunk, doc_id, relevance) of chunks with any token, by text-search rank, and what their documents state if there are filters."""
+    parts = ix.of_tokens(ix.postings, tokens).groupBy("chunk")
+    hits = parts.agg(F.max("doc_id").alias("doc_id"), F.sum(scoring.ts_rank(F.col("tf"), len(tokens))).alias("relevance"))
+    return _described(hits, ix, filters) if filters else hits
+
 
+def eligible_sources(sources: DataFrame, weights: dict[str, float], asked: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Enabled sources that are asked for and whose weight is not 0: what a limited search is held to before its limit."""
+    rows = sources.where("enabled").where(F.col("source").isin(*asked) if asked else F.lit(True))
+    return tuple(sorted(r.source for r in rows.where(scoring.weight_of(F.col("source"), weights) > 0).select("source").collect()))  # a row for each source
 
-def ranked_text(chunked: DataFrame, tokens: list[str], text: Column | None = None) -> DataFrame:
-    """Chunks with any token, by text-search rank."""
-    matched = index.matches(chunked, tokens, text if text is not None else F.concat_ws(" ", "title", "text"))
-    score = scoring.total([F.when(F.col(f"t{i}") > 0, scoring.ts_rank(F.col(f"t{i}"), len(tokens))).otherwise(0.0) for i in range(len(tokens))])
-    return matched.withColumn("relevance", score).where("relevance > 0").drop("dl", *(f"t{i}" for i in range(len(tokens))))
+
+def results(ix: index.Index, hits: DataFrame, policy, now: str, limit: int, url: Column) -> tuple[DataFrame, DataFrame]:
+    """(results, totals) from hits (chunk, doc_id, relevance): best chunk of each document under a policy, with what a reader is shown."""
+    described = hits.join(ix.documents, "doc_id")
+    scored = apply_policy(described, policy.weights, policy.freshness_boost, policy.half_life_days, now)
+    totals = described.agg(F.count(F.lit(1)).alias("matched_chunks")).crossJoin(scored.agg(F.countDistinct("doc_id").alias("total")))
+    best = top(best_per_document(scored, "doc_id", "score", "chunk"), "score", "doc_id", limit)
+    pages = ["page"] if "page" in ix.chunks.columns else []
+    shown = ix.texts(best, "start", "end", "text", *pages)
+    details = F.struct("relevance", "source_weight", "freshness", (1 + policy.freshness_boost * F.col("freshness")).alias("recency_multiplier"))
+    rows = shown.select(
+        F.col("doc_id").alias("id"), "title", url.alias("url"), F.col("source").alias("source_id"), "published_at", F.col("text").alias("snippet"), F.struct("start", "end", *pages).alias("citation"), "score", details.alias("score_details"),
+    )
+    return rows.orderBy(F.col("score").desc(), "id"), totals
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "title", "url")
 
 
 def apply_policy(hits: DataFrame, weights: dict[str, float], boost: float, half_life_days: float, now: str) -> DataFrame:
@@ -137,6 +189,17 @@ def blend(lexical_hits: DataFrame, near: DataFrame, key: str, minimum: float) ->
     return rows.where(F.col("l").isNotNull() | (F.col("s") >= minimum)).select(key, (worded + meant).alias("relevance"))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """(query, key, similarity, rank) of the nearest vectors (key, embedding) of each of a few queries (query, embedding), by exact cosine.
+
+    The queries are broadcast, so the vectors are read once for all of them, and each task passes on `limit` rows a query.
+    """
+    few = queries.select("query", F.col("embedding").alias("q"))
+    near = vectors.select("key", "embedding").crossJoin(F.broadcast(few)).select("query", "key", F.round(scoring.cosine(F.col("embedding"), F.col("q")), 12).alias("similarity")).where("similarity is not null")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scoring
 from fathom.functions.text import lexical_query_tokens
-from fathom.operators import search
+from fathom.operators import index, search
 
 STAGES = ("lexical", "dense", "hybrid", "rrf", "rerank", "rewrite")
 MOST_CANDIDATES, POOL, MOST_PHRASINGS, LONGEST_PHRASING = 1000, 50, 3, 500
@@ -40,39 +41,45 @@ def phrasings(query: str, rewrite: Rewrite | None) -> list[str]:
     return list(dict.fromkeys([query, *variants]))[:MOST_PHRASINGS]
 
 
-def dense(vectors: DataFrame, chunks: DataFrame, key: str, query_vector: Sequence[float], limit: int) -> DataFrame:
-    """(key, similarity) of the nearest eligible chunks that have a vector, by exact cosine."""
-    target = F.array(*(F.lit(float(x)) for x in query_vector))
-    near = vectors.join(chunks.select(key), key, "left_semi").select(key, F.round(scoring.cosine(F.col("embedding"), target), 12).alias("similarity"))
-    return search.top(near.where("similarity is not null"), "similarity", key, limit)
+def unit_or_error(vector: Sequence[float]) -> list[float]:
+    """A query vector as doubles; an empty, zero or non-finite one is an error."""
+    found = [float(x) for x in vector]
+    if not found or not all(map(math.isfinite, found)) or not any(found):
+        raise ValueError("a query vector must be finite and not zero")
+    return found
 
 
-def candidate_lists(chunks: DataFrame, vectors: DataFrame | None, key: str, stage: str, queries: list[str], embed: Embed | None, candidates: int, filters: search.Filters | None) -> DataFrame:
+def dense(ix: index.Index, vectors: DataFrame, query_vector: Sequence[float], limit: int, filters: search.Filters | None = None, model: str | None = None) -> DataFrame:
+    """(chunk, similarity) of the nearest chunks that have a vector (of one model, if named), by exact cosine; filters hold before the limit."""
+    target = F.array(*map(F.lit, unit_or_error(query_vector)))
+    vectors = vectors.where(F.col("model_digest") == model) if model is not None else vectors
+    owned = ix.chunks.select("chunk", "doc_id")
+    owned = owned.join(ix.documents.where(filters.condition()).select("doc_id"), "doc_id", "left_semi") if filters else owned
+    near = vectors.join(owned, "chunk", "left_semi").select("chunk", F.round(scoring.cosine(F.col("embedding"), target), 12).alias("similarity"))
+    return search.top(near.where("similarity is not null"), "similarity", "chunk", limit)
+
+
+def candidate_lists(ix: index.Index, vectors: DataFrame | None, stage: str, queries: list[str], embed: Embed | None, candidates: int, filters: search.Filters | None, model: str | None = None) -> DataFrame:
     """(list_id, item, score): the top of each branch for each phrasing; filters hold before the limit."""
-    eligible = chunks.where(filters.condition()) if filters else chunks
     lists = []
     for i, query in enumerate(queries):
-        if stage != "dense":
-            tokens = lexical_query_tokens(query)
-            if tokens:
-                found = search.ranked_text(eligible, tokens).select(key, F.round("relevance", 12).alias("score"))
-                lists.append(search.top(found, "score", key, candidates).select(F.lit(f"lexical{i}").alias("list_id"), F.col(key).alias("item"), "score"))
+        tokens = lexical_query_tokens(query)
+        if stage != "dense" and tokens:
+            found = search.ranked_text(ix, tokens, filters).select("chunk", F.round("relevance", 12).alias("score"))
+            lists.append(search.top(found, "score", "chunk", candidates).select(F.lit(f"lexical{i}").alias("list_id"), F.col("chunk").alias("item"), "score"))
         if stage != "lexical" and vectors is not None and embed is not None:
-            found = dense(vectors, eligible, key, embed(query), candidates)
-            lists.append(found.select(F.lit(f"dense{i}").alias("list_id"), F.col(key).alias("item"), F.col("similarity").alias("score")))
+            found = dense(ix, vectors, embed(query), candidates, filters, model)
+            lists.append(found.select(F.lit(f"dense{i}").alias("list_id"), F.col("chunk").alias("item"), F.col("similarity").alias("score")))
     if not lists:
-        return chunks.where(F.lit(False)).select(F.lit("").alias("list_id"), F.col(key).alias("item"), F.lit(0.0).alias("score"))
-    out = lists[0]
-    for more in lists[1:]:
-        out = out.unionByName(more)
-    return out
+        return ix.chunks.where(F.lit(False)).select(F.lit("").alias("list_id"), F.col("chunk").alias("item"), F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionByName, lists)
 
 
-def rerank_pool(pool: DataFrame, query: str, key: str, score: Rerank) -> DataFrame:
+def rerank_pool(pool: DataFrame, query: str, score: Rerank) -> DataFrame:
     """Scores a pool of at most POOL rows in one task. Scores that fail, are too few or not finite leave the order as it was."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", key], ascending=[False, True])
+        rows = rows.sort_values(["score", "chunk"], ascending=[False, True])
         try:
             found = [float(x) for x in score(query, rows["text"].tolist())]
             good = len(found) == len(rows) and all(map(math.isfinite, found))
@@ -85,10 +92,10 @@ def rerank_pool(pool: DataFrame, query: str, key: str, score: Rerank) -> DataFra
 
 
 def staged(
-    chunks: DataFrame, vectors: DataFrame | None, query: str, stage: str = "rrf", *, key: str = "chunk", document: str = "doc_id", limit: int = 10, candidates: int = 100,
-    embed: Embed | None = None, rewrite: Rewrite | None = None, rerank: Rerank | None = None, filters: search.Filters | None = None,
+    ix: index.Index, vectors: DataFrame | None, query: str, stage: str = "rrf", *, limit: int = 10, candidates: int = 100,
+    embed: Embed | None = None, rewrite: Rewrite | None = None, rerank: Rerank | None = None, filters: search.Filters | None = None, model: str | None = None,
 ) -> DataFrame:
-    """(key, document, score, reranked): one row per document, the best `limit` of a stage.
+    """(chunk, doc_id, score, reranked): one row per document, the best `limit` of a stage.
 
     lexical and dense take one list; hybrid adds scores over their list's greatest, rrf reciprocal
     ranks; rerank scores the 50 best documents of rrf anew; rewrite fuses the lists of all phrasings and
@@ -103,16 +110,16 @@ def staged(
     if stage == "dense" and (vectors is None or embed is None):
         raise ValueError("the dense stage needs vectors and an embedder")
     queries = phrasings(query, rewrite if stage == "rewrite" else None)
-    lists = candidate_lists(chunks, vectors, key, stage, queries, embed, candidates, filters)
+    lists = candidate_lists(ix, vectors, stage, queries, embed, candidates, filters, model)
     if stage in ("lexical", "dense"):
         ranked = lists.select("item", "score")
     else:
         ranked = search.fuse(lists, "normalised" if stage == "hybrid" else "rrf").withColumn("score", F.round("score", 12))
-    names = [key, document] + (["text"] if stage in ("rerank", "rewrite") else [])
-    rows = chunks.select(*names).join(F.broadcast(ranked.withColumnRenamed("item", key)), key)
-    best = search.best_per_document(rows, document, "score", key)
-    if stage in ("rerank", "rewrite") and rerank is not None:
-        best = rerank_pool(search.top(best, "score", key, POOL), query, key, rerank)
+    again = stage in ("rerank", "rewrite") and rerank is not None
+    rows = ix.texts(ranked.withColumnRenamed("item", "chunk"), "doc_id", *["text"] * again)
+    best = search.best_per_document(rows, "doc_id", "score", "chunk")
+    if again:
+        best = rerank_pool(search.top(best, "score", "chunk", POOL), query, rerank)
     else:
         best = best.withColumn("reranked", F.lit(False))
-    return search.top(best, "score", key, limit).select(key, document, "score", "reranked")
+    return search.top(best, "score", "chunk", limit).select("chunk", "doc_id", "score", "reranked")

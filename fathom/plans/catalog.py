@@ -5,19 +5,24 @@ The corpus has no titles, dates or metadata: they derive from doc_id and lang on
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions import scoring
+from fathom import hub
+from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
-from fathom.operators import changes, index, search, stages
+from fathom.operators import changes, evaluation, index, search, stages
 from fathom.plans import planner
-from fathom.sources import files
+from fathom.sources import files, versions
+from fathom.sources.policy import Policy, difference
+from fathom.streaming import sync
 
 NOW = "2026-09-30 00:00:00"
 WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
 BOOST, HALF_LIFE = 0.5, 30.0
-COMMON_QUERY, QUESTION = ("or", "that", "from", "par"), "between this token, that one from here with those"
+COMMON_QUERY = ("or", "that", "from", "par")
 STAGE_QUERY, STAGE_VARIANT, LEAST_SIMILARITY = "entre haben token par", "entre token", 0.2
 OR_QUERY, AND_QUERY = ("or", "entre", "which", "haben", "token"), ("and", "the", "token")
 
@@ -39,6 +44,24 @@ def chunked(spark, sf_dir) -> DataFrame:
     return index.chunks(corpus(spark, sf_dir)).withColumn("chunk", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("start").cast("string"), 9, "0")))
 
 
+def _kept(spark, name: str, tables) -> index.Index:
+    """An index that is built when a session first asks for it, and read from then on."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _BUILT:
+        folder = f"{versions.working_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.write(spark, folder, *tables())
+        _BUILT[key] = folder
+    return index.read(spark, _BUILT[key])
+
+
+def indexed(spark, sf_dir) -> index.Index:
+    """The persisted index of the corpus."""
+    return _kept(spark, sf_dir, lambda: (corpus(spark, sf_dir).drop("body"), chunked(spark, sf_dir)))
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -62,41 +85,68 @@ def corpus_stats(spark, sf_dir):
 
 
 def token_df(spark, sf_dir):
-    return index.postings(chunked(spark, sf_dir), ["chunk"], F.concat_ws(" ", "title", "text")).groupBy("token").agg(F.count(F.lit(1)).alias("n_with"), F.sum("tf").alias("total"))
+    return indexed(spark, sf_dir).tokens.select("token", "n_with", "total")
 
 
 def lexical_search(spark, sf_dir):
-    hits = search.lexical(chunked(spark, sf_dir), OR_QUERY)
+    hits = search.lexical(indexed(spark, sf_dir), OR_QUERY)
     return _round(search.top(hits, "relevance", "chunk", 50).select("chunk", "doc_id", "relevance"), "relevance")
 
 
 def lexical_search_and(spark, sf_dir):
-    return _round(search.lexical(chunked(spark, sf_dir), AND_QUERY).select("chunk", "doc_id", "relevance"), "relevance")
+    return _round(search.lexical(indexed(spark, sf_dir), AND_QUERY).select("chunk", "doc_id", "relevance"), "relevance")
 
 
 def tsrank_search(spark, sf_dir):
-    return _round(search.ranked_text(chunked(spark, sf_dir), list(OR_QUERY[1:])).select("chunk", "relevance"), "relevance")
+    return _round(search.ranked_text(indexed(spark, sf_dir), list(OR_QUERY[1:])).select("chunk", "relevance"), "relevance")
 
 
 def filtered_search(spark, sf_dir):
     filters = search.Filters(source_ids=("src1", "src2", "src4"), since="2026-02-01", until="2026-10-01", metadata={"lang": "en"}, eligible=("src1", "src2"))
-    return _round(search.lexical(chunked(spark, sf_dir), COMMON_QUERY, filters).select("chunk", "doc_id", "relevance"), "relevance")
+    return _round(search.lexical(indexed(spark, sf_dir), COMMON_QUERY, filters).select("chunk", "doc_id", "relevance"), "relevance")
 
 
 def policy_search(spark, sf_dir):
-    hits = search.apply_policy(search.lexical(chunked(spark, sf_dir), OR_QUERY), WEIGHTS, BOOST, HALF_LIFE, NOW)
+    hits = search.apply_policy(search.lexical(indexed(spark, sf_dir), OR_QUERY, search.Filters()), WEIGHTS, BOOST, HALF_LIFE, NOW)
     best = search.best_per_document(hits, "doc_id", "score", "chunk")
     return _round(search.top(best, "score", "doc_id", 10).select("doc_id", "chunk", "relevance", "source_weight", "freshness", "score"), "relevance", "freshness", "score")
 
 
+def search_results(spark, sf_dir):
+    """What a caller is shown, flat, with the totals on each row."""
+    ix = indexed(spark, sf_dir)
+    rows, totals = search.results(ix, search.lexical(ix, OR_QUERY), Policy(1, WEIGHTS, BOOST, HALF_LIFE), NOW, 10, F.concat(F.lit("/api/documents/"), F.col("doc_id").cast("string")))
+    shown = rows.select("id", "title", "url", "source_id", F.md5("snippet").alias("snippet_md5"), F.col("citation.start").cast("long").alias("start"), F.col("citation.end").cast("long").alias("end"), "score", "score_details.recency_multiplier")
+    return _round(shown.crossJoin(F.broadcast(totals)), "score", "recency_multiplier")
+
+
 def best_chunk_per_doc(spark, sf_dir):
-    return _round(search.best_per_document(search.lexical(chunked(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk").select("doc_id", "chunk", "relevance"), "relevance")
+    return _round(search.best_per_document(search.lexical(indexed(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk").select("doc_id", "chunk", "relevance"), "relevance")
+
+
+LIBRARY = (
+    (1, "Micron call 2026-08-12", "HBM demand grew in 2026. Micron sees more data center revenue."), (2, "Micron call 2026-05-01", "NAND flash supply is short; gross margin fell."), (3, "Other call 2026-08-12", "HBM demand at Micron was named by others."),
+    (4, "芯片订单", "芯片订单增长。完全相同的测试文本。"), (5, "虚构公司 2026-08-12", "虚构公司的高带宽内存产能扩张，客户需求增长。"), (6, "Straßenbau ﬁnal report", "Die Straße kostet mehr. A ﬁnal efﬁciency note."),
+    (7, "Aurora Systems letter", "capital spending on accelerators rose; operating cash flow and free cash flow too"), (8, "Aurora Systems letter", "inventory and orders; the outlook for semiconductors, supply and customers, growth and capacity"), (9, "notes", "capex capex gpu depreciation"), (10, "filler", "nothing of note"),
+)
+QUESTIONS = (
+    ("name, date, anchor, concept", "What is the HBM demand for Micron in 2026-08-12?"), ("aliases", "tell me about nova revenue"), ("cjk date", "虚构公司2026年8月12日的产能情况如何"), ("cjk concept", "芯片订单的增长"), ("folded", "strasse FINAL"),
+    ("relaxed", "supply demand customers capacity growth inventory"), ("longest alias", "free cash flow"), ("only a date", "2026-08-12"), ("unknown name", "What did Zephyr say about gross margin?"),
+)
+ALIASES = (("nova", "Micron"),)
 
 
 def planned_search(spark, sf_dir):
-    plan = planner.plan_query(QUESTION)
-    rows = search.lexical(chunked(spark, sf_dir), plan.expression)
-    return _round(rows.where(plan.accepts_title(F.col("title")) & plan.accepts_passage(F.col("title"), F.col("text"))).select("chunk", "relevance"), "relevance")
+    """Questions over a small bilingual library: what is planned for each, and what it finds."""
+    rows = spark.createDataFrame(list(LIBRARY), "doc_id long, title string, text string")
+    ix, out = _kept(spark, "library", lambda: (rows.drop("text"), rows.withColumn("chunk", F.col("doc_id").cast("string")))), None
+    for name, question in QUESTIONS:
+        plan = planner.plan_query(question, ALIASES)
+        hits = search.lexical(ix, plan.expression, search.Filters()).join(rows.select("doc_id", "text"), "doc_id")
+        fits = plan.accepts_title(F.col("title")) & plan.accepts_passage(F.col("title"), F.col("text"))
+        hits = hits.where(fits).select(F.lit(name).alias("question"), "doc_id", "relevance")
+        out = hits if out is None else out.unionByName(hits)
+    return _round(out, "relevance")
 
 
 def _near(spark, sf_dir) -> DataFrame:
@@ -110,8 +160,15 @@ def dense_topk(spark, sf_dir):
     return _round(search.top(_near(spark, sf_dir), "similarity", "vec_id", 20), "similarity")
 
 
+def nearest_batch(spark, sf_dir):
+    """The three vectors nearest to each of the first ten: one pass over the table for all queries."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    queries = vectors.orderBy("key").limit(10).select(F.col("key").alias("query"), "embedding")
+    return _round(search.nearest(queries, vectors, 3).select("query", "key", "similarity", F.col("rank").cast("long").alias("rank")), "similarity")
+
+
 def _lists(spark, sf_dir) -> DataFrame:
-    lexical = search.top(search.best_per_document(search.lexical(chunked(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk"), "relevance", "doc_id", 100)
+    lexical = search.top(search.best_per_document(search.lexical(indexed(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk"), "relevance", "doc_id", 100)
     dense = search.top(_near(spark, sf_dir), "similarity", "vec_id", 100)
     return lexical.select(F.lit("lexical").alias("list_id"), F.col("doc_id").alias("item"), F.col("relevance").alias("score")).unionByName(
         dense.select(F.lit("dense").alias("list_id"), F.col("vec_id").alias("item"), F.col("similarity").alias("score"))
@@ -161,9 +218,12 @@ def latency_summary(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
+    """Two snapshots of all documents: some with other ids in one of them, some with other texts, some with other languages."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.md5("text").alias("content"), F.md5(F.concat_ws("|", "text", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("lang")))).alias("mark"))
-    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content"), F.md5(F.concat_ws("|", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "lang")).alias("mark"))
+    moved = lambda k, by: F.when(F.col("doc_id") % k == 0, -F.col("doc_id") - by).otherwise(F.col("doc_id")).alias("doc_id")
+    text_ = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.select(moved(5, 1), F.md5("text").alias("content"), F.md5(F.concat_ws("|", "text", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("lang")))).alias("mark"))
+    new = docs.select(moved(11, 2), F.md5(text_).alias("content"), F.md5(F.concat_ws("|", text_, "lang")).alias("mark"))
     return old, new
 
 
@@ -199,11 +259,13 @@ def rank_movement(spark, sf_dir):
 
 
 def policy_diff(spark, sf_dir):
-    table = lambda weights, name: spark.createDataFrame(sorted(weights.items()), f"source string, {name} double")
-    sources = _table(spark, sf_dir, "documents").select("source").distinct()
-    rows = sources.join(table(WEIGHTS, "b"), "source", "left").join(table({"src1": 2.0, "src4": 3.0}, "a"), "source", "left")
-    rows = rows.select("source", F.coalesce("b", F.lit(1.0)).alias("before"), F.coalesce("a", F.lit(1.0)).alias("after"))
-    return rows.where("before <> after")
+    return difference(_table(spark, sf_dir, "documents"), Policy(1, WEIGHTS), Policy(2, {"src1": 2.0, "src4": 3.0}))
+
+
+def policy_experiment(spark, sf_dir):
+    policies = {"plain": Policy(), "weighted": Policy(1, WEIGHTS), "fresh": Policy(1, {}, BOOST, HALF_LIFE)}
+    rows = evaluation.policy_experiment(indexed(spark, sf_dir), OR_QUERY, policies, NOW)
+    return _round(rows.select("policy", "doc_id", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
 def html_to_text(spark, sf_dir):
@@ -211,13 +273,78 @@ def html_to_text(spark, sf_dir):
 
 
 def sync_state(spark, sf_dir):
-    """Last state of each file when events are observations of files: of one content, failures in a row count."""
-    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), "ts", "event_id", (F.col("value") >= 10).alias("ok"))
-    w = Window.partitionBy("path").orderBy("ts", "event_id")
-    runs = events.withColumn("run", F.sum(F.col("ok").cast("long")).over(w))
-    last = runs.groupBy("path", "run").agg(F.sum((~F.col("ok")).cast("long")).alias("attempts"))
-    newest = last.groupBy("path").agg(F.max_by("attempts", "run").alias("attempts"))
-    return newest.select("path", "attempts", F.when(F.col("attempts") == 0, "ok").when(F.col("attempts") >= 3, "failed").otherwise("retrying").alias("state"))
+    """Last state of each file when events are observations of files: the type is what stands in the file, a low value a failure to read it."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), "ts", "event_id", F.col("event_type").alias("sha"), (F.col("value") >= 10).alias("ok"))
+    return sync.last_states(events)
+
+
+def sync_decisions(spark, sf_dir):
+    """Documents as listed files against a kept state in which some have other content, another state, or another name."""
+    docs = _table(spark, sf_dir, "documents")
+    at, k = F.lit(NOW).cast("timestamp"), F.col("doc_id")
+    listed = docs.select(k.alias("path"), F.md5("text").alias("sha"), F.timestamp_add("SECOND", -(k % 100).cast("int"), at).alias("modified"))
+    name = F.when(k % 3 == 0, "ok").when(k % 3 == 1, "retrying").otherwise("failed")
+    kept = docs.select(F.when(k % 13 == 0, -k - 1).otherwise(k).alias("path"), F.when(k % 4 == 0, "other").otherwise(F.md5("text")).alias("sha"), name.alias("state"), (k % 3).cast("int").alias("attempts"), F.timestamp_add("SECOND", (k % 7 - 3).cast("int"), at).alias("next_retry"))
+    return sync.decide(listed, kept, at, 10.0).select("path", "action", F.col("attempts").cast("long").alias("attempts"))
+
+
+def hub_update(spark, sf_dir):
+    """Chunks of each document after a batch over all documents has changed some texts and some metadata: what is carried over and what is cut anew."""
+    docs = corpus(spark, sf_dir).where(F.col("body").rlike("(?U)\\S"))
+    batch = docs.select("source", F.col("doc_id").cast("string").alias("external_id"), "title", "body", "published_at", F.lit("").alias("url"), "metadata", F.array().cast("array<struct<page:int,start:int,end:int>>").alias("pages"))
+    home = hub.Hub(spark, f"{versions.working_folder(spark)}/hub-{uuid.uuid4().hex}")
+    home.upsert_sources(batch.select("source").distinct().select("source", F.col("source").alias("name"), F.lit("local").alias("kind"), F.lit(True).alias("enabled")))
+    home.ingest(batch)
+    k = F.col("external_id").cast("long")
+    told = home.ingest(batch.withColumn("body", F.when(k % 10 == 0, F.concat(F.lit("new "), "body")).otherwise(F.col("body"))).withColumn("metadata", F.when(k % 10 == 1, F.create_map(F.lit("lang"), F.lit("xx"))).otherwise(F.col("metadata"))))
+    owners = home.table("documents").select("doc_id", "external_id", F.col("metadata")["lang"].alias("lang"))
+    rows = home.table("chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("characters"))
+    have = home.table("postings").groupBy("doc_id").agg(F.sum("tf").alias("tokens"))
+    return owners.join(rows, "doc_id").join(have, "doc_id", "left").select("external_id", "lang", "chunks", "characters", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(told["updated"]).alias("updated"), F.lit(told["unchanged"]).alias("unchanged"))
+
+
+def _runs(spark, sf_dir):
+    """Evaluation runs: a query for each twentieth of the documents, in the languages and sources of its documents."""
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), "n_chars", "lang")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("n_chars").desc(), "item"))
+    labels = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), (F.col("quality") + F.col("toxic")).cast("long").alias("grade"))
+    return docs.withColumn("rank", rank).select("query", "item", "rank"), labels
+
+
+def eval_summary(spark, sf_dir):
+    ranked, labels = _runs(spark, sf_dir)
+    measured = search.metrics(ranked, labels, 10)
+    runs = measured.select("*", F.when(F.col("query") % 2 == 0, "en").otherwise("zh").alias("language"), (F.col("query") % 5 == 0).alias("degraded"))
+    return _round(evaluation.summary(runs), *evaluation.MEASURES)
+
+
+def report_mismatches(spark, sf_dir):
+    """Every third query's saved recall is off."""
+    ranked, labels = _runs(spark, sf_dir)
+    saved = search.metrics(ranked, labels, 10).withColumn("recall", F.col("recall") + F.when(F.col("query") % 3 == 0, 0.1).otherwise(0.0))
+    return evaluation.mismatches(saved, ranked, labels)
+
+
+def run_health(spark, sf_dir):
+    runs = _table(spark, sf_dir, "events").select((F.col("event_type") == "view").alias("no_answer_expected"), (F.col("event_id") % 3).alias("returned"), (F.col("value") > 90).alias("failed"), (F.col("value") < 5).alias("degraded"), F.col("value").alias("elapsed_ms"))
+    return _round(evaluation.health(runs), "no_answer_return_rate", "failure_rate", "p50_ms", "p95_ms")
+
+
+def golden_functions(spark, sf_dir):
+    """Small functions on inputs whose results are known."""
+    pages = F.array(*(F.struct(F.lit(p).alias("page"), F.lit(a).alias("start"), F.lit(b).alias("end")) for p, a, b in ((1, 0, 4), (2, 6, 20))))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    listed = lambda c: F.concat_ws("|", c)
+    results = (
+        ("query_tokens", listed(text.query_tokens(F.lit("What is the HBM demand for Micron in 2025?")))), ("query_tokens_cjk", listed(text.query_tokens(F.lit("芯")))), ("search_tokens", listed(search_tokens(F.lit("Straße ﬁn HBM4, 芯片订单")))),
+        ("filename_iso", day(text.filename_date(F.lit("Call_2026-08-12_English.pdf")))), ("filename_named", day(text.filename_date(F.lit("Report_20_Aug_2026.pdf")))), ("filename_bad", F.coalesce(day(text.filename_date(F.lit("Report_2026-99-40.pdf"))), F.lit("none"))), ("filename_two", F.coalesce(day(text.filename_date(F.lit("2026-01-02 2026-01-03"))), F.lit("none"))),
+        ("utc_naive", day(text.utc_timestamp(F.lit("2026-08-12")))), ("utc_zone", day(text.utc_timestamp(F.lit("2026-08-12T14:00:00+02:00")))), ("utc_mail", day(text.utc_timestamp(F.lit("Wed, 12 Aug 2026 12:00:00 GMT")))), ("strict_naive", F.coalesce(day(text.strict_timestamp(F.lit("2026-08-12T12:00:00"))), F.lit("none"))),
+        ("tokens", text.estimated_tokens(F.lit("abcd芯片")).cast("string")), ("bytes", F.octet_length(F.lit("abcd芯片")).cast("string")), ("metadata", F.to_json(text.sorted_map(text.metadata_lines(F.lit("sector=科技\ncompany = a\nx=1=2\ncompany=虚构公司"))))),
+        ("url", listed(F.array(*(text.valid_url(F.lit(u)).cast("string") for u in ("https://a.example/x", "ftp://a", "http://u:p@h/", "http://a b"))))), ("softplus", F.round(scoring.softplus(F.lit(0.0)), 6).cast("string")), ("softplus_low", F.round(scoring.softplus(F.lit(-800.0)), 6).cast("string")),
+        ("page", listed(F.array(*(F.coalesce(index.page_of(pages, F.lit(a), F.lit(b)).cast("string"), F.lit("none")) for a, b in ((0, 4), (6, 20), (4, 6)))))), ("cited", listed(F.array(text.cited(F.lit("abcdef"), F.lit(2), F.lit(4), F.lit("cd")).cast("string"), text.cited(F.lit("abcdef"), F.lit(1), F.lit(4), F.lit("cd")).cast("string")))),
+        ("parity", F.to_json(scoring.parity(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"))))), ("envelope", listed(text.ids_of_envelope(F.lit('{"content":[{"type":"text","text":"{\\"results\\":[{\\"id\\":\\"b\\"},{\\"id\\":\\"a\\"}]}"}]}')))), ("relevance", F.round(3 * scoring.idf(F.lit(1), F.lit(1)), 9).cast("string")),
+    )
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in results))).alias("x")).select("x.*")
 
 
 def _chunk_vectors(spark, sf_dir) -> DataFrame:
@@ -229,7 +356,7 @@ def _stage(name: str):
     def run(spark, sf_dir):
         known = _table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(2).collect()  # stands for a model that embeds two phrasings
         rows = stages.staged(
-            chunked(spark, sf_dir), _chunk_vectors(spark, sf_dir), STAGE_QUERY, name, embed=lambda q: known[q != STAGE_QUERY].embedding, rewrite=lambda q: [STAGE_VARIANT], rerank=lambda q, texts: [len(t) for t in texts]
+            indexed(spark, sf_dir), _chunk_vectors(spark, sf_dir), STAGE_QUERY, name, embed=lambda q: known[q != STAGE_QUERY].embedding, rewrite=lambda q: [STAGE_VARIANT], rerank=lambda q, texts: [len(t) for t in texts]
         )
         return _round(rows, "score", digits=9)
 
@@ -238,10 +365,10 @@ def _stage(name: str):
 
 
 def hybrid_blend(spark, sf_dir):
-    rows = chunked(spark, sf_dir)
+    ix = indexed(spark, sf_dir)
     query = _table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))  # one row
-    near = _chunk_vectors(spark, sf_dir).join(rows.select("chunk"), "chunk", "left_semi").crossJoin(F.broadcast(query)).select("chunk", scoring.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    return _round(search.blend(search.lexical(rows, OR_QUERY), near, "chunk", LEAST_SIMILARITY), "relevance")
+    near = _chunk_vectors(spark, sf_dir).join(ix.chunks.select("chunk"), "chunk", "left_semi").crossJoin(F.broadcast(query)).select("chunk", scoring.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    return _round(search.blend(search.lexical(ix, OR_QUERY), near, "chunk", LEAST_SIMILARITY), "relevance")
 
 
 def unit_vectors(spark, sf_dir):
@@ -255,14 +382,16 @@ def embedding_texts(spark, sf_dir):
 
 def missing_embeddings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = docs.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    owner = F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    vectors = docs.select(owner.alias("doc_id"), F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
     return changes.unembedded(docs.select("doc_id", F.md5("text").alias("content_hash")), vectors, "doc_id").select("doc_id")
 
 
 def ownership_conflicts(spark, sf_dir):
+    """Every file holds its document; every fifth claims the next file's too."""
     docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), "doc_id")
-    held = docs.where("doc_id % 2 = 0").select("root", "path", F.array("doc_id", F.col("doc_id") + 1).alias("document_ids"))
-    return changes.owned_elsewhere(docs.where("doc_id % 5 = 0").select("root", "path", (F.col("doc_id") + 1).alias("document_id")), held).select("path", "document_id")
+    claim = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    return changes.owned_elsewhere(docs.select("root", "path", claim.alias("document_id")), docs.select("root", "path", F.array("doc_id").alias("document_ids"))).select("path", "document_id")
 
 
 def action_counts(spark, sf_dir):
@@ -284,6 +413,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
+        search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, eval_summary, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -317,8 +447,48 @@ _LISTS = f"""{_HITS}, {_BEST}, {_NEAR}, lists as (
   select 'lexical' as list_id, doc_id as item, relevance as score from (select * from best order by relevance desc, doc_id limit 100)
   union all select 'dense', vec_id, similarity from (select * from near order by similarity desc, vec_id limit 100))"""
 _RRF = f"{_LISTS}, fused as (select item, sum(1.0 / (60 + r)) as score from (select *, row_number() over (partition by list_id order by score desc, item) as r from lists) group by item)"
-_VERSIONS = """with old as (select doc_id, md5(text) as content, md5(text || '|' || case when doc_id % 3 = 0 then 'x' else lang end) as mark from documents where doc_id % 5 <> 0),
-new as (select doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content, md5(case when doc_id % 4 = 0 then text || '!' else text end || '|' || lang) as mark from documents where doc_id % 11 <> 0)"""
+_VERSIONS = """with old as (select case when doc_id % 5 = 0 then -doc_id - 1 else doc_id end as doc_id, md5(text) as content, md5(text || '|' || case when doc_id % 3 = 0 then 'x' else lang end) as mark from documents),
+new as (select case when doc_id % 11 = 0 then -doc_id - 2 else doc_id end as doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content, md5(case when doc_id % 4 = 0 then text || '!' else text end || '|' || lang) as mark from documents)"""
+
+# what the planner must make of each question, written out: trees over tokens, and what a title must hold
+_AND, _OR = "and", "or"
+_EXPECTED = {
+    "name, date, anchor, concept": ((_AND, (_OR, "hbm", (_AND, "high", "bandwidth", "memory"), (_AND, "高带", "带宽", "宽内", "内存", "高", "带", "宽", "内", "存")), (_AND, (_OR, "nova", "micron"), (_OR, (_AND, "需求", "需", "求"), "demand", "demands"))), "(list_has_all(tt, ['nova']) or list_has_all(tt, ['micron'])) and contains(title, '2026-08-12')"),
+    "aliases": ((_AND, (_OR, "nova", "micron"), (_OR, (_AND, "收入", "收", "入"), (_AND, "营收", "营", "收"), (_AND, "营业", "业收", "收入", "营", "业", "收", "入"), "revenue", "revenues", "sales")), "(list_has_all(tt, ['nova']) or list_has_all(tt, ['micron']))"),
+    "cjk date": ((_AND, (_OR, (_AND, "产能", "产", "能"), "capacity", (_AND, "production", "capacity")), (_AND, "虚构", "虚", "构"), (_AND, "构公", "构", "公"), (_AND, "公司", "公", "司")), "contains(title, '2026-08-12')"),
+    "cjk concept": ((_AND, (_OR, (_AND, "芯片", "芯", "片"), (_AND, "半导", "导体", "半", "导", "体"), "chip", "chips", "semiconductor", "semiconductors"), (_OR, (_AND, "订单", "订", "单"), "orders", "order", "bookings"), (_OR, (_AND, "增长", "增", "长"), "growth", "grew", "increase", "increased", "increases", "growing")), "true"),
+    "folded": ((_AND, "final", "strasse"), "list_has_all(tt, ['final'])"),
+    "relaxed": ((_OR, (_OR, (_AND, "供应", "供", "应"), (_AND, "供给", "供", "给"), "supply", "supplies", "supplied", (_AND, "supply", "chain")), (_OR, (_AND, "需求", "需", "求"), "demand", "demands"), (_OR, (_AND, "客户", "客", "户"), "customer", "customers", "client", "clients"), (_OR, (_AND, "产能", "产", "能"), "capacity", (_AND, "production", "capacity")),
+                 (_OR, (_AND, "增长", "增", "长"), "growth", "grew", "increase", "increased", "increases", "growing"), (_OR, (_AND, "库存", "库", "存"), (_AND, "存货", "存", "货"), "inventory", "inventories")), "true"),
+    "longest alias": ((_OR, (_AND, "自由", "由现", "现金", "金流", "自", "由", "现", "金", "流"), (_AND, "free", "cash", "flow"), "fcf"), "true"),
+    "unknown name": ((_AND, "zephyr", (_OR, (_AND, "毛利", "利率", "毛", "利", "率"), (_AND, "gross", "margin"), (_AND, "gross", "margins"))), "list_has_all(tt, ['zephyr'])"),
+}
+
+
+def _planned_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({d}, {quote(title)}, {quote(body)})" for d, title, body in LIBRARY)
+    fold = lambda x: f"replace(replace(lower({x}), 'ß', 'ss'), 'ﬁ', 'fi')"
+    cut = lambda x: f"list_concat(regexp_extract_all({fold(x)}, '[a-z0-9]+'), flatten(list_transform(regexp_extract_all({x}, '[㐀-鿿]+'), lambda r: list_concat(list_transform(range(1, length(r)), lambda i: r[i:i+1]), list_transform(range(1, length(r) + 1), lambda i: r[i:i])))))"
+
+    def match(e) -> str:
+        return f"list_contains(w, {quote(e)})" if isinstance(e, str) else "(" + f" {e[0]} ".join(match(c) for c in e[1:]) + ")"
+
+    def score(e) -> str:
+        if isinstance(e, str):
+            t = quote(e)
+            n = f"(select count(*) from b where list_contains(w, {t}))"
+            idf = f"(select case when ln(({len(LIBRARY)} - {n} + 0.5) / ({n} + 0.5)) > 0 then ln(({len(LIBRARY)} - {n} + 0.5) / ({n} + 0.5)) else 1e-6 end)"
+            tf = f"len(list_filter(w, lambda x: x = {t}))"
+            return f"{idf} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(w) / (select avg(len(w)) from b)))"
+        return " + ".join(f"case when {match(c)} then {score(c)} else 0 end" for c in e[1:])
+
+    parts = " union all ".join(f"select {quote(name)} as question, doc_id, round({score(tree)}, 6) as relevance from b where {match(tree)} and {title}" for name, (tree, title) in _EXPECTED.items())
+    return f"with l(doc_id, title, body) as (values {rows}), b as (select doc_id::bigint as doc_id, title, {cut('title')} as tt, {cut("(title || ' ' || body)")} as w from l) {parts}"
+
+
+_METRICS = 'with q as (select doc_id % 20 as query, doc_id as item, quality + toxic as grade from labels), r as (select doc_id % 20 as query, doc_id as item, row_number() over (partition by doc_id % 20 order by n_chars desc, doc_id) as rank from documents), i as (select query, count(*) filter (where grade > 0) as positives, sum((pow(2, grade) - 1) / log2(k + 1)) filter (where k <= 10) as ideal from (select *, row_number() over (partition by query order by grade desc, item) as k from q) group by query), h as (select query, count(*) as hits, min(rank) as first, sum((pow(2, grade) - 1) / log2(rank + 1)) as dcg from r join q using (query, item) where rank <= 10 and grade > 0 group by query) select i.query, coalesce(hits, 0) / positives as recall, coalesce(1.0 / first, 0) as mrr, coalesce(dcg, 0) / ideal as ndcg from i left join h using (query) where positives > 0'
+_METRICS_ROUNDED = f"select query, round(recall, 6) as recall, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from ({_METRICS})"
 
 
 def _stage_sql() -> dict[str, str]:
@@ -354,7 +524,7 @@ def oracle_sql() -> dict[str, str]:
         "unit_vectors": "with n as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings) select vec_id, round(e[1] / n, 6) as first, round(e[-1] / n, 6) as last from n",
         "embedding_texts": "select doc_id, md5('Document ' || doc_id || chr(10) || coalesce(text, '')[:350]) as text_md5 from documents",
         "missing_embeddings": "select doc_id from documents where doc_id % 3 = 0 or (doc_id % 4 = 0 and text is not null)",
-        "ownership_conflicts": "select a.doc_id::varchar as path, a.doc_id + 1 as document_id from documents a where a.doc_id % 5 = 0 and exists (select 1 from documents b where b.doc_id % 2 = 0 and b.doc_id <> a.doc_id and a.doc_id + 1 in (b.doc_id, b.doc_id + 1))",
+        "ownership_conflicts": "select doc_id::varchar as path, doc_id + 1 as document_id from documents where doc_id % 5 = 0 and doc_id + 1 in (select doc_id from documents)",
         "action_counts": f"{_VERSIONS} select action, count(*) as n from (select case when old.mark is null then 'created' when old.mark = new.mark then 'unchanged' else 'updated' end as action from new left join old using (doc_id)) group by action",
         "document_page": "select source, doc_id from documents where source is not null order by source, doc_id limit 50 offset 100",
         "latency_changes": "with r as (select event_type, avg(value) as mean, median(value) as p50 from events group by event_type), b as (select mean as bm, p50 as bp from r where event_type = 'click') select event_type, round(mean - bm, 6) as mean_change, round(p50 - bp, 6) as p50_change, round(mean / bm - 1, 6) as mean_relative, round(p50 / bp - 1, 6) as p50_relative from r, b",
@@ -369,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
         "filtered_search": f"{_bm25(COMMON_QUERY[1:], False)} select chunk, doc_id, round(relevance, 6) as relevance from hits where source in ('src1', 'src2') and published_at >= timestamp '2026-02-01' and published_at < timestamp '2026-10-01' and lang = 'en'",
         "policy_search": f"{_HITS}, p as (select *, {weight} as source_weight, {fresh} as freshness from hits), q as (select *, relevance * source_weight * (1 + {BOOST} * freshness) as score from p where source_weight > 0), b as (select * from (select *, row_number() over (partition by doc_id order by score desc, chunk) as k from q) where k = 1) select doc_id, chunk, round(relevance, 6) as relevance, source_weight::double as source_weight, round(freshness, 6) as freshness, round(score, 6) as score from b order by b.score desc, doc_id limit 10",
         "best_chunk_per_doc": f"{_HITS}, {_BEST} select doc_id, chunk, round(relevance, 6) as relevance from best",
-        "planned_search": f"{_bm25(("between", "this", "token", "that", "one", "from", "here", "with", "those"), False)} select chunk, round(relevance, 6) as relevance from hits",
+        "planned_search": _planned_sql(),
         "dense_topk": f"with {_NEAR} select vec_id, round(similarity, 6) as similarity from near order by near.similarity desc, vec_id limit 20",
         "rrf_fusion": f"{_RRF} select item, round(score, 9) as score from fused",
         "normalized_fusion": f"{_LISTS} select item, round(sum(part), 6) as score from (select item, greatest(score, 0) / max(greatest(score, 0)) over (partition by list_id) as part from lists) group by item",
@@ -377,7 +547,7 @@ def oracle_sql() -> dict[str, str]:
         "sampled_chunks": f"with {_CORPUS}, p as (select doc_id, chunk, row_number() over (partition by doc_id order by s) as position, count(*) over (partition by doc_id) as n from kept) select * from p where position in (1, (n + 1) // 2, n)",
         "source_counts": "select s.source, count(d.doc_id) as documents from (select distinct source from documents union select 'empty') s left join documents d on d.source = s.source group by s.source",
         "index_coverage": f"with {_CORPUS} select count(*) as chunks, count(vec_id) as embedded, count(distinct doc_id) as documents, count(distinct vec_id) as embedded_documents from kept left join embeddings on vec_id = doc_id",
-        "eval_metrics": "with q as (select doc_id % 20 as query, doc_id as item, quality + toxic as grade from labels), r as (select doc_id % 20 as query, doc_id as item, row_number() over (partition by doc_id % 20 order by n_chars desc, doc_id) as rank from documents), i as (select query, count(*) filter (where grade > 0) as positives, sum((pow(2, grade) - 1) / log2(k + 1)) filter (where k <= 10) as ideal from (select *, row_number() over (partition by query order by grade desc, item) as k from q) group by query), h as (select query, count(*) as hits, min(rank) as first, sum((pow(2, grade) - 1) / log2(rank + 1)) as dcg from r join q using (query, item) where rank <= 10 and grade > 0 group by query) select i.query, round(coalesce(hits, 0) / positives, 6) as recall, round(coalesce(1.0 / first, 0), 6) as mrr, round(coalesce(dcg, 0) / ideal, 6) as ndcg from i left join h using (query) where positives > 0",
+        "eval_metrics": _METRICS_ROUNDED,
         "latency_summary": "select event_type, count(*) as runs, round(avg(value), 6) as mean, round(median(value), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(avg((value > 50)::int), 6) as slow_rate from events group by event_type",
         "upsert_actions": f"{_VERSIONS} select doc_id, case when old.mark is null then 'created' when old.mark = new.mark then 'unchanged' else 'updated' end as action, old.content is null or old.content <> new.content as reindex from new left join old using (doc_id)",
         "stale_snapshot_diff": f"{_VERSIONS} select doc_id, case when old.mark is null then 'missing_left' when new.mark is null then 'missing_right' else 'changed' end as state from old full join new using (doc_id) where old.mark is distinct from new.mark",
@@ -386,5 +556,32 @@ def oracle_sql() -> dict[str, str]:
         "token_estimate": "select role, sum(length(text))::bigint as characters, sum(octet_length(encode(text)))::bigint as utf8_bytes, sum(len(regexp_extract_all(text, '\\p{Han}')))::bigint as han_characters, sum(ceil((len(regexp_extract_all(text, '[\\x00-\\x7F]'))) / 4 + length(text) - len(regexp_extract_all(text, '[\\x00-\\x7F]'))))::bigint as estimated_tokens from conversations group by role",
         "rank_movement": "with b as (select doc_id, row_number() over (order by n_chars desc, doc_id) as r from documents qualify r <= 100), a as (select doc_id, row_number() over (order by n_chars % 1000 desc, doc_id) as r from documents qualify r <= 100) select doc_id, a.r as after, b.r - a.r as movement from a left join b using (doc_id)",
         "policy_diff": "select * from (select distinct source, case source when 'src1' then 2.0 when 'src2' then 0.5 when 'src3' then 0.0 else 1.0 end::double as before, case source when 'src1' then 2.0 when 'src4' then 3.0 else 1.0 end::double as after from documents) where before <> after",
-        "sync_state": "with r as (select user_id as path, value >= 10 as ok, sum((value >= 10)::int) over (partition by user_id order by ts, event_id) as run from events), l as (select path, run, count(*) filter (where not ok) as attempts from r group by all), n as (select path, arg_max(attempts, run) as attempts from l group by path) select path, attempts, case when attempts = 0 then 'ok' when attempts >= 3 then 'failed' else 'retrying' end as state from n",
+        "sync_state": """with o as (select user_id as path, event_type as sha, value >= 10 as ok, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as i, lag(event_type) over (partition by user_id order by ts, event_id) as before from events),
+          c as (select *, sum((before is null or before <> sha)::int) over (partition by path order by i) as content from o),
+          f as (select path, content, min(i) filter (where ok) as taken from c group by all),
+          g as (select path, content, any_value(sha) as sha, bool_or(ok) as ok, count(*) filter (where taken is null or i < taken) as failures, count(*) filter (where i > taken) as skips from c join f using (path, content) group by all),
+          l as (select *, max(content) over (partition by path) as last, sum(skips) over (partition by path) as skipped from g)
+          select path, sha, case when ok then 'ok' when failures >= 3 then 'failed' else 'retrying' end as state, case when ok then 0 else failures end::bigint as attempts, skipped::bigint as skipped from l where content = last""",
+        "sync_decisions": f"""with listed as (select doc_id as path, md5(text) as sha, timestamp '{NOW}' - to_seconds(doc_id % 100) as modified from documents),
+          kept as (select case when doc_id % 13 = 0 then -doc_id - 1 else doc_id end as path, case when doc_id % 4 = 0 then 'other' else md5(text) end as old, case doc_id % 3 when 0 then 'ok' when 1 then 'retrying' else 'failed' end as state, doc_id % 3 as attempts, timestamp '{NOW}' + to_seconds(doc_id % 7 - 3) as next_retry from documents)
+          select path, case when modified is null then 'missing' when sha = old and (state = 'failed' or (state = 'retrying' and next_retry > timestamp '{NOW}')) then 'waiting' when modified > timestamp '{NOW}' - interval 10 second then 'settling' when sha = old and state = 'ok' then 'skipped' else 'process' end as action,
+            case when sha = old then coalesce(attempts, 0) else 0 end::bigint as attempts from listed full join kept using (path)""",
+        "search_results": f"""{_HITS}, p as (select *, {weight} as source_weight, {fresh} as freshness from hits), q as (select *, relevance * source_weight * (1 + {BOOST} * freshness) as score from p where source_weight > 0), b as (select * from (select *, row_number() over (partition by doc_id order by score desc, chunk) as k from q) where k = 1)
+          select doc_id as id, title, '/api/documents/' || doc_id as url, source as source_id, md5(t) as snippet_md5, s::bigint as start, e::bigint as "end", round(score, 6) as score, round(1 + {BOOST} * freshness, 6) as recency_multiplier, (select count(*) from hits) as matched_chunks, (select count(distinct doc_id) from q) as total from b order by b.score desc, doc_id limit 10""",
+        "nearest_batch": "with e as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as w from e order by vec_id limit 10), n as (select query, vec_id as key, least(1, list_cosine_similarity(v, w)) as similarity from e, q), r as (select *, row_number() over (partition by query order by round(similarity, 12) desc, key) as rank from n) select query, key, round(similarity, 6) as similarity, rank from r where rank <= 3",
+        "policy_experiment": f"""{_HITS}, v as (select *, {weight} as weighted, {fresh} as f from hits), y as (select 'plain' as policy, doc_id, relevance as score from v union all select 'weighted', doc_id, relevance * weighted from v where weighted > 0 union all select 'fresh', doc_id, relevance * (1 + {BOOST} * f) from v),
+          z as (select policy, doc_id, max(score) as score from y group by all), r as (select *, row_number() over (partition by policy order by score desc, doc_id) as rank from z) select policy, doc_id, rank, round(score, 6) as score from r where rank <= 10""",
+        "hub_update": f"""with c0 as (select doc_id, source, 'Document ' || doc_id as title, case when doc_id % 10 = 0 then 'new ' || text else text end as body, case when doc_id % 10 = 1 then 'xx' else lang end as lang from documents where regexp_matches(coalesce(text, ''), '\\S')),
+          s0 as (select *, unnest(list_transform(range(0, 1 + greatest(0, ceil((length(body) - 1400) / 1240.0))::bigint), lambda i: i * 1240)) as s from c0),
+          k0 as (select *, body[s + 1 : least(s + 1400, length(body))] as t from s0),
+          k1 as (select *, {_TOKENS.format("title || ' ' || t")} as w from k0 where regexp_matches(t, '\\S'))
+          select doc_id::varchar as external_id, any_value(lang) as lang, count(*) as chunks, sum(length(t))::bigint as characters, sum(len(w))::bigint as tokens, (select count(*) from c0 where doc_id % 10 in (0, 1)) as updated, (select count(*) from c0 where doc_id % 10 not in (0, 1)) as unchanged from k1 group by doc_id""",
+        "eval_summary": f"""with m as ({_METRICS}), r as (select *, case when query % 2 = 0 then 'en' else 'zh' end as language, query % 5 = 0 as degraded from m), a as (select 'all' as kind, '' as name, * from r union all select 'language', language, * from r union all select 'nondegraded', '', * from r where not degraded)
+          select kind, name, count(*) as runs, round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, round(avg(ndcg), 6) as ndcg from a group by all""",
+        "report_mismatches": f"with m as ({_METRICS}) select query from m where query % 3 = 0",
+        "run_health": "select count(*) as measured_runs, round(avg(case when event_type = 'view' then (event_id % 3 > 0)::int end), 6) as no_answer_return_rate, count(*) filter (where value < 5) as degraded, round(avg((value > 90)::int), 6) as failure_rate, round(median(value), 6) as p50_ms, round(quantile_disc(value, 0.95), 6) as p95_ms from events",
+        "html_to_text": r"select page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<(?:p|div|br|li|tr)\b[^<>]*>', chr(10), 'g'), '</?[A-Za-z!?][^<>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&mdash;', '—'), '&amp;', '&') as text from pages",
+        "golden_functions": """select * from (values ('query_tokens', 'hbm|demand|micron|2025'), ('query_tokens_cjk', '芯'), ('search_tokens', 'strasse|fin|hbm4|芯片|片订|订单|芯|片|订|单'),
+          ('filename_iso', '2026-08-12 00:00:00'), ('filename_named', '2026-08-20 00:00:00'), ('filename_bad', 'none'), ('filename_two', 'none'), ('utc_naive', '2026-08-12 00:00:00'), ('utc_zone', '2026-08-12 12:00:00'), ('utc_mail', '2026-08-12 12:00:00'), ('strict_naive', 'none'),
+          ('tokens', '3'), ('bytes', '10'), ('metadata', '{"company":"虚构公司","sector":"科技","x":"1=2"}'), ('url', 'true|false|false|false'), ('softplus', '0.693147'), ('softplus_low', '0.0'), ('page', '1|2|none'), ('cited', 'true|false'), ('parity', '{"same_ids":true,"same_order":false}'), ('envelope', 'b|a'), ('relevance', '3.0E-6')) t(name, value)""",
     }

@@ -1,14 +1,14 @@
-"""Ranking policy as numbered files, changed by compare-and-set on any file system that Spark reaches."""
+"""Ranking policy as numbered versions, changed by compare-and-set."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.sources import versions
+
 
 class PolicyConflict(ValueError):
     """Another writer has changed the policy since it was read."""
@@ -26,22 +26,10 @@ class Policy:
             raise ValueError("weights and boost must not be negative, the half-life must be positive")
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def read(spark: SparkSession, folder: str) -> Policy:
     """The newest policy; the default one, version 0, if there is none."""
-    fs, path = _path(spark, folder)
-    if not fs.exists(path):
-        return Policy()
-    found = [f.getPath().getName() for f in fs.listStatus(path)]
-    versions = [int(n.removesuffix(".json")) for n in found if n.endswith(".json")]
-    if not versions:
-        return Policy()
-    rows = spark.read.text(f"{folder}/{max(versions):012d}.json", wholetext=True).first()
-    return Policy(**json.loads(rows.value))
+    number, content = versions.latest(spark, folder)
+    return Policy(**content) if number else Policy()
 
 
 def unknown_sources(policy: Policy, sources: DataFrame, column: str = "source") -> list[str]:
@@ -53,17 +41,21 @@ def unknown_sources(policy: Policy, sources: DataFrame, column: str = "source")
 
 
 def update(spark: SparkSession, folder: str, expected: int, policy: Policy, sources: DataFrame | None = None) -> Policy:
-    """Writes version expected + 1. The file is created only if absent, so one of two writers gets PolicyConflict."""
+    """Writes version expected + 1; of two writers one gets PolicyConflict."""
     if read(spark, folder).version != expected:
         raise PolicyConflict("the policy has changed since it was read")
     if sources is not None and (names := unknown_sources(policy, sources)):
         raise ValueError(f"unknown sources: {', '.join(names)}")
     new = Policy(**{**asdict(policy), "version": expected + 1})
-    fs, path = _path(spark, f"{folder}/{new.version:012d}.json")
     try:
-        out = fs.create(path, False)
-    except Py4JJavaError as error:
+        versions.add(spark, folder, new.version, asdict(new))
+    except versions.Conflict as error:
         raise PolicyConflict("the policy has changed since it was read") from error
-    out.write(bytearray(json.dumps(asdict(new)).encode()))
-    out.close()
     return new
+
+
+def difference(sources: DataFrame, before: Policy, after: Policy, column: str = "source") -> DataFrame:
+    """(source, before, after) of the sources whose weight two policies set differently; a weight that none sets is 1."""
+    weight = lambda p: F.coalesce(F.create_map(*(F.lit(x) for kv in p.weights.items() for x in kv))[F.col(column)] if p.weights else F.lit(None).cast("double"), F.lit(1.0)).cast("double")
+    rows = sources.select(column).distinct().select(column, weight(before).alias("before"), weight(after).alias("after"))
+    return rows.where("before <> after")

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fathom import hub as hubs
+from fathom.functions.text import document_id, filename_date, utc_timestamp
+from fathom.operators import changes, search
+from fathom.sources import files, versions
+
 LONGEST = 3600.0
+STATE = "root string, source string, path string, sha string, content string, state string, attempts int, next_retry timestamp, error string, document_ids array<string>, seen timestamp"
 
 
 def backoff(attempts: Column, retry_seconds: float) -> Column:
@@ -17,45 +26,189 @@ def backoff(attempts: Column, retry_seconds: float) -> Column:
     return F.least(F.lit(LONGEST), F.lit(float(retry_seconds)) * F.pow(F.lit(2.0), F.least(attempts - 1, F.lit(12)).cast("double")))
 
 
-def decide(observed: DataFrame, state: DataFrame, now: Column, settle_seconds: float = 0.0) -> DataFrame:
+def decide(observed: DataFrame, state: DataFrame, now: Column, settle_seconds: float = 0.0, retry_failed: bool = False) -> DataFrame:
     """What a cycle does with each listed file, from the listing (path, sha, modified) and the kept state
     (path, sha, state, attempts, next_retry): settling, skipped, waiting, or process; files that are
-    kept but not listed are missing, and nothing of them is deleted.
+    kept but not listed are missing, and nothing of them is deleted. sha is whatever tells that a file has changed.
+    Attempts are those already made on this content; a manual retry begins anew.
     """
     old = state.select("path", F.col("sha").alias("old_sha"), F.col("state").alias("old_state"), "attempts", "next_retry")
-    rows = observed.join(old, "path", "full_outer")
-    same = F.col("sha") == F.col("old_sha")
+    rows = observed.select("path", "sha", "modified", F.lit(True).alias("listed")).join(old, "path", "full_outer")
+    same = F.coalesce(F.col("sha") == F.col("old_sha"), F.lit(False))
+    waits = F.lit(not retry_failed) & same & ((F.col("old_state") == "failed") | ((F.col("old_state") == "retrying") & (F.col("next_retry") > now)))
     action = (
-        F.when(F.col("sha").isNull(), "missing").when(F.col("modified") > now - F.make_interval(secs=F.lit(settle_seconds)), "settling")
-        .when(same & (F.col("old_state") == "ok"), "skipped").when(same & F.col("old_state").isin("retrying", "failed") & ((F.col("old_state") == "failed") | (F.col("next_retry") > now)), "waiting").otherwise("process")
+        F.when(F.col("listed").isNull(), "missing").when(waits, "waiting").when(F.col("modified") > now - F.make_interval(secs=F.lit(settle_seconds)), "settling")
+        .when(same & (F.col("old_state") == "ok"), "skipped").otherwise("process")
     )
-    return rows.select("path", "sha", action.alias("action"), F.when(same, F.coalesce("attempts", F.lit(0))).otherwise(0).alias("attempts"))
+    return rows.select("path", "sha", action.alias("action"), F.when(same & F.lit(not retry_failed), F.coalesce("attempts", F.lit(0))).otherwise(0).alias("attempts"))
+
+
+def after(decided: DataFrame, outcomes: DataFrame, now: Column, retry_seconds: float, most_attempts: int) -> DataFrame:
+    """(path, sha, state, attempts, next_retry) of processed files from their decisions and outcomes (path, ok)."""
+    rows = decided.where("action = 'process'").join(outcomes.select("path", "ok"), "path")
+    attempts = F.when(F.col("ok"), 0).otherwise(F.col("attempts") + 1)
+    state = F.when(F.col("ok"), "ok").when(F.col("tried") >= most_attempts, "failed").otherwise("retrying")
+    retry = F.when(~F.col("ok"), now + F.make_interval(secs=backoff(F.col("tried"), retry_seconds)))
+    return rows.withColumn("tried", attempts).select("path", "sha", state.alias("state"), F.col("tried").alias("attempts"), retry.alias("next_retry"))
+
+
+def last_states(observations: DataFrame, limit: int = 3) -> DataFrame:
+    """(path, sha, state, attempts, skipped) after all observations (path, event_id, ts, sha, ok) in the order of ts and event_id.
+
+    A file that is ok is skipped while its content stays; failures count as long as they are of one content.
+    """
+    w = Window.partitionBy("path").orderBy("ts", "event_id")
+    rows = observations.withColumn("content", F.sum((~F.col("sha").eqNullSafe(F.lag("sha").over(w))).cast("long")).over(w))
+    of = w.partitionBy("path", "content").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    # once a content has been taken in, later looks at it are skips whatever they find
+    rows = rows.withColumn("done", F.coalesce(F.max("ok").over(of), F.lit(False)))
+    last = rows.groupBy("path", "content").agg(F.first("sha").alias("sha"), F.max("ok").alias("ok"), F.count_if(~F.col("ok") & ~F.col("done")).alias("failures"), F.count_if("done").alias("skips"))
+    found = last.groupBy("path").agg(F.max_by(F.struct("sha", "ok", "failures"), "content").alias("last"), F.sum("skips").alias("skipped"))
+    attempts = F.when(F.col("last.ok"), 0).otherwise(F.col("last.failures")).cast("long")
+    return found.select("path", "last.sha", F.when(F.col("last.ok"), "ok").when(attempts >= limit, "failed").otherwise("retrying").alias("state"), attempts.alias("attempts"), "skipped")
 
 
 def _step(limit: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sha, name, attempts = state.get if state.exists else ("", "new", 0)
+        sha, name, attempts, skipped = state.get if state.exists else ("", "new", 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        skipped = 0
         for seen, ok in zip(rows["sha"], rows["ok"], strict=True):
             if seen == sha and name == "ok":
                 skipped += 1
                 continue
-            attempts = 0 if seen != sha else attempts
-            sha = seen
-            if ok:
-                name, attempts = "ok", 0
-            else:
-                attempts += 1
-                name = "failed" if attempts >= limit else "retrying"
-        state.update((sha, name, attempts))
+            attempts = 0 if ok else 1 if seen != sha else attempts + 1
+            sha, name = seen, "ok" if ok else "failed" if attempts >= limit else "retrying"
+        attempts, skipped = int(attempts), int(skipped)
+        state.update((sha, name, attempts, skipped))
         yield pd.DataFrame([(key[0], sha, name, attempts, skipped)], columns=["path", "sha", "state", "attempts", "skipped"])
 
     return run
 
 
 def stream_state(observations: DataFrame, limit: int = 3) -> DataFrame:
-    """Per-file state from a stream of observations (path, event_id, ts, sha, ok), one update row for each file and batch."""
-    return observations.groupBy("path").applyInPandasWithState(
-        _step(limit), "path string, sha string, state string, attempts long, skipped long", "sha string, state string, attempts long", "update", GroupStateTimeout.NoTimeout
+    """last_states over a stream: one update row for each file and batch."""
+    return observations.withColumn("path", F.col("path").cast("string")).groupBy("path").applyInPandasWithState(
+        _step(limit), "path string, sha string, state string, attempts long, skipped long", "sha string, state string, attempts long, skipped long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def state_of(hub: hubs.Hub, folder: str) -> DataFrame:
+    found = versions.tables(hub.spark, folder)[1].get("files")
+    return found if found is not None else hub.spark.createDataFrame([], STATE)
+
+
+def file_page(state: DataFrame, name: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page of tracked files in one state, or any, and how many there are."""
+    rows = state.where(F.col("state") == name) if name else state
+    return search.page(rows, ["source", "path"], limit, offset), rows.count()
+
+
+def _documents(hub: hubs.Hub, parsed: DataFrame, source: str, prefix: str, bindings: dict[str, tuple[str, str]]) -> DataFrame:
+    """Parsed records as documents of a source. What is known of a document's metadata stays, with the file's name, warnings and the date's origin."""
+    bound = F.create_map(*(F.lit(x) for path, (external, name) in bindings.items() for x in (path, f"{external}\n{name}")))[F.col("path")] if bindings else F.lit(None).cast("string")
+    name = F.coalesce(F.substring_index(bound, "\n", -1), F.element_at(F.split("path", "/"), -1))
+    rows = parsed.withColumn("source", F.lit(source)).withColumn("file_name", name).withColumn("external_id", F.coalesce(F.substring_index(bound, "\n", 1), F.concat(F.lit(prefix), "path", F.lit("#"), F.col("record").cast("string"))))
+    rows = rows.withColumn("doc_id", document_id(F.col("source"), F.col("external_id"))).withColumn("stated", utc_timestamp(F.col("published_at"))).withColumn("named", filename_date(F.col("file_name")).cast("timestamp"))
+    prior = hub.table("documents").select("doc_id", F.col("metadata").alias("prior"))
+    origin = F.when(F.col("stated").isNotNull(), "document").when(F.col("named").isNotNull(), "filename_date_utc_midnight").otherwise("unknown")
+    own = F.create_map(F.lit("file_name"), F.left(F.col("file_name"), F.lit(1000)), F.lit("parser_warnings"), F.left(F.coalesce("warning", F.lit("")), F.lit(1000)), F.lit("date_source"), origin)
+    none = F.create_map().cast("map<string,string>")
+    metadata = F.map_concat(F.map_filter(F.coalesce("prior", none), lambda k, v: ~k.isin("file_name", "parser_warnings", "date_source")), own)
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("file_name"))
+    return rows.join(prior, "doc_id", "left").select(
+        "path", "error", "doc_id", "source", "external_id", title.alias("title"), "body", F.coalesce("stated", "named").alias("published_at"), F.coalesce("url", F.lit("")).alias("url"), metadata.alias("metadata"),
+        F.array().cast("array<struct<page:int,start:int,end:int>>").alias("pages"),
+    )
+
+
+def cycle(
+    hub: hubs.Hub, root: str, source: str, state_folder: str, now: datetime.datetime, *, name: str | None = None, prefix: str = "", bindings: dict[str, tuple[str, str]] | None = None,
+    settle_seconds: float = 30.0, retry_seconds: float = 60.0, most_attempts: int = 5, retry_failed: bool = False, most_bytes: int = files.MOST_BYTES,
+    encode: Callable | None = None, model: str = "",
+) -> dict:
+    """One round over a folder: list, decide, read and parse what has changed, upsert, and keep the state of each file.
+
+    A file is taken whole or not at all. Files that are gone stay in the hub; a folder that can't be listed says nothing
+    of its files. A document that another file of the source holds is not taken. At the end an encoder, if given, embeds what
+    lacks a vector; if it fails the next round tries again.
+    """
+    spark, report = hub.spark, {"created": 0, "updated": 0, "unchanged": 0, "skipped": 0, "settling": 0, "waiting": 0, "missing": 0, "failed": 0, "error": None, "semantic": "not_requested"}
+    known = {r.source: r.enabled for r in hub.table("sources").where(F.col("source") == source).collect()}
+    if not known:
+        hub.upsert_sources(spark.createDataFrame([(source, name or source, "local", True)], hubs.SOURCES))
+    elif not known[source]:
+        return {**report, "error": "source_disabled"}
+    try:
+        listed = files.listing(spark, root)
+    except AnalysisException:
+        return {**report, "error": "scan_incomplete"}
+    base = root.rstrip("/").removeprefix("file://")
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + "".join(f"\\x{ord(c):02x}" if not c.isalnum() else c for c in base) + "/+", "")
+    mark = F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    listed = listed.select(inside.alias("path"), F.col("path").alias("full"), "length", mark.alias("sha"), F.col("modificationTime").alias("modified")).persist()
+    number, everything = versions.latest(spark, state_folder)[0], state_of(hub, state_folder)
+    mine = (F.col("root") == base) & (F.col("source") == source)
+    state, when = everything.where(mine), F.lit(now).cast("timestamp")
+    decided = decide(listed, state, when, settle_seconds, retry_failed).persist()
+    report |= {r.action: r.n for r in changes.counts(decided).collect() if r.action != "process"}
+    todo = [r.full for r in listed.join(decided.where("action = 'process'").select("path"), "path").select("full").collect()]  # of a listing that the driver has made
+    parts = [everything.where(~mine), state.join(decided.where("action in ('waiting', 'skipped')").select("path"), "path", "left_semi")]
+    kept = state.select("path", "content", "document_ids")
+    marked = lambda action, name, error: decided.where(F.col("action") == action).join(kept, "path", "left").select(F.lit(base).alias("root"), F.lit(source).alias("source"), "path", F.lit("" if action == "settling" else None).cast("string").alias("sha") if action == "settling" else "sha", "content", F.lit(name).alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_retry"), F.lit(error).alias("error"), F.coalesce("document_ids", F.array().cast("array<string>")).alias("document_ids"), when.alias("seen"))
+    parts += [marked("settling", "settling", ""), marked("missing", "missing", "file_missing_retained")]
+    if todo:
+        read = spark.read.format("binaryFile").load(todo).where(F.col("length") <= most_bytes)
+        read = read.select(inside.alias("path"), F.sha2("content", 256).alias("content_now"), "content").join(kept.select("path", F.col("content").alias("content_old")), "path", "left").persist()
+        same = read.where(F.col("content_now").eqNullSafe(F.col("content_old")) & F.lit(not retry_failed)).join(state.where("state = 'ok'").select("path"), "path", "left_semi").select("path")
+        fresh = read.join(same, "path", "left_anti")
+        docs = _documents(hub, files.parsed(fresh), source, prefix, bindings or {}).persist()
+        docs = docs.withColumn("error", F.coalesce(F.nullif(F.col("error"), F.lit("")), hubs.faults(docs)))
+        owned = changes.owned_elsewhere(docs.select(F.lit(base).alias("root"), "path", F.col("doc_id").alias("document_id")), everything.where(F.col("source") == source).select("root", "path", "document_ids"))
+        twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths")).where("n > 1").select(F.explode("paths").alias("path"))
+        single = docs.groupBy("path").count().where((F.col("count") > 1) & F.col("path").isin(*(bindings or {"": 0}))).select("path")
+        good = changes.whole_files(docs)
+        for bad in (owned.select("path"), twice, single):
+            good = good.join(bad, "path", "left_anti")
+        good = good.persist()
+        report |= {k: report[k] + v for k, v in hub.ingest(good).items()}
+        taken = good.groupBy("path").agg(F.collect_set("doc_id").alias("document_ids"))
+        ids = changes.with_ids(kept.select("path", "document_ids"), taken, "path")
+        outcomes = decided.where("action = 'process'").select("path").join(taken.select("path").union(same).withColumn("yes", F.lit(True)), "path", "left").select("path", F.coalesce("yes", F.lit(False)).alias("ok"))
+        report["skipped"] += same.count()
+        new = after(decided, outcomes, when, retry_seconds, most_attempts).join(read.select("path", F.col("content_now").alias("content")), "path", "left").join(ids, "path", "left")
+        parts.append(new.select(F.lit(base).alias("root"), F.lit(source).alias("source"), "path", "sha", "content", "state", "attempts", "next_retry", F.when(F.col("state") == "ok", "").otherwise("file_failed").alias("error"), F.coalesce("document_ids", F.array().cast("array<string>")).alias("document_ids"), when.alias("seen")))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    versions.publish(spark, state_folder, {"files": rows}, after=number)
+    report["failed"] = state_of(hub, state_folder).where(mine & F.col("state").isin("retrying", "failed") & (F.col("seen") == when)).count()
+    for table in ([read, docs, good] if todo else []) + [listed, decided]:
+        table.unpersist()
+    if encode is not None:
+        try:
+            hub.embed(encode, model)
+            report["semantic"] = "ready"
+        except Exception:  # noqa: BLE001 - an encoder's failure must not undo the round
+            report["semantic"] = "retry_next_cycle"
+    return report
+
+
+def alive(finished: datetime.datetime | None, interval_seconds: float, now: datetime.datetime) -> bool:
+    """Whether a loop has finished a round of late: within three intervals, three minutes at least."""
+    return finished is not None and (now - finished).total_seconds() <= max(180.0, 3 * interval_seconds)
+
+
+def watch(round_: Callable[[], dict], interval_seconds: float, stop: threading.Event, once: bool = False) -> dict | None:
+    """Runs rounds until stopped. An error ends a single round, but not a loop."""
+    last = None
+    while not stop.is_set():
+        try:
+            last = round_()
+        except Exception as error:  # noqa: BLE001 - the next round may do better
+            if once:
+                raise
+            last = {"error": type(error).__name__}
+        if once:
+            break
+        stop.wait(interval_seconds)
+    return last

@@ -1,5 +1,6 @@
 import datetime
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ def test_small_functions(spark):
     for bad in ("Report_2026-99-40.pdf", "2026-01-02 2026-01-03", "none"):
         assert one(spark, text.filename_date(F.lit(bad))) is None
     assert one(spark, text.metadata_lines(F.lit("company = a\nx=1=2\ncompany=b"))) == {"company": "b", "x": "1=2"}
+    for bad in ("abc", "a=1\n=2"):
+        with pytest.raises(Exception, match="key=value"):
+            one(spark, text.metadata_lines(F.lit(bad)))
     assert [one(spark, text.valid_url(F.lit(u))) for u in ("https://a.example/x", "ftp://a", "http://u:p@h/", "http://a b")] == [True, False, False, False]
     assert one(spark, scoring.softplus(F.lit(0.0))) == pytest.approx(0.6931, abs=1e-4)
 
@@ -60,12 +64,17 @@ def test_metrics(spark):
 
 def test_only_satisfied_branches_score_and_empty_matches_nothing(spark):
     chunks = spark.createDataFrame([(1, "a c", "t"), (2, "a b", "t"), (3, "d", "t"), (4, "d", "t"), (5, "d", "t")], "doc_id int, text string, title string")
-    rows = {r.doc_id: r.relevance for r in search.lexical(chunks, ("or", ("and", "a", "b"), "c")).collect()}
-    only_c = {r.doc_id: r.relevance for r in search.lexical(chunks, "c").collect()}
+    chunks = chunks.withColumn("chunk", F.col("doc_id").cast("string"))
+    ix = index.of(chunks.select("doc_id", "title", F.lit("s").alias("source")), chunks)
+    rows = {r.doc_id: r.relevance for r in search.lexical(ix, ("or", ("and", "a", "b"), "c")).collect()}
+    only_c = {r.doc_id: r.relevance for r in search.lexical(ix, "c").collect()}
     assert set(rows) == {1, 2} and rows[1] == pytest.approx(only_c[1])
-    assert {r.doc_id: r.relevance for r in search.lexical(chunks, ("or", "c", "c")).collect()}[1] == pytest.approx(2 * only_c[1])
-    assert search.lexical(chunks, None).count() == 0
-    assert chunks.withColumn("source", F.lit("s")).where(search.Filters(eligible=()).condition()).count() == 0
+    assert {r.doc_id: r.relevance for r in search.lexical(ix, ("or", "c", "c")).collect()}[1] == pytest.approx(2 * only_c[1])
+    assert {r.doc_id for r in search.lexical(ix, ("and", "a", "b")).collect()} == {2}
+    assert search.lexical(ix, None).count() == 0 and search.lexical(ix, "c", search.Filters(eligible=())).count() == 0
+    assert search.Filters.of({"source_ids": ["s"]}).source_ids == ("s",)
+    with pytest.raises(ValueError, match="unknown filters: colour"):
+        search.Filters.of({"colour": "red"})
 
 
 def test_planner(spark):
@@ -73,6 +82,9 @@ def test_planner(spark):
     assert plan.dates == ("2026-08-12",) and plan.entities == (("Micron",),) and plan.anchors == (planner.ANCHORS[0],)
     assert one(spark, plan.accepts_title(F.lit("Micron call 2026-08-12"))) and not one(spark, plan.accepts_title(F.lit("Other 2026-08-12")))
     assert planner.plan_query("2026-08-12").expression is None
+    assert planner.plan_query("2026年8月12日 Micron").dates == ("2026-08-12",)
+    assert planner.plan_query("the and of").expression is None and planner.plan_query("core free cash flow").expression == planner._spoken(planner.CONCEPTS[0])
+    assert planner.plan_query("microns", (("micron", "MU"),)).entities == () and planner.plan_query("MU?", (("micron", "MU"),)).entities == (("micron", "MU"),)
     assert planner.rewrite("芯片 supply") == ["芯片 supply chip chips supply supplies"] and planner.rewrite("nothing here") == []
 
 
@@ -82,6 +94,10 @@ def test_changes(spark):
     assert {r.id: (r.action, r.reindex) for r in changes.actions(old, new, "id", "mark", "content").collect()} == {1: ("unchanged", False), 2: ("updated", False), 4: ("created", True)}
     assert {r.id: r.state for r in changes.drift(old, new, "id", "mark").collect()} == {2: "changed", 3: "missing_right", 4: "missing_left"}
     assert {r.id for r in changes.upsert(old, new, "id").collect()} == {1, 2, 3, 4}
+    old, new = spark.createDataFrame([(1, None, None)], "id int, mark string, content string"), spark.createDataFrame([(1, None, None, 1), (2, "x", "x", 1), (2, "y", "y", 2)], "id int, mark string, content string, place int")
+    new = changes.last_of(new, "id", "place")
+    assert {r.id: (r.action, r.reindex) for r in changes.actions(old, new, "id", "mark", "content").collect()} == {1: ("unchanged", False), 2: ("created", True)}
+    assert {r.id: r.state for r in changes.drift(old, new, "id", "mark").collect()} == {2: "missing_left"} and new.where("id = 2").first().mark == "y"
 
 
 def test_files(spark, tmp_path):
@@ -90,10 +106,26 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.json").write_text("{")
     (tmp_path / "d.eml").write_text("Subject: s\nFrom: f@example.com\nContent-Type: text/html\n\n<p>x</p><script>y</script>z")
     (tmp_path / "e.txt").write_bytes(b"\xff")
-    rows = files.read_files(spark, str(tmp_path)).collect()
-    assert sorted((r.title or "", r.body or "") for r in rows if not r.error) == [("a", "Grüße\nx"), ("s", "x\nz" if False else "xz"), ("t", "one"), ("u", "two")]
-    assert len([r for r in rows if r.error]) == 2
-    assert files.inventory(spark, str(tmp_path)).count() == 5
+    (tmp_path / "f.eml").write_bytes(b"Subject: s\nContent-Type: text/plain; charset=no-such\n\nx\xff")
+    (tmp_path / "g.json").write_text("[" * 100_000)
+    (tmp_path / "h.jsonl").write_text(json.dumps({"title": "u", "body": "line\u2028sep"}, ensure_ascii=False) + "\n", encoding="utf-8")
+    (tmp_path / "i.json").write_text(json.dumps({"title": 3, "body": "x"}))
+    (tmp_path / "j.txt").write_text("x" * 5000)
+    (tmp_path / "k.html").write_text("<style>a{}</style><p>a &amp; b<br>c<ul><li>d</ul>")
+    rows = files.read_files(spark, str(tmp_path), most_bytes=150_000).collect()
+    good = sorted((r.title, r.body) for r in rows if not r.error)
+    assert good == [("a", "Grüße\nx"), ("j", "x" * 5000), ("k", "a & b\nc\nd"), ("s", "xz"), ("t", "one"), ("u", "line\u2028sep"), ("u", "two")]
+    errors = {r.path.rpartition("/")[2]: r.error for r in rows if r.error}
+    assert set(errors) == {"c.json", "e.txt", "f.eml", "g.json", "i.json"} and errors["e.txt"] == "not_utf8" and errors["i.json"] == "bad_record"
+    small = files.read_files(spark, str(tmp_path), most_bytes=4000).collect()
+    assert {r.path.rpartition("/")[2] for r in small if r.error == "too_large"} == {"j.txt", "g.json"}
+    with zipfile.ZipFile(tmp_path / "l.zip", "w") as z:
+        z.writestr("x.PDF", "y")
+    (tmp_path / "m.zip").write_bytes(b"no archive")
+    (tmp_path / "n.txt.part").write_text("half")
+    found = {r.path.rpartition("/")[2]: (r.state, r.pdf_members) for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert len(found) == 14 and found["l.zip"] == ("ok", 1) and found["m.zip"] == ("corrupt", 0) and found["n.txt.part"] == ("partial", 0) and found["a.txt"] == ("ok", 0)
+    assert files._look("a.txt", 5, b"1234")[0] == "changed_while_reading"
 
 
 def test_sync(spark):
@@ -101,13 +133,14 @@ def test_sync(spark):
     seen = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("e", "9")], "path string, sha string").withColumn("modified", F.lit("2025-12-01").cast("timestamp"))
     kept = spark.createDataFrame([("a", "1", "ok", 0), ("b", "1", "ok", 0), ("d", "1", "ok", 0), ("e", "9", "failed", 3)], "path string, sha string, state string, attempts int").withColumn("next_retry", F.lit(None).cast("timestamp"))
     assert {r.path: r.action for r in sync.decide(seen, kept, now).collect()} == {"a": "skipped", "b": "process", "c": "process", "d": "missing", "e": "waiting"}
+    assert sync.decide(seen, kept, now, retry_failed=True).where("path = 'e'").first().action == "process"
     assert one(spark, sync.backoff(F.lit(3), 60)) == 240 and one(spark, sync.backoff(F.lit(40), 60)) == 3600
 
 
 def _retrieval(spark):
     chunks = spark.createDataFrame([("1:0", 1, "s", "alpha beta", "t"), ("1:1", 1, "s", "alpha", "t"), ("2:0", 2, "s", "beta beta", "t"), ("3:0", 3, "z", "gamma", "t")], "chunk string, doc_id int, source string, text string, title string")
     vectors = spark.createDataFrame([("1:0", [1.0, 0.0]), ("3:0", [0.6, 0.8]), ("2:0", [0.0, 0.0]), ("9:0", [1.0, 0.0])], "chunk string, embedding array<double>")
-    return chunks, vectors
+    return index.of(chunks.select("doc_id", "source", "title").distinct(), chunks), vectors
 
 
 def test_stages(spark):
@@ -118,6 +151,9 @@ def test_stages(spark):
     assert ids("rerank", rerank=lambda q, t: [float("gamma" in x) for x in t])[0] == 3
     for bad in (lambda q, t: [1.0], lambda q, t: [float("nan")] * len(t), lambda q, t: 1 / 0):
         assert ids("rerank", rerank=bad) == ids("rrf")
+    for odd in ([], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0]):
+        with pytest.raises(ValueError):
+            stages.staged(chunks, vectors, "alpha", "dense", embed=lambda q, odd=odd: odd)
     assert ids("lexical", filters=search.Filters(eligible=())) == []
     for more in ({"stage": "other"}, {"stage": "rrf", "limit": 0}, {"stage": "rrf", "candidates": 2000}, {"stage": "dense", "embed": None}):
         with pytest.raises(ValueError):
@@ -171,4 +207,4 @@ def test_queries_run_without_the_corpus_operators(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     plan = catalog.policy_search(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+    assert "TakeOrderedAndProject" in plan and "In(token" in plan and "text" not in plan.split("ReadSchema", 1)[1]
