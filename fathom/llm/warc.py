@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive that one reader task owns, of one read, and from which a writer starts another archive.
 SPLIT, READ, ROTATE = 8 << 20, 1 << 20, 1 << 30
+#: Compressed bytes that are inflated at once: what lies behind a small record is not copied, and what comes out is bounded.
+INFLATE = 16 << 10
 SALT = 16
 
 
@@ -89,7 +91,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col="page_id"
     response and the others revisit it; rows that repeat that id are responses too, as are rows
     without an id where no row of the payload has one. A null html is an empty payload. Payloads
     are compared by SHA-1 and length before anything wide moves; a payload that many rows share is
-    met by them in SALT places.
+    met by them in SALT places. No rows give no archives; other columns are ignored. The folder is the
+    caller's to remove.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -107,20 +110,22 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col="page_id"
 
 
 class _Range:
-    """Reads a file from some offset on, keeping only what is still needed."""
+    """Reads a file from some offset on, keeping only what is still needed; what is dropped is cut off at the next read."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data, self.ended = file, at, b"", False
+        self.file, self.at, self.data, self.start = file, at, b"", 0
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(READ)
-        self.data += got
-        self.ended |= not got
+        self.data, self.start = self.data[self.start :] + got, 0
         return bool(got)
 
+    def left(self) -> int:
+        return len(self.data) - self.start
+
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.start, self.at = self.start + n, self.at + n
 
 
 def _member(source: _Range) -> bytes | None:
@@ -128,16 +133,17 @@ def _member(source: _Range) -> bytes | None:
 
     A candidate has no reserved flags, inflates, starts with a WARC version and ends with its checksum.
     """
-    while len(source.data) < 10 and source.more():
+    while source.left() < 10 and source.more():
         pass
-    if source.data[:3] != MAGIC or len(source.data) < 10 or source.data[3] & 0xE0:
+    first = source.data[source.start : source.start + 10]
+    if first[:3] != MAGIC or len(first) < 10 or first[3] & 0xE0:
         return None
     z, out, used, head = zlib.decompressobj(31), [], 0, b""
     try:
         while not z.eof:
-            if used == len(source.data) and not source.more():
+            if used == source.left() and not source.more():
                 return None
-            piece = source.data[used : used + READ]
+            piece = source.data[source.start + used : source.start + used + INFLATE]
             got = z.decompress(piece)
             used += len(piece) - len(z.unused_data)
             if len(head) < 5:
@@ -163,15 +169,13 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             yield at, found
             continue
         # not a member: on to the next magic, which may straddle two reads
-        while (k := source.data.find(MAGIC, 1)) < 0 and source.at < end:
-            source.drop(max(0, len(source.data) - 2))
+        source.drop(min(1, source.left()))
+        while (k := source.data.find(MAGIC, source.start)) < 0 and source.at < end:
+            source.drop(max(0, source.left() - 2))
             if not source.more():
                 return
-            if source.data.startswith(MAGIC):
-                k = 0
-                break
-        if k > 0:
-            source.drop(k)
+        if k >= 0:
+            source.drop(k - source.start)
 
 
 def parse(raw: bytes) -> dict:
@@ -200,6 +204,8 @@ def _reader(payloads: bool):
                 with fs.open_input_file(local) as file:
                     for at, raw in members(file, start, end):
                         x = parse(raw)
+                        if x["record_type"] == "response" and x["payload_bytes"] != len(x["payload"]):
+                            raise ValueError(f"{path}: the record at {at} doesn't have its payload's length")
                         if x["record_type"] == "response" and base64.b32encode(hashlib.sha1(x["payload"]).digest()).decode() != x["payload_digest"]:
                             raise ValueError(f"{path}: the record at {at} doesn't match its payload digest")
                         rows.append([path, at, *(x[n] for n in names[2:])])

@@ -164,7 +164,8 @@ def _indexes(items: DataFrame, item_col: str, text_col: str, window: int, shard:
 
 
 def without_windows(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """The rows of docs in whose text no window occurs, with all columns as they are."""
+    """The rows of docs in whose text no window occurs, with all columns as they are; null texts stay."""
+
     def keep(index):
         def run(batches):
             for batch in batches:
@@ -178,8 +179,11 @@ def without_windows(docs: DataFrame, items: DataFrame, text_col="text", item_col
 
         return run
 
-    for _, index in _indexes(items, item_col, item_text_col, window, shard):
+    for last, index in _indexes(items, item_col, item_text_col, window, shard):
         docs = docs.mapInArrow(keep(index), docs.schema)
+        if not last:  # one index is in memory at a time
+            docs = cut(docs)
+            index.unpersist()
     return docs
 
 
@@ -189,7 +193,8 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     Words are runs of digits, letters and characters beyond ASCII, A-Z in lower case. A word is hit
     if it lies in any occurrence of a window. Null and wordless texts have no words and no hits;
     items without words have no windows; items with equal windows all count. No items: nothing is
-    hit. Rows that repeat an id are each returned.
+    hit. Rows that repeat an id, or have none, are each returned; no rows give no rows; other columns are
+    ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     for last, index in _indexes(items, item_col, item_text_col, window, shard):
