@@ -80,8 +80,7 @@ def doc_ids(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    rows = chunked(spark, sf_dir).select(F.size(search_tokens(F.concat_ws(" ", "title", "text"))).alias("dl"))
-    return _round(rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("mean_length")), "mean_length")
+    return _round(indexed(spark, sf_dir).corpus.select("n_chunks", (F.col("n_tokens") / F.col("n_chunks")).alias("mean_length")), "mean_length")
 
 
 def token_df(spark, sf_dir):
