@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom import hub
 from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
-from fathom.operators import changes, evaluation, index, search, stages
+from fathom.operators import changes, evaluation, index, search, segments, stages
 from fathom.plans import planner
 from fathom.sources import files, versions
 from fathom.sources.policy import Policy, difference
@@ -75,6 +75,22 @@ def chunk_documents(spark, sf_dir):
     return chunked(spark, sf_dir).select("doc_id", F.col("start").cast("long").alias("chunk_start"), F.col("end").cast("long").alias("chunk_end"), F.md5("text").alias("text_md5"))
 
 
+def segment_documents(spark, sf_dir):
+    """Segments of all documents; those of every third document stand on two pages with a gap of ten characters between them."""
+    docs = corpus(spark, sf_dir).withColumn("half", F.floor(F.length("body") / 2).cast("int"))
+    page = lambda n, a, b: F.struct(F.lit(n).alias("page"), a.alias("start"), b.alias("end"))
+    two = (F.col("doc_id") % 3 == 0) & (F.length("body") > 40)
+    docs = docs.withColumn("pages", F.when(two, F.array(page(1, F.lit(0), F.col("half")), page(2, F.col("half") + 10, F.length("body")))))
+    found = segments.segments(docs, "doc_id", pages="pages")
+    return found.select("doc_id", "segment", F.col("start").cast("long").alias("segment_start"), F.col("end").cast("long").alias("segment_end"), F.col("page").cast("long").alias("page"), F.md5("text").alias("text_md5"))
+
+
+def packed_segments(spark, sf_dir):
+    """Chunks of whole segments, small enough that many documents have several."""
+    found = segments.packed(segments.segments(corpus(spark, sf_dir), "doc_id", size=300), "doc_id", size=1000)
+    return found.select("doc_id", "chunk", F.col("position").cast("long").alias("position"), F.size("segments").cast("long").alias("n"), F.col("start").cast("long").alias("chunk_start"), F.col("end").cast("long").alias("chunk_end"))
+
+
 def doc_ids(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", document_id(F.col("source"), F.col("doc_id").cast("string")).alias("document"))
 
@@ -412,7 +428,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
-        search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, eval_summary, report_mismatches, run_health, golden_functions,
+        segment_documents, packed_segments, search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, eval_summary, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -513,6 +529,26 @@ def _stage_sql() -> dict[str, str]:
     return out
 
 
+def _segments_sql(size: int, spans: str) -> str:
+    """CTEs up to segments(doc_id, page, s, e, t), from spans(doc_id, page, a, z, body)."""
+    space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    ended = f"length(regexp_extract(body[c + 1 : c + {size}], '(?s)^(.*(?:[。！？\\n]|[.!?]{space}))', 1))"
+    following = lambda c: f"(select case when z - c <= {size} then z when {ended} >= {size // 2} then c + {ended} else c + {size} end from (select {c} as c))"
+    return f"""with recursive spans as ({spans}), walk(doc_id, page, z, body, s, e) as (
+  select doc_id, page, z, body, a, {following("a")} from spans where a < z
+  union all select doc_id, page, z, body, e, {following("e")} from walk where e < z),
+segments as (select doc_id, page, s, e, body[s + 1 : e] as t, left(sha256(doc_id || ':' || s || ':' || e), 24) as segment from walk where regexp_matches(body[s + 1 : e], '[^ \\t\\n\\r\\f]'))"""
+
+
+def _packed_sql(size: int) -> str:
+    return f"""{_segments_sql(300, "select doc_id, null as page, 0::bigint as a, length(text) as z, text as body from documents where text is not null")},
+g as (select *, row_number() over (partition by doc_id order by s) - 1 as i, e - s as n, sum(e - s) over (partition by doc_id order by s) as upto, count(*) over (partition by doc_id) as total from segments),
+reach as (select a.doc_id, a.i, max(a.total) as total, max(b.i) + 1 as stop from g a join g b on a.doc_id = b.doc_id and b.i >= a.i and b.upto <= a.upto - a.n + {size} group by a.doc_id, a.i),
+made(doc_id, i, stop, total, position) as (select doc_id, i, stop, total, 0::bigint from reach where i = 0
+  union all select r.doc_id, r.i, r.stop, r.total, m.position + 1 from made m join reach r on r.doc_id = m.doc_id and r.i = greatest(m.i + 1, m.stop - 1) where m.stop < m.total)
+select m.doc_id, sha256(string_agg(g.segment, ':' order by g.i)) as chunk, m.position, count(*) as n, min(g.s) as chunk_start, max(g.e) as chunk_end from made m join g on g.doc_id = m.doc_id and g.i >= m.i and g.i < m.stop group by m.doc_id, m.position"""
+
+
 def oracle_sql() -> dict[str, str]:
     fresh = f"case when published_at is null then 0 else pow(0.5, greatest(0, epoch(timestamp '{NOW}') - epoch(published_at)) / 86400 / {HALF_LIFE}) end"
     weight = "case source when 'src1' then 2.0 when 'src2' then 0.5 when 'src3' then 0.0 else 1.0 end"
@@ -520,6 +556,9 @@ def oracle_sql() -> dict[str, str]:
     rank = " + ".join(f"{harmonic(i)} * 0.1 / 1.64493406685 / {len(OR_QUERY) - 1}" for i in range(len(OR_QUERY) - 1))
     return _stage_sql() | {
         "hybrid_blend": f"{_HITS}, n as (select lpad(vec_id::varchar, 12, '0') || ':000000000' as chunk, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)) as s from embeddings), l as (select chunk, relevance / max(relevance) over () as l from hits) select chunk, round(0.4 * coalesce(l, 0) + 0.6 * greatest(coalesce(s, 0), 0), 6) as relevance from l full join (select * from n where chunk in (select chunk from kept)) using (chunk) where l is not null or s >= {LEAST_SIMILARITY}",
+        "segment_documents": _segments_sql(1400, "select doc_id, p.page, p.a, p.z, text as body from (select doc_id, text, unnest(case when doc_id % 3 = 0 and length(text) > 40 then [{'page': 1, 'a': 0, 'z': length(text) // 2}, {'page': 2, 'a': length(text) // 2 + 10, 'z': length(text)}] else [{'page': null, 'a': 0, 'z': length(text)}] end) as p from documents where text is not null)")
+        + " select doc_id, segment, s as segment_start, e as segment_end, page::bigint as page, md5(t) as text_md5 from segments",
+        "packed_segments": _packed_sql(1000),
         "unit_vectors": "with n as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings) select vec_id, round(e[1] / n, 6) as first, round(e[-1] / n, 6) as last from n",
         "embedding_texts": "select doc_id, md5('Document ' || doc_id || chr(10) || coalesce(text, '')[:350]) as text_md5 from documents",
         "missing_embeddings": "select doc_id from documents where doc_id % 3 = 0 or (doc_id % 4 = 0 and text is not null)",
