@@ -56,10 +56,13 @@ def add(spark: SparkSession, folder: str, number: int, content: dict) -> None:
     out.close()
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], partitioned: dict[str, list[str]] | None = None, facts: dict | None = None, after: int | None = None) -> int:
+def publish(
+    spark: SparkSession, folder: str, tables: dict[str, DataFrame], partitioned: dict[str, list[str]] | None = None, facts: dict | None = None, after: int | None = None, added: dict[str, DataFrame] | None = None
+) -> int:
     """Writes tables beside those of other versions, then names them in the version that follows `after` (the newest, if None).
 
-    A table of None is that of the version before. All tables change together or, on any failure, none does.
+    A table of None is that of the version before. Rows of `added` come to those of a table, which are not written anew.
+    All tables change together or, on any failure, none does.
     """
     number, old = latest(spark, folder) if after is None else (after, latest(spark, folder)[1])
     data = f"{folder}/data-{uuid.uuid4().hex}"
@@ -69,11 +72,18 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], part
             continue
         paths[name] = f"{data}/{name}"
         rows.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(paths[name])
+    for name, rows in (added or {}).items():
+        rows.write.parquet(f"{data}/{name}")
+        paths[name] = [*_parts(paths.get(name, [])), f"{data}/{name}"]
     add(spark, folder, number + 1, {"tables": paths, "facts": {**old.get("facts", {}), **(facts or {})}})
     return number + 1
 
 
+def _parts(paths: str | list[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else paths
+
+
 def tables(spark: SparkSession, folder: str) -> tuple[int, dict[str, DataFrame], dict]:
     """Number, tables and facts of the newest version."""
     number, content = latest(spark, folder)
-    return number, {name: spark.read.parquet(path) for name, path in content.get("tables", {}).items()}, content.get("facts", {})
+    return number, {name: spark.read.parquet(*_parts(path)) for name, path in content.get("tables", {}).items()}, content.get("facts", {})
