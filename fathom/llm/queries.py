@@ -54,6 +54,16 @@ def op8_secret_scan(spark, sf_dir):
     return secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
 
+def secret_patterns(spark, sf_dir):
+    """What the fixed patterns of the operator find, which SQL can express."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def unigram_scores(spark, sf_dir):
+    """The base score of the language model, which SQL can express."""
+    return op9_log_bilinear(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def op9_log_bilinear(spark, sf_dir):
     return lbl.score(_read(spark, sf_dir, "documents"))
 
@@ -63,7 +73,7 @@ def op10_wrapper_induction(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = [op1_quality_gam, op2_bagminhash, op3_metric_range_join, op4_warc_splittable, op5_language_fusion, op6_wu_manber, op7_mix_sources, op8_secret_scan, op9_log_bilinear, op10_wrapper_induction, language_of_pages]
+    found = [op1_quality_gam, op2_bagminhash, op3_metric_range_join, op4_warc_splittable, op5_language_fusion, op6_wu_manber, op7_mix_sources, op8_secret_scan, op9_log_bilinear, op10_wrapper_induction, language_of_pages, secret_patterns, unigram_scores]
     return {f.__name__: f for f in found}
 
 
@@ -148,5 +158,34 @@ from d join parts p using (source) left join edges e using (source)
 """
 
 
+_EITHER = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_ASSIGN = f"({_EITHER})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+# matches are set apart by a character of private use, so that they are every second part and their places are sums of lengths
+_PATTERNS = f"""
+with d as materialized (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+kinds(no, kind) as (values (0, 'assign'), (1, 'access'), (2, 'hex')),
+parts as ({" union all ".join(f"select k, {no} as no, string_split(regexp_replace(text, '{pattern}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) as p from d" for no, pattern in enumerate((_ASSIGN, "AKIA[A-Z0-9]+", "[0-9a-f]+")))}),
+rows_ as (select k, no, unnest(p) as p, unnest(range(1, len(p) + 1)) as i from parts),
+placed as (select *, sum(length(p)) over (partition by k, no order by i) as e from rows_),
+found as (
+  select k, no, e - length(p) as s, e from placed where i % 2 = 0 and case no when 0 then length(regexp_extract(p, '{_ASSIGN}', 2)) >= 6 when 1 then length(p) >= 20 else length(p) >= 24 end),
+told as (
+  select k, count(*) filter (where no = 0) as a, count(*) filter (where no = 1) as b, count(*) filter (where no = 2) as c, string_agg(kind || ':' || s || ':' || e, ',' order by s, no, e) as spans
+  from found join kinds using (no) group by k)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join told using (k)
+"""
+
+# a CRC-32 bit by bit
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)), lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, y: xor(c >> 1, (c & 1) * 3988292384))), 4294967295::bigint)"
+_UNIGRAMS = rf"""
+with d as materialized (select row_number() over () as k, doc_id, {_CRC.format("doc_id::varchar")} % 10 = 0 as held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), chr(57344)) as w from documents),
+t as materialized (select k, held_out, unnest(w) as token from d),
+c as materialized (select token, count(*) as c from t where not held_out group by token),
+s as (select sum(c) as n, count(*) as v from c),
+scored as (select k, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))) as base_score from t left join c using (token), s group by k)
+select doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 3) as base_score from d join scored using (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bagminhash": _OP2, "op3_metric_range_join": _OP3, "op4_warc_splittable": _OP4, "op6_wu_manber": _OP6, "op7_mix_sources": _OP7}
+    return {"op2_bagminhash": _OP2, "op3_metric_range_join": _OP3, "op4_warc_splittable": _OP4, "op6_wu_manber": _OP6, "op7_mix_sources": _OP7, "secret_patterns": _PATTERNS, "unigram_scores": _UNIGRAMS}
