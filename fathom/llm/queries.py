@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bagminhash, langid, lbl, mixing, quality, rangejoin, secrets, warc, wrapper, wumanber
+from fathom.llm import bagminhash, dialogue, exponion, langid, lbl, linededup, mixing, quality, rangejoin, secrets, warc, wrapper, wumanber
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,8 +72,21 @@ def op10_wrapper_induction(spark, sf_dir):
     return wrapper.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    return linededup.drop_repeated_lines(_read(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+def op12_exponion(spark, sf_dir):
+    return exponion.described(spark, *exponion.cluster(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_dial_repair(spark, sf_dir):
+    conversations = _read(spark, sf_dir, "conversations")
+    return dialogue.digests(conversations, dialogue.repair(dialogue.damaged(conversations)))
+
+
 def queries() -> dict:
-    found = [op1_quality_gam, op2_bagminhash, op3_metric_range_join, op4_warc_splittable, op5_language_fusion, op6_wu_manber, op7_mix_sources, op8_secret_scan, op9_log_bilinear, op10_wrapper_induction, language_of_pages, secret_patterns, unigram_scores]
+    found = [op1_quality_gam, op2_bagminhash, op3_metric_range_join, op4_warc_splittable, op5_language_fusion, op6_wu_manber, op7_mix_sources, op8_secret_scan, op9_log_bilinear, op10_wrapper_induction, op11_line_dedup, op12_exponion, op13_dial_repair, language_of_pages, secret_patterns, unigram_scores]
     return {f.__name__: f for f in found}
 
 
@@ -187,5 +200,74 @@ select doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 3) a
 """
 
 
+_OP11 = """
+with d as materialized (select row_number() over () as k, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select k, doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from d),
+keyed as materialized (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+found as (select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct doc_id) + max((doc_id is null)::int) >= 3),
+kept as (select k, i, line, keeper is null or coalesce(doc_id = keeper, false) as stays from keyed left join found using (key))
+select doc_id, n_lines, n_dropped, kept_sha256
+from d join (
+  select k, count(*) as n_lines, count(*) filter (where not stays) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where stays), '')) as kept_sha256 from kept group by k) using (k)
+"""
+
+_ROUNDS = "".join(f"""
+a{r} as materialized (
+  select vec_k, arg_min(c, (d, c)) as c, min(d) as d
+  from (select v.k as vec_k, c.c as c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c{r} c) group by vec_k),
+m{r} as (select c, i, sum(v[i]) as s, count(*) as n from (select a.c, v.v, unnest(range(1, 65)) as i from a{r} a join v on v.k = a.vec_k) group by c, i),
+c{r + 1} as materialized (
+  select c, coalesce(means.v, o.v) as v from c{r} o left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from m{r} group by c) means using (c)),""" for r in range(10))
+_OP12 = f"""
+with d as materialized (select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as f from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+v as materialized (select k, vec_id, list_transform(f, lambda x: x::bigint) as v from d where len(list_filter(f, lambda x: abs(x) >= 134217728)) = 0),
+c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as c, v from v order by c limit 8),{_ROUNDS}
+l as (
+  select vec_k, arg_min(c, (d, c)) as c, min(d) as d
+  from (select v.k as vec_k, c.c as c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c10 c) group by vec_k)
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c10.v, ',')) as centroid_sha256
+from l join v on v.k = vec_k join c10 using (c)
+"""
+
+
+# states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant; the cheapest way, then the least audit, for each state after each row
+_OP13 = rf"""
+with recursive ids as materialized (select conv_id, row_number() over () as k from (select distinct conv_id from conversations)),
+o as materialized (
+  select k, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format("(coalesce(o.conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as kind
+  from conversations o join ids on o.conv_id is not distinct from ids.conv_id),
+x as (
+  select k, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(0, case when kind = 3 then 2 else 1 end)) as copy
+  from o where kind <> 0),
+n as materialized (select *, row_number() over (partition by k order by turn nulls first, role, sha256(text), copy) as i from x),
+g as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by k, role, text order by i) > 1 as seen, not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as unended from n),
+f as materialized (select k, i, turn, role, text, role[1] as r, blank, seen and not blank as again, unended and not seen and not blank as cut_off, lag(role[1]) over (partition by k order by i) as before from g),
+acts(letter) as (values ('D'), ('K'), ('R')),
+s as (
+  select k, 0::bigint as i, 0 as q, struct_pack(cost := 0, audit := '', said := ''::varchar) as best from ids
+  union all
+  select k, i, q, arg_min(best, (best.cost, best.audit)) from (
+    select k, i, case when letter = 'D' then p when letter = 'R' then case p when 2 then 3 else 2 end else case r when 's' then 1 when 'u' then 2 else 3 end end as q,
+      struct_pack(cost := cost + 3 * m + case letter when 'D' then 4 when 'R' then 3 else 0 end + case when cut_off and letter <> 'D' then 3 else 0 end, audit := audit || repeat('I', m) || letter,
+        said := said || put || case letter when 'D' then '' when 'K' then chr(10) || role || ':' || text else chr(10) || case p when 2 then 'assistant' else 'user' end || ':' || text end) as best
+    from (
+      select s.k, f.i, s.best.cost as cost, s.best.audit as audit, s.best.said as said, m, role, text, r, cut_off, blank or again as dead, case m when 0 then q when 1 then case q when 2 then 3 else 2 end else case q when 2 then 2 else 3 end end as p,
+        case m when 0 then '' when 1 then chr(10) || case q when 2 then 'assistant:' else 'user:' end else chr(10) || case q when 2 then 'assistant:' || chr(10) || 'user:' else 'user:' || chr(10) || 'assistant:' end end as put
+      from s join f on f.k = s.k and f.i = s.i + 1, (values (0), (1), (2)) t(m)), acts
+    where letter = 'D' or not dead and (letter = 'R' or p = 0 and r in ('s', 'u') or p in (1, 3) and r = 'u' or p = 2 and r = 'a'))
+  group by k, i, q),
+ends as (
+  select s.k, arg_min(struct_pack(cost := best.cost + 3 * m, audit := best.audit || repeat('I', m), said := best.said || put), (best.cost + 3 * m, best.audit || repeat('I', m))) as best
+  from s join (select ids.k, coalesce(max(f.i), 0) as i from ids left join f using (k) group by ids.k) z on z.k = s.k and z.i = s.i
+    join (values (0, 0, ''), (1, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 1, chr(10) || 'assistant:'), (3, 0, '')) e(q, m, put) on e.q = s.q group by s.k),
+told as (
+  select ids.k, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where blank) as blank, count(*) filter (where again) as duplicate, count(*) filter (where cut_off) as truncated,
+    count(*) filter (where before || r not in ('su', 'ua', 'au')) as illegal
+  from ids left join f using (k) group by ids.k)
+select conv_id, gaps, blank, duplicate, truncated, illegal, best.cost::bigint as cost, best.audit as audit, sha256(substr(best.said, 2)) as repaired_sha256 from ids join told using (k) join ends using (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bagminhash": _OP2, "op3_metric_range_join": _OP3, "op4_warc_splittable": _OP4, "op6_wu_manber": _OP6, "op7_mix_sources": _OP7, "secret_patterns": _PATTERNS, "unigram_scores": _UNIGRAMS}
+    return {"op11_line_dedup": _OP11, "op12_exponion": _OP12, "op13_dial_repair": _OP13, "op2_bagminhash": _OP2, "op3_metric_range_join": _OP3, "op4_warc_splittable": _OP4, "op6_wu_manber": _OP6, "op7_mix_sources": _OP7, "secret_patterns": _PATTERNS, "unigram_scores": _UNIGRAMS}
