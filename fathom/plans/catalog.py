@@ -318,6 +318,22 @@ def hub_update(spark, sf_dir):
     return owners.join(rows, "doc_id").join(have, "doc_id", "left").select("external_id", "lang", "chunks", "characters", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(told["updated"]).alias("updated"), F.lit(told["unchanged"]).alias("unchanged"))
 
 
+def hub_changes(spark, sf_dir):
+    """Token statistics of a hub after six changes: texts that change again and again, metadata alone, deletions, and deleted documents that come back."""
+    docs = corpus(spark, sf_dir).where(F.col("body").rlike("(?U)\\S"))
+    batch = docs.select("source", F.col("doc_id").cast("string").alias("external_id"), "title", "body", "published_at", F.lit("").alias("url"), "metadata", F.array().cast("array<struct<page:int,start:int,end:int>>").alias("pages"))
+    home = hub.Hub(spark, f"{versions.working_folder(spark)}/hub-{uuid.uuid4().hex}", buckets=4)
+    home.upsert_sources(batch.select("source").distinct().select("source", F.col("source").alias("name"), F.lit("local").alias("kind"), F.lit(True).alias("enabled")))
+    home.ingest(batch)
+    k = F.col("external_id").cast("long")
+    home.ingest(batch.where(k % 3 == 0).withColumn("body", F.concat(F.lit("first "), "body")))
+    home.ingest(batch.where(k % 5 == 0).withColumn("body", F.concat(F.lit("second "), "body")))
+    home.ingest(batch.where(k % 5 == 0).withColumn("body", F.concat(F.lit("second "), "body")).withColumn("metadata", F.create_map(F.lit("lang"), F.lit("xx"))))
+    home.delete(home.table("documents").where("external_id % 11 = 3"))
+    home.ingest(batch.where(k % 22 == 3).withColumn("body", F.lit("back again")))
+    return home.table("tokens").select("token", "n_with", "total")
+
+
 def _runs(spark, sf_dir):
     """Evaluation runs: a query for each twentieth of the documents, in the languages and sources of its documents."""
     docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), "n_chars", "lang")
@@ -428,7 +444,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
-        segment_documents, packed_segments, search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, eval_summary, report_mismatches, run_health, golden_functions,
+        segment_documents, packed_segments, search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, hub_changes, eval_summary, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -609,6 +625,13 @@ def oracle_sql() -> dict[str, str]:
         "nearest_batch": "with e as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as w from e order by vec_id limit 10), n as (select query, vec_id as key, least(1, list_cosine_similarity(v, w)) as similarity from e, q), r as (select *, row_number() over (partition by query order by round(similarity, 12) desc, key) as rank from n) select query, key, round(similarity, 6) as similarity, rank from r where rank <= 3",
         "policy_experiment": f"""{_HITS}, v as (select *, {weight} as weighted, {fresh} as f from hits), y as (select 'plain' as policy, doc_id, relevance as score from v union all select 'weighted', doc_id, relevance * weighted from v where weighted > 0 union all select 'fresh', doc_id, relevance * (1 + {BOOST} * f) from v),
           z as (select policy, doc_id, max(score) as score from y group by all), r as (select *, row_number() over (partition by policy order by score desc, doc_id) as rank from z) select policy, doc_id, rank, round(score, 6) as score from r where rank <= 10""",
+        "hub_changes": f"""with c0 as (select doc_id, 'Document ' || doc_id as title,
+            case when doc_id % 22 = 3 then 'back again' when doc_id % 5 = 0 then 'second ' || text when doc_id % 3 = 0 then 'first ' || text else text end as body
+            from documents where regexp_matches(coalesce(text, ''), '\\S') and (doc_id % 11 <> 3 or doc_id % 22 = 3)),
+          s0 as (select *, unnest(list_transform(range(0, 1 + greatest(0, ceil((length(body) - 1400) / 1240.0))::bigint), lambda i: i * 1240)) as s from c0),
+          k0 as (select *, body[s + 1 : least(s + 1400, length(body))] as t from s0),
+          toks as (select doc_id, s, unnest({_TOKENS.format("title || ' ' || t")}) as token from k0 where regexp_matches(t, '\\S'))
+          select token, count(distinct (doc_id, s)) as n_with, count(*) as total from toks group by token""",
         "hub_update": f"""with c0 as (select doc_id, source, 'Document ' || doc_id as title, case when doc_id % 10 = 0 then 'new ' || text else text end as body, case when doc_id % 10 = 1 then 'xx' else lang end as lang from documents where regexp_matches(coalesce(text, ''), '\\S')),
           s0 as (select *, unnest(list_transform(range(0, 1 + greatest(0, ceil((length(body) - 1400) / 1240.0))::bigint), lambda i: i * 1240)) as s from c0),
           k0 as (select *, body[s + 1 : least(s + 1400, length(body))] as t from s0),

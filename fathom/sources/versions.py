@@ -1,12 +1,13 @@
 """Numbered JSON files and table snapshots on any file system that Spark reaches.
 
-A version exists once its file does. The file is created only if absent, so of two writers one gets
+A version exists once its file does. The file appears whole and only if absent, so of two writers one gets
 Conflict; data that no version names is never seen.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
 
@@ -47,13 +48,42 @@ def latest(spark: SparkSession, folder: str) -> tuple[int, dict]:
 
 
 def add(spark: SparkSession, folder: str, number: int, content: dict) -> None:
+    """Adds a version: the file is written under another name and put in its place whole, unless that is taken, so a reader meets
+    all of it or none, and a writer that fails leaves the number free."""
     fs, path = place(spark, f"{folder}/{number:012d}.json")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    told, half = json.dumps(content, ensure_ascii=False).encode(), hadoop.Path(path.getParent(), f"_{uuid.uuid4().hex}.tmp")
+    fs.mkdirs(path.getParent())
+    out = fs.create(half, False)
+    out.write(bytearray(told))
+    out.close()
     try:
-        out = fs.create(path, False)
+        if fs.getUri().getScheme() == "file":  # a rename would replace a file here, a link does not
+            os.link(half.toUri().getPath(), path.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+            hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(half, path, none)
+    except FileExistsError as error:
+        raise Conflict(f"version {number} exists") from error
     except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
         raise Conflict(f"version {number} exists") from error
-    out.write(bytearray(json.dumps(content, ensure_ascii=False).encode()))
-    out.close()
+    finally:
+        fs.delete(half, False)
+
+
+def clean(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Removes all versions but the newest `keep`, and data folders that none of those names; returns how many of these went. Readers of
+    older versions lose them, and so does a writer that has not yet published: call it when none of either runs."""
+    fs, path = place(spark, folder)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+    numbers = [n for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    kept = "".join(spark.read.text([f"{folder}/{n}" for n in numbers[-keep:]], wholetext=True).toPandas()["value"]) if numbers else ""
+    gone = [n for n in names if n.startswith("data-") and n not in kept]
+    for n in [*numbers[:-keep], *gone]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, n), True)
+    return len(gone)
 
 
 def publish(
