@@ -182,12 +182,13 @@ def held_out(id_) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE) -> Additive:
-    """Fits on at most `sample` labelled rows outside the held-out third; null ids and labels don't count."""
+    """Fits on at most `sample` labelled documents outside the held-out third; null ids and labels don't count. Labels of one id that
+    differ count as the larger; of texts that share an id the least one (null: empty) is learned from, so that many are no more rows."""
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("quality")).where("id is not null and quality in (0, 1)")
     chosen = chosen.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most `sample` ids, so the broadcast is bounded
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "quality").mapInArrow(_featured, "quality int, x array<double>").toPandas()
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text")).select("text", "quality").mapInArrow(_featured, "quality int, x array<double>").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T) if len(rows) else []
     return Additive(x[order], rows["quality"].to_numpy(float)[order])

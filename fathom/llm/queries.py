@@ -155,19 +155,20 @@ from d left join marked using (doc_id) left join items using (doc_id)
 """
 
 _OP7 = r"""
-with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, substr(md5(coalesce(doc_id::varchar, '')), 1, 12) as spot from documents),
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12) as spot, row_number() over () as k from documents),
 s as (select source, source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1) as weight from (select source, sum(size)::bigint as source_size from d group by source)),
 t as (select source, source_size, weight, row_number() over (order by source_size::double / weight, source) as r, sum(source_size) over () as total from s),
 levels as (select *, (total - coalesce(sum(3 * source_size) over (order by r rows between unbounded preceding and 1 preceding), 0))::double / sum(weight) over (order by r rows between current row and unbounded following) as level from t),
 one as (select arg_min(level, r) filter (where 3 * source_size > weight * level) as level from levels),
 goals as (select source, source_size, case when 3 * source_size <= weight * level then (3 * source_size)::double else weight * level end as target from t, one),
-parts as (select *, floor(target / source_size)::bigint as whole, target - floor(target / source_size) * source_size as rest from goals where source_size > 0),
-spots as (select source, spot, sum(size) as words from d group by source, spot),
-sums as (select source, spot, words, sum(words) over (partition by source order by spot) as upto from spots),
-edges as (select source, spot as threshold, upto - rest <= rest - (upto - words) as closed from sums join parts using (source) where words > 0 and upto >= rest and upto - words < rest)
+parts as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole, target - case when source_size > 0 then floor(target / source_size) else 0 end * source_size as rest from goals),
+sums as (select *, sum(size) over (partition by source order by spot, k) as upto, row_number() over (partition by source order by spot, k) as n from d),
+edges as (select sums.source, min(n) filter (where size > 0 and upto >= rest) as n, arg_min(upto - rest <= rest - (upto - size), n) filter (where size > 0 and upto >= rest) as closed
+  from sums join parts on sums.source is not distinct from parts.source where rest > 0 group by sums.source)
 select doc_id, size, p.source_size::bigint as source_size, target,
-  (size * (whole + case when spot < threshold or (spot = threshold and closed) then 1 else 0 end))::bigint as taken
-from d join parts p using (source) left join edges e using (source)
+  (size * (whole + case when sums.n < e.n or (sums.n = e.n and closed) then 1 else 0 end))::bigint as taken
+from sums join parts p on sums.source is not distinct from p.source left join edges e on sums.source is not distinct from e.source
 """
 
 

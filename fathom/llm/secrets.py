@@ -1,18 +1,25 @@
 """Secret scans: fixed patterns, and character Markov models that find random strings without one.
 
-First-order Markov models over the characters of a token, one for each kind of random string and one
-for ordinary identifiers and words, are trained from labelled samples by grouped counts of character
-pairs. A token is a secret if its log-likelihood under the likeliest random model exceeds that under
-the ordinary one by a margin. The total counts, not its mean, so short tokens must look the more
-random; no rule on length or digits stands before the models but the least length of a token.
+Markov models over the characters of a token, first-order ones for kinds of random strings and
+second-order ones for kinds of ordinary strings (words and identifiers, sequences and rulers, numbers), are
+trained from labelled samples by grouped counts. A token is a secret if its log-likelihood under the
+likeliest random model exceeds that under the likeliest ordinary one by a margin. Each pair of characters
+counts once a token, so what a token repeats is no further evidence; the total counts, not its mean, so short
+tokens must look the more random.
 """
 
 from __future__ import annotations
 
+import base64
+import bisect
 import hashlib
+import itertools
 import math
+import os
+import random
 import re
 import string
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,21 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
 #: Characters and least length of what the models judge.
-ALPHABET, LEAST = string.ascii_letters + string.digits + "+/_=-", 12
+ALPHABET, LEAST = string.ascii_letters + string.digits + "+/_=-", 10
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Log-likelihood ratio (natural logarithm, of the whole token) from which a token counts as random. On held-out samples
-#: ordinary strings reach 6.2; random ones of 20 characters and more have 13 to 82, over 0.995 of each kind above the margin.
+#: Log-likelihood ratio (natural logarithm, of the whole token) from which a token counts as random.
 MARGIN = 20.0
-ORDINARY = "ordinary"
+#: Labels of ordinary strings; all others are kinds of random strings.
+ORDINARIES = ORDINARY, SEQUENCE, NUMBER = ("ordinary", "sequence", "number")
+#: Weight of the first-order model where a second-order one has seen little.
+BACK = 5.0
+#: Labelled ordinary words: the vocabulary of a public tokenizer, most frequent first. Read by the driver alone.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SAMPLES = 60_000
+#: Rows whose words are learned as ordinary ones (about), and the most such words.
+ROWS, WORDS_OF = 5_000, 20_000
+#: How much a row of a first-order model leans on the frequencies of single characters.
+LEAN = 30.0
 
 # the labelled samples: kinds of random strings by their alphabets, and words that ordinary strings are made of
 RANDOM_KINDS = {
@@ -46,85 +62,142 @@ WORDS = (
     "ver ung heit keit lich schaft und der die das mit sich auf eine auch sein haben durch gegen zwischen bezug ganz einzeln beispiel "
     "le les des une dans pour que qui avec pas plus sont elle nous tout mais aussi mieux vieux cheveux oiseau maison voix jamais beaucoup premier avait "
     "los las para con del como este mucho donde trabajo tion ment ness able ing er est ous "
-    "http www com org html src lib bin usr local python java test main web api v2 version january february november december 2024 100"
+    "http www com org html xhtml xml dtd w3c utf svg src lib bin usr local python java test main web api v2 version january february november december 2024 100"
 ).split()
 
 
-def _uniform(*keys) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(keys).encode(), digest_size=8).digest(), "big")
-
-
-def sample_strings(n: int = 20_000) -> list[tuple[str, str]]:
-    """Labelled samples (text, label): n random strings of 12 to 64 characters over the kinds, and n ordinary ones of one to
-    six WORDS, joined in the ways of identifiers, paths, sentences and compounds, some with a number. They depend on nothing
-    but n."""
-    samples, kinds = [], list(RANDOM_KINDS)
-    for i in range(n):
-        kind = kinds[i % len(kinds)]
-        letters = RANDOM_KINDS[kind]
-        stream = hashlib.shake_128(f"random {i}".encode()).digest(128)
-        size = LEAST + _uniform("size", i) % 53
-        samples.append(("".join(letters[int.from_bytes(stream[2 * k : 2 * k + 2], "big") % len(letters)] for k in range(size)), kind))
-    plain = [w for w in WORDS if set(w) <= set(ALPHABET)]
-    for i in range(n):
-        words = [plain[_uniform("word", i, k) % len(plain)] for k in range(1 + _uniform("words", i) % 6)]
-        style = _uniform("style", i) % 8
+def vocabulary_words(path: str = VOCABULARY) -> list[str]:
+    """WORDS, and words of a vocabulary file in its order; without the file WORDS alone, with which ordinary strings are known worse."""
+    if not os.path.exists(path):
+        warnings.warn(f"no vocabulary at {path}: ordinary strings are learned from {len(WORDS)} words", stacklevel=2)
+        return WORDS
+    with open(path) as lines:
+        words = (base64.b64decode(x.split()[0]).decode("utf-8", "ignore").strip() for x in lines)
+        return WORDS + [w for w in words if re.fullmatch("[A-Za-z][A-Za-z0-9]{1,23}", w)]
+
+
+def words_of(docs: DataFrame, text_col: str = "text", rows: int = ROWS, most: int = WORDS_OF) -> list[str]:
+    """Plain words (lower case, capitalised or upper case) that stand in at least two texts of about `rows` rows, chosen by hash of the text:
+    the most frequent ones, at most `most`. What a mixed-case token is, no document says."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    every = max(1, docs.count() // rows)
+    some = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.pmod("h", F.lit(every)) == 0)
+    words = some.select("h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])([A-Z]?[a-z]{1,19}|[A-Z]{2,20})(?![A-Za-z0-9+/_=-])"), F.lit(1)))).alias("word"))
+    counted = words.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    least, total = 2, 0
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.n):  # at most `rows` different counts
+        total += r.words
+        if total > most:
+            least = r.n + 1
+            break
+    return [r.word for r in sorted(counted.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
+def sample_strings(words: list[str], own: list[str] = (), n: int = SAMPLES) -> list[tuple[str, str]]:
+    """Labelled samples (text, label): n ordinary strings of one to five words, half of them of the corpus's own ones if there are any (a word's
+    share falls with its place), joined in the ways of identifiers, paths, compounds and assignments, some with a number or a
+    ruler; a third as many random strings of 8 to 64 characters over the kinds; sequences and repeats of alphabets;
+    numbers. They depend on nothing but the arguments."""
+    rng, samples = random.Random(20), []
+    lists = [(x, list(itertools.accumulate(1 / (rank + 300) for rank in range(len(x))))) for x in (words, own) if x]
+    ruler = lambda: rng.choice("-=_/+") * rng.randrange(2, 30) if rng.random() < 0.5 else "".join(rng.choice("-=_/+") * rng.randrange(1, 3) for _ in range(2))
+    cases = (str.lower, str.upper, str.capitalize, lambda w: w.upper()[:3])
+    for _ in range(n):
+        known, shares = rng.choice(lists)
+        some = [known[bisect.bisect(shares, rng.random() * shares[-1])] for _ in range(1 + rng.randrange(5))]
+        low, style = [w.lower() for w in some], rng.randrange(11)
+        capital = [w.capitalize() for w in some]
         text = (
-            "_".join(words) if style == 0 else "-".join(words) if style == 1 else "/".join(words) if style == 2 else "".join(w.capitalize() for w in words) if style == 3
-            else words[0] + "".join(w.capitalize() for w in words[1:]) if style == 4 else "_".join(words).upper() if style == 5 else "".join(words).capitalize() if style == 6 else "".join(words)
+            "_".join(low) if style == 0 else "-".join(some) if style == 1 else "/".join(some) if style == 2 else "".join(capital) if style == 3 else low[0] + "".join(capital[1:]) if style == 4
+            else "_".join(some).upper() if style == 5 else "".join(low).capitalize() if style == 6 else "".join(low) if style == 7 else f"{low[0]}={'_'.join(low)}" if style == 8 else f"__{'_'.join(low)}__" if style == 9
+            else rng.choice(("/", "//", "-", "_")).join(rng.choice(cases)(w) for w in some)
         )
-        number = str(_uniform("number", i) % 10 ** (1 + _uniform("digits", i) % 16))
-        samples.append((text + number if _uniform("numbered", i) % 4 == 0 else number if _uniform("numbered", i) % 16 == 1 else text, ORDINARY))
+        text += str(rng.randrange(10 ** rng.randrange(1, 5))) if rng.random() < 0.25 else ""
+        text = (ruler() if rng.random() < 0.1 else "") + text + (ruler() if rng.random() < 0.1 else "")
+        at = rng.randrange(1, 6)
+        samples.append((text[:at] + str(rng.randrange(100)) + rng.choice(["_", "-", "", "/"]) + text[at:] if rng.random() < 0.1 else text, ORDINARY))
+    kinds = list(RANDOM_KINDS)
+    for i in range(n // 3):
+        kind = kinds[i % len(kinds)]
+        samples.append(("".join(rng.choice(RANDOM_KINDS[kind]) for _ in range(rng.randrange(8, 65))), kind))
+    rows = (string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", string.ascii_lowercase + string.ascii_uppercase + string.digits + "-_")
+    for row in rows:
+        for _ in range(n // 300):
+            at = rng.randrange(len(row))
+            samples.append(((row * 3)[at : at + rng.randrange(4, 60)], SEQUENCE))
+    samples += [(c * 40, SEQUENCE) for c in ALPHABET] * 20
+    for _ in range(n // 20):
+        parts = [str(rng.randrange(10 ** rng.randrange(1, 17))) for _ in range(rng.randrange(1, 6))]
+        samples.append((rng.choice("_-/+") .join(parts) + (f"e{rng.choice('+-')}{rng.randrange(30)}" if rng.random() < 0.3 else ""), NUMBER))
     return samples
 
 
 class Markov:
-    """log P(next character | character) for each label, from counts of (pair, label)."""
-
-    def __init__(self, counts: dict[tuple[str, str], int], smooth: float = 0.5):
-        self.labels = sorted({label for _, label in counts} - {ORDINARY})
-        place = {c: i for i, c in enumerate(ALPHABET)}
-        size = len(ALPHABET)
-        tables = {label: np.full((size, size), smooth) for label in [*self.labels, ORDINARY]}
-        for (pair, label), n in counts.items():
-            tables[label][place[pair[0]], place[pair[1]]] += n
-        logs = {label: np.log(t / t.sum(1, keepdims=True)) for label, t in tables.items()}
-        #: For each random label, the log ratio of each pair against the ordinary model, by code point.
-        self.ratios = np.zeros((len(self.labels), 128, 128))
-        codes = np.frombuffer(ALPHABET.encode(), np.uint8)
-        for k, label in enumerate(self.labels):
-            self.ratios[k][np.ix_(codes, codes)] = logs[label] - logs[ORDINARY]
+    """Log-likelihoods of tokens, from counts of (two or three characters, label): first-order models of random kinds, second-order ones,
+    eased by their first-order ones, of ordinary kinds."""
+
+    def __init__(self, counts: dict[tuple[str, str], int], smooth: float = 0.5, lean: float = LEAN, back: float = BACK):
+        labels = {label for _, label in counts}
+        self.labels, place, size = sorted(labels - set(ORDINARIES)), {c: i for i, c in enumerate(ALPHABET)}, len(ALPHABET)
+        self.ordinary = [x for x in ORDINARIES if x in labels] or [ORDINARY]
+        pairs = {label: np.zeros((size, size)) for label in [*self.labels, *self.ordinary]}
+        triples = {label: np.zeros((size, size, size), np.float32) for label in self.ordinary}
+        for (gram, label), n in counts.items():
+            at = tuple(place[c] for c in gram)
+            if len(at) == 2:
+                pairs[label][at] += n
+            elif label in triples:
+                triples[label][at] += n
+        single = {label: (t.sum(0) + smooth) / (t.sum() + smooth * size) for label, t in pairs.items()}
+        shares = {label: (t + lean * single[label][None]) / (t.sum(1, keepdims=True) + lean) for label, t in pairs.items()}
+        #: log P by code: of random kinds (kind, before, next), of ordinary ones (kind, two before, before, next); a token's second character has no two before.
+        self.random = np.log(np.stack([shares[x] for x in self.labels])) if self.labels else np.zeros((0, size, size))
+        self.second = np.log(np.stack([shares[x] for x in self.ordinary]))
+        self.later = np.log(np.stack([(t + back * shares[x][None]) / (t.sum(2, keepdims=True) + back) for x, t in triples.items()])).astype(np.float32)
+        self.codes = np.zeros(128, np.int64)
+        self.codes[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(size)
 
     def score(self, tokens: list[str]) -> np.ndarray:
-        """Log-likelihood ratio of each token of at least two characters of ALPHABET: the likeliest random model over the ordinary one."""
+        """Log-likelihood ratio of each token of at least two characters of ALPHABET: the likeliest random model over the likeliest ordinary
+        one, over the token's distinct pairs, each where it first stands."""
         if not tokens or not self.labels:
             return np.full(len(tokens), -np.inf)
-        data = np.frombuffer("".join(tokens).encode(), np.uint8)
+        data = self.codes[np.frombuffer("".join(tokens).encode(), np.uint8)]
         size = np.array([len(t) for t in tokens])
-        begin = np.cumsum(size) - size
+        begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(tokens)), size)
         inside = np.ones(len(data), bool)
         inside[begin] = False
         at = np.flatnonzero(inside)
-        first = begin - np.arange(len(tokens))  # where a token's pairs begin among all pairs
-        return np.stack([np.add.reduceat(r[data[at - 1], data[at]], first) for r in self.ratios]).max(0)
+        n = len(ALPHABET)
+        _, first = np.unique((owner[at] * n + data[at - 1]) * n + data[at], return_index=True)
+        at = at[np.sort(first)]
+        b, c, early = data[at - 1], data[at], at - 1 == begin[owner[at]]
+        a = data[np.where(early, at - 1, at - 2)]
+        starts = np.searchsorted(owner[at], np.arange(len(tokens)))  # each token has a pair
+        likely = np.stack([np.add.reduceat(r[b, c], starts) for r in self.random]).max(0)
+        plain = np.stack([np.add.reduceat(np.where(early, s[b, c], t[a, b, c]), starts) for s, t in zip(self.second, self.later, strict=True)]).max(0)
+        return likely - plain
 
 
 def train(samples: DataFrame, text_col: str = "text", label_col: str = "label") -> Markov:
-    """Counts character pairs of labelled strings by grouped aggregation: at most 67 * 67 counts for each label.
+    """Counts two and three characters in a row of labelled strings by grouped aggregation: at most 67 * 67 counts for each label, and
+    67 ** 3 for each of ORDINARIES.
 
-    The label ORDINARY is that of what is no secret, every other one that of a kind of random string. Rows with a null, and
-    pairs with other characters than ALPHABET, don't count.
+    These are labels of what is no secret, every other one that of a kind of random string. Rows with a null, and
+    characters in a row with others than ALPHABET, don't count.
     """
     text = F.col(text_col).cast("string")
-    pairs = samples.where((F.length(text) > 1) & F.col(label_col).isNotNull()).select(
-        F.col(label_col).cast("string").alias("label"), F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).alias("pair")
-    )
-    pairs = pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
-    return Markov({(r.pair, r.label): r["count"] for r in pairs.groupBy("pair", "label").count().collect()})
+    rows = samples.where((F.length(text) > 1) & F.col(label_col).isNotNull()).select(text.alias("text"), F.col(label_col).cast("string").alias("label"))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, F.lit(k)))
+    three = F.when(F.col("label").isin(*ORDINARIES), of(3)).otherwise(F.array().cast("array<string>"))
+    grams = rows.select("label", F.explode(F.concat(of(2), F.filter(three, lambda x: F.length(x) == 3))).alias("gram")).where(F.col("gram").rlike("^[A-Za-z0-9+/_=-]{2,3}$"))
+    return Markov({(r.gram, r.label): r["count"] for r in grams.groupBy("gram", "label").count().collect()})
 
 
-def default_model(spark: SparkSession) -> Markov:
-    return train(spark.createDataFrame(sample_strings(), "text string, label string"))
+def default_model(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> Markov:
+    """A model of ordinary strings as a vocabulary and the documents themselves have them, and of random ones."""
+    samples = sample_strings(vocabulary_words(vocabulary), words_of(docs, text_col))
+    return train(docs.sparkSession.createDataFrame(samples, "text string, label string"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -194,14 +267,14 @@ def find_secrets(docs: DataFrame, model: Markov | None = None, id_col="doc_id",
     empty and has none; whole texts are searched; rows that repeat an id, or have none, are each
     returned; no rows give no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model(docs.sparkSession))  # under 50,000 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model(docs, text_col))  # under a million numbers
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_scan(shared, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def without_secrets(docs: DataFrame, model: Markov | None = None, text_col="text", margin: float = MARGIN) -> DataFrame:
     """The rows of docs whose text holds no secret, with all columns as they are; a null text holds none."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model(docs.sparkSession))
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model(docs, text_col))
 
     def run(batches):
         for batch in batches:

@@ -4,6 +4,8 @@ import base64
 import collections
 import hashlib
 import math
+import os
+import pathlib
 import re
 import zlib
 from html.parser import HTMLParser
@@ -101,6 +103,8 @@ def test_mixing_of_null_and_repeated_rows(spark):
         assert sum({(z, g): g for _, _, z, g, _ in found}.values()) == pytest.approx(49)
         assert all(t <= 3 * s for _, s, _, _, t in found) and found == collections.Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(table).collect())
     copies = mixing.repeated(table)
+    again = mixing.repeated(table.withColumn("copy", F.lit("a column of that name")))
+    assert again.columns == [*table.columns, "copy"] and again.count() == copies.count()
     taken = sum(r.taken for r in mixing.mix(table).collect())
     assert copies.columns == [*table.columns, "copy"] and sum(len((r.text or "").split()) for r in copies.collect()) == taken
 
@@ -200,7 +204,8 @@ def test_base_spans_of_a_whole_table(spark):
 
 
 def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
-    model = secrets.default_model(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.default_model(docs)
     rng = np.random.default_rng(77)
     kinds = {name: letters for name, letters in secrets.RANDOM_KINDS.items() if name != "hex"}
     rows = []
@@ -211,24 +216,61 @@ def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
     by_kind = collections.Counter(list(kinds)[r.doc_id % len(kinds)] for r in found if r.n_random)
     assert all(by_kind[k] >= 0.97 * collections.Counter(list(kinds)[i % len(kinds)] for i in range(900))[k] for k in kinds)
     plain = "getElementsByTagName com.example.service.UserAccountManager internationalization 2024-01-01T00:00:00Z /usr/local/lib/python3/site-packages Donaudampfschifffahrtsgesellschaft 4111111111111111 well-known_identifier_with_many_parts"
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert secrets.spans([plain], model) == [[]] and secrets.find_secrets(docs, model).agg(F.sum("n_random")).first()[0] == 0
     joined = "token=abcdefg;" + "xK9dPq2LmZ7vRt4WbN8sYc1E/0123456789abcdef0123456789abcdef/qZ7Lw3XvB9nTk2RmY5cHd8Ju"
     assert [k for _, k, _ in secrets.spans([joined], model)[0]] == [0, 3, 2, 3]
-
-
-def test_markov_scores_are_sums_over_pairs(spark):
-    samples = [("abab", "x"), ("aabb", secrets.ORDINARY), ("bbbb", secrets.ORDINARY), (None, "x"), ("é", "x")]
+    # rulers, repeats, sequences and paths
+    for text in ("-" * 20, "=" * 80, "_" * 33, "A" * 16, "__traceback__", "follow_symlinks=follow_symlinks", "-//W3C//DTD XHTML 1.0 Strict//EN", "//W3C//DTD/XHTML/1", "/TR/xhtml1/DTD/xhtml1-strict.dtd", "abcdefghijklmnopqrstuvwxyz", "0123456789012345", "1.5_42343_71107e+10"):
+        assert secrets.spans([text], model) == [[]], text
+    heading = spark.createDataFrame([(1, "A heading\n--------\nplain prose below it."), (2, "key " + "q9Zx7Lw3Tn5Rb2Vd"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in secrets.without_secrets(heading, model).collect()} == {1, 3}
+    # text that no sample holds: identifiers of the standard library
+    folder = pathlib.Path(os.__file__).parent
+    names = sorted({t for f in folder.glob("*.py") for t in secrets.TOKEN.findall(f.read_text(errors="ignore")) if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", t) and f.name != "this.py"})
+    assert len(names) > 3000 and (model.score(names) >= secrets.MARGIN).mean() < 0.001
+    for kind, letters in secrets.RANDOM_KINDS.items():
+        short = model.score(["".join(rng.choice(list(letters), 12)) for _ in range(1000)])
+        assert (short >= secrets.MARGIN).mean() > (0.75 if kind == "hex" else 0.88), kind
+
+
+def test_words_of_a_corpus(spark):
+    rows = [(f"Common word{i} plain {'Rare' if i < 1 else 'seen'}x XyZaB a_b", ) for i in range(40)] + [(None,)]
+    table = spark.createDataFrame(rows, "text string")
+    assert secrets.words_of(table) == ["Common", "plain", "seenx"] and secrets.words_of(table, most=2) == ["Common", "plain"] and secrets.words_of(table.limit(0)) == []
+
+
+def test_markov_scores_are_sums_over_distinct_pairs(spark):
+    samples = [("abab", "x"), ("zzb", "y"), ("aabb", secrets.ORDINARY), ("bbbb", secrets.ORDINARY), ("123", secrets.NUMBER), (None, "x"), ("é", "x")]
     model = secrets.train(spark.createDataFrame(samples, "text string, label string"))
-    count = lambda label: collections.Counter(t[i : i + 2] for t, x in samples if x == label and t for i in range(len(t) - 1))
+    grams = lambda label, k: collections.Counter(t[i : i + k] for t, x in samples if x == label and t for i in range(len(t) - k + 1))
     size = len(secrets.ALPHABET)
 
-    def logp(pair, label):
-        c = count(label)
-        return math.log((c[pair] + 0.5) / (sum(n for p, n in c.items() if p[0] == pair[0]) + 0.5 * size))
+    def first(label, a, b):
+        c = grams(label, 2)
+        single = (sum(n for p, n in c.items() if p[1] == b) + 0.5) / (sum(c.values()) + 0.5 * size)
+        return (c[a + b] + secrets.LEAN * single) / (sum(n for p, n in c.items() if p[0] == a) + secrets.LEAN)
+
+    def second(label, two, a, b):
+        c = grams(label, 3)
+        return first(label, a, b) if two is None else (c[two + a + b] + secrets.BACK * first(label, a, b)) / (sum(n for p, n in c.items() if p[:2] == two + a) + secrets.BACK)
+
+    def want(token):
+        places = [i for i in range(1, len(token)) if token[i - 1 : i + 1] not in [token[j - 1 : j + 1] for j in range(1, i)]]
+        likely = max(sum(math.log(first(k, token[i - 1], token[i])) for i in places) for k in ("x", "y"))
+        return likely - max(sum(math.log(second(k, token[i - 2] if i > 1 else None, token[i - 1], token[i])) for i in places) for k in (secrets.ORDINARY, secrets.NUMBER))
+
+    tokens = ["abba", "zz", "aB_c-9", "aaaaaaaab", "12312"]
+    assert model.score(tokens) == pytest.approx([want(t) for t in tokens], rel=1e-4, abs=1e-5)
+
 
-    for token in ("abba", "zz", "aB_c-9"):
-        assert model.score([token, "ab"])[0] == pytest.approx(sum(logp(token[i : i + 2], "x") - logp(token[i : i + 2], secrets.ORDINARY) for i in range(len(token) - 1)))
+@pytest.mark.parametrize("id_, text", [(None, "five words of one row"), (7, "five words of one row"), (7, None)])
+def test_targets_of_rows_without_and_with_one_id(spark, id_, text):
+    """Equal rows, and rows that share an id but no text: each source comes within one document of its target."""
+    rows = [(id_, text or f"five words of row {i}", "a") for i in range(50)] + [(i, f"two words{i}", f"s{i % 2}") for i in range(400)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size")).collect()
+    assert len(found) == 3 and all(abs(r.taken - r.target) <= r.size for r in found)
+    copies = mixing.repeated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.source: r.n for r in copies.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()} == {r.source: r.taken for r in found}
 
 
 # ---------------------------------------------------------------- op9

@@ -44,6 +44,13 @@ def test_quality(spark, docs, empty):
     model = quality.fit(some, labels)
     out = quality.score(some, model).join(labels, "doc_id").where("held_out").collect()
     assert out and all(r.predicted == r.quality for r in out)
+    # an id that repeats is one row of the sample; of labels that clash the larger counts
+    many = some.union(spark.createDataFrame([(2, f"text {i}", "en", "s", 1) for i in range(500)], DOCS))
+    seen = []
+    fitted, quality.Additive = quality.Additive, lambda x, y: seen.append((len(x), y.sum()))
+    quality.fit(many, labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic")), sample=10)
+    quality.Additive = fitted
+    assert seen == [(10, 10.0)]
     assert quality.score(docs, model).count() == len(ROWS) and quality.score(empty, model).count() == 0
     assert {round(r.score, 3) for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
