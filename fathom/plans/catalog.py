@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom import hub
 from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
-from fathom.operators import changes, evaluation, index, search, segments, stages
+from fathom.operators import cells, changes, evaluation, index, search, segments, stages
 from fathom.plans import planner
 from fathom.sources import files, versions
 from fathom.sources.policy import Policy, difference
@@ -182,6 +182,15 @@ def nearest_batch(spark, sf_dir):
     return _round(search.nearest(queries, vectors, 3).select("query", "key", "similarity", F.col("rank").cast("long").alias("rank")), "similarity")
 
 
+def nearest_cells(spark, sf_dir):
+    """The ten vectors nearest to each whose id is divisible by 50, from persisted cells."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    folder = f"{versions.working_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build(spark, folder, vectors)
+    queries = vectors.where(F.col("key") % 50 == 0).select(F.col("key").alias("query"), "embedding")
+    return _round(cells.nearest(spark, folder, queries, 10)[0].select("query", "key", "similarity", F.col("rank").cast("long").alias("rank")), "similarity")
+
+
 def _lists(spark, sf_dir) -> DataFrame:
     lexical = search.top(search.best_per_document(search.lexical(indexed(spark, sf_dir), OR_QUERY), "doc_id", "relevance", "chunk"), "relevance", "doc_id", 100)
     dense = search.top(_near(spark, sf_dir), "similarity", "vec_id", 100)
@@ -444,7 +453,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
-        segment_documents, packed_segments, search_results, nearest_batch, policy_experiment, sync_decisions, hub_update, hub_changes, eval_summary, report_mismatches, run_health, golden_functions,
+        segment_documents, packed_segments, search_results, nearest_batch, nearest_cells, policy_experiment, sync_decisions, hub_update, hub_changes, eval_summary, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -623,6 +632,7 @@ def oracle_sql() -> dict[str, str]:
         "search_results": f"""{_HITS}, p as (select *, {weight} as source_weight, {fresh} as freshness from hits), q as (select *, relevance * source_weight * (1 + {BOOST} * freshness) as score from p where source_weight > 0), b as (select * from (select *, row_number() over (partition by doc_id order by score desc, chunk) as k from q) where k = 1)
           select doc_id as id, title, '/api/documents/' || doc_id as url, source as source_id, md5(t) as snippet_md5, s::bigint as start, e::bigint as "end", round(score, 6) as score, round(1 + {BOOST} * freshness, 6) as recency_multiplier, (select count(*) from hits) as matched_chunks, (select count(distinct doc_id) from q) as total from b order by b.score desc, doc_id limit 10""",
         "nearest_batch": "with e as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as w from e order by vec_id limit 10), n as (select query, vec_id as key, least(1, list_cosine_similarity(v, w)) as similarity from e, q), r as (select *, row_number() over (partition by query order by round(similarity, 12) desc, key) as rank from n) select query, key, round(similarity, 6) as similarity, rank from r where rank <= 3",
+        "nearest_cells": "with e as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as w from e where vec_id % 50 = 0), n as (select query, vec_id as key, least(1, list_cosine_similarity(v, w)) as similarity from e, q), r as (select *, row_number() over (partition by query order by round(similarity, 12) desc, key) as rank from n) select query, key, round(similarity, 6) as similarity, rank from r where rank <= 10",
         "policy_experiment": f"""{_HITS}, v as (select *, {weight} as weighted, {fresh} as f from hits), y as (select 'plain' as policy, doc_id, relevance as score from v union all select 'weighted', doc_id, relevance * weighted from v where weighted > 0 union all select 'fresh', doc_id, relevance * (1 + {BOOST} * f) from v),
           z as (select policy, doc_id, max(score) as score from y group by all), r as (select *, row_number() over (partition by policy order by score desc, doc_id) as rank from z) select policy, doc_id, rank, round(score, 6) as score from r where rank <= 10""",
         "hub_changes": f"""with c0 as (select doc_id, 'Document ' || doc_id as title,
