@@ -241,7 +241,7 @@ def _told(found) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def _texts(column, size: int = 256):
+def _texts(column, size: int = 64):
     """Strings of a column, null as empty, a few at a time."""
     for a in range(0, len(column), size):
         yield a, [t or "" for t in column.slice(a, size).to_pylist()]
@@ -255,6 +255,7 @@ def _scan(model, margin):
             counts = [pa.array([sum(s[1] == k for s in x) for x in out], pa.int64()) for k in range(4)]
             sha = pa.array([hashlib.sha256(_told(x).encode()).hexdigest() for x in base])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *counts[:3], sha, pa.array(map(_told, out), pa.string()), counts[3]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -281,5 +282,6 @@ def without_secrets(docs: DataFrame, model: Markov | None = None, text_col="text
             column = batch.column(batch.schema.get_field_index(text_col))
             clean = [not x for _, texts in _texts(column) for x in spans(texts, shared.value, margin)]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
