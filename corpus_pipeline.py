@@ -16,23 +16,36 @@ from fathom.llm import bagminhash, langid, mixing, secrets, wumanber
 from fathom.llm.shared import remove, shared_dir
 
 
+#: Rows of a batch that goes to Python: documents may be long, and a batch lies in memory twice on either side.
+BATCH_ROWS = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Sets the session's batch length where the stages are to run; it stays set, as their rows are computed later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that language identification accepts; lang is what they declare, source stands for the host."""
+    _short_batches(spark)
     return langid.accepted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates: that of the smallest id."""
+    _short_batches(spark)
     return bagminhash.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which no window of a benchmark text occurs."""
+    _short_batches(spark)
     return wumanber.without_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a secret, be it of a fixed pattern or a random string."""
+    _short_batches(spark)
     return secrets.without_secrets(docs)
 
 
