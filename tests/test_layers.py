@@ -1,5 +1,6 @@
 """Layers of a hub: what a change writes, what readers see, merges, removal, and embedding that goes on after a failure."""
 
+import json
 import pathlib
 
 import pytest
@@ -115,3 +116,17 @@ def test_dates_of_file_names(spark):
     }
     rows = spark.createDataFrame([(n,) for n in [*names, None]], "n string").select("n", filename_date(F.col("n")).cast("string").alias("d")).collect()
     assert {r.n: r.d for r in rows} == names | {None: None}
+
+
+def test_alias_files(tmp_path):
+    from fathom.plans import planner
+
+    path = tmp_path / "aliases.json"
+    assert planner.load_aliases(str(path)) == ()
+    def load(told):
+        path.write_text(told if isinstance(told, str) else json.dumps(told), encoding="utf-8-sig")
+        return planner.load_aliases(str(path))
+    assert load({"entities": [[" Nova ", "NV", "Nova"], ["NV", "Other"]]}) == (("Nova", "NV"), ("NV", "Other")) and load({"entities": []}) == ()
+    for bad in ("{", [], {"entities": [["ab", "cd"]], "more": 1}, {"entities": [["ab", "cd"], ["CD", "AB"]]}, {"entities": [["ab", "ab"]]}, {"entities": [["ab", "c"]]}, {"entities": [["ab", "x" * 81]]}, {"entities": [["ab", 1]]}, {"entities": "ab"}, {"entities": [["ab", "cd"]] * 101}):
+        with pytest.raises(ValueError):
+            load(bad)
