@@ -110,15 +110,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col="page_id"
 
 
 class _Range:
-    """Reads a file from some offset on, keeping only what is still needed; what is dropped is cut off at the next read."""
+    """Reads a file from some offset on, keeping only what is still needed; what is dropped is cut off at the next read. What is
+    held grows in place, so a record of any length is copied once."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data, self.start = file, at, b"", 0
+        self.file, self.at, self.data, self.start = file, at, bytearray(), 0
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(READ)
-        self.data, self.start = self.data[self.start :] + got, 0
+        del self.data[: self.start]
+        self.data += got
+        self.start = 0
         return bool(got)
 
     def left(self) -> int:

@@ -59,21 +59,36 @@ NAMES = set(
     "newsletter notice notices notification pager pagination popup promo promotion related replies respond share sharing sidebar sidebars social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
 
+#: Words of a class or id that only say whose, where or of what form a region is: reader-comments are comments, advert-slot is an advert.
+FORMS = set(
+    "area article articles bar big block body bottom box button buttons center column container desktop fixed float floating global group holder icon icons inner item items js large left link links list mobile outer "
+    "page panel placeholder post posts primary reader readers region right row secondary section site slot small sticky story stories top unit user users visitor visitors wrap wrapper zone".split()
+)
+#: Of a header, only these make the page's: a section-header is a heading.
+OF_PAGES = set("bar container fixed global inner outer page primary site sticky top wrap wrapper".split())
+HEADERS = {"header", "masthead"}
+#: Names that articles use for parts of their own too. There such a region goes only if most of its text is links or buttons.
+SHARED_NAMES = set("banner menu menus notice notices promo social tags toolbar widget widgets".split())
+#: Blocks of running text, where a button may be a word of a sentence.
+SENTENCES = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p td th".split())
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^\"'>]*+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
-_ASKED = re.compile("class|id|role|hidden", re.IGNORECASE)
+_ASKED = re.compile("class|id|role|hidden|style", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)\s*+(?:!|;|$)", re.IGNORECASE)
 
 
 class Node:
     """An element or a run of text; the last four are used while the element is open."""
 
-    __slots__ = ("tag", "name", "words", "parent", "children", "text", "kept", "paragraph", "item", "frame", "inline")
+    __slots__ = ("tag", "name", "words", "parent", "children", "text", "kept", "linked", "paragraph", "item", "frame", "inline")
 
     def __init__(self, tag: str, name: str = "", parent=None, text: str = "", words=frozenset()):
         self.tag, self.name, self.parent, self.text, self.words = tag, name, parent, text, words
         self.children: list[Node] = []
-        self.kept = False
+        self.kept = self.linked = False
         if tag == "#text":
             return
         #: the innermost open p, and the innermost open list item, cell or row, that a start tag may end
@@ -118,13 +133,16 @@ def _named(attributes: str) -> tuple[str, set[str]]:
             words.add("role=" + value.strip().lower())
         elif kind == "hidden":
             words.add("hidden")
+        elif kind == "style":
+            if _UNSEEN.search(html.unescape(value)):
+                words.add("hidden")
         elif kind in ("class", "id"):
             name = name or re.sub(r"\d+", "0", value.strip().lower())
             for token in value.split():
                 # a class counts as a whole: has-sidebar says nothing of its element, cookie-banner does
                 parts = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w}
-                if parts <= NAMES or parts == {"hidden"}:
-                    words |= parts
+                if parts == {"hidden"} or (parts & NAMES and parts <= NAMES | (OF_PAGES if parts & HEADERS else FORMS)):
+                    words |= parts & (NAMES | {"hidden"})
     return name, words
 
 
@@ -225,31 +243,42 @@ def parse(page: str) -> Node:
 
 
 def _keep(root: Node) -> None:
-    """Marks what no name may drop: the page's article or main and what holds it, and what holds nearly all text."""
+    """Marks what no name may drop: the page's article or main and what holds it, what holds nearly all text, and buttons that
+    are words of a sentence; and regions whose text is mostly links. One pass each way."""
     nodes = list(walk(root))
-    if not any(x.words & NAMES for x in nodes):
+    if not any(x.words & NAMES or x.tag == "button" for x in nodes):
         return
-    size, under = {}, {}
+    size, links, under = {}, {}, {}
     for x in nodes:
         under[id(x)] = bool(x.words & NAMES) or (x.parent is not None and under[id(x.parent)])
     for x in reversed(nodes):
-        size[id(x)] = len(x.text.strip()) if x.tag == "#text" else 0 if x.tag in DROPPED else sum(size[id(c)] for c in x.children)
+        own = sum(size[id(c)] for c in x.children if c.tag != "button")
+        held = sum(size[id(c)] for c in x.children if c.tag == "button")
+        if x.tag in SENTENCES and held and sum(size[id(c)] for c in x.children if c.tag == "#text") > held:
+            own += held
+            for c in x.children:
+                c.kept |= c.tag == "button"
+        size[id(x)] = len(x.text.strip()) if x.tag == "#text" else own if x.tag not in DROPPED or x.tag == "button" else 0
+        links[id(x)] = size[id(x)] if x.tag in ("a", "button") else sum(links[id(c)] for c in x.children)
+        x.linked = x.tag != "#text" and 2 * links[id(x)] > size[id(x)]
     articles = [x for x in nodes if x.tag in ("article", "main")]
     if articles and all(under[id(x)] for x in articles):
         x = max(articles, key=lambda x: size[id(x)])
         while x is not None:
             x.kept, x = True, x.parent
     for x in nodes:
-        x.kept |= not articles and size[id(x)] >= SHARE * max(1, size[id(root)])
+        x.kept |= x.tag not in DROPPED and not articles and size[id(x)] >= SHARE * max(1, size[id(root)])
 
 
 def dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED or (node.tag == "header" and not in_article):
+    if (node.tag in DROPPED and not (node.tag == "button" and node.kept)) or (node.tag == "header" and not in_article):
         return True
     if node.tag in ("body", "html") or not node.words:
         return False
     named = node.words & NAMES
-    return bool(named - {"header", "masthead"} if in_article else named) and not node.kept or "hidden" in node.words or any(w[5:] in ROLES for w in node.words if w.startswith("role="))
+    if in_article:
+        named -= HEADERS if node.linked else HEADERS | SHARED_NAMES
+    return bool(named) and not node.kept or "hidden" in node.words or any(w[5:] in ROLES for w in node.words if w.startswith("role="))
 
 
 def blocks(node: Node, in_article: bool = False) -> list[str]:
@@ -478,12 +507,27 @@ def induce(pages: list[str]) -> dict | None:
         x = x.parent
     inside = {id(x) for x in walk(root)}
     held = [u for u in runs if id(u.nodes[0]) in inside]
-    fixed = [u.text for u in held if all(id(x) in constant for x in u.nodes)]
+    alike = [all(id(x) in constant for x in u.nodes) for u in held]
+    fixed = [u.text for u, same, leads in zip(held, alike, _leading(held, alike), strict=True) if same and not leads]
     # near copies of one article agree in most of their text: then what agrees is no template
     template = fixed if len(trees) >= 4 and sum(map(len, fixed)) <= 0.2 * max(1, sum(len(u.text) for u in held)) else []
     return {"path": path[::-1], "template": sorted(set(template))}
 
 
+def _leading(runs: list[Unit], alike: list[bool]) -> list[bool]:
+    """Whether a run is a heading with text under it that varies, before the next heading of its level or above. Pages of one kind
+    share such headings (their parts are called alike), which are no template."""
+    varies, out = [False] * 7, []
+    for u, same in zip(reversed(runs), reversed(alike), strict=True):
+        level = HEADINGS.get(u.nodes[0].parent.frame.tag)
+        out.append(level is not None and varies[level])
+        if not same:
+            varies = [True] * (level or 7) + varies[level or 7 :]
+        if level is not None:
+            varies[level:] = [False] * (7 - level)
+    return out[::-1]
+
+
 def _at_path(tree: Node, path: list[str]) -> list[Node]:
     tops = [x for x in walk(tree) if x.tag in ("html", "body", "#root")]
     level = [c for t in tops for c in t.children]

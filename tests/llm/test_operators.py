@@ -1,4 +1,5 @@
 import collections
+import gzip
 import io
 import re
 
@@ -232,6 +233,46 @@ def test_names_drop_no_article(page):
     assert wrapper.extract(page, None) == "T\n\nsome text"
 
 
+@pytest.mark.parametrize("part", [
+    "<div class='reader-comments'><p>so true</p></div>", "<section id='user-comments'>so true</section>", "<div class='comments-section'><p>so true</p></div>", "<div class='advert-slot'>buy</div>",
+    "<div style='color:red; display : none'><p>unseen</p></div>", "<div style=visibility:hidden>unseen</div>", "<div class='social'><a href=x>Share</a> <a href=y>Send</a></div>",
+    "<div class='widget'><button>Share</button></div>", "<p><button>Copy</button></p>", "<div class='related-posts'><p>Other story</p></div>",
+])
+def test_parts_that_are_no_article(part):
+    for page in (f"<article><h1>T</h1><p>some text</p>{part}</article>", f"<main><h1>T</h1>{part}<p>some text</p></main>", f"<article><h1>T</h1><p>some text</p></article>{part}"):
+        assert wrapper.extract(page, None) == "T\n\nsome text"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='widget'>kept words</div>", "<section class='social'><p>kept words</p></section>", "<section id='banner'>kept words</section>", "<p>kept words</p>", "<div style='display:block'>kept words</div>",
+    "<div class='commentary'>kept words</div>", "<div class='section-header'>kept words</div>", "<div class='ad-free'>kept words</div>",
+])
+def test_parts_of_an_article_with_names_of_others(part):
+    assert wrapper.extract(f"<article><h1>T</h1>{part}<p>some text</p></article>", None) == "T\n\nkept words\n\nsome text"
+    assert wrapper.extract("<article><p>Press the <button>Start</button> key to begin.</p></article>", None) == "Press the Start key to begin."
+
+
+def test_headings_that_pages_share_stay_and_template_goes():
+    page = lambda i: f"<body><div class=a><p>Share this dish now</p><h1>Dish {i}</h1><h2>Ingredients</h2>" + "".join(f"<p>part {i} {k} of a long list</p>" for k in range(9)) + f"<h2>Method</h2><h3>First</h3><p>stir {i} times and then rest for a while</p><h2>Follow</h2><p>Our letter</p></div></body>"
+    w = wrapper.induce([page(i) for i in range(6)])
+    assert w["template"] == ["Follow", "Our letter", "Share this dish now"]
+    text = wrapper.extract(page(7), w)
+    assert "Ingredients" in text and "Method\n\nFirst\n\nstir 7" in text and "letter" not in text and "Share" not in text
+
+
+def test_large_records_are_read_in_linear_time(tmp_path):
+    rng = np.random.default_rng(3)
+    body = b"WARC/1.1\r\n" + rng.bytes(24 << 20)
+    path = tmp_path / "x.gz"
+    path.write_bytes(gzip.compress(b"WARC/1.0 a", 1) + b"noise" + gzip.compress(body, 1) + gzip.compress(b"WARC/1.1 z", 1))
+    with open(path, "rb") as file:
+        assert [raw for _, raw in warc.members(file, 0, path.stat().st_size)] == [b"WARC/1.0 a", body, b"WARC/1.1 z"]
+    source = warc._Range(open(path, "rb"), 0)
+    held = source.data
+    while source.more():
+        assert source.data is held  # grows in place
+
+
 def test_wrappers_of_copies_layouts_and_long_pages(spark):
     page = lambda i, c, more="": f"<body><div class=top><p>Home</div><div class={c}><p>Share this story now<p>{f'text {i} ' * 40}{more}</div>"
     rows = [(i, "http://a.example/", page(1, "one")) for i in range(200)] + [(1000 + i, "http://a.example/", page(i, "one")) for i in range(2, 8)]
