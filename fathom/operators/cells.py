@@ -173,7 +173,7 @@ def _compared(bounds, limit):
     return run
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def kept(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(versions.working_folder(rows.sparkSession))
@@ -207,7 +207,7 @@ def nearest(spark: SparkSession, folder: str, queries: DataFrame, limit: int) ->
 
     wanted = max(limit, FIRST)
     first = asked.mapInArrow(_paired(bounds, wanted, False), pairs_schema)
-    found = _kept(best(visited(first)))
+    found = kept(best(visited(first)))
     worst = found.groupBy("query").agg(F.when(F.count(F.lit(1)) == limit, F.min("similarity")).alias("s"))
     reach = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))), F.lit(2.0)).alias("reach")
     second = asked.join(worst, "query", "left").select("query", "u", reach).mapInArrow(_paired(bounds, wanted, True), pairs_schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom import hub
 from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
-from fathom.operators import cells, changes, evaluation, index, search, segments, stages
+from fathom.operators import cells, changes, evaluation, index, levels, search, segments, stages
 from fathom.plans import planner
 from fathom.sources import files, versions
 from fathom.sources.policy import Policy, difference
@@ -23,6 +23,7 @@ NOW = "2026-09-30 00:00:00"
 WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
 BOOST, HALF_LIFE = 0.5, 30.0
 COMMON_QUERY = ("or", "that", "from", "par")
+BOTH_WORDS = ("that", "from")
 STAGE_QUERY, STAGE_VARIANT, LEAST_SIMILARITY = "entre haben token par", "entre token", 0.2
 OR_QUERY, AND_QUERY = ("or", "entre", "which", "haben", "token"), ("and", "the", "token")
 
@@ -62,6 +63,16 @@ def indexed(spark, sf_dir) -> index.Index:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
+def levelled(spark, sf_dir) -> levels.Levels:
+    """The levels of the index's postings, built when a session first asks for them."""
+    key = spark.sparkContext.applicationId, f"{sf_dir} levels"
+    if key not in _BUILT:
+        folder = f"{versions.working_folder(spark)}/levels-{uuid.uuid4().hex}"
+        levels.build(spark, folder, indexed(spark, sf_dir))
+        _BUILT[key] = folder
+    return levels.read(spark, _BUILT[key])
+
+
 def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -108,6 +119,19 @@ def lexical_search(spark, sf_dir):
     return _round(search.top(hits, "relevance", "chunk", 50).select("chunk", "doc_id", "relevance"), "relevance")
 
 
+def bounded_search(spark, sf_dir):
+    """The 50 best chunks of a query of common words, of all whose levels can reach them."""
+    hits = levels.top(levelled(spark, sf_dir), list(COMMON_QUERY[1:]), 50).hits
+    return _round(hits, "relevance")
+
+
+def bounded_search_filtered(spark, sf_dir):
+    """The 20 best chunks that hold both words, of documents in one language and since a date."""
+    filters = search.Filters(since="2026-02-01", metadata={"lang": "en"})
+    hits = levels.top(levelled(spark, sf_dir), list(BOTH_WORDS), 20, every=True, documents=indexed(spark, sf_dir).documents, filters=filters).hits
+    return _round(hits, "relevance")
+
+
 def lexical_search_and(spark, sf_dir):
     return _round(search.lexical(indexed(spark, sf_dir), AND_QUERY).select("chunk", "doc_id", "relevance"), "relevance")
 
@@ -449,7 +473,7 @@ def latency_changes(spark, sf_dir):
 
 def queries() -> dict:
     found = [
-        tokenize_tf, chunk_documents, doc_ids, corpus_stats, token_df, lexical_search, lexical_search_and, tsrank_search, filtered_search, policy_search, best_chunk_per_doc, planned_search, dense_topk,
+        tokenize_tf, chunk_documents, doc_ids, corpus_stats, token_df, lexical_search, lexical_search_and, bounded_search, bounded_search_filtered, tsrank_search, filtered_search, policy_search, best_chunk_per_doc, planned_search, dense_topk,
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
@@ -597,6 +621,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": f"with {_CORPUS} select count(*) as n_chunks, round(avg(len(w)), 6) as mean_length from toks",
         "token_df": f"with {_CORPUS} select token, count(distinct chunk) as n_with, count(*) as total from (select chunk, unnest(w) as token from toks) group by token",
         "lexical_search": f"{_HITS} select chunk, doc_id, round(relevance, 6) as relevance from hits order by hits.relevance desc, chunk limit 50",
+        "bounded_search": f"{_bm25(COMMON_QUERY[1:], False)} select chunk, doc_id, round(relevance, 6) as relevance from hits order by round(hits.relevance, 12) desc, chunk limit 50",
+        "bounded_search_filtered": f"{_bm25(BOTH_WORDS, True)} select chunk, doc_id, round(relevance, 6) as relevance from hits where published_at >= timestamp '2026-02-01' and lang = 'en' order by round(hits.relevance, 12) desc, chunk limit 20",
         "lexical_search_and": f"{_bm25(AND_QUERY[1:], True)} select chunk, doc_id, round(relevance, 6) as relevance from hits",
         "tsrank_search": f"{_HITS} select chunk, round({rank}, 6) as relevance from hits",
         "filtered_search": f"{_bm25(COMMON_QUERY[1:], False)} select chunk, doc_id, round(relevance, 6) as relevance from hits where source in ('src1', 'src2') and published_at >= timestamp '2026-02-01' and published_at < timestamp '2026-10-01' and lang = 'en'",
