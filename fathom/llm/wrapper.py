@@ -251,18 +251,31 @@ def _keep(root: Node) -> None:
     size, links, under = {}, {}, {}
     for x in nodes:
         under[id(x)] = bool(x.words & NAMES) or (x.parent is not None and under[id(x.parent)])
+    articles = [x for x in nodes if x.tag in ("article", "main")]
+    hidden = articles and all(under[id(x)] for x in articles)
+    if articles and not hidden and not any(x.words & SHARED_NAMES or x.tag == "button" for x in nodes):
+        return  # no size matters
     for x in reversed(nodes):
-        own = sum(size[id(c)] for c in x.children if c.tag != "button")
-        held = sum(size[id(c)] for c in x.children if c.tag == "button")
-        if x.tag in SENTENCES and held and sum(size[id(c)] for c in x.children if c.tag == "#text") > held:
+        if x.tag == "#text":
+            size[id(x)], links[id(x)] = len(x.text.strip()), 0
+            continue
+        own = held = plain = linked = 0
+        for c in x.children:
+            n = size[id(c)]
+            linked += links[id(c)]
+            if c.tag == "button":
+                held += n
+            else:
+                own += n
+                plain += n if c.tag == "#text" else 0
+        if held and plain > held and x.tag in SENTENCES:
             own += held
             for c in x.children:
                 c.kept |= c.tag == "button"
-        size[id(x)] = len(x.text.strip()) if x.tag == "#text" else own if x.tag not in DROPPED or x.tag == "button" else 0
-        links[id(x)] = size[id(x)] if x.tag in ("a", "button") else sum(links[id(c)] for c in x.children)
-        x.linked = x.tag != "#text" and 2 * links[id(x)] > size[id(x)]
-    articles = [x for x in nodes if x.tag in ("article", "main")]
-    if articles and all(under[id(x)] for x in articles):
+        n = size[id(x)] = own if x.tag not in DROPPED or x.tag == "button" else 0
+        links[id(x)] = n if x.tag in ("a", "button") else linked
+        x.linked = 2 * links[id(x)] > n
+    if hidden:
         x = max(articles, key=lambda x: size[id(x)])
         while x is not None:
             x.kept, x = True, x.parent
