@@ -5,19 +5,22 @@ from __future__ import annotations
 import datetime
 import threading
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathom import hub as hubs
 from fathom.functions.text import document_id, filename_date, utc_timestamp
 from fathom.operators import changes, search
-from fathom.sources import files, versions
+from fathom.sources import files, listings, versions
 
 LONGEST = 3600.0
+#: Bytes and files that a task reads in a round.
+TASK_BYTES, TASK_FILES = 64 << 20, 1000
 STATE = "root string, source string, path string, sha string, content string, state string, attempts int, next_retry timestamp, error string, document_ids array<string>, seen timestamp"
 
 
@@ -124,65 +127,70 @@ def _documents(hub: hubs.Hub, parsed: DataFrame, source: str, prefix: str, bindi
 def cycle(
     hub: hubs.Hub, root: str, source: str, state_folder: str, now: datetime.datetime, *, name: str | None = None, prefix: str = "", bindings: dict[str, tuple[str, str]] | None = None,
     settle_seconds: float = 30.0, retry_seconds: float = 60.0, most_attempts: int = 5, retry_failed: bool = False, most_bytes: int = files.MOST_BYTES,
-    encode: Callable | None = None, model: str = "",
+    encode: Callable | None = None, model: str = "", listed: DataFrame | None = None,
 ) -> dict:
-    """One round over a folder: list, decide, read and parse what has changed, upsert, and keep the state of each file.
+    """One round over a folder: list (or take a listing that is given), decide, read and parse what has changed, upsert, and keep the state of each file.
 
-    A file is taken whole or not at all. Files that are gone stay in the hub; a folder that can't be listed says nothing
-    of its files. A document that another file of the source holds is not taken. At the end an encoder, if given, embeds what
+    A file is taken whole or not at all, and not if it changes between its listing and the end of its reading. Files that are gone stay in the hub; a folder that can't be listed says nothing
+    of its files; links that leave the folder are passed over. errors counts the files that failed by their codes. A document that another file of the source holds is not taken. At the end an encoder, if given, embeds what
     lacks a vector; if it fails the next round tries again.
     """
-    spark, report = hub.spark, {"created": 0, "updated": 0, "unchanged": 0, "skipped": 0, "settling": 0, "waiting": 0, "missing": 0, "failed": 0, "error": None, "semantic": "not_requested"}
+    spark, report = hub.spark, {"created": 0, "updated": 0, "unchanged": 0, "skipped": 0, "settling": 0, "waiting": 0, "missing": 0, "failed": 0, "errors": {}, "error": None, "semantic": "not_requested"}
     known = {r.source: r.enabled for r in hub.table("sources").where(F.col("source") == source).collect()}
     if not known:
         hub.upsert_sources(spark.createDataFrame([(source, name or source, "local", True)], hubs.SOURCES))
     elif not known[source]:
         return {**report, "error": "source_disabled"}
-    try:
-        listed = files.listing(spark, root)
-    except AnalysisException:
-        return {**report, "error": "scan_incomplete"}
     base = root.rstrip("/").removeprefix("file://")
-    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + "".join(f"\\x{ord(c):02x}" if not c.isalnum() else c for c in base) + "/+", "")
-    mark = F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
-    listed = listed.select(inside.alias("path"), F.col("path").alias("full"), "length", mark.alias("sha"), F.col("modificationTime").alias("modified")).persist()
+    found = (listings.listed(spark, [root]) if listed is None else listed).persist()
+    if found.where(F.col("error") == listings.INCOMPLETE).limit(1).count():
+        found.unpersist()
+        return {**report, "error": listings.INCOMPLETE}
+    listed = found.where(F.col("error").isNull() & files.supported(F.col("path")))
     number, everything = versions.latest(spark, state_folder)[0], state_of(hub, state_folder)
     mine = (F.col("root") == base) & (F.col("source") == source)
     state, when = everything.where(mine), F.lit(now).cast("timestamp")
     decided = decide(listed, state, when, settle_seconds, retry_failed).persist()
     report |= {r.action: r.n for r in changes.counts(decided).collect() if r.action != "process"}
-    todo = [r.full for r in listed.join(decided.where("action = 'process'").select("path"), "path").select("full").collect()]  # of a listing that the driver has made
+    due = listed.join(decided.where("action = 'process'").select("path"), "path", "left_semi")
+    todo = due.agg(F.count(F.lit(1)).alias("files"), F.sum(F.least("length", F.lit(most_bytes))).alias("bytes")).first()
     parts = [everything.where(~mine), state.join(decided.where("action in ('waiting', 'skipped')").select("path"), "path", "left_semi")]
     kept = state.select("path", "content", "document_ids")
     marked = lambda action, name, error: decided.where(F.col("action") == action).join(kept, "path", "left").select(F.lit(base).alias("root"), F.lit(source).alias("source"), "path", F.lit("" if action == "settling" else None).cast("string").alias("sha") if action == "settling" else "sha", "content", F.lit(name).alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_retry"), F.lit(error).alias("error"), F.coalesce("document_ids", F.array().cast("array<string>")).alias("document_ids"), when.alias("seen"))
     parts += [marked("settling", "settling", ""), marked("missing", "missing", "file_missing_retained")]
-    if todo:
-        read = spark.read.format("binaryFile").load(todo).where(F.col("length") <= most_bytes)
-        read = read.select(inside.alias("path"), F.sha2("content", 256).alias("content_now"), "content").join(kept.select("path", F.col("content").alias("content_old")), "path", "left").persist()
+    if todo.files:
+        tasks = max(1 + todo.bytes // TASK_BYTES, 1 + todo.files // TASK_FILES, min(todo.files, spark.sparkContext.defaultParallelism))
+        read = listings.contents(due.repartition(tasks, "path"), most_bytes)
+        read = read.select("path", F.sha2("content", 256).alias("content_now"), "content", "problem").join(kept.select("path", F.col("content").alias("content_old")), "path", "left").persist()
         same = read.where(F.col("content_now").eqNullSafe(F.col("content_old")) & F.lit(not retry_failed)).join(state.where("state = 'ok'").select("path"), "path", "left_semi").select("path")
-        fresh = read.join(same, "path", "left_anti")
+        fresh = read.where("problem is null").join(same, "path", "left_anti")
         docs = _documents(hub, files.parsed(fresh), source, prefix, bindings or {}).persist()
         docs = docs.withColumn("error", F.coalesce(F.nullif(F.col("error"), F.lit("")), hubs.faults(docs)))
         owned = changes.owned_elsewhere(docs.select(F.lit(base).alias("root"), "path", F.col("doc_id").alias("document_id")), everything.where(F.col("source") == source).select("root", "path", "document_ids"))
         twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths")).where("n > 1").select(F.explode("paths").alias("path"))
         single = docs.groupBy("path").count().where((F.col("count") > 1) & F.col("path").isin(*(bindings or {"": 0}))).select("path")
         good = changes.whole_files(docs)
-        for bad in (owned.select("path"), twice, single):
-            good = good.join(bad, "path", "left_anti")
+        coded = lambda rows, code: rows.select("path", F.lit(code).alias("why"))
+        why = docs.where("error <> ''").select("path", F.col("error").alias("why")).union(read.where("problem is not null").select("path", F.col("problem")))
+        for bad, code in ((owned.select("path"), "document_of_another_file"), (twice, "document_given_twice"), (single, "several_records_bound")):
+            good, why = good.join(bad, "path", "left_anti"), why.union(coded(bad, code))
+        why = why.groupBy("path").agg(F.min("why").alias("why"))
         good = good.persist()
         report |= {k: report[k] + v for k, v in hub.ingest(good).items()}
         taken = good.groupBy("path").agg(F.collect_set("doc_id").alias("document_ids"))
         ids = changes.with_ids(kept.select("path", "document_ids"), taken, "path")
         outcomes = decided.where("action = 'process'").select("path").join(taken.select("path").union(same).withColumn("yes", F.lit(True)), "path", "left").select("path", F.coalesce("yes", F.lit(False)).alias("ok"))
         report["skipped"] += same.count()
-        new = after(decided, outcomes, when, retry_seconds, most_attempts).join(read.select("path", F.col("content_now").alias("content")), "path", "left").join(ids, "path", "left")
-        parts.append(new.select(F.lit(base).alias("root"), F.lit(source).alias("source"), "path", "sha", "content", "state", "attempts", "next_retry", F.when(F.col("state") == "ok", "").otherwise("file_failed").alias("error"), F.coalesce("document_ids", F.array().cast("array<string>")).alias("document_ids"), when.alias("seen")))
+        new = after(decided, outcomes, when, retry_seconds, most_attempts).join(read.select("path", F.col("content_now").alias("content")), "path", "left").join(ids, "path", "left").join(why, "path", "left")
+        parts.append(new.select(F.lit(base).alias("root"), F.lit(source).alias("source"), "path", "sha", "content", "state", "attempts", "next_retry", F.when(F.col("state") == "ok", "").otherwise(F.coalesce("why", F.lit("file_failed"))).alias("error"), F.coalesce("document_ids", F.array().cast("array<string>")).alias("document_ids"), when.alias("seen")))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
     versions.publish(spark, state_folder, {"files": rows}, after=number)
-    report["failed"] = state_of(hub, state_folder).where(mine & F.col("state").isin("retrying", "failed") & (F.col("seen") == when)).count()
-    for table in ([read, docs, good] if todo else []) + [listed, decided]:
+    told = state_of(hub, state_folder).where(mine & F.col("state").isin("retrying", "failed") & (F.col("seen") == when))
+    report["errors"] = {r.error: r["count"] for r in told.groupBy("error").count().collect()}
+    report["failed"] = sum(report["errors"].values())
+    for table in ([read, docs, good] if todo.files else []) + [found, decided]:
         table.unpersist()
     if encode is not None:
         try:
@@ -193,6 +201,44 @@ def cycle(
     return report
 
 
+@dataclass(frozen=True)
+class Root:
+    """A folder that a stream of rounds looks after, and whose documents are those of one source."""
+
+    path: str
+    source: str
+    name: str | None = None
+    prefix: str = ""
+    bindings: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def follow(hub: hubs.Hub, roots: list[Root], state_folder: str, checkpoint: str, *, interval_seconds: float | None = None, told: Callable[[int, dict], None] | None = None, **how) -> StreamingQuery:
+    """Rounds over several folders as a streaming query: one round if no interval is given, else one each interval, until it is stopped.
+
+    A batch is a listing of all roots; `cycle` takes each root's part with the options in `how`. What goes wrong with a root is its own: the others
+    go on, and told(number, {source: report}) hears of it. A round that breaks off is run again from the checkpoint; what
+    it has taken in by then is found unchanged.
+    """
+    if len({r.source for r in roots}) < len(roots):
+        raise ValueError("a source has one root")
+
+    def round_(batch: DataFrame, number: int) -> None:
+        rows, reports = batch.persist(), {}
+        for r in roots:
+            now = datetime.datetime.now(datetime.timezone.utc)
+            try:
+                reports[r.source] = cycle(hub, r.path, r.source, state_folder, now, name=r.name, prefix=r.prefix, bindings=r.bindings, listed=rows.where(F.col("root") == r.path), **how)
+            except Exception as error:  # noqa: BLE001 - another root's round must not suffer, and the next round lists all anew
+                reports[r.source] = {"error": type(error).__name__}
+        rows.unpersist()
+        if told is not None:
+            told(number, reports)
+
+    writer = listings.rounds(hub.spark, [r.path for r in roots]).writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if interval_seconds is None else writer.trigger(processingTime=f"{interval_seconds} seconds")
+    return writer.start()
+
+
 def alive(finished: datetime.datetime | None, interval_seconds: float, now: datetime.datetime) -> bool:
     """Whether a loop has finished a round of late: within three intervals, three minutes at least."""
     return finished is not None and (now - finished).total_seconds() <= max(180.0, 3 * interval_seconds)
