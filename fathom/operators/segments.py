@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEGMENT, CHUNK, OVERLAP = 1400, 6000, 1
 # white space as Unicode has it, and four separators besides
@@ -54,27 +58,40 @@ def segments(docs: DataFrame, key: str, body: str = "body", pages: str | None =
     return rows.select(key, name.alias("segment"), "start", "end", "page", "text")
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the positions of the chunks that hold a segment. Rows come by document and place; a document's first has number 0.
+
+    What is held is the place of the next chunk and those that are open, never a document.
+    """
+    following, position, opened = 0, 0, []
+    for batch in batches:
+        held = []
+        for i, stop, then in zip(*(batch.column(c).to_numpy().tolist() for c in ("_i", "_stop", "_next")), strict=True):
+            if i == 0:
+                following, position, opened = 0, 0, []
+            if i == following:
+                opened, following, position = [*opened, (position, stop)], then, position + 1
+            opened = [x for x in opened if i < x[1]]
+            held.append([p for p, _ in opened])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(pa.int32()))], names=[*batch.schema.names, "_chunks"])
+
+
 def packed(rows: DataFrame, key: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk, position, segments, start, end) from segments: each chunk takes as many as it has room for, and
     begins `overlap` segments before the end of the one before, but after its start. A segment over size is an error.
 
-    Only ids and lengths are grouped, by document: sums of lengths tell where a chunk from each segment would end, and one pass
-    follows the chunks that are made.
+    Rows are dealt once, by document. A window over sums of lengths tells where a chunk from each segment would end: it looks at no more segments
+    than a chunk has room for. Then one pass in order follows the chunks that are made; a document may have any number of segments.
     """
     w = Window.partitionBy(key).orderBy("start", "end")
-    measured = rows.select(key, "segment", "start", "end", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(w))
-    lists = measured.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "upto", "n", "segment"))).alias("all"))
-
-    def step(s: Column, i: Column) -> Column:
-        one = F.get("all", i)
-        stop = F.size(F.filter("all", lambda x: x["upto"] <= one["upto"] - one["n"] + size))
-        stop = F.when(one["n"] > size, F.raise_error(F.lit("a segment is longer than a chunk")).cast("int")).otherwise(stop)
-        following = F.when(stop >= F.size("all"), -1).otherwise(F.greatest(i + 1, stop - overlap))
-        grown = F.struct(following.alias("next"), F.concat(s["made"], F.array(F.struct(i.alias("i"), stop.alias("stop")))).alias("made"))
-        return F.when(i == s["next"], grown).otherwise(s)
-
-    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,stop:int>>").alias("made"))
-    made = lists.withColumn("made", F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), begin, step)["made"])
-    out = made.select(key, "all", F.posexplode("made").alias("position", "m")).withColumn("in", F.slice("all", F.col("m.i") + 1, F.col("m.stop") - F.col("m.i")))
+    measured = rows.select(key, "segment", "start", "end", F.length("text").cast("long").alias("_n")).repartition(key)
+    measured = measured.withColumn("_i", F.row_number().over(w) - 1).withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.col("_upto") - F.col("_n"))
+    # the last segment that begins where there is still room: it fits only if it is a document's last, or else the next would begin there too
+    measured = measured.withColumn("_last", F.max(F.struct("_i", "_upto")).over(Window.partitionBy(key).orderBy("_before").rangeBetween(0, size)))
+    fits = F.col("_last._upto") <= F.col("_before") + size
+    stop = F.when(F.col("_n") > size, F.raise_error(F.lit("a segment is longer than a chunk")).cast("int")).otherwise(F.col("_last._i") + fits.cast("int"))
+    reach = measured.withColumn("_stop", stop).select(key, "segment", "start", "end", "_i", "_stop", F.when(fits, -1).otherwise(F.greatest(F.col("_i") + 1, F.col("_stop") - overlap)).alias("_next"))
+    walked = reach.sortWithinPartitions(key, "_i").mapInArrow(_walk, T.StructType([*reach.schema.fields, T.StructField("_chunks", T.ArrayType(T.IntegerType()))]))
+    made = walked.select(key, F.explode("_chunks").alias("position"), F.struct("_i", "start", "end", "segment").alias("one")).groupBy(key, "position").agg(F.array_sort(F.collect_list("one")).alias("in"))
     ids = F.transform("in", lambda x: x["segment"])
-    return out.select(key, F.sha2(F.concat_ws(":", ids), 256).alias("chunk"), "position", ids.alias("segments"), F.get("in", F.lit(0))["start"].alias("start"), F.element_at("in", -1)["end"].alias("end"))
+    return made.select(key, F.sha2(F.concat_ws(":", ids), 256).alias("chunk"), "position", ids.alias("segments"), F.get("in", F.lit(0))["start"].alias("start"), F.element_at("in", -1)["end"].alias("end"))

@@ -75,3 +75,23 @@ def test_a_segment_over_a_chunk_is_an_error_and_nothing_gives_nothing(spark):
         segments.packed(segments.segments(docs, "doc", size=100), "doc", size=50).collect()
     none = segments.segments(docs.limit(0), "doc")
     assert none.count() == 0 and segments.packed(none, "doc").count() == 0
+
+
+def test_a_document_of_very_many_segments_is_packed_in_one_pass(spark):
+    n, rnd = 200_000, random.Random(3)
+    lengths = [rnd.randint(1, 9) for _ in range(n)]
+    of = F.element_at(F.lit(lengths[:1000]), (F.col("id") % 1000 + 1).cast("int"))
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc"), F.col("id").cast("string").alias("segment"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.repeat(F.lit("x"), of).alias("text"))
+    found = {}
+    for r in segments.packed(rows, "doc", size=40, overlap=1).select("doc", "position", "start", "end").orderBy("doc", "position").collect():
+        found.setdefault(r.doc, []).append((r.position, r.start, r.end))
+    for key, ids in ((7, range(0, n, 2)), (None, range(1, n, 2))):  # rows without a document are one
+        chunks, first = [], 0
+        while first < len(ids):
+            last, room = first, 40
+            while last < len(ids) and lengths[ids[last] % 1000] <= room:
+                room -= lengths[ids[last] % 1000]
+                last += 1
+            chunks.append((len(chunks), ids[first], ids[last - 1] + 1))
+            first = len(ids) if last == len(ids) else max(first + 1, last - 1)
+        assert found[key] == chunks
