@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.operators import search
+from fathom.sources import versions
 
 MEASURES = ("recall", "mrr", "ndcg")
 
@@ -53,6 +55,51 @@ def inputs_fingerprint(**inputs) -> str:
     return hashlib.sha256(json.dumps(inputs, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+class Changed(ValueError):
+    """An evaluation was begun with other cases or inputs."""
+
+
+def _cases_mark(cases: DataFrame) -> list[str]:
+    """Number of cases and a sum of their hashes: the same whatever their order, another one if any column of any case changes."""
+    whole = F.xxhash64(F.to_json(F.struct(*sorted(cases.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    told = cases.agg(F.count(F.lit(1)).alias("n"), F.sum(whole).alias("mark"), F.countDistinct("case").alias("different")).first()
+    if told.different < told.n:
+        raise ValueError("cases need different names")
+    return [str(told.n), str(told.mark)]
+
+
+def evaluated(spark: SparkSession, folder: str, cases: DataFrame, measure: Callable[[DataFrame], DataFrame], inputs: dict, unit: int = 10) -> DataFrame:
+    """Results of measure(cases) for all cases, measured `unit` at a time; those that are done when a run breaks off are not measured again.
+
+    cases have a name `case` and what measure needs, labels included; measure returns any number of rows for the cases it is given. A unit's results and
+    the names of its cases appear in the ledger (folder) together or not at all. The ledger is bound to the cases and to
+    inputs (what else results depend on: snapshot, model, stage): with others it raises Changed and measures nothing. Of two runs at
+    once one gets versions.Conflict.
+    """
+    mark = inputs_fingerprint(cases=_cases_mark(cases), **inputs)
+    number, content = versions.latest(spark, folder)
+    facts = content.get("facts", {})
+    if facts.get("fingerprint", mark) != mark:
+        raise Changed("the ledger was begun with other cases or inputs")
+    number = versions.publish(spark, folder, {}, facts={"fingerprint": mark, "sessions": facts.get("sessions", 0) + 1}, after=number)
+    done = versions.tables(spark, folder)[1].get("finished")
+    todo = cases if done is None else cases.join(done, "case", "left_anti")
+    todo = todo.withColumn("unit", F.floor((F.row_number().over(Window.orderBy("case")) - 1) / unit)).persist()  # one row for each question
+    try:
+        for k in range(-(-todo.count() // unit)):
+            some = todo.where(F.col("unit") == k).drop("unit")
+            number = versions.publish(spark, folder, {}, added={"results": measure(some), "finished": some.select("case")}, after=number)
+    finally:
+        todo.unpersist()
+    found = versions.tables(spark, folder)[1].get("results")
+    return measure(cases.limit(0)) if found is None else found
+
+
+def sessions(spark: SparkSession, folder: str) -> int:
+    """How often an evaluation was begun or resumed."""
+    return versions.latest(spark, folder)[1].get("facts", {}).get("sessions", 0)
+
+
 def policy_experiment(ix, expression, policies: dict, now: str, limit: int = 10) -> DataFrame:
     """(policy, doc_id, rank, score): how the same hits rank under each of a few policies."""
     hits = search.lexical(ix, expression, search.Filters())

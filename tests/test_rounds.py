@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom import hub as hubs
-from fathom.sources import listings
+from fathom.operators import evaluation
+from fathom.sources import inbox, listings, versions
 from fathom.streaming import retries, sync
 
 LISTED = "root string, path string, sha string, modified timestamp"
@@ -114,3 +115,60 @@ def test_a_stream_of_listings_drives_rounds_over_several_roots(spark, tmp_path):
     kept = {(r.source, r.path): (r.state, r.attempts, r.error) for r in sync.state_of(home, states).collect()}
     assert kept == {("sa", "1.txt"): ("ok", 0, ""), ("sa", "bad.json"): ("failed", 2, "not_parsed_JSONDecodeError"), ("sb", "2.json"): ("ok", 0, "")}
     assert home.table("documents").count() == 3 and home.search("changed")[0].count() == 1
+
+
+def docs_of(spark, *rows):
+    return spark.createDataFrame([("s", key, "t", body, None, "", {"k": "v"}, []) for key, body in rows], hubs.INPUT)
+
+
+def test_a_batch_is_written_whole_or_not_at_all(spark, tmp_path):
+    folder, home = f"{tmp_path}/in box", hubs.Hub(spark, f"file://{tmp_path}/h")
+    home.upsert_sources(spark.createDataFrame([("s", "S", "api", True)], hubs.SOURCES))
+    inbox.write(docs_of(spark, ("1", "alpha"), ("2", "beta")).repartition(2), folder)
+    broken = docs_of(spark, ("3", "gamma"), ("4", "delta"), ("5", "x")).repartitionByRange(3, "external_id").withColumn("body", F.when(F.col("external_id") == "5", F.raise_error(F.lit("injected"))).otherwise(F.col("body")))
+    with pytest.raises(Exception, match="injected"):
+        inbox.write(broken, folder)
+    assert inbox.batch(spark, folder, 2) is None and inbox.batch(spark, folder, 1).count() == 2
+    files = lambda: sorted(p.name for p in (tmp_path / "in box").rglob("*.parquet"))
+    inbox.write(docs_of(spark, ("1", "alpha"), ("6", " ")), folder), inbox.write(docs_of(spark, ("1", "alpha two"), ("2", "beta")).withColumn("more", F.lit(1)), folder), inbox.write(docs_of(spark).limit(0), folder)
+    assert [(r["number"], r["created"], r["updated"], r["unchanged"], r["error"]) for r in inbox.drain(home, folder)] == [(1, 2, 0, 0, None), (2, 0, 0, 0, "invalid documents: body"), (3, 0, 1, 1, None), (4, 0, 0, 0, None)]
+    assert inbox.drain(home, folder) == [] and {r.body for r in home.table("documents").collect()} == {"alpha two", "beta"}
+    # a task that ran twice: both files lie there, the one that was committed counts
+    rows, writer = docs_of(spark, ("9", "once")).toArrow().to_batches(), inbox._Writer(folder)
+    before = files()
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))
+    assert len(files()) == len(before) + 2 and first.name != again.name
+    writer.commit([again])
+    assert inbox.batch(spark, folder, 5).count() == 1 and inbox.drain(home, folder)[0]["created"] == 1
+    other = inbox._Writer(folder)
+    other.abort([other.write(iter(rows)), None])
+    assert len(files()) == len(before) + 2
+    with pytest.raises(Exception, match="appended"):
+        docs_of(spark).write.format("fathom_batches").mode("overwrite").save(folder)
+
+
+def test_an_evaluation_goes_on_where_it_broke_off(spark, tmp_path):
+    cases = spark.createDataFrame([(f"c{i:02}", f"q{i}") for i in range(9)], "case string, query string")
+    ledger, calls, whole = f"file://{tmp_path}/ledger", [], f"file://{tmp_path}/whole"
+
+    def measure(rows, least=99):
+        names = sorted(r.case for r in rows.collect())
+        calls.append(names)
+        if len(calls) == least:
+            raise KeyboardInterrupt
+        return rows.where("case <> 'c04'").select("case", F.length("query").alias("n"))  # a case may have no result
+
+    with pytest.raises(KeyboardInterrupt):
+        evaluation.evaluated(spark, ledger, cases, lambda rows: measure(rows, 2), {"model": "m"}, 3)
+    assert versions.tables(spark, ledger)[1]["finished"].count() == 3 and len(calls) == 2
+    for changed, inputs in ((cases, {"model": "n"}), (cases.withColumn("query", F.when(F.col("case") == "c08", "z").otherwise(F.col("query"))), {"model": "m"})):
+        with pytest.raises(evaluation.Changed):
+            evaluation.evaluated(spark, ledger, changed, measure, inputs, 3)
+    assert len(calls) == 2
+    found = evaluation.evaluated(spark, ledger, cases.orderBy(F.desc("case")), measure, {"model": "m"}, 4)
+    assert calls[2:] == [["c03", "c04", "c05", "c06"], ["c07", "c08"]] and evaluation.sessions(spark, ledger) == 2
+    assert sorted(found.collect()) == sorted(evaluation.evaluated(spark, whole, cases, measure, {"model": "m"}).collect()) and found.count() == 8
+    calls.clear()
+    assert evaluation.evaluated(spark, ledger, cases, measure, {"model": "m"}).count() == 8 and calls == []
+    with pytest.raises(ValueError, match="different names"):
+        evaluation.evaluated(spark, f"file://{tmp_path}/x", cases.union(cases), measure, {})
