@@ -15,7 +15,7 @@ from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
 from fathom.operators import cells, changes, evaluation, index, levels, search, segments, stages
 from fathom.plans import planner
-from fathom.sources import files, versions
+from fathom.sources import files, inbox, versions
 from fathom.sources.policy import Policy, difference
 from fathom.streaming import sync
 
@@ -258,6 +258,47 @@ def eval_metrics(spark, sf_dir):
     return _round(search.metrics(docs.withColumn("rank", rank).select("query", "item", "rank"), labels, 10), "recall", "mrr", "ndcg")
 
 
+class _Broken(Exception):
+    """A run that was stopped."""
+
+
+def resumed_evaluation(spark, sf_dir):
+    """The cases of eval_metrics, measured seven at a time in a run that breaks off in its second part and in another that goes on."""
+    labels = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), (F.col("quality") + F.col("toxic")).cast("long").alias("grade"))
+    cases = labels.groupBy("query").agg(F.count(F.lit(1)).alias("judged"), F.sum(F.xxhash64("item", "grade").cast("decimal(38,0)")).alias("labels")).withColumnRenamed("query", "case")
+    docs, begun = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query"), F.col("doc_id").alias("item"), "n_chars"), []
+
+    def measure(some, least=None):
+        begun.append(1)
+        if len(begun) == least:
+            raise _Broken
+        of = lambda rows: rows.join(F.broadcast(some.select(F.col("case").alias("query"))), "query", "left_semi")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("n_chars").desc(), "item"))
+        return search.metrics(of(docs).withColumn("rank", rank).select("query", "item", "rank"), of(labels), 10)
+
+    ledger = f"{versions.working_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    try:
+        evaluation.evaluated(spark, ledger, cases, lambda some: measure(some, 2), {"corpus": sf_dir}, 7)
+    except _Broken:
+        pass
+    found = evaluation.evaluated(spark, ledger, cases, measure, {"corpus": sf_dir}, 7)
+    told = found.withColumn("sessions", F.lit(evaluation.sessions(spark, ledger)).cast("long"))
+    return _round(told.withColumn("parts", F.lit(len(begun)).cast("long")), "recall", "mrr", "ndcg")
+
+
+def written_batches(spark, sf_dir):
+    """All documents written as two batches, of which the second changes some texts, and taken in by a hub: what it holds of each then."""
+    docs = corpus(spark, sf_dir).where(F.col("body").rlike("(?U)\\S")).select("source", F.col("doc_id").cast("string").alias("external_id"), "title", "body", "published_at", F.lit("").alias("url"), "metadata", F.array().cast("array<struct<page:int,start:int,end:int>>").alias("pages"))
+    place = f"{versions.working_folder(spark)}/batches-{uuid.uuid4().hex}"
+    home, folder = hub.Hub(spark, f"{place}/hub"), f"{place}/inbox"
+    home.upsert_sources(docs.select("source").distinct().select("source", F.col("source").alias("name"), F.lit("api").alias("kind"), F.lit(True).alias("enabled")))
+    inbox.write(docs, folder)
+    inbox.write(docs.withColumn("body", F.when(F.col("external_id").cast("long") % 10 == 0, F.concat(F.lit("new "), "body")).otherwise(F.col("body"))), folder)
+    first, second = inbox.drain(home, folder)
+    told = home.table("documents").select("external_id", "source", F.md5("body").alias("body_md5"))
+    return told.withColumn("created", F.lit(first["created"]).cast("long")).withColumn("updated", F.lit(second["updated"]).cast("long")).withColumn("unchanged", F.lit(second["unchanged"]).cast("long"))
+
+
 def latency_summary(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("runs"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.avg((F.col("value") > 50).cast("double")).alias("slow_rate")
@@ -477,7 +518,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
-        segment_documents, packed_segments, search_results, nearest_batch, nearest_cells, policy_experiment, sync_decisions, hub_update, hub_changes, eval_summary, report_mismatches, run_health, golden_functions,
+        segment_documents, packed_segments, search_results, nearest_batch, nearest_cells, policy_experiment, sync_decisions, hub_update, hub_changes, written_batches, eval_summary, resumed_evaluation, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -675,6 +716,9 @@ def oracle_sql() -> dict[str, str]:
           select doc_id::varchar as external_id, any_value(lang) as lang, count(*) as chunks, sum(length(t))::bigint as characters, sum(len(w))::bigint as tokens, (select count(*) from c0 where doc_id % 10 in (0, 1)) as updated, (select count(*) from c0 where doc_id % 10 not in (0, 1)) as unchanged from k1 group by doc_id""",
         "eval_summary": f"""with m as ({_METRICS}), r as (select *, case when query % 2 = 0 then 'en' else 'zh' end as language, query % 5 = 0 as degraded from m), a as (select 'all' as kind, '' as name, * from r union all select 'language', language, * from r union all select 'nondegraded', '', * from r where not degraded)
           select kind, name, count(*) as runs, round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, round(avg(ndcg), 6) as ndcg from a group by all""",
+        "resumed_evaluation": f"select *, 2::bigint as sessions, 2 + ceil(((select count(distinct doc_id % 20) from labels) - 7) / 7.0)::bigint as parts from ({_METRICS_ROUNDED})",
+        "written_batches": """with d as (select doc_id::varchar as external_id, source, text, doc_id % 10 = 0 as fresh from documents where regexp_matches(coalesce(text, ''), '\\S'))
+          select external_id, source, md5(case when fresh then 'new ' || text else text end) as body_md5, (select count(*) from d) as created, (select count(*) from d where fresh) as updated, (select count(*) from d where not fresh) as unchanged from d""",
         "report_mismatches": f"with m as ({_METRICS}) select query from m where query % 3 = 0",
         "run_health": "select count(*) as measured_runs, round(avg(case when event_type = 'view' then (event_id % 3 > 0)::int end), 6) as no_answer_return_rate, count(*) filter (where value < 5) as degraded, round(avg((value > 90)::int), 6) as failure_rate, round(median(value), 6) as p50_ms, round(quantile_disc(value, 0.95), 6) as p95_ms from events",
         "html_to_text": r"select page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<(?:p|div|br|li|tr)\b[^<>]*>', chr(10), 'g'), '</?[A-Za-z!?][^<>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&mdash;', '—'), '&amp;', '&') as text from pages",
