@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom import hub
 from fathom.functions import scoring, text
 from fathom.functions.text import document_id, estimated_tokens, han_characters, sampled_text, search_tokens
-from fathom.operators import cells, changes, evaluation, index, levels, search, segments, stages
+from fathom.operators import cells, changes, digests, evaluation, index, levels, search, segments, stages
 from fathom.plans import planner
 from fathom.sources import files, inbox, versions
 from fathom.sources.policy import Policy, difference
@@ -326,6 +326,14 @@ def stale_snapshot_diff(spark, sf_dir):
     return changes.drift(old, new, "doc_id", "mark")
 
 
+def tree_diff(spark, sf_dir):
+    """stale_snapshot_diff by digests of both snapshots: only leaves that differ are read."""
+    place = f"{versions.working_folder(spark)}/trees-{uuid.uuid4().hex}"
+    for name, rows in zip(("old", "new"), _versions(spark, sf_dir), strict=True):
+        digests.write(rows.select("doc_id", "mark"), "doc_id", f"{place}/{name}")
+    return digests.changed(spark, f"{place}/old", f"{place}/new", "doc_id")
+
+
 def missing_keys(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     return changes.delete(old, new, "doc_id").select("doc_id")
@@ -518,7 +526,7 @@ def queries() -> dict:
         rrf_fusion, normalized_fusion, rerank_pool, sampled_chunks, source_counts, index_coverage, eval_metrics, latency_summary, upsert_actions, stale_snapshot_diff, missing_keys, content_dedup,
         token_estimate, rank_movement, policy_diff, html_to_text, sync_state,
         *(_stage(n) for n in stages.STAGES), hybrid_blend, unit_vectors, embedding_texts, missing_embeddings, ownership_conflicts, action_counts, document_page, latency_changes,
-        segment_documents, packed_segments, search_results, nearest_batch, nearest_cells, policy_experiment, sync_decisions, hub_update, hub_changes, written_batches, eval_summary, resumed_evaluation, report_mismatches, run_health, golden_functions,
+        segment_documents, packed_segments, search_results, nearest_batch, nearest_cells, policy_experiment, sync_decisions, hub_update, hub_changes, written_batches, tree_diff, eval_summary, resumed_evaluation, report_mismatches, run_health, golden_functions,
     ]
     return {f.__name__: f for f in found}
 
@@ -681,6 +689,7 @@ def oracle_sql() -> dict[str, str]:
         "latency_summary": "select event_type, count(*) as runs, round(avg(value), 6) as mean, round(median(value), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(avg((value > 50)::int), 6) as slow_rate from events group by event_type",
         "upsert_actions": f"{_VERSIONS} select doc_id, case when old.mark is null then 'created' when old.mark = new.mark then 'unchanged' else 'updated' end as action, old.content is null or old.content <> new.content as reindex from new left join old using (doc_id)",
         "stale_snapshot_diff": f"{_VERSIONS} select doc_id, case when old.mark is null then 'missing_left' when new.mark is null then 'missing_right' else 'changed' end as state from old full join new using (doc_id) where old.mark is distinct from new.mark",
+        "tree_diff": f"{_VERSIONS} select doc_id, case when old.mark is null then 'missing_left' when new.mark is null then 'missing_right' else 'changed' end as state from old full join new using (doc_id) where old.mark is distinct from new.mark",
         "missing_keys": f"{_VERSIONS} select doc_id from old where doc_id not in (select doc_id from new)",
         "content_dedup": "select sha256(text) as content, min(doc_id) as doc_id, count(*) - 1 as duplicates from documents group by 1",
         "token_estimate": "select role, sum(length(text))::bigint as characters, sum(octet_length(encode(text)))::bigint as utf8_bytes, sum(len(regexp_extract_all(text, '\\p{Han}')))::bigint as han_characters, sum(ceil((len(regexp_extract_all(text, '[\\x00-\\x7F]'))) / 4 + length(text) - len(regexp_extract_all(text, '[\\x00-\\x7F]'))))::bigint as estimated_tokens from conversations group by role",
