@@ -130,21 +130,24 @@ class Hub:
         facts = {"buckets": view.snapshot.facts.get("buckets", self._begun)}
         return layers.publish(view.snapshot, tables={"sources": path}, facts=facts).number
 
-    def _cut(self, documents: DataFrame, buckets: int) -> dict[str, DataFrame]:
-        """Chunks and postings of documents."""
+    def _cut(self, documents: DataFrame, buckets: int, size: int) -> dict[str, DataFrame]:
+        """Chunks and postings, in blocks, of documents, about `size` of them."""
         rows = index.chunks(documents.select("doc_id", "title", "body", "pages"), pages="pages").withColumn("chunk", F.concat_ws(":", "doc_id", F.lpad(F.col("start").cast("string"), 9, "0")))
-        found = index.tables(documents, rows, buckets)
+        found = index.tables(documents, rows, buckets, index.places_for(size) if size >= WIDE else None)
         chunks = found["chunks"].withColumn("content_hash", F.sha2("text", 256))
-        return {"chunks": chunks.select(*_names("chunks")), "postings": found["postings"].select(*_names("postings"))}
+        return {"chunks": chunks.select(*_names("chunks")), "postings": found["postings"]}
+
+    @staticmethod
+    def _arranged(wide: bool, places: int | None = None):
+        """How tables are laid out for writing: of a wide layer each task writes what it has. With places, what is read from other layers is dealt out to them by document first."""
 
-    def _arranged(self, buckets: int, wide: bool):
         def lay(name: str, rows: DataFrame) -> DataFrame:
             if name not in index.PARTITIONED:
                 return rows if wide else rows.coalesce(1)  # a small batch is one file
             column, key = index.PARTITIONED[name][0], "chunk" if name == "chunks" else "token"
             if wide and name != "tokens":
-                return index.spread(rows, column, key, buckets)
-            return rows.repartition(column).sortWithinPartitions(column, key)
+                return index.laid(rows.repartition(places, "doc_id") if places else rows, column, key)
+            return index.laid(rows.repartition(column), column, key)
 
         return lay
 
@@ -155,20 +158,20 @@ class Hub:
         held, so no posting is read. Writes what the batch holds and no more, then merges layers that are due.
         """
         snapshot, buckets = view.snapshot, view.snapshot.facts.get("buckets", self._begun)
-        lay, n_chunks, deltas = self._arranged(buckets, size >= WIDE), 0, []
-        counted = lambda rows, sign: rows.groupBy("token", "bucket").agg((sign * F.count(F.lit(1))).alias("n_with"), (sign * F.sum("tf")).alias("total"))
+        lay, n_chunks, deltas = self._arranged(size >= WIDE), 0, []
+        counted = lambda rows, n, total, sign: rows.groupBy("token", "bucket").agg((sign * F.sum(n)).alias("n_with"), (sign * F.sum(total)).alias("total"))
         tables = {} if fresh is None else {"documents": lay("documents", fresh)}
         if cut is not None:
-            tables |= {n: lay(n, rows) for n, rows in self._cut(cut, buckets).items()}
+            tables |= {n: lay(n, rows) for n, rows in self._cut(cut, buckets, size).items()}
         if ended is not None:
             tables["gone"] = lay("gone", ended.select("doc_id", "whole"))
         layer = layers.write(snapshot, tables, index.PARTITIONED, size)
         written = layers.Snapshot(self.spark, self.folder, SCHEMAS, snapshot.number, {"layers": [layer]})
         if cut is not None:
-            n_chunks, deltas = written.rows("chunks").count(), [counted(written.rows("postings"), 1)]
+            n_chunks, deltas = written.rows("chunks").count(), [counted(written.rows("postings"), F.lit(1), F.col("tf"), 1)]
         if ended is not None:
-            old = self._cut(view.table("documents").join(written.rows("gone").where("whole").select("doc_id"), "doc_id", "left_semi"), buckets)
-            n_chunks, deltas = n_chunks - old["chunks"].count(), [*deltas, counted(old["postings"], -1)]
+            old = self._cut(view.table("documents").join(written.rows("gone").where("whole").select("doc_id"), "doc_id", "left_semi"), buckets, 0)
+            n_chunks, deltas = n_chunks - old["chunks"].count(), [*deltas, counted(old["postings"], F.size("chunk"), F.col("total"), -1)]
         n_tokens = 0
         if deltas:
             tokens = reduce(DataFrame.unionByName, deltas).groupBy("token", "bucket").agg(F.sum("n_with").alias("n_with"), F.sum("total").alias("total")).select("token", "n_with", "total", "bucket")
@@ -188,8 +191,8 @@ class Hub:
         return snapshot.number
 
     def _merged(self, snapshot: layers.Snapshot, places: list[int]) -> layers.Snapshot:
-        wide = sum(snapshot.layers[i]["size"] for i in places) >= WIDE
-        return layers.publish(snapshot, layers.merged(snapshot, places, index.PARTITIONED, self._arranged(View(snapshot).buckets, wide)))
+        size = sum(snapshot.layers[i]["size"] for i in places)
+        return layers.publish(snapshot, layers.merged(snapshot, places, index.PARTITIONED, self._arranged(size >= WIDE, index.places_for(size))))
 
     def compact(self) -> int:
         """Writes all live rows as one layer, without tombstones."""
@@ -389,7 +392,7 @@ class Hub:
         """Copies what the newest version holds to another folder, as one layer that appears there whole."""
         snapshot, there = self.pin().snapshot, layers.pin(self.spark, folder.rstrip("/"), SCHEMAS)
         copy = layers.Snapshot(self.spark, there.folder, SCHEMAS, there.number, snapshot.content)
-        moved = layers.merged(copy, list(range(len(snapshot.layers))), index.PARTITIONED, self._arranged(View(snapshot).buckets, True)) if snapshot.layers else []
+        moved = layers.merged(copy, list(range(len(snapshot.layers))), index.PARTITIONED, self._arranged(True, index.places_for(sum(x["size"] for x in snapshot.layers)))) if snapshot.layers else []
         sources = f"{there.folder}/data-{uuid.uuid4().hex}/sources"
         snapshot.whole("sources").write.parquet(sources)
         return layers.publish(there, moved, {"sources": sources}, snapshot.facts).number

@@ -5,8 +5,12 @@ from __future__ import annotations
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathom.functions.text import search_tokens
 from fathom.sources import versions
@@ -42,20 +46,73 @@ def chunks(docs: DataFrame, body: str = "body", pages: str | None = None, keep:
     return out.where(F.col("text").rlike("(?U)\\S"))
 
 
+#: Tokens that are grouped at a time.
+TOGETHER = 2_000_000
+
+
+def _grouped(keys: list[str], schema: pa.Schema):
+    """A function for mapInArrow: from rows (key, t: tokens) to blocks, one for each token of those chunks that come together."""
+
+    def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lists = rows["t"].combine_chunks()
+        told = lists.flatten().dictionary_encode()
+        n, length = len(lists), pc.list_value_length(lists)
+        both = told.indices.to_numpy().astype(np.int64) * n + pc.list_parent_indices(lists).to_numpy()
+        both.sort()
+        at = np.flatnonzero(np.diff(both, prepend=-1))
+        tf, token, chunk = np.diff(at, append=len(both)), both[at] // n, both[at] % n
+        first = np.flatnonzero(np.diff(token, prepend=-1))
+        offsets = pa.array(np.append(first, len(token)), pa.int32())
+        listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+        columns = [told.dictionary.take(pa.array(token[first])), pa.array(np.add.reduceat(tf, first) if len(first) else [], pa.int64())]
+        columns += [listed(rows[k].combine_chunks().take(pa.array(chunk))) for k in keys]
+        columns += [listed(pa.array(tf, pa.int32())), listed(length.take(pa.array(chunk)).cast(pa.int32()))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not (more := len(batch["t"].flatten())):
+                continue
+            held, n = [*held, batch], n + more
+            if n >= TOGETHER:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+
+    return run
+
+
+def blocks(chunked: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """(token, total, a list for each key, tf, dl): the postings of a token in chunks that a task reads together, and the sum of their tf.
+
+    A task groups by token what it has, and sorts lists rather than a row for each posting."""
+    rows = chunked.select(*key, search_tokens(text).alias("t"))
+    kinds = dict(rows.dtypes)
+    out = types._parse_datatype_string(", ".join(["token string, total long", *(f"{k} array<{kinds[k]}>" for k in key), "tf array<int>, dl array<int>"]))
+    return rows.mapInArrow(_grouped(key, to_arrow_schema(out)), out)
+
+
+def unpacked(blocks_: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """A row for each posting of blocks."""
+    return blocks_.select("token", *more, F.inline(F.arrays_zip(*key, "tf", "dl"))).select(*key, "token", "tf", "dl", *more)
+
+
 def postings(chunked: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """(key, token, tf, dl): each distinct token of a chunk. A chunk's tokens are sorted in its own row, where equal ones
-    stand together: how far apart two changes lie is a count, so nothing is shuffled."""
-    rows = chunked.select(*key, F.array_sort(search_tokens(text)).alias("t")).withColumn("dl", F.size("t"))
-    first = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("at"), ((i == 0) | (F.get("t", i - 1) != x)).alias("new"))), lambda e: e["new"])
-    rows = rows.select(*key, "dl", first.alias("f"))
-    counted = F.transform("f", lambda e, i: F.struct(e["token"].alias("token"), (F.coalesce(F.get("f", i + 1)["at"], F.col("dl")) - e["at"]).alias("tf")))
-    return rows.select(*key, "dl", F.inline(counted)).select(*key, "token", "tf", "dl")
+    """(key, token, tf, dl): each distinct token of a chunk."""
+    return unpacked(blocks(chunked, key, text), key)
 
 
 #: Documents that ask for another bucket of the persisted tables, and the most buckets.
-PER_BUCKET, MOST_BUCKETS = 20_000, 4096
-#: Places that the rows of one bucket are written from: a token may hold a third of all postings.
-WRITERS = 8
+PER_BUCKET, MOST_BUCKETS = 400_000, 4096
+#: Documents whose postings are made and sorted in one place: few enough for a task's memory, whatever the size of the corpus or of its files.
+PER_PLACE = 4_000
+
+
+def places_for(documents: int) -> int:
+    return -(-documents // PER_PLACE) or 1
 
 
 def bucket_of(token: str, buckets: int) -> int:
@@ -90,11 +147,26 @@ class Index:
         return self.chunks.select("part", "chunk", *columns).join(F.broadcast(keys), ["part", "chunk"]).drop("part")
 
 
-def tables(documents: DataFrame, chunked: DataFrame, buckets: int = 1) -> dict[str, DataFrame]:
-    """The tables of an index but the aggregates: documents, chunks and postings."""
-    numbers = lambda c: (F.crc32(F.col(c).cast("binary")) % buckets).cast("int")
-    told = postings(chunked, ["chunk", "doc_id"], F.concat_ws(" ", "title", "text")).withColumn("bucket", numbers("token"))
-    return {"documents": documents, "chunks": chunked.drop(*({"title", "source", "published_at", "metadata"} & set(chunked.columns))).withColumn("part", numbers("chunk")), "postings": told}
+def number_of(c: str, buckets: int) -> Column:
+    return (F.crc32(F.col(c).cast("binary")) % buckets).cast("int")
+
+
+def number_of(c: str, buckets: int) -> Column:
+    return (F.crc32(F.col(c).cast("binary")) % buckets).cast("int")
+
+
+def tables(documents: DataFrame, chunked: DataFrame, buckets: int = 1, places: int | None = None) -> dict[str, DataFrame]:
+    """The tables of an index but the aggregates: documents, chunks, and postings in blocks (rows_of: a row each).
+
+    With places, texts are dealt out by document before postings are made of them: they are a fraction of their postings."""
+    dealt = chunked.select("chunk", "doc_id", F.concat_ws(" ", "title", "text").alias("text"))
+    dealt = dealt if places is None else dealt.repartition(places, "doc_id")
+    told = blocks(dealt, ["chunk", "doc_id"], F.col("text")).withColumn("bucket", number_of("token", buckets))
+    return {"documents": documents, "chunks": chunked.drop(*({"title", "source", "published_at", "metadata"} & set(chunked.columns))).withColumn("part", number_of("chunk", buckets)), "postings": told}
+
+
+def rows_of(blocks_: DataFrame) -> DataFrame:
+    return unpacked(blocks_, ["chunk", "doc_id"], "bucket")
 
 
 def aggregates(postings_: DataFrame) -> dict[str, DataFrame]:
@@ -111,23 +183,26 @@ def corpus_row(chunks_: DataFrame, postings_: DataFrame) -> DataFrame:
 PARTITIONED = {"chunks": ["part"], "postings": ["bucket"], "tokens": ["bucket"]}
 
 
-def spread(rows: DataFrame, column: str, key: str, buckets: int) -> DataFrame:
-    """Rows as they are written: by bucket from WRITERS places, sorted by key, so that a scan skips row groups."""
-    return rows.repartition(buckets * WRITERS, column, F.pmod(F.xxhash64("chunk" if "chunk" in rows.columns else key), F.lit(WRITERS))).sortWithinPartitions(column, key)
+def laid(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """Rows as they are written, each task into the buckets that it has rows of, sorted by key, so that a scan skips row groups. Blocks
+    are sorted as such, and only then a row for each posting."""
+    rows = rows.sortWithinPartitions(column, key)
+    return rows_of(rows) if dict(rows.dtypes).get("chunk", "").startswith("array") else rows
 
 
 def write(spark: SparkSession, folder: str, documents: DataFrame, chunked: DataFrame, buckets: int | None = None) -> Index:
     """Builds and publishes an index; a reader sees the version before it, or the whole of it."""
-    buckets = buckets or min(MOST_BUCKETS, 1 + documents.count() // PER_BUCKET)
-    parts = tables(documents, chunked, buckets)
-    parts["chunks"], parts["postings"] = spread(parts["chunks"], "part", "chunk", buckets), spread(parts["postings"], "bucket", "token", buckets)
+    n = documents.count()
+    buckets = buckets or min(MOST_BUCKETS, 1 + n // PER_BUCKET)
+    parts = tables(documents, chunked, buckets, places_for(n))
+    parts["chunks"], parts["postings"] = laid(parts["chunks"], "part", "chunk"), laid(parts["postings"], "bucket", "token")
     number = versions.publish(spark, f"{folder}/building", parts, PARTITIONED)
     _, have, _ = versions.tables(spark, f"{folder}/building")
     more = {"tokens": aggregates(have["postings"])["tokens"], "corpus": corpus_row(have["chunks"], have["postings"])}
     paths = versions.latest(spark, f"{folder}/building")[1]["tables"]
     data = f"{paths['postings'].rpartition('/')[0]}"
     for name, rows in more.items():
-        (rows.coalesce(1) if name == "corpus" else rows.sortWithinPartitions("token")).write.partitionBy(*PARTITIONED.get(name, [])).parquet(f"{data}/{name}")
+        (rows.coalesce(1) if name == "corpus" else rows.sortWithinPartitions("token")).write.partitionBy(*PARTITIONED.get(name, [])).option("compression", "zstd").parquet(f"{data}/{name}")
         paths[name] = f"{data}/{name}"
     versions.add(spark, folder, versions.latest(spark, folder)[0] + 1, {"tables": paths, "facts": {"buckets": buckets, "number": number}})
     return read(spark, folder)
@@ -141,7 +216,8 @@ def read(spark: SparkSession, folder: str) -> Index:
 def of(documents: DataFrame, chunked: DataFrame) -> Index:
     """An index that is not written anywhere, for small tables."""
     parts = tables(documents, chunked)
-    return Index(parts["documents"], parts["chunks"], parts["postings"], aggregates(parts["postings"])["tokens"], corpus_row(parts["chunks"], parts["postings"]))
+    rows = rows_of(parts["postings"])
+    return Index(parts["documents"], parts["chunks"], rows, aggregates(rows)["tokens"], corpus_row(parts["chunks"], rows))
 
 
 def sampled(chunked: DataFrame, document: str, order: str) -> DataFrame:

@@ -87,7 +87,7 @@ def write(snapshot: Snapshot, tables: dict[str, DataFrame], partitioned: dict[st
     path = data or f"{snapshot.folder}/data-{uuid.uuid4().hex}"
     for name, rows in tables.items():
         rows = rows.withColumn("layer", F.lit(snapshot.number + 1).cast("long")) if stamped else rows
-        rows.write.partitionBy(*partitioned.get(name, [])).parquet(f"{path}/{name}")
+        rows.write.partitionBy(*partitioned.get(name, [])).option("compression", "zstd").parquet(f"{path}/{name}")
     return {"path": path, "tables": sorted(tables), "size": size}
 
 

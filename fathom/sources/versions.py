@@ -101,7 +101,7 @@ def publish(
         if rows is None:
             continue
         paths[name] = f"{data}/{name}"
-        rows.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(paths[name])
+        rows.write.partitionBy(*(partitioned or {}).get(name, [])).option("compression", "zstd").parquet(paths[name])
     for name, rows in (added or {}).items():
         rows.write.parquet(f"{data}/{name}")
         paths[name] = [*_parts(paths.get(name, [])), f"{data}/{name}"]
