@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +29,8 @@ from fathom.sources import versions
 LEVELS, SLICES, FIRST, MORE = 32, 4096, 4, 8
 #: Rows of a Parquet page, which is what a scan leaves out; ranges of slices that a scan is given at most.
 PAGE, RANGES = 1024, 256
+#: Bytes of postings that a task sorts into levels: some millions.
+SPLIT = 8 << 20
 #: Thresholds are eased by this share, far beyond rounding; scores are rounded to so many places before they rank.
 EASE, PLACES = 1e-9, 12
 
@@ -54,6 +57,20 @@ def _slice(chunk: Column) -> Column:
     return F.pmod(F.crc32(chunk.cast("binary")), F.lit(SLICES)).cast("int")
 
 
+@contextmanager
+def _small_splits(spark: SparkSession):
+    """Scans read at most SPLIT bytes in a task."""
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, str(SPLIT))
+        yield
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+
+
 def build(spark: SparkSession, folder: str, ix: index.Index) -> Levels:
     """Publishes the levels of an index's postings; gains are by the mean length of its chunks."""
     known = ix.corpus.first()
@@ -62,9 +79,9 @@ def build(spark: SparkSession, folder: str, ix: index.Index) -> Levels:
     rows = ix.postings.select("token", "chunk", "doc_id", gain.alias("gain"), "bucket")
     rows = rows.withColumns({"level": F.least(F.floor(F.col("gain") * (LEVELS / (scoring.K1 + 1))), F.lit(LEVELS - 1)).cast("int"), "slice": _slice(F.col("chunk"))})
     data, columns = f"{folder}/data-{uuid.uuid4().hex}", lambda df: ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    # a token may hold a third of all postings: a bucket is written from several places
-    placed = rows.repartition(ix.buckets * index.WRITERS, "bucket", F.pmod(F.xxhash64("chunk"), F.lit(index.WRITERS))).sortWithinPartitions("bucket", "token", "level", "slice")
-    placed.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE).parquet(f"{data}/ranked")
+    placed = rows.sortWithinPartitions("bucket", "token", "level", "slice")
+    with _small_splits(spark):  # postings lie by bucket and token already: each task sorts what it reads, and holds it
+        placed.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE).option("compression", "zstd").parquet(f"{data}/ranked")
     counted = spark.read.schema(placed.schema).parquet(f"{data}/ranked").groupBy("token", "bucket", "level").agg(F.count(F.lit(1)).alias("n"), F.max("gain").alias("most"))
     counted.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{data}/levels")
     versions.add(spark, folder, versions.latest(spark, folder)[0] + 1, {"tables": {t: f"{data}/{t}" for t in ("ranked", "levels")}, "facts": {"buckets": ix.buckets, "n_chunks": known.n_chunks, "columns": {"ranked": columns(placed), "levels": columns(counted)}}})
