@@ -215,7 +215,10 @@ class Hub:
 
         A document whose title, body and pages are as before keeps its chunks, postings and vectors.
         """
-        view, rows = self.pin(), self.prepared(batch).persist()
+        view, rows = self.pin(), self.prepared(batch)
+        # texts meet what is held once, and not at all in a hub that is empty
+        held = view.table("documents") if view.snapshot.layers else rows.limit(0)
+        rows = changes.actions(held, rows, "doc_id", "fingerprint", "content", tuple(_names("documents")[1:])).persist()
         try:
             return self._ingest(view, rows)
         finally:
@@ -227,15 +230,13 @@ class Hub:
         bad = bad.union(rows.groupBy("doc_id").count().where("count > 1").select(F.lit("external_id").alias("fault")))
         if found := [r.fault for r in bad.distinct().collect()]:  # a few codes
             raise ValueError(f"invalid documents: {', '.join(sorted(found))}")
-        acts = changes.actions(view.table("documents"), rows, "doc_id", "fingerprint", "content").persist()
-        told = {r.action: r.n for r in changes.counts(acts).collect()}
+        told = {r.action: r.n for r in changes.counts(rows).collect()}
         if told.keys() - {"unchanged"}:
-            fresh = rows.join(acts.where("action <> 'unchanged'").select("doc_id"), "doc_id", "left_semi").select(*_names("documents"))
-            cut = rows.join(acts.where("reindex").select("doc_id"), "doc_id", "left_semi").select(*_names("documents"))
-            ended = acts.where("action = 'updated'").select("doc_id", F.col("reindex").alias("whole"))
-            kept = acts.where("reindex").isEmpty()
+            fresh = rows.where("action <> 'unchanged'").select(*_names("documents"))
+            cut = rows.where("reindex").select(*_names("documents"))
+            ended = rows.where("action = 'updated'").select("doc_id", F.col("reindex").alias("whole"))
+            kept = rows.where("reindex").isEmpty()
             self._change(view, fresh, None if kept else cut, ended if "updated" in told else None, told.get("created", 0) + told.get("updated", 0))
-        acts.unpersist()
         return {name: told.get(name, 0) for name in ("created", "updated", "unchanged")}
 
     def delete(self, ids: DataFrame) -> int:

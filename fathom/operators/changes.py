@@ -12,18 +12,18 @@ def last_of(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(row, order).alias("__row")).select("__row.*")
 
 
-def actions(current: DataFrame, incoming: DataFrame, key: str, mark: str, content: str) -> DataFrame:
-    """(key, action, reindex) of an upsert: created, updated or unchanged by fingerprint; reindex if the content differs.
+def actions(current: DataFrame, incoming: DataFrame, key: str, mark: str, content: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of incoming to keep, action, reindex) of an upsert: created, updated or unchanged by fingerprint; reindex if the content differs.
 
     Rows of current that the batch doesn't name are left alone. Null marks are values like others. The
     batch has a row for each key (last_of).
     """
-    new = incoming.select(key, F.col(mark).alias("new_mark"), F.col(content).alias("new_content"))
+    new = incoming.select(key, *keep, F.col(mark).alias("new_mark"), F.col(content).alias("new_content"))
     old = current.select(key, F.col(mark).alias("old_mark"), F.col(content).alias("old_content"), F.lit(True).alias("known"))
     rows = new.join(old, key, "left")
     fresh = F.col("known").isNull()
     action = F.when(fresh, "created").when(F.col("old_mark").eqNullSafe(F.col("new_mark")), "unchanged").otherwise("updated")
-    return rows.select(key, action.alias("action"), (fresh | ~F.col("old_content").eqNullSafe(F.col("new_content"))).alias("reindex"))
+    return rows.select(key, *keep, action.alias("action"), (fresh | ~F.col("old_content").eqNullSafe(F.col("new_content"))).alias("reindex"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens_of
-from fathom.operators import index
+from fathom.operators import changes, index
 
 TEXTS = ["b a b", "", "...", "芯片订单 x", "Straße ﬁnal a a a", "a " * 300]
 
@@ -31,3 +31,10 @@ def test_a_documents_postings_are_written_in_one_place(spark, tmp_path, monkeypa
     assert 2 < files.select("file").distinct().count() <= 8  # four places, two buckets
     text = F.concat_ws(" ", "title", "text")
     assert ix.postings.count() == index.postings(rows, ["chunk"], text).count() and ix.corpus.first().n_chunks == rows.count()
+
+
+def test_texts_of_a_batch_meet_what_is_held_once(spark):
+    held = spark.createDataFrame([(1, "m", "c"), (2, "m", "c"), (3, "m", "c")], "k long, mark string, content string")
+    batch = spark.createDataFrame([(1, "m", "c", "t1"), (2, "n", "c", "t2"), (3, "n", "d", "t3"), (4, None, None, "t4")], "k long, mark string, content string, body string")
+    found = changes.actions(held, batch, "k", "mark", "content", ("body",))
+    assert sorted(map(tuple, found.collect())) == [(1, "t1", "unchanged", False), (2, "t2", "updated", False), (3, "t3", "updated", True), (4, "t4", "created", True)]
